@@ -12,6 +12,7 @@ columns other than id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, dealt, flat, gather, one, pack, spans, unpack
+from .common import BLOCK_BYTES, block_count, dealt, flat, laid_out, one, pack, pack_arrays, spans, unpack, unpack_arrays
 
 # Fixed value: white space as Unicode has it, for a Java character class.
 SPACE = r"\t\n\x0B\f\r \x85   -     　"
@@ -82,60 +83,67 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     id_type = docs.schema["id"].dataType.simpleString()
     cut = dealt(docs, n, [F.col("id"), F.col("text")]).select("block", "id", split_words(F.col("text"), special_tokens(tokenizer)).alias("words"))
 
-    def tell(block: pa.Table) -> pa.Table:
-        words, _ = flat(block["words"])
-        known = words.unique()
+    def by_bucket(known: pa.Array) -> tuple[pa.Array, list[tuple[int, int, int]]]:
+        """Distinct words in an order that block and bucket agree on, and each bucket's part."""
+        known = known.take(pc.array_sort_indices(known))
         to = np.fromiter((zlib.crc32(w.encode()) % n for w in known.to_pylist()), np.int32, len(known))
         order = np.argsort(to, kind="stable")
-        known, to = known.take(pa.array(order)), to[order]
-        buckets, starts = np.unique(to, return_index=True)
-        ends = [*starts[1:].tolist(), len(to)]
+        buckets, starts = np.unique(to[order], return_index=True)
+        return known.take(pa.array(order)), list(zip(buckets.tolist(), starts.tolist(), [*starts[1:].tolist(), len(to)], strict=True))
+
+    def tell(block: pa.Table) -> pa.Table:
+        words, _ = flat(block["words"])
+        known, parts = by_bucket(words.unique())
         return pa.table({
-            "bucket": pa.array(buckets, pa.int32()),
-            "block": pa.array([block["block"][0].as_py()] * len(buckets), pa.int32()),
-            "blob": pa.array([pack({"word": known.slice(a, b - a)}) for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary()),
+            "bucket": pa.array([k for k, _, _ in parts], pa.int32()),
+            "block": pa.array([block["block"][0].as_py()] * len(parts), pa.int32()),
+            "blob": pa.array([pack({"word": known.slice(a, b - a)}) for _, a, b in parts], pa.binary()),
         })
 
     def answer(asked: pa.Table) -> pa.Table:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         lists = [one(unpack(b.as_py())["word"]) for b in asked["blob"]]
         coded = pa.concat_arrays(lists).dictionary_encode()
         tok = loaded(tokenizer)
-        ids, lengths = [], np.zeros(len(coded.dictionary), np.int64)
-        for a in range(0, len(coded.dictionary), 20_000):
-            for i, e in enumerate(tok.encode_batch_fast(coded.dictionary.slice(a, 20_000).to_pylist(), add_special_tokens=False)):
-                ids.append(np.array(e.ids, np.int32))
+        narrow = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.int32
+        ids, lengths = [np.empty(0, narrow)], np.zeros(len(coded.dictionary), np.int64)
+        for a in range(0, len(coded.dictionary), 10_000):
+            for i, e in enumerate(tok.encode_batch_fast(coded.dictionary.slice(a, 10_000).to_pylist(), add_special_tokens=False)):
+                ids.append(np.array(e.ids, narrow))
                 lengths[a + i] = len(ids[-1])
-        values, at = np.concatenate(ids) if ids else np.empty(0, np.int32), spans(lengths)
+        values, at = np.concatenate(ids), spans(lengths)
         out, begin = [], 0
         for words in lists:
             which = coded.indices.slice(begin, len(words)).to_numpy()
             begin += len(words)
-            out.append(pack({"word": words, "ids": pa.ListArray.from_arrays(pa.array(spans(lengths[which]), pa.int32()), pa.array(values[gather(at, which)]))}))
-        return pa.table({"block": asked["block"], "blob": pa.array(out, pa.binary())})
+            # the block lays its words in the same order: only lengths and ids go back
+            out.append(pack_arrays(lengths[which].astype(np.uint32), laid_out(values, at, which)))
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "blob": pa.array(out, pa.binary())})
 
     def join_back(block: pa.Table, told: pa.Table) -> pa.Table:
         words, at = flat(block["words"])
         coded = one(words.dictionary_encode())
-        if told.num_rows:
-            table = pa.concat_tables([unpack(b.as_py()) for b in told["blob"]])
-            found = pc.index_in(coded.dictionary, value_set=one(table["word"]))
-            if found.null_count:
-                raise RuntimeError("a word of the block has no ids")
-            values, starts = flat(table["ids"])
-            values, which = values.to_numpy(), found.to_numpy()[coded.indices.to_numpy()]
-            size = spans((starts[1:] - starts[:-1])[which])
-            ids = values[gather(starts, which)]
-        else:
-            size, ids = spans(np.zeros(len(words), np.int64)), np.empty(0, np.int32)
-        return pa.table({"id": block["id"], "ids": pa.ListArray.from_arrays(pa.array(size[at], pa.int32()), pa.array(ids, pa.int32()))})
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        del words, coded
+        known, parts = by_bucket(distinct)
+        blob_of = dict(zip(told["bucket"].to_pylist(), told["blob"], strict=True))
+        if len(blob_of) != len(parts):
+            raise RuntimeError("a bucket has not answered")
+        answers = [unpack_arrays(blob_of[k].as_py()) for k, _, _ in parts]
+        lengths = np.concatenate([np.empty(0, np.int64), *(a for a, _ in answers)]).astype(np.int64)
+        values = np.concatenate([np.empty(0, np.int32), *(b for _, b in answers)]).astype(np.int32)
+        which = pc.index_in(distinct, value_set=known).to_numpy(zero_copy_only=False).astype(np.int32)[codes]
+        ids = laid_out(values, spans(lengths), which)
+        size = spans(lengths[which])
+        return pa.table({"id": block["id"], "ids": pa.ListArray.from_arrays(pa.array(size[at], pa.int32()), pa.array(ids))})
 
     asked = cut.groupBy("block").applyInArrow(tell, "bucket int, block int, blob binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "block int, blob binary")
+    told = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, blob binary")
     both = cut.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join_back, f"id {id_type}, ids array<int>")
     return both.withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded", slice_docs: int = 500) -> DataFrame:
     """encoded with one more column, the text of its ids; bytes that are no UTF-8 become U+FFFD.
 
     Every batch joins its distinct ids with the id-to-piece table (as many rows as the
@@ -148,7 +156,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: st
 
     def texts(batches):
         pieces = piece_table(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(a, slice_docs) for b in batches for a in range(0, b.num_rows, slice_docs)):
             ids, at = flat(batch.column(ids_col))
             seen = pa.table({"id": ids.cast(pa.int32())}).group_by("id").aggregate([]).append_column("row", pa.nulls(0, pa.int32()) if not len(ids) else pa.array(range(len(pc.unique(ids))), pa.int32()))
             joined = seen.join(pieces, "id", join_type="left outer").sort_by("row")
@@ -157,7 +165,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: st
             raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
             starts = spans(pc.binary_length(data).to_numpy(zero_copy_only=False))
             ends = spans((starts[1:] - starts[:-1])[row_of])[at]
-            flat_bytes = raw[gather(starts, row_of)].tobytes()
+            flat_bytes = laid_out(raw, starts, row_of).tobytes()
             decoded = [flat_bytes[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], [*batch.schema.names, out_col])
 

@@ -9,6 +9,7 @@ occurrence, so that a key which fills a third of all rows costs one entry per bl
 from __future__ import annotations
 
 import math
+import pickle
 import tempfile
 import uuid
 
@@ -66,6 +67,15 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Number arrays of several types as one compressed blob."""
+    return pickle.dumps([(a.dtype.str, len(a), pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)) for a in arrays])
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    return [np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True) if n else b"", kind) for kind, n, data in pickle.loads(blob)]
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted distinct uint64 keys as compressed differences, bytes of one weight together."""
     steps = np.diff(keys, prepend=np.uint64(0))
@@ -96,6 +106,16 @@ def gather(offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.arange(start[-1], dtype=np.int64) + np.repeat(offsets[:-1][which] - start[:-1], size)
 
 
+def laid_out(values: np.ndarray, offsets: np.ndarray, which: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Elements of runs `which`, run after run, made a slice at a time to keep indices few."""
+    size = spans((offsets[1:] - offsets[:-1])[which])
+    out = np.empty(size[-1], values.dtype)
+    for a in range(0, len(which), step):
+        b = min(a + step, len(which))
+        out[size[a] : size[b]] = values[gather(offsets, which[a:b])]
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads all bits."""
     x = x.astype(np.uint64, copy=True)
