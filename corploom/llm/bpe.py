@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, dealt, flat, laid_out, one, pack, pack_arrays, spans, unpack, unpack_arrays
+from .common import BLOCK_BYTES, block_count, dealt, flat, laid_out, one, pack_arrays, pack_words, spans, unpack_arrays, unpack_words
 
 # Fixed value: white space as Unicode has it, for a Java character class.
 SPACE = r"\t\n\x0B\f\r \x85   -     　"
@@ -97,12 +97,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         return pa.table({
             "bucket": pa.array([k for k, _, _ in parts], pa.int32()),
             "block": pa.array([block["block"][0].as_py()] * len(parts), pa.int32()),
-            "blob": pa.array([pack({"word": known.slice(a, b - a)}) for _, a, b in parts], pa.binary()),
+            "blob": pa.array([pack_words(known.slice(a, b - a)) for _, a, b in parts], pa.binary()),
         })
 
     def answer(asked: pa.Table) -> pa.Table:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        lists = [one(unpack(b.as_py())["word"]) for b in asked["blob"]]
+        lists = [unpack_words(b.as_py()) for b in asked["blob"]]
         coded = pa.concat_arrays(lists).dictionary_encode()
         tok = loaded(tokenizer)
         narrow = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.int32

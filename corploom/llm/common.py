@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 << 20
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # fixed values: ASCII white space
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,25 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
     return [np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True) if n else b"", kind) for kind, n, data in pickle.loads(blob)]
 
 
+def pack_words(words: pa.Array, level: int = 9) -> bytes:
+    """Words as compressed bytes and lengths of as few bytes as hold them."""
+    words = words.cast(pa.large_binary())
+    data = b"".join(words.to_pylist())
+    sizes = np.fromiter((len(w) for w in words.to_pylist()), np.uint32, len(words))
+    codec = pa.Codec("zstd", compression_level=level)
+    if not len(sizes) or sizes.max() < 256:
+        sizes = sizes.astype(np.uint8)
+    squeeze = lambda b: codec.compress(b, asbytes=True)
+    return pickle.dumps((len(sizes), sizes.dtype.str, squeeze(sizes.tobytes()), len(data), squeeze(data)))
+
+
+def unpack_words(blob: bytes) -> pa.Array:
+    n, kind, sizes, length, data = pickle.loads(blob)
+    loose = lambda b, size: pa.decompress(b, decompressed_size=size, codec="zstd") if size else pa.py_buffer(b"")
+    at = spans(np.frombuffer(loose(sizes, n * np.dtype(kind).itemsize), kind))
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(at.tobytes()), loose(data, length)).cast(pa.string())
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted distinct uint64 keys as compressed differences, bytes of one weight together."""
     steps = np.diff(keys, prepend=np.uint64(0))
@@ -149,13 +169,23 @@ def strings(array: pa.Array | pa.ChunkedArray) -> pa.Array:
     return one(array).cast(pa.large_string()).fill_null("")
 
 
-def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words between the six ASCII white-space characters, A-Z lowered; and offsets per text."""
-    import pyarrow.compute as pc
-
-    words, at = flat(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
-    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-    return words.filter(pa.array(full)), spans(full)[at]
+def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Words between the six ASCII white-space characters, A-Z lowered if asked; and offsets per text."""
+    texts = one(texts).cast(pa.large_string())
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)
+    at = at - at[0]
+    if lower:
+        raw = np.where((raw >= 65) & (raw <= 90), raw | 32, raw)
+    full = ~WHITE[raw]
+    first = full.copy()
+    first[1:] &= ~full[:-1]
+    edges = at[:-1][at[:-1] < len(raw)]
+    first[edges] = full[edges]  # a word ends with its text
+    starts = np.cumsum(full, dtype=np.int64)[first] - 1
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, full.sum()).astype(np.int64).tobytes()), pa.py_buffer(raw[full].tobytes()))
+    return words, spans(first)[at]
 
 
 def word_keys(words: pa.Array, memo: dict[str, int] | None = None) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lmscore, quality, rules, sharding
+from . import bpe, jaccard, langid, lmscore, quality, rules, sharding, suffix
 from .common import held, table
 
 
@@ -32,6 +32,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights).select("doc_id", held("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = lmscore.score(docs, tokenizer_file("piece_bpe_32k.model"), ~held("doc_id", 7, 2))
@@ -43,9 +47,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_quality, op6_lm_score, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_quality, op5_jaccard_join, op6_lm_score, op8_sharding, op9_suffix_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -18,11 +18,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mixed, one, spans, strings
+from .common import ascii_words, mixed, one, spans, strings
 
 BITS = 18
 FAMILIES = 6
@@ -39,9 +38,7 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
     """Hashed places, their values, and offsets per text."""
     import xxhash
 
-    words, at = flat(pc.ascii_split_whitespace(strings(texts)))
-    full = pc.greater(pc.binary_length(words), 0)
-    words, at = words.filter(full), spans(full.to_numpy(zero_copy_only=False))[at]
+    words, at = ascii_words(strings(texts), lower=False)
     coded = one(words.dictionary_encode())
     known = coded.dictionary.to_pylist()
     digest = xxhash.xxh3_64_intdigest
