@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lmscore, quality, rules, sharding, suffix
+from . import bpe, decontam, jaccard, langid, lmscore, quality, rules, sharding, substring, suffix
 from .common import held, table
 
 
@@ -15,6 +15,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.find(table(spark, sf_dir, "documents"))
+    sources = F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["source"])))
+    return found.select("doc_id", "n_words", "n_removed", F.size("passages").cast("long").alias("n_passages"), sources.alias("sources"), "passages", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
@@ -42,6 +48,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,5 +65,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_quality, op5_jaccard_join, op6_lm_score, op8_sharding, op9_suffix_dedup, op10_quality_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_language_id, op4_quality, op5_jaccard_join, op6_lm_score, op7_decontamination, op8_sharding, op9_suffix_dedup, op10_quality_rules, pipeline)}
 ORACLES: dict[str, str] = {}

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ascii_words, mixed, one, spans, strings
 
@@ -106,19 +107,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return np.frombuffer(got[0]["w"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", slice_docs: int = 1_000) -> DataFrame:
-    """Rows (id, score): the likelihood of label 1."""
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, slice_docs: int = 1_000) -> DataFrame:
+    """Rows (id, score): the likelihood of label 1.  With keep, all columns of docs and `score` after them."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    docs = docs if keep else docs.select(F.col(id_col), F.col(text_col))
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    text_at = docs.columns.index(text_col)
 
     def run(batches):
         w = shared.value.astype(np.float64)
         for whole in batches:
             for a in range(0, whole.num_rows, slice_docs):
                 batch = whole.slice(a, slice_docs)
-                places, values, at = features(batch.column("text"))
+                places, values, at = features(batch.column(text_at))
                 summed = np.concatenate([[0.0], np.cumsum(w[places] * values)])
                 dots = summed[at[1:]] - summed[at[:-1]] + w[-1]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-dots)))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-dots)))], names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+    names = [*docs.columns, "score"]
+    out = docs.mapInArrow(run, schema)
+    return out if keep else out.select(id_col, "score")
