@@ -1,8 +1,8 @@
 """Exact Jaccard join of shingle sets by pivots, and the groups that its links make.
 
-The space splits first where it must: a text's rarest shingles are ranked pivots, and two
-texts that link share one among the first |x| - ceil(t |x|) + 1 of each, so texts that no chain of
-shared pivots connects lie in different blocks.  Inside a block distances say something, and
+The space splits first where it must: shingles, ranked by how few texts have them, are pivots, and
+two texts that link share one among the first |x| - ceil(t |x|) + 1 of each, so texts that no
+chain of shared pivots connects lie in different blocks.  Inside a block distances say something, and
 the metric join runs: pivot texts make Voronoi regions, a text is also copied to every region
 whose pivot is at most 2 eps further than its nearest (the triangle inequality: a link's other
 end cannot lie elsewhere), and a region joins by itself, or splits again.  What a pivot settles
@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, mixed, shingles, stored, strings, word_keys
+from .common import BLOCK_BYTES, ascii_words, block_count, mixed, one, shingles, stored, strings, word_keys
 from .components import components
+from .shared import KEY_BITS, key_counts, shared_counts
 
 
 def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -135,60 +137,62 @@ class Region:
                         self.compare(p, close)
 
 
-def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_region: int = 20_000, rank_docs: int = 8_000) -> DataFrame:
+def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_region: int = 20_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (id, n_shingles, component_id), one for each row of docs."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    count = docs.count()
-
-    # Shingles that a bounded sample shows to be frequent rank last; any order is right, this one is fast.
-    def sampled(batches):
-        for batch in batches:
-            found = sets_of(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], ["key"])
-
-    chance = F.pmod(F.xxhash64(F.lit("rank"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    often = docs.where(chance < rank_docs / max(count, 1)).select("text").mapInArrow(sampled, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").toPandas()
-    ranked = often.key.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(ranked)
-    frequent = spark.sparkContext.broadcast((ranked[order], often.n.to_numpy(np.int64)[order]))
-
-    def pivots(batches):
-        import xxhash
-
-        known, n = frequent.value
-        for batch in (b.slice(a, 1_000) for b in batches for a in range(0, b.num_rows, 1_000)):
-            sizes, prefixes, high, low = [], [], [], []
-            for s in sets_of(batch.column("text"), k):
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                high.append(digest >> 65)
-                low.append(digest & (2**63 - 1))
-                sizes.append(len(s))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, n[at], 0)
-                else:
-                    rank = np.zeros(len(s), np.int64)
-                s = s[np.lexsort((mixed(s), rank))]
-                prefixes.append(s[: len(s) - -(-len(s) * num // den) + 1].view(np.int64) if len(s) else np.empty(0, np.int64))
-            at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], ["id", "n", "high", "low", "pivots"])
-
-    seen = stored(docs.mapInArrow(pivots, "id long, n long, high long, low long, pivots array<long>"))
-    named = seen.where("n > 0 and id is not null")
-    classes = named.groupBy("high", "low").agg(F.min("id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    entries = named.dropDuplicates(["id", "high", "low"]).join(reps, "id", "left_semi").select("id", F.explode("pivots").alias("pivot"))
+    n = block_count(docs, "text", block_bytes)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    blocks = docs.withColumn("block", F.when(F.col("id").isNull(), of("text")).otherwise(of("id"))).repartition(n, "block")
+
+    # equal texts are one text: all but the least id stand aside until the end
+    hashed = docs.where("id is not null and text is not null").select("id", F.xxhash64(F.lit(1), "text").alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2"))
+    same = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").select("h1", "h2", "rep")
+    copies = stored(hashed.join(same, ["h1", "h2"]).where("id <> rep").select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep")))
+    aside = copies.select(of("id").alias("block"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "id")
+
+    def own_sets(block: pa.Table, more: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        ids = one(block["id"])
+        out = ~np.isin(ids.fill_null(0).to_numpy(), more["id"].drop_null().to_numpy())
+        own = out & ids.is_valid().to_numpy(zero_copy_only=False)
+        return ids.fill_null(0).to_numpy(), sets_of(block["text"], k), own
+
+    def keyed(ids: np.ndarray, sets: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine = [s if o else s[:0] for s, o in zip(sets, own.tolist(), strict=True)]
+        return np.concatenate([np.empty(0, np.uint64), *mine]) >> np.uint64(64 - KEY_BITS), np.repeat(ids, [len(s) for s in mine])
+
+    def pivots(block: pa.Table, told: pa.Table) -> pa.Table:
+        bits = told.filter(pc.greater_equal(told["bucket"], 0))
+        ids, sets, own = own_sets(block, told)
+        known, counts = key_counts(*keyed(ids, sets, own), dict(zip(bits["bucket"].to_pylist(), bits["blob"].to_pylist(), strict=True)), n)
+        prefixes = []
+        for s, o in zip(sets, own.tolist(), strict=True):
+            if not o or not len(s):
+                prefixes.append(np.empty(0, np.int64))
+                continue
+            rank = counts[np.searchsorted(known, s >> np.uint64(64 - KEY_BITS))]
+            first = len(s) - -(-len(s) * num // den) + 1
+            if (rank == 1).sum() >= first:  # pivots that nobody shares: nothing to meet
+                prefixes.append(np.empty(0, np.int64))
+                continue
+            order = np.lexsort((mixed(s), rank))[:first]
+            prefixes.append(s[order][rank[order] > 1].view(np.int64))
+        at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+        return pa.table({"id": block["id"], "n": pa.array([len(s) for s in sets], pa.int64()), "pivots": lists})
+
+    counted = shared_counts(blocks, lambda block, more: keyed(*own_sets(block, more)), n, aside)
+    both = counted.withColumn("id", F.lit(None).cast("long")).unionByName(aside)
+    seen = stored(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(pivots, "id long, n long, pivots array<long>"))
+    entries = seen.select("id", F.explode("pivots").alias("pivot"))
     hubs = entries.groupBy("pivot").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
     near = entries.join(hubs.select("pivot", "hub"), "pivot").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
     block = components(near)
     block = stored(block.unionAll(block.select(F.col("component").alias("node"), "component")).distinct())
-    links = metric_links(docs.dropDuplicates(["id", "text"]), block, k, num, den, max_region)
-    joined = components(links)
-    rep_of = classes.join(joined, F.col("rep") == F.col("node"), "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
-    out = seen.join(rep_of, ["high", "low"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
+    joined = components(metric_links(docs.where('id is not null'), block, k, num, den, max_region))
+    named = seen.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = named.join(joined, named["rep"] == joined["node"], "left")
+    linked_to = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked_to.alias("component_id"))
 
 
 def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int, max_region: int, pivots_each: int = 16, levels: int = 3) -> DataFrame:

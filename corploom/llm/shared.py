@@ -1,8 +1,9 @@
-"""Which keys do several documents share?  Asked by blocks, answered by buckets.
+"""How many documents have a key?  Asked by blocks, answered by buckets.
 
-A block of documents sends each of its distinct keys once, to the bucket of the key's high
-bits; the bucket answers with one bit for each, set where another block has the key too.
-The answer says nothing of who shares it: what follows does, for the shared keys alone.
+A block of documents sends each of its distinct keys once, with the number of its documents
+that have it, to the bucket of the key's high bits; the bucket adds up and answers with one
+byte for each (255: as many or more).  Who shares a key is not said: what follows finds that
+out, for the shared keys alone.
 """
 
 from __future__ import annotations
@@ -16,19 +17,19 @@ from pyspark.sql import DataFrame
 from .common import pack_keys, unpack_keys
 
 KEY_BITS = 47
+MOST = 255
 
 
 def distinct_keys(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and which of them several documents of the block have."""
+    """Sorted distinct keys, and how many documents of the block have each."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
     if not len(keys):
-        return keys, new
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(keys)) - 1
-    return keys[at], docs[at] != docs[last]
+        return keys, np.empty(0, np.int64)
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    other = new.copy()
+    other[1:] |= docs[1:] != docs[:-1]
+    return keys[new], np.add.reduceat(other.astype(np.int64), np.flatnonzero(new))
 
 
 def parts_of(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -39,46 +40,59 @@ def parts_of(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return list(zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True))
 
 
-def shared_bits(blocks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """Rows (block, bucket, blob): for each block the bits of its distinct keys.
+def squeezed(counts: np.ndarray) -> bytes:
+    return pa.compress(np.minimum(counts, MOST).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
 
-    keys_of gives a block's keys and the number of the document that each comes from.
+
+def loosened(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=n, codec="zstd"), np.uint8)
+
+
+def shared_counts(blocks: DataFrame, keys_of: Callable, buckets: int, aside: DataFrame | None = None) -> DataFrame:
+    """Rows (block, bucket, blob): for each block the counts of its distinct keys.
+
+    keys_of gives a block's keys and the id of the document that each comes from; it is called
+    with the block, and with the rows of `aside` for that block if there are such.
     """
 
-    def tell(block: pa.Table) -> pa.Table:
-        keys, _ = distinct_keys(*keys_of(block))
-        parts = parts_of(keys, buckets)
-        return pa.table({
-            "bucket": pa.array([k for k, _, _ in parts], pa.int32()),
-            "block": pa.array([block["block"][0].as_py()] * len(parts), pa.int32()),
-            "blob": pa.array([pack_keys(keys[a:b]) for _, a, b in parts], pa.binary()),
-        })
+    def tell(block: pa.Table, *more: pa.Table) -> pa.Table:
+        rows = []
+        if block.num_rows:
+            keys, counts = distinct_keys(*keys_of(block, *more))
+            rows = [(k, block["block"][0].as_py(), pack_keys(keys[a:b]), squeezed(counts[a:b])) for k, a, b in parts_of(keys, buckets)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("bucket", "block", "blob", "counts"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
     def answer(asked: pa.Table) -> pa.Table:
         lists = [unpack_keys(b.as_py()) for b in asked["blob"]]
-        every = np.sort(np.concatenate(lists))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = []
-        for keys in lists:
-            at = np.minimum(np.searchsorted(twice, keys), max(len(twice) - 1, 0))
-            hit = twice[at] == keys if len(twice) else np.zeros(len(keys), bool)
-            bits.append(pa.compress(np.packbits(hit).tobytes(), codec="zstd", asbytes=True))
-        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "blob": pa.array(bits, pa.binary())})
-
-    asked = blocks.groupBy("block").applyInArrow(tell, "bucket int, block int, blob binary")
+        counts = [loosened(c.as_py(), len(k)) for c, k in zip(asked["counts"], lists, strict=True)]
+        every, mine = np.concatenate(lists), np.concatenate(counts)
+        order = np.argsort(every, kind="stable")
+        every, mine = every[order], mine[order]
+        new = np.concatenate([[True], every[1:] != every[:-1]])
+        totals, every = np.add.reduceat(mine.astype(np.int64), np.flatnonzero(new)), every[new]
+        out = [squeezed(totals[np.searchsorted(every, keys)]) for keys in lists]
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "blob": pa.array(out, pa.binary())})
+
+    schema = "bucket int, block int, blob binary, counts binary"
+    grouped = blocks.groupBy("block")
+    asked = grouped.applyInArrow(lambda block: tell(block), schema) if aside is None else grouped.cogroup(aside.groupBy("block")).applyInArrow(lambda block, more: tell(block, more), schema)
     return asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, blob binary")
 
 
-def candidates(keys: np.ndarray, docs: np.ndarray, told: dict[int, bytes], buckets: int) -> np.ndarray:
-    """Sorted keys of the block that two documents or more have, here or elsewhere."""
-    distinct, several = distinct_keys(keys, docs)
+def key_counts(keys: np.ndarray, docs: np.ndarray, told: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the block, and how many documents of all blocks have each."""
+    distinct, _ = distinct_keys(keys, docs)
     parts = parts_of(distinct, buckets)
     if {k for k, _, _ in parts} != set(told):
         raise RuntimeError("a bucket has not answered")
-    for k, a, b in parts:
-        bits = np.frombuffer(pa.decompress(told[k], decompressed_size=(b - a + 7) // 8, codec="zstd"), np.uint8)
-        several[a:b] |= np.unpackbits(bits, count=b - a).astype(bool)
-    return distinct[several]
+    return distinct, np.concatenate([np.empty(0, np.uint8), *(loosened(told[k], b - a) for k, a, b in parts)])
+
+
+def candidates(keys: np.ndarray, docs: np.ndarray, told: dict[int, bytes], buckets: int) -> np.ndarray:
+    """Sorted keys of the block that two documents or more have, here or elsewhere."""
+    distinct, counts = key_counts(keys, docs, told, buckets)
+    return distinct[counts > 1]
 
 
 def among(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, block_count, dealt, gather, mixed, one, pack_arrays, spans, unpack_arrays
-from .shared import KEY_BITS, among, candidates, shared_bits
+from .shared import KEY_BITS, among, candidates, shared_counts
 
 CHUNK = 1 << 17
 NEVER = np.iinfo(np.int64).max
@@ -211,6 +211,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
     n = block_count(docs, "text", block_bytes)
     blocks = dealt(docs, n, [F.col("id"), F.col("text")])
 
+    def laid(block: pa.Table) -> pa.Table:
+        """The block's rows in one order: they come in any, and spans hang on who lies next to whom."""
+        return block.sort_by([("id", "ascending"), ("text", "ascending")])
+
     def found_in(block: pa.Table) -> tuple[Spans, np.ndarray]:
         every = Spans(block["text"], length, seed)
         ids = one(block["id"])
@@ -218,6 +222,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
         return every, known
 
     def keys_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        block = laid(block)
         every, known = found_in(block)
         ids = one(block["id"]).fill_null(0).to_numpy()
         return every.key[known], ids[every.doc[known]]
@@ -245,13 +250,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
         first = np.array(first, np.int64)
         step = -(-(1 << KEY_BITS) // n)
         bucket = (every.key[first] // np.uint64(step)).astype(np.int64) if len(first) else np.empty(0, np.int64)
-        return every, ids, picks, which, list(number), np.array(least, np.int64), (every.place - every.start)[first] if len(first) else first, bucket
+        # rows of a block come in any order: spans are laid by bucket and bytes
+        items, place = list(number), (every.place - every.start)[first] if len(first) else first
+        order = np.array(sorted(range(len(items)), key=lambda k: (bucket[k], items[k])), np.int64)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return every, ids, picks, back[which], [items[k] for k in order.tolist()], np.array(least, np.int64)[order], place[order], bucket[order]
 
     def runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
-        ids, starts = np.unique(bucket, return_index=True)  # keys, and so buckets, ascend
+        ids, starts = np.unique(bucket, return_index=True)  # buckets ascend
         return list(zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
 
     def tell(block: pa.Table, told: pa.Table) -> pa.Table:
+        block = laid(block)
         bits = dict(zip(told["bucket"].to_pylist(), told["blob"].to_pylist(), strict=True))
         rows = []
         if block.num_rows:
@@ -285,6 +296,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
     def cut(block: pa.Table, told: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
+        block = laid(block)
         part = lambda kind: (lambda t: dict(zip(t["bucket"].to_pylist(), t["blob"].to_pylist(), strict=True)))(told.filter(pc.equal(told["kind"], kind)))
         every, ids, picks, which, items, _, _, bucket = chosen(block, part(0))
         answers = part(1)
@@ -316,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
         pairs = pa.StructArray.from_arrays([pa.array(begins - base, pa.int64()), pa.array(ends - base, pa.int64())], ["begin", "end"])
         return pa.table({"id": block["id"], "n_bytes": pa.array(np.diff(every.at)), "spans": pa.ListArray.from_arrays(pa.array(count, pa.int32()), pairs), "kept": data.cast(pa.binary())})
 
-    bits = shared_bits(blocks, keys_of, n)
+    bits = shared_counts(blocks, keys_of, n)
     asked = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(tell, "bucket int, block int, blob binary")
     told = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, blob binary")
     both = bits.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1)))
