@@ -1,15 +1,372 @@
-"""All queries over the test tables, by name."""
+"""All queries over the test tables, by name, each with the SQL that must agree."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import stats, text
+from ..operators import codec, mixtures, packing
+from ..sources.io import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+# The pool that mixtures stand on: stand-ins that both engines can compute.
+POOL = r"""
+w AS (SELECT doc_id, coalesce(source, 'unknown') AS domain, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+') AS ws FROM documents),
+bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS t FROM benchmark),
+cw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS t FROM conversations),
+tok AS (SELECT doc_id, unnest(ws) AS t FROM w),
+hits AS (SELECT tok.doc_id, count(*) AS n, count(DISTINCT tok.t) AS nd, count(bw.t) AS hb, count(cw.t) AS hc FROM tok LEFT JOIN bw ON tok.t = bw.t LEFT JOIN cw ON tok.t = cw.t GROUP BY 1),
+raw AS (SELECT w.doc_id, domain, lang, n AS n_words, nd / n::DOUBLE AS cr, hb / n::DOUBLE AS score, hc / n::DOUBLE AS wrong, (2 * hb - n) / n::DOUBLE AS mean_score FROM w JOIN hits USING (doc_id)),
+pool AS (SELECT *, (cr >= 0.5)::INT + (cr >= 0.6)::INT + (cr >= 0.67)::INT + (cr >= 0.73)::INT + (cr >= 0.8)::INT + (cr >= 0.9)::INT AS bucket FROM raw)
+"""
+# Results of a made-up study: arm, seed, split and metric from line items.
+CELLS = """
+cells AS (SELECT l_returnflag AS arm, (l_linenumber - 1)::INT AS seed, l_linestatus AS split, count(*)::BIGINT AS n, avg(l_extendedprice / l_quantity) AS metric, avg(l_discount) AS broad FROM lineitem GROUP BY 1, 2, 3)
+"""
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def edges_bucket(x, edges) -> F.Column:
+    """Left-closed bins, the last one open: how many edges are at most x."""
+    out = F.lit(0)
+    for e in edges:
+        out = out + (x >= e).cast("int")
+    return out
+
+
+def pool(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("domain"), "lang", text.words(F.col("text")).alias("ws"))
+    known = lambda name, c: table(spark, d, name).select(F.explode(text.words(F.col("text"))).alias("t")).distinct().withColumn(c, F.lit(1))
+    tok = w.select("doc_id", "domain", "lang", F.explode("ws").alias("t"))
+    hits = tok.join(known("benchmark", "b"), "t", "left").join(known("conversations", "c"), "t", "left").groupBy("doc_id", "domain", "lang").agg(
+        F.count(F.lit(1)).alias("n_words"), F.count_distinct("t").alias("nd"), F.count("b").alias("hb"), F.count("c").alias("hc"))
+    n = F.col("n_words")
+    return hits.select("doc_id", "domain", "lang", "n_words", (F.col("nd") / n).alias("cr"), (F.col("hb") / n).alias("score"), (F.col("hc") / n).alias("wrong"), ((2 * F.col("hb") - n) / n).alias("mean_score")).withColumn("bucket", edges_bucket(F.col("cr"), mixtures.FIXED_EDGES))
+
+
+# --- scans, filters, text -------------------------------------------------------------
+
+@query("SELECT doc_id, sha256('scan:' || doc_id::VARCHAR) AS k FROM documents WHERE strlen(text) >= 512 ORDER BY k LIMIT 100")
+def hash_ordered_scan(spark, d):
+    return table(spark, d, "documents").where(F.octet_length("text") >= 512).select("doc_id", text.salted_key("scan", F.col("doc_id")).alias("k")).orderBy("k").limit(100)
+
+
+@query("SELECT (strlen(text) >= 512) AS long_enough, count(*)::BIGINT AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
+def min_bytes(spark, d):
+    return table(spark, d, "documents").groupBy((F.octet_length("text") >= 512).alias("long_enough")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+@query()
+def byte_prefixes(spark, d):
+    cut = table(spark, d, "documents").select("doc_id", text.byte_prefix(F.col("text"), 8192).alias("text"))
+    return cut.where(F.octet_length("text") >= 1024).select("doc_id", F.octet_length("text").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+@query("SELECT doc_id, source FROM (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n FROM documents) WHERE n >= 10")
+def sparse_domains(spark, d):
+    docs = table(spark, d, "documents")
+    kept = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return docs.join(kept, ["source", "lang"], "left_semi").select("doc_id", "source")
+
+
+@query("SELECT coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.page'), 'unknown') AS domain, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def json_domains(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.coalesce(F.get_json_object("props", "$.k"), F.get_json_object("props", "$.page"), F.lit("unknown")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+NORM = r"trim(regexp_replace(lower(replace(coalesce(text, ''), 'ß', 'ss')), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, id FROM (SELECT doc_id, sha256({NORM}) AS id, row_number() OVER (PARTITION BY sha256({NORM}) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def normalized_dedup(spark, d):
+    ids = table(spark, d, "documents").select("doc_id", text.content_id(F.coalesce("text", F.lit(""))).alias("id"))
+    return ids.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)
+SELECT coalesce(CASE WHEN t IS NULL OR t = '' THEN 'empty' WHEN role NOT IN ('user', 'assistant') THEN 'role' WHEN length(t) > 1500 THEN 'overlength' END, 'kept') AS reason, count(*)::BIGINT AS n FROM c GROUP BY 1""")
+def canonical_records(spark, d):
+    c = table(spark, d, "conversations").withColumn("t", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    reason = F.when(F.col("t").isNull() | (F.col("t") == ""), "empty").when(~F.col("role").isin("user", "assistant"), "role").when(F.length("t") > 1500, "overlength").otherwise("kept")
+    return c.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY sha256(conv_id::VARCHAR || ':' || turn::VARCHAR)) AS shuffled, list_position(list(turn ORDER BY sha256(conv_id::VARCHAR || ':' || turn::VARCHAR)), min(turn))::BIGINT AS answer FROM conversations GROUP BY 1")
+def option_shuffle(spark, d):
+    h = F.sha2(F.concat_ws(":", "conv_id", "turn").cast("binary"), 256)
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(h.alias("h"), "turn"))).alias("o"), F.min("turn").alias("first"))
+    turns = F.transform("o", lambda x: x["turn"])
+    return g.select("conv_id", F.array_join(turns.cast("array<string>"), ",").alias("shuffled"), F.array_position(turns, F.col("first")).alias("answer"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, b::INT AS block, sha256(array_to_string(list_slice(ws, (b * 64 + 1)::BIGINT, (b * 64 + 65)::BIGINT), ' ')) AS sha FROM (SELECT doc_id, list_slice(ws, 1, 2048) AS ws FROM w), LATERAL (SELECT unnest(range(((len(ws) - 1) // 64)::BIGINT)) AS b)""")
+def word_blocks(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", text.words(F.col("text")).alias("ws"))
+    return packing.token_blocks(docs.select("doc_id", "ws"), F.col("ws"), 64).select("doc_id", "block", F.sha2(F.array_join("tokens", " ").cast("binary"), 256).alias("sha"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_slice(ws, 66, 130), ' ') AS second FROM w WHERE len(ws) >= 130""")
+def second_window(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", text.words(F.col("text")).alias("ws"))
+    return docs.where(F.size("ws") >= 130).select("doc_id", F.array_join(F.slice("ws", 66, 65), " ").alias("second"))
+
+
+# --- splits and leakage ---------------------------------------------------------------
+
+ROLE = "CASE WHEN r <= 5 THEN 'dev' WHEN r <= 15 THEN 'test' ELSE 'train' END"
+
+
+@query(f"SELECT doc_id, source, {ROLE} AS role FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('role:' || doc_id::VARCHAR)) AS r FROM documents)")
+def hash_roles(spark, d):
+    return roles(table(spark, d, "documents")).select("doc_id", "source", "role")
+
+
+def roles(docs: DataFrame) -> DataFrame:
+    w = Window.partitionBy("source").orderBy(text.salted_key("role", F.col("doc_id")))
+    return docs.withColumn("r", F.row_number().over(w)).withColumn("role", F.when(F.col("r") <= 5, "dev").when(F.col("r") <= 15, "test").otherwise("train"))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('cap:' || doc_id::VARCHAR)) AS r FROM documents) WHERE r <= 20")
+def cap_per_domain(spark, d):
+    w = Window.partitionBy("source").orderBy(text.salted_key("cap", F.col("doc_id")))
+    return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).alias("r")).where("r <= 20").drop("r")
+
+
+@query("WITH res AS (SELECT doc_id FROM labels WHERE toxic = 1 ORDER BY doc_id LIMIT 20) SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM res)")
+def reserve_and_exclude(spark, d):
+    labels = table(spark, d, "labels")
+    return labels.join(labels.where("toxic = 1").orderBy("doc_id").limit(20).select("doc_id"), "doc_id", "left_anti").select("doc_id", "quality")
+
+
+GRAMS = r"""
+g AS (SELECT doc_id, source, unnest([array_to_string(list_slice(ws, i, i + 12), ' ') FOR i IN range(1, (len(ws) - 11)::BIGINT)]) AS g FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS ws FROM documents)),
+h AS (SELECT DISTINCT unnest([array_to_string(list_slice(ws, i, i + 12), ' ') FOR i IN range(1, (len(ws) - 11)::BIGINT)]) AS g FROM (SELECT regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS ws FROM benchmark)),
+bad AS (SELECT DISTINCT doc_id FROM g SEMI JOIN h USING (g))
+"""
+
+
+def contaminated(spark, d) -> DataFrame:
+    made = lambda name, *c: table(spark, d, name).select(*c, F.explode(text.grams(text.words(F.col("text")))).alias("g"))
+    return made("documents", "doc_id").join(made("benchmark").distinct(), "g", "left_semi").select("doc_id").distinct()
+
+
+@query(f"WITH {GRAMS} SELECT doc_id, source FROM documents ANTI JOIN bad USING (doc_id)")
+def gram_decontaminate(spark, d):
+    return table(spark, d, "documents").join(contaminated(spark, d), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query(f"WITH {GRAMS} SELECT source, count(*)::BIGINT AS n, count(bad.doc_id)::BIGINT AS hit FROM documents LEFT JOIN bad USING (doc_id) GROUP BY 1")
+def contamination_by_source(spark, d):
+    hit = contaminated(spark, d).withColumn("h", F.lit(1))
+    return table(spark, d, "documents").join(hit, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("h").alias("hit"))
+
+
+@query(f"WITH r AS (SELECT doc_id, sha256({NORM}) AS id, {ROLE} AS role FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('role:' || doc_id::VARCHAR)) AS r FROM documents)) SELECT a.role AS a, b.role AS b, count(DISTINCT a.id)::BIGINT AS n FROM r a JOIN r b ON a.id = b.id AND a.role < b.role GROUP BY 1, 2")
+def role_overlap(spark, d):
+    r = roles(table(spark, d, "documents")).select(text.content_id(F.coalesce("text", F.lit(""))).alias("id"), "role").distinct()
+    return r.select("id", F.col("role").alias("a")).join(r.select("id", F.col("role").alias("b")), "id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT item_id FROM benchmark))::BIGINT AS both, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels))::BIGINT AS unlabelled")
+def set_operations(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    both = docs.intersect(table(spark, d, "benchmark").select("item_id")).agg(F.count(F.lit(1)).alias("both"))
+    return both.crossJoin(docs.subtract(table(spark, d, "labels").select("doc_id")).agg(F.count(F.lit(1)).alias("unlabelled")))
+
+
+# --- buckets and distributions ----------------------------------------------------------
+
+@query(f"WITH {POOL} SELECT b::INT AS bucket, count(doc_id)::BIGINT AS n, round(coalesce(sum(greatest(score, 0)), 0), 6) AS mass FROM range(7) t(b) LEFT JOIN pool ON bucket = b GROUP BY 1")
+def bucket_fixed(spark, d):
+    made = pool(spark, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(mixtures.clipped("score")).alias("mass"))
+    dense = spark.range(7).select(F.col("id").cast("int").alias("bucket"))
+    return dense.join(made, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), r6(F.coalesce("mass", F.lit(0.0))).alias("mass"))
+
+
+@query(f"WITH {POOL} SELECT m::INT AS m, least(m - 1, floor(cr / (1.1 / m)))::INT AS bucket, count(*)::BIGINT AS n FROM pool, (VALUES (3), (5), (7), (10)) t(m) GROUP BY 1, 2")
+def bucket_uniform(spark, d):
+    m = F.col("m")
+    return pool(spark, d).select("cr", F.explode(F.array(*map(F.lit, (3, 5, 7, 10)))).alias("m")).groupBy("m", F.least(m - 1, F.floor(F.col("cr") / (1.1 / m))).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {POOL}, q AS (SELECT quantile_cont(cr, [0.2, 0.4, 0.6, 0.8]) AS e FROM pool) SELECT ((cr >= e[1])::INT + (cr >= e[2])::INT + (cr >= e[3])::INT + (cr >= e[4])::INT) AS bucket, count(*)::BIGINT AS n, round(min(cr), 6) AS low, round(count(*) / (SELECT count(*) FROM pool)::DOUBLE, 6) AS share FROM pool, q GROUP BY 1")
+def bucket_quantile(spark, d):
+    p = mixtures.with_total(pool(spark, d), e=F.percentile("cr", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])), t=F.count(F.lit(1)))
+    return p.groupBy(edges_bucket(F.col("cr"), [F.col("e")[i] for i in range(4)]).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.min("cr")).alias("low"), r6(F.count(F.lit(1)) / F.first("t")).alias("share"))
+
+
+@query(f"WITH {POOL}, c AS (SELECT lang, b::INT AS b, count(doc_id) AS n FROM (SELECT DISTINCT lang FROM pool) CROSS JOIN range(7) t(b) LEFT JOIN pool p USING (lang) WHERE p.bucket = b OR p.bucket IS NULL GROUP BY 1, 2), d AS (SELECT l.lang, t.b::INT AS b, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang FROM pool) l CROSS JOIN range(7) t(b) LEFT JOIN c ON c.lang = l.lang AND c.b = t.b) SELECT lang, round(min(n) / sum(n), 6) AS min_share FROM d GROUP BY 1")
+def min_share(spark, d):
+    counts = pool(spark, d).groupBy("lang").agg(*[F.sum((F.col("bucket") == b).cast("long")).alias(f"b{b}") for b in range(7)])
+    each = [F.col(f"b{b}") for b in range(7)]
+    return counts.select("lang", r6(F.least(*each) / sum(each, F.lit(0))).alias("min_share"))
+
+
+@query(f"""WITH {POOL}, m AS (SELECT lang, avg(cr) AS mu FROM pool GROUP BY 1), k AS (SELECT lang, avg((cr - mu) ** 2) AS m2, avg((cr - mu) ** 3) AS m3 FROM pool JOIN m USING (lang) GROUP BY 1)
+SELECT lang, count(*)::BIGINT AS n, round(avg(cr), 6) AS mean, round(stddev_samp(cr), 6) AS std, round(quantile_cont(cr, 0.25), 6) AS q1, round(quantile_cont(cr, 0.5), 6) AS median, round(quantile_cont(cr, 0.75), 6) AS q3, round(quantile_cont(cr, 0.75) - quantile_cont(cr, 0.25), 6) AS iqr, round(any_value(m3) / any_value(m2) ** 1.5, 6) AS skew, round(avg((cr BETWEEN 0.65 AND 0.8)::INT), 6) AS in_band FROM pool JOIN k USING (lang) GROUP BY 1""")
+def summary_stats(spark, d):
+    q = lambda x: F.percentile("cr", F.lit(x))
+    return pool(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("cr")).alias("mean"), r6(F.stddev_samp("cr")).alias("std"), r6(q(0.25)).alias("q1"), r6(q(0.5)).alias("median"), r6(q(0.75)).alias("q3"), r6(q(0.75) - q(0.25)).alias("iqr"), r6(F.skewness("cr")).alias("skew"), r6(F.avg(F.col("cr").between(0.65, 0.8).cast("int"))).alias("in_band"))
+
+
+@query(f"""WITH {POOL}, s AS (SELECT lang, count(*) AS n, avg(cr) AS mu, var_samp(cr) AS v FROM pool GROUP BY 1), pr AS (SELECT a.lang AS a, b.lang AS b, a.n AS na, b.n AS nb, a.mu AS ma, b.mu AS mb, a.v AS va, b.v AS vb FROM s a JOIN s b ON a.lang < b.lang),
+x AS (SELECT a, b, cr, sum((lang = a)::INT) / any_value(na)::DOUBLE AS fa, sum((lang = b)::INT) / any_value(nb)::DOUBLE AS fb FROM pool JOIN pr ON lang = a OR lang = b GROUP BY 1, 2, 3), c AS (SELECT a, b, abs(sum(fa) OVER w - sum(fb) OVER w) AS g FROM x WINDOW w AS (PARTITION BY a, b ORDER BY cr))
+SELECT a, b, round(max(g), 6) AS ks_d, round(any_value((ma - mb) / sqrt((va + vb) / 2)), 6) AS cohens_d FROM c JOIN pr USING (a, b) GROUP BY 1, 2""")
+def ks_pairs(spark, d):
+    return stats.ks_pairs(pool(spark, d), "lang", "cr").select("a", "b", r6("ks_d").alias("ks_d"), r6("cohens_d").alias("cohens_d"))
+
+
+@query(f"WITH {POOL} SELECT doc_id, lang, round(cume_dist() OVER (PARTITION BY lang ORDER BY cr), 6) AS cdf FROM pool")
+def cdf(spark, d):
+    return pool(spark, d).select("doc_id", "lang", r6(F.cume_dist().over(Window.partitionBy("lang").orderBy("cr"))).alias("cdf"))
+
+
+@query(f"WITH {POOL}, r AS (SELECT rank() OVER (ORDER BY cr) + (count(*) OVER (PARTITION BY cr) - 1) / 2.0 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS b FROM pool) SELECT count(*)::BIGINT AS n, round(corr(a, b), 6) AS rho FROM r")
+def spearman(spark, d):
+    return stats.spearman(pool(spark, d), "cr", "score").select("n", r6("rho").alias("rho"))
+
+
+@query(f"WITH {POOL}, b AS (SELECT bucket, avg((lang = 'fr')::INT) AS f FROM pool GROUP BY 1) SELECT round(max(f), 6) AS bound, round((SELECT avg((lang = 'fr')::INT) FROM pool), 6) AS share FROM b")
+def capacity_bound(spark, d):
+    p = pool(spark, d).groupBy("bucket").agg(F.sum((F.col("lang") == "fr").cast("int")).alias("h"), F.count(F.lit(1)).alias("n"))
+    return p.agg(r6(F.max(F.col("h") / F.col("n"))).alias("bound"), r6(F.sum("h") / F.sum("n")).alias("share"))
+
+
+@query(f"WITH {POOL} SELECT domain, bucket, count(*)::BIGINT AS n, round(avg(mean_score), 6) AS mean, round(stddev_pop(mean_score), 6) AS sd, count(DISTINCT score)::BIGINT AS n_scores FROM pool GROUP BY 1, 2")
+def cell_stats(spark, d):
+    return pool(spark, d).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mean_score")).alias("mean"), r6(F.stddev_pop("mean_score")).alias("sd"), F.count_distinct("score").alias("n_scores"))
+
+
+# --- mixtures ------------------------------------------------------------------------------
+
+SELECTORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
+    "population": (mixtures.population, "1.0 / count(*) OVER ()"),
+    "uniform_domain": (lambda p: mixtures.uniform_groups(p, "domain"), "1.0 / (SELECT count(DISTINCT domain) FROM pool) / count(*) OVER (PARTITION BY domain)"),
+    "uniform_bucket": (lambda p: mixtures.uniform_groups(p, "bucket"), "1.0 / (SELECT count(DISTINCT bucket) FROM pool) / count(*) OVER (PARTITION BY bucket)"),
+    "band": (mixtures.band, "(cr BETWEEN 0.65 AND 0.8)::INT / sum((cr BETWEEN 0.65 AND 0.8)::INT) OVER ()"),
+    "bucket_prior": (mixtures.bucket_prior, "(sum(greatest(score, 0)) OVER (PARTITION BY bucket) + 0.001) / count(*) OVER (PARTITION BY bucket) / (sum(greatest(score, 0)) OVER () + 0.001 * (SELECT count(DISTINCT bucket) FROM pool))"),
+    "bucket_prior_plain": (lambda p: mixtures.bucket_prior(p, tau=0.0, on_empty="uniform"), "sum(greatest(score, 0)) OVER (PARTITION BY bucket) / count(*) OVER (PARTITION BY bucket) / sum(greatest(score, 0)) OVER ()"),
+    "bucket_prior_strict": (mixtures.strict_bucket_prior, "sum(score) OVER (PARTITION BY bucket) / count(*) OVER (PARTITION BY bucket) / sum(score) OVER ()"),
+    "wrong_target": (lambda p: mixtures.bucket_prior(p, "wrong", 0.0, "uniform"), "sum(wrong) OVER (PARTITION BY bucket) / count(*) OVER (PARTITION BY bucket) / sum(wrong) OVER ()"),
+    "direct_soft": (mixtures.direct_soft, "(greatest(mean_score, 0) + 0.001) / sum(greatest(mean_score, 0) + 0.001) OVER ()"),
+    "direct_hard": (mixtures.direct_hard, "(row_number() OVER (ORDER BY mean_score DESC, doc_id) <= ceil(0.25 * (SELECT count(*) FROM pool)))::INT / ceil(0.25 * (SELECT count(*) FROM pool))"),
+    "cell_tilt": (mixtures.cell_tilt, "TILT"),
+    "domain_matched": (lambda p: mixtures.averaged(mixtures.cell_tilt(p), "domain"), "MATCHED"),
+    "rank_tilt": (mixtures.rank_tilt, "RANK greatest(score, 0)"),
+    "conditional_rank": (mixtures.conditional_rank, "RANK score - wrong"),
+    "contrastive": (mixtures.contrastive, "sum(greatest(score - wrong, 0)) OVER (PARTITION BY bucket) / count(*) OVER (PARTITION BY bucket) / sum(greatest(score - wrong, 0)) OVER ()"),
+    "source_matched": (lambda p: mixtures.averaged(mixtures.contrastive(p), "domain"), "SOURCE"),
+    "global_tilt": (mixtures.global_tilt, "GLOBAL"),
+    "oracle_domain": (lambda p: mixtures.only_domain(p, "src1"), "((domain = 'src1')::INT + 1e-12) / sum((domain = 'src1')::INT + 1e-12) OVER ()"),
+    "anti_domain": (lambda p: mixtures.only_domain(p, "src1", True), "((domain <> 'src1')::INT + 1e-12) / sum((domain <> 'src1')::INT + 1e-12) OVER ()"),
+    "mixed_prior": (mixtures.mixed_prior, "0.5 / count(*) OVER () + 0.5 * greatest(score, 0) / sum(greatest(score, 0)) OVER ()"),
+}
+
+
+def selector_sql(form: str) -> str:
+    tilt = "cl AS (SELECT domain, bucket, avg(mean_score) AS mu FROM pool GROUP BY 1, 2), z AS (SELECT domain, bucket, exp(coalesce((mu - avg(mu) OVER ()) / nullif(stddev_pop(mu) OVER (), 0), 0)) AS e FROM cl), t AS (SELECT pool.*, e / sum(e) OVER () AS q FROM pool JOIN z USING (domain, bucket))"
+    if form == "TILT":
+        return f"{POOL}, {tilt}, out AS (SELECT doc_id, domain, bucket, q AS p FROM t)"
+    if form == "MATCHED":
+        return f"{POOL}, {tilt}, out AS (SELECT doc_id, domain, bucket, avg(q) OVER (PARTITION BY domain) AS p FROM t)"
+    if form == "SOURCE":
+        return f"{POOL}, t AS (SELECT *, {SELECTORS['contrastive'][1]} AS q FROM pool), out AS (SELECT doc_id, domain, bucket, avg(q) OVER (PARTITION BY domain) AS p FROM t)"
+    if form == "GLOBAL":
+        return f"{POOL}, t AS (SELECT *, 4.0 ** ((score - wrong - avg(score - wrong) OVER ()) / stddev_pop(score - wrong) OVER ()) AS e FROM pool), out AS (SELECT doc_id, domain, bucket, e / sum(e) OVER () AS p FROM t)"
+    if form.startswith("RANK"):
+        return f"""{POOL}, v AS (SELECT *, {form[5:]} AS x FROM pool), k AS (SELECT *, count(*) OVER (PARTITION BY domain, bucket) AS m, count(*) OVER (PARTITION BY domain, bucket, x) AS ties, rank() OVER (PARTITION BY domain, bucket ORDER BY x) AS r FROM v),
+e AS (SELECT *, CASE WHEN ties = m THEN 1.0 ELSE 4.0 ** ((r + (ties - 1) / 2.0 - 0.5) / m - 0.5) END AS e FROM k), out AS (SELECT doc_id, domain, bucket, m * e / sum(e) OVER (PARTITION BY domain, bucket) / count(*) OVER () AS p FROM e)"""
+    return f"{POOL}, out AS (SELECT doc_id, domain, bucket, {form} AS p FROM pool)"
+
+
+def _register(name: str, run, form: str) -> None:
+    # millionths of the mean probability: sizes that rounding treats alike at any scale
+    QUERIES[f"mixture_{name}"] = lambda spark, d: run(pool(spark, d)).select("doc_id", F.round("p", 9).alias("p"))
+    ORACLES[f"mixture_{name}"] = f"WITH {selector_sql(form)} SELECT doc_id, round(p::DOUBLE, 9) AS p FROM out"
+
+
+for _name, (_run, _form) in SELECTORS.items():
+    _register(_name, _run, _form)
+
+
+@query()
+def mixture_shuffled(spark, d):
+    return mixtures.bucket_prior(mixtures.shuffled_scores(pool(spark, d), 1405)).select("doc_id", F.round("p", 9).alias("p"))
+
+
+@query()
+def mixture_shuffled_strata(spark, d):
+    return mixtures.bucket_prior(mixtures.shuffled_scores(pool(spark, d), 1405, ["domain"])).select("doc_id", F.round("p", 9).alias("p"))
+
+
+# --- diagnostics ----------------------------------------------------------------------------
+
+def _long(spark, d, names) -> DataFrame:
+    base, out = pool(spark, d), None
+    for n in names:
+        one = SELECTORS[n][0](base).select(F.lit(n).alias("method"), "doc_id", "domain", "bucket", "n_words", "p")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {selector_sql('TILT')}, a AS (SELECT out.*, n_words FROM out JOIN pool USING (doc_id)) SELECT round(1 / sum(p * p), 4) AS ess, round(1 / sum(p * p) / count(*), 6) AS ess_share, count_if(p > 0)::BIGINT AS support, round(sum(p * n_words), 4) AS expected_words, round(sum(abs(p - 1.0 / (SELECT count(*) FROM pool))) / 2, 6) AS tv, round(-sum(p * ln(p)), 6) AS entropy FROM a")
+def mixture_diagnostics(spark, d):
+    p = mixtures.with_total(mixtures.cell_tilt(pool(spark, d)), t=F.count(F.lit(1)))
+    x = F.col("p")
+    return p.agg(F.round(1 / F.sum(x * x), 4).alias("ess"), r6(1 / F.sum(x * x) / F.count(F.lit(1))).alias("ess_share"), F.count_if(x > 0).alias("support"), F.round(F.sum(x * F.col("n_words")), 4).alias("expected_words"), r6(F.sum(F.abs(x - 1 / F.col("t"))) / 2).alias("tv"), r6(-F.sum(x * F.log(x))).alias("entropy"))
+
+
+@query(f"WITH {selector_sql(SELECTORS['bucket_prior'][1])} SELECT domain, bucket, round(sum(p), 6) AS mass, count(*)::BIGINT AS n FROM out GROUP BY GROUPING SETS ((domain), (bucket), (domain, bucket))")
+def marginal_masses(spark, d):
+    p = mixtures.bucket_prior(pool(spark, d))
+    sets = p.groupingSets([[p.domain], [p.bucket], [p.domain, p.bucket]], p.domain, p.bucket)
+    return sets.agg(r6(F.sum("p")).alias("mass"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {POOL}, m AS (SELECT doc_id, {SELECTORS['population'][1]} AS a, {SELECTORS['bucket_prior'][1]} AS b, {SELECTORS['direct_soft'][1]} AS c FROM pool) SELECT 'bucket_prior' AS a, 'direct_soft' AS b, round(sum(abs(b - c)) / 2, 6) AS tv FROM m UNION ALL SELECT 'bucket_prior', 'population', round(sum(abs(b - a)) / 2, 6) FROM m UNION ALL SELECT 'direct_soft', 'population', round(sum(abs(c - a)) / 2, 6) FROM m")
+def total_variation(spark, d):
+    names = ["bucket_prior", "direct_soft", "population"]
+    wide = _long(spark, d, names).groupBy("doc_id").pivot("method", names).agg(F.first("p"))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    sums = wide.agg(*[(F.sum(F.abs(F.col(a) - F.col(b))) / 2).alias(f"{a}|{b}") for a, b in pairs])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"`{a}|{b}`")).alias("tv")) for a, b in pairs])).alias("x")).select("x.*")
+
+
+@query(f"WITH {selector_sql(SELECTORS['rank_tilt'][1])}, t AS (SELECT count(*)::DOUBLE AS n FROM out), c AS (SELECT domain, bucket, abs(sum(p) - count(*) / any_value(n)) AS gap FROM out, t GROUP BY 1, 2) SELECT (SELECT max(gap) FROM c) <= 1e-12 AS joint_ok, 1 / sum(p * p) / any_value(n) >= 0.8 AS ess_ok, sum(abs(p - 1 / n)) / 2 >= 0.05 AS tv_ok FROM out, t")
+def admission_gates(spark, d):
+    p = mixtures.with_total(mixtures.rank_tilt(pool(spark, d)), t=F.count(F.lit(1)))
+    cells = p.groupBy("domain", "bucket").agg(F.abs(F.sum("p") - F.count(F.lit(1)) / F.first("t")).alias("gap"), F.sum(F.col("p") * F.col("p")).alias("sq"), F.sum(F.abs(F.col("p") - 1 / F.col("t"))).alias("dev"), F.first("t").alias("t"))
+    return cells.agg((F.max("gap") <= 1e-12).alias("joint_ok"), (1 / F.sum("sq") / F.first("t") >= 0.8).alias("ess_ok"), (F.sum("dev") / 2 >= 0.05).alias("tv_ok"))
+
+
+from . import results  # noqa: E402, F401  adds its queries
