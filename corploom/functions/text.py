@@ -32,8 +32,10 @@ def words(text: Column) -> Column:
 
 def grams(w: Column, n: int = 13) -> Column:
     """Hashes of n words in a row; none where there are fewer."""
-    made = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.substring(F.sha2(F.array_join(F.slice(w, i, n), " ").cast("binary"), 256), 1, 24))
-    return F.when(F.size(w) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    gram = lambda v, i: F.substring(F.sha2(F.array_join(F.slice(v, i, n), " ").cast("binary"), 256), 1, 24)
+    made = lambda v: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: gram(v, i)))
+    # an array of one binds the words, which would else be cut again for every gram
+    return F.get(F.transform(F.array(w), lambda v: F.when(F.size(v) >= n, made(v)).otherwise(F.array().cast("array<string>"))), F.lit(0))
 
 
 def byte_prefix(text: Column, width: int) -> Column:

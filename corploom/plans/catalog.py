@@ -22,7 +22,7 @@ bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_
 cw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS t FROM conversations),
 tok AS (SELECT doc_id, unnest(ws) AS t FROM w),
 hits AS (SELECT tok.doc_id, count(*) AS n, count(DISTINCT tok.t) AS nd, count(bw.t) AS hb, count(cw.t) AS hc FROM tok LEFT JOIN bw ON tok.t = bw.t LEFT JOIN cw ON tok.t = cw.t GROUP BY 1),
-raw AS (SELECT w.doc_id, domain, lang, n AS n_words, nd / n::DOUBLE AS cr, hb / n::DOUBLE AS score, hc / n::DOUBLE AS wrong, (2 * hb - n) / n::DOUBLE AS mean_score FROM w JOIN hits USING (doc_id)),
+raw AS (SELECT w.doc_id, domain, lang, n AS n_words, nd / n::DOUBLE AS cr, hb / n::DOUBLE AS score, hc / n::DOUBLE / 2 AS wrong, (2 * hb - n) / n::DOUBLE AS mean_score FROM w JOIN hits USING (doc_id)),
 pool AS (SELECT *, (cr >= 0.5)::INT + (cr >= 0.6)::INT + (cr >= 0.67)::INT + (cr >= 0.73)::INT + (cr >= 0.8)::INT + (cr >= 0.9)::INT AS bucket FROM raw)
 """
 # Results of a made-up study: arm, seed, split and metric from line items.
@@ -68,7 +68,7 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
     hits = tok.join(known("benchmark", "b"), "t", "left").join(known("conversations", "c"), "t", "left").groupBy("doc_id", "domain", "lang").agg(
         F.count(F.lit(1)).alias("n_words"), F.count_distinct("t").alias("nd"), F.count("b").alias("hb"), F.count("c").alias("hc"))
     n = F.col("n_words")
-    return hits.select("doc_id", "domain", "lang", "n_words", (F.col("nd") / n).alias("cr"), (F.col("hb") / n).alias("score"), (F.col("hc") / n).alias("wrong"), ((2 * F.col("hb") - n) / n).alias("mean_score")).withColumn("bucket", edges_bucket(F.col("cr"), mixtures.FIXED_EDGES))
+    return hits.select("doc_id", "domain", "lang", "n_words", (F.col("nd") / n).alias("cr"), (F.col("hb") / n).alias("score"), (F.col("hc") / n / 2).alias("wrong"), ((2 * F.col("hb") - n) / n).alias("mean_score")).withColumn("bucket", edges_bucket(F.col("cr"), mixtures.FIXED_EDGES))
 
 
 # --- scans, filters, text -------------------------------------------------------------
@@ -348,8 +348,8 @@ def mixture_diagnostics(spark, d):
 
 @query(f"WITH {selector_sql(SELECTORS['bucket_prior'][1])} SELECT domain, bucket, round(sum(p), 6) AS mass, count(*)::BIGINT AS n FROM out GROUP BY GROUPING SETS ((domain), (bucket), (domain, bucket))")
 def marginal_masses(spark, d):
-    p = mixtures.bucket_prior(pool(spark, d))
-    sets = p.groupingSets([[p.domain], [p.bucket], [p.domain, p.bucket]], p.domain, p.bucket)
+    domain, bucket = F.col("domain"), F.col("bucket")
+    sets = mixtures.bucket_prior(pool(spark, d)).groupingSets([[domain], [bucket], [domain, bucket]], domain, bucket)
     return sets.agg(r6(F.sum("p")).alias("mass"), F.count(F.lit(1)).alias("n"))
 
 

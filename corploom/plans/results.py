@@ -141,13 +141,13 @@ def balanced_batch(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).alias("r")).where("r <= 4").drop("r")
 
 
-EG = "WITH g AS (SELECT l_shipmode AS domain, avg(greatest(l_tax - 0.03, 0)) AS loss FROM lineitem GROUP BY 1), s AS (SELECT domain, loss, 1.0 / count(*) OVER () * exp(5 * loss) AS e, count(*) OVER () AS k FROM g)"
+EG = "WITH g AS (SELECT l_returnflag AS domain, avg(greatest(l_tax - 0.03, 0)) AS loss FROM lineitem GROUP BY 1), s AS (SELECT domain, loss, 1.0 / count(*) OVER () * exp(5 * loss) AS e, count(*) OVER () AS k FROM g)"
 
 
 @query(f"{EG} SELECT domain, round(loss, 6) AS loss, round(0.9 * e / sum(e) OVER () + 0.1 / k, 6) AS w FROM s")
 def gradient_update(spark, d):
     """One exponentiated-gradient step with smoothing over clipped excess losses."""
-    g = table(spark, d, "lineitem").groupBy(F.col("l_shipmode").alias("domain")).agg(F.avg(F.greatest(F.col("l_tax") - 0.03, F.lit(0))).alias("loss"))
+    g = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("domain")).agg(F.avg(F.greatest(F.col("l_tax") - 0.03, F.lit(0))).alias("loss"))
     all_ = Window.partitionBy()  # one row a domain
     s = F.exp(5 * (F.col("loss") - F.max("loss").over(all_)))
     return g.withColumn("e", s).select("domain", r6("loss").alias("loss"), r6(0.9 * F.col("e") / F.sum("e").over(all_) + 0.1 / F.count(F.lit(1)).over(all_)).alias("w"))
