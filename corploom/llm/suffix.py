@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
                 least[k] = ids[every.doc[i]]
             which[j] = k
         first = np.array(first, np.int64)
-        step = -(-(1 << KEY_BITS) // n)
+        step = -(-(1 << KEY_BITS) // (4 * n))  # small buckets: a span takes far more room than a key
         bucket = (every.key[first] // np.uint64(step)).astype(np.int64) if len(first) else np.empty(0, np.int64)
         # rows of a block come in any order: spans are laid by bucket and bytes
         items, place = list(number), (every.place - every.start)[first] if len(first) else first
