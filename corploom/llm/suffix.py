@@ -77,7 +77,8 @@ def minimizers(raw: np.ndarray, whole: np.ndarray, length: int, seed: int) -> tu
     first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])]))
     count = np.diff(np.append(first, len(least)))[whole[first]]
     first = first[whole[first]]
-    return first, count, least[first] >> np.uint64(64 - KEY_BITS), (least[first] & low).astype(np.int64)
+    # least hashes crowd at the low end: mixed again, keys fill the buckets alike
+    return first, count, mixed(least[first] >> np.uint64(17)) >> np.uint64(64 - KEY_BITS), (least[first] & low).astype(np.int64)
 
 
 def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
