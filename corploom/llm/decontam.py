@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Of each test item's word n-grams, the rarest half over the corpus (ties: all of the least
-count) are its seeds.  A text that holds a seed is aligned with the item around its seeds;
-the alignment's score over the item's length says how much of the item the text has, through
-edits, insertions and paraphrase.
+Of each test item's word n-grams that the corpus has, seeds are those in at most one text of
+a thousand (or `rare` texts), and those at most twice as frequent as the item's middle one: an
+edited copy keeps few n-grams, and each must count, whatever exact copies do to frequencies.
+A text that holds a seed is aligned with the item around its seeds, unless too few of the
+item's words are there for the score to be reached; the alignment's score over the item's
+length says how much of the item the text has, through edits, insertions and paraphrase.
 
 Items are taken in groups of bounded size (items_bytes), each broadcast, so that a large
 benchmark costs more passes, not more memory.  Items with fewer than n words are searched as one n-gram of
@@ -63,7 +65,7 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: float = 1.0, misma
     return best, end
 
 
-def find(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items_bytes: int = 16 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rare: int = 20, items_bytes: int = 16 << 20) -> DataFrame:
     """Rows (id, item_id, score, begin, end): texts with at least `share` of an item aligned; places are words."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -73,14 +75,14 @@ def find(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, id_c
     out = None
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).toArrow()
-        one_part = search(rows, some, n, share, id_type)
+        one_part = search(rows, some, n, share, rare, id_type)
         out = one_part if out is None else out.unionAll(one_part)
     if out is None:
         out = rows.where("false").select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("item", "long"), ("score", "double"), ("begin", "long"), ("end", "long"))])
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "begin", "end")
 
 
-def search(rows: DataFrame, items: pa.Table, n: int, share: float, id_type: str) -> DataFrame:
+def search(rows: DataFrame, items: pa.Table, n: int, share: float, rare: int, id_type: str) -> DataFrame:
     keys, at = keyed(items["text"])
     ids = items["item"].to_pylist()
     words = [keys[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -95,6 +97,7 @@ def search(rows: DataFrame, items: pa.Table, n: int, share: float, id_type: str)
     def tally(batches):
         for batch in (b.slice(a, 1_000) for b in batches for a in range(0, b.num_rows, 1_000)):
             text_keys, text_at = keyed(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0]), pa.array([batch.num_rows])], ["k", "seed", "n"])
             for k, mine in seen.value.items():
                 every, doc, _ = grams(text_keys, text_at, k)
                 place = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
@@ -105,14 +108,21 @@ def search(rows: DataFrame, items: pa.Table, n: int, share: float, id_type: str)
 
     counts = {k: np.zeros(len(v), np.int64) for k, v in known.items()}
     for r in rows.select("text").mapInArrow(tally, "k int, seed long, n long").groupBy("k", "seed").agg(F.sum("n").alias("n")).collect():  # at most one row a seed of the items
-        counts[r["k"]][r["seed"]] = r["n"]
+        if r["k"]:
+            counts[r["k"]][r["seed"]] = r["n"]
+        else:
+            rare = max(rare, r["n"] // 1000)
     seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for k, x in owned.items():
         pairs = []
         for i, g in x:
             c = counts[k][np.searchsorted(known[k], g)]
-            limit = np.sort(c)[(len(c) - 1) // 2]
-            pairs += [(int(s), i) for s in g[c <= limit]]
+            met = np.sort(c[c > 0])
+            if len(met):
+                limit = max(rare, 2 * met[(len(met) - 1) // 2])
+                pairs += [(int(s), i) for s in g[(c > 0) & (c <= limit)]]
+        if not pairs:
+            continue
         pairs.sort()
         seeds[k] = (np.array([s for s, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64))
     shared = rows.sparkSession.sparkContext.broadcast((seeds, words, ids))
@@ -124,9 +134,10 @@ def search(rows: DataFrame, items: pa.Table, n: int, share: float, id_type: str)
             around: dict[tuple[int, int], list[int]] = {}
             for k, (mine, item) in seeds.items():
                 every, doc, place = grams(text_keys, text_at, k)
-                low, high = np.searchsorted(mine, every, "left"), np.searchsorted(mine, every, "right")
-                for j in np.flatnonzero(high > low).tolist():
-                    for i in item[low[j] : high[j]].tolist():
+                low = np.searchsorted(mine, every)
+                hit = np.flatnonzero(mine[np.minimum(low, len(mine) - 1)] == every)
+                for j, a, b in zip(hit.tolist(), low[hit].tolist(), np.searchsorted(mine, every[hit], "right").tolist(), strict=True):
+                    for i in item[a:b].tolist():
                         around.setdefault((int(doc[j]), i), []).append(int(place[j]))
             found = []
             for (d, i), places in sorted(around.items()):
@@ -136,7 +147,8 @@ def search(rows: DataFrame, items: pa.Table, n: int, share: float, id_type: str)
                 # seeds near each other share one stretch of text; far ones have their own
                 for p in [*places, None]:
                     if begin is not None and (p is None or p - reach > end):
-                        score, stop = smith_waterman(w, text[begin:end])
+                        # a word of the item matches once at most: this bounds the score
+                        score, stop = smith_waterman(w, text[begin:end]) if np.isin(w, text[begin:end]).sum() >= share * len(w) else (0.0, 0)
                         if score / len(w) > best[0]:
                             start = stop - smith_waterman(w[::-1], text[begin : begin + stop][::-1])[1]
                             best = (score / len(w), begin + max(start, 0), begin + stop)

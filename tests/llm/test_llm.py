@@ -135,6 +135,20 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find(empty, items).count() == 0 and decontam.find(docs, items.where("false")).count() == 0
 
 
+def test_edited_copies(spark):
+    """Copies that keep a few n-grams are found, whether exact copies are there or not."""
+    words = lambda n: [f"w{random.randint(0, 3000)}" for _ in range(n)]
+    passages, texts, want = [words(40) for _ in range(6)], [], set()
+    for i, w in enumerate(passages):
+        edited = ["edited" if p % 5 == 3 else x for p, x in enumerate(w)]
+        for copy in [edited] + [w] * (i % 3):
+            want.add((len(texts), i))
+            texts.append((len(texts), " ".join(words(60) + copy + words(60))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(passages)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find(docs, items).collect()} == want
+
+
 def test_smith_waterman():
     import numpy as np
 
