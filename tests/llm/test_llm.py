@@ -124,6 +124,34 @@ def test_substring(docs, rows, empty):
     assert substring.find(empty).count() == 0
 
 
+def fresh(n):
+    return [f"w{random.randint(0, 10**9)}" for _ in range(n)]
+
+
+def covered(spark, texts, **options):
+    """The word places that substring.find takes out of each text, by id."""
+    found = substring.find(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string"), **options)
+    return {r["doc_id"]: {j for p in r["passages"] for j in range(p["begin"], p["end"])} for r in found.collect()}
+
+
+def test_chains_of_separate_passages():
+    """Each of several passages that a pair shares is a chain, as brute force has it."""
+    import numpy as np
+
+    for gap in (40, 100, 400):
+        a, b, c = fresh(60), fresh(60), fresh(60)
+        one, two = a + fresh(gap) + b + fresh(gap) + c, fresh(7) + a + fresh(gap) + b + fresh(gap) + c
+        x, y = np.array([(i, j) for i in range(len(one) - 4) for j in range(len(two) - 4) if one[i : i + 5] == two[j : j + 5]]).T
+        got = {i for x0, x1, *_ in substring.chains(x, y, 5) if x1 - x0 >= 24 for i in range(x0, x1)}
+        assert got == {i for i, w in enumerate(one) if w in two}
+
+
+def test_separate_passages(spark):
+    a, b = fresh(60), fresh(60)
+    got = covered(spark, [(1, a + fresh(100) + b), (2, a + fresh(100) + b)])
+    assert set(range(60)) | set(range(160, 220)) <= got[2] and not got[1]
+
+
 def test_decontamination(spark, docs, empty):
     item = prose(30)
     edited = item.split()
