@@ -152,6 +152,14 @@ def test_separate_passages(spark):
     assert set(range(60)) | set(range(160, 220)) <= got[2] and not got[1]
 
 
+def test_more_copies_than_the_owner(spark):
+    a, b = fresh(60), fresh(30)
+    texts = [(1, a + fresh(90)), (2, fresh(9) + a + fresh(80) + a + fresh(70) + a), (3, b * 5 + fresh(50)), (4, b * 12), (5, ["word"] * 90 + fresh(40)), (6, fresh(40) + ["word"] * 300)]
+    got = covered(spark, texts)
+    assert {j for j, w in enumerate(texts[1][1]) if w in a} <= got[2]
+    assert got[4] == set(range(360)) and set(range(40, 340)) <= got[6] and not got[1] | got[3] | got[5]
+
+
 def test_decontamination(spark, docs, empty):
     item = prose(30)
     edited = item.split()
