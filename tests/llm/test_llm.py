@@ -160,6 +160,19 @@ def test_more_copies_than_the_owner(spark):
     assert got[4] == set(range(360)) and set(range(40, 340)) <= got[6] and not got[1] | got[3] | got[5]
 
 
+def test_edited_passages(spark):
+    """Passages edited down to a similarity of 0.8 to 0.9 are found."""
+    texts, places = [], {}
+    for n in (60, 100):
+        for every in (6, 7, 8, 10):
+            for _ in range(5):
+                a, at = fresh(n), random.randint(10, 40)
+                texts += [(len(texts), fresh(40) + a + fresh(40)), (len(texts) + 1, fresh(at) + [w if j % every != every - 1 else "edited" for j, w in enumerate(a)] + fresh(40))]
+                places[len(texts) - 1] = set(range(at, at + n - n % every))
+    got = covered(spark, texts)
+    assert sum(len(places[d] & got[d]) >= 0.9 * len(places[d]) for d in places) == len(places)
+
+
 def test_decontamination(spark, docs, empty):
     item = prose(30)
     edited = item.split()
