@@ -173,6 +173,16 @@ def test_edited_passages(spark):
     assert sum(len(places[d] & got[d]) >= 0.9 * len(places[d]) for d in places) == len(places)
 
 
+def test_chance_holders(spark):
+    """A repeat is found though earlier documents hold each of its 5-word runs."""
+    passage, other = fresh(120), fresh(120)
+    texts = [(i, fresh(30) + passage[12 * i : 12 * i + 18] + fresh(20) + other[12 * i : 12 * i + 18] + fresh(30)) for i in range(10)]
+    changed = [w if j % 30 else "edited" for j, w in enumerate(other)]
+    texts += [(500, fresh(30) + passage + fresh(30) + other), (900, fresh(50) + passage + fresh(60) + changed)]
+    got = covered(spark, texts)
+    assert set(range(50, 170)) <= got[900] and not got[500] and len(got[900] & set(range(230, 350))) >= 110
+
+
 def test_decontamination(spark, docs, empty):
     item = prose(30)
     edited = item.split()
