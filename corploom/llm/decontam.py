@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: a lossless filter of word pairs, then Smith-Waterman alignment.
 
-Of each test item's word n-grams that the corpus has, seeds are those in at most one text of
-a thousand (or `rare` texts), and those at most twice as frequent as the item's middle one: an
-edited copy keeps few n-grams, and each must count, whatever exact copies do to frequencies.
-A text that holds a seed is aligned with the item around its seeds, unless too few of the
-item's words are there for the score to be reached; the alignment's score over the item's
-length says how much of the item the text has, through edits, insertions and paraphrase.
+The pairs of an item are its neighbouring words; a text has a pair where the words are one or two
+apart.  Each pair that an alignment breaks costs it 0.75 at least (a change breaks two for 1.5, two
+insertions one for 1), so a score of `share` leaves L - 1 - (1 - share) L / 0.75 of them, within
+the words that the alignment may span.  Texts with as many, however frequent, are aligned there,
+unless too few of the item's words are there; the score over the item's length is its share.
 
 Items are taken in groups of bounded size (items_bytes), each broadcast, so that a large
 benchmark costs more passes, not more memory.  Items with fewer than n words are searched as one n-gram of
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, one, shingles, strings
+from .common import ascii_words, mixed, one, shingles, strings
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # fixed value: ASCII punctuation
 
@@ -50,6 +49,17 @@ def grams(keys: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return every[ok], doc[: len(every)][ok], place[ok]
 
 
+def pairs(keys: np.ndarray, at: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of two words of one text so far apart (as shingles has those of neighbours), text number and place."""
+    if len(keys) <= apart:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        every = mixed(mixed(keys[:-apart]) * np.uint64(0x9E3779B97F4A7C15) + keys[apart:])
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    ok = np.flatnonzero(doc[:-apart] == doc[apart:])
+    return every[ok], doc[ok], ok - at[doc[ok]]
+
+
 def smith_waterman(item: np.ndarray, text: np.ndarray, match: float = 1.0, mismatch: float = 0.5, gap: float = 0.5) -> tuple[float, int]:
     """Best local score with linear gaps, and where in text it ends (one past)."""
     steps = gap * np.arange(len(text) + 1)
@@ -65,7 +75,7 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: float = 1.0, misma
     return best, end
 
 
-def find(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rare: int = 20, items_bytes: int = 16 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items_bytes: int = 16 << 20) -> DataFrame:
     """Rows (id, item_id, score, begin, end): texts with at least `share` of an item aligned; places are words."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -75,75 +85,77 @@ def find(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, id_c
     out = None
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).toArrow()
-        one_part = search(rows, some, n, share, rare, id_type)
+        one_part = search(rows, some, n, share, id_type)
         out = one_part if out is None else out.unionAll(one_part)
     if out is None:
         out = rows.where("false").select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("item", "long"), ("score", "double"), ("begin", "long"), ("end", "long"))])
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "begin", "end")
 
 
-def search(rows: DataFrame, items: pa.Table, n: int, share: float, rare: int, id_type: str) -> DataFrame:
+def search(rows: DataFrame, items: pa.Table, n: int, share: float, id_type: str) -> DataFrame:
     keys, at = keyed(items["text"])
     ids = items["item"].to_pylist()
     words = [keys[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    lengths = sorted({min(n, len(w)) for w in words if len(w)})
-    owned: dict[int, list] = {k: [] for k in lengths}  # per n-gram length: (item, keys)
+    whole: list[tuple[int, int, int, int]] = []  # key, item, size of the key, weight
     for i, w in enumerate(words):
         if len(w):
-            owned[min(n, len(w))].append((i, np.unique(shingles(w, min(n, len(w))))))
-    known = {k: np.unique(np.concatenate([g for _, g in x])) for k, x in owned.items()}
-    seen = rows.sparkSession.sparkContext.broadcast(known)
-
-    def tally(batches):
-        for batch in (b.slice(a, 1_000) for b in batches for a in range(0, b.num_rows, 1_000)):
-            text_keys, text_at = keyed(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0]), pa.array([batch.num_rows])], ["k", "seed", "n"])
-            for k, mine in seen.value.items():
-                every, doc, _ = grams(text_keys, text_at, k)
-                place = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
-                hit = mine[place] == every
-                pairs = np.unique(np.stack([place[hit], doc[hit]]), axis=1)[0]
-                which, count = np.unique(pairs, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), k, np.int32)), pa.array(which), pa.array(count)], ["k", "seed", "n"])
-
-    counts = {k: np.zeros(len(v), np.int64) for k, v in known.items()}
-    for r in rows.select("text").mapInArrow(tally, "k int, seed long, n long").groupBy("k", "seed").agg(F.sum("n").alias("n")).collect():  # at most one row a seed of the items
-        if r["k"]:
-            counts[r["k"]][r["seed"]] = r["n"]
-        else:
-            rare = max(rare, r["n"] // 1000)
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for k, x in owned.items():
-        pairs = []
-        for i, g in x:
-            c = counts[k][np.searchsorted(known[k], g)]
-            met = np.sort(c[c > 0])
-            if len(met):
-                limit = max(rare, 2 * met[(len(met) - 1) // 2])
-                pairs += [(int(s), i) for s in g[(c > 0) & (c <= limit)]]
-        if not pairs:
-            continue
-        pairs.sort()
-        seeds[k] = (np.array([s for s, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64))
-    shared = rows.sparkSession.sparkContext.broadcast((seeds, words, ids))
+            size = 2 if len(w) >= n else len(w)
+            whole += [(k, i, -1 if len(w) >= n else size, c) for k, c in zip(*(v.tolist() for v in np.unique(shingles(w, size), return_counts=True)), strict=True)]
+    seeds = {}
+    for kind in sorted({r[2] for r in whole}):
+        some = sorted(r for r in whole if r[2] == kind)
+        seeds[kind] = (np.array([r[0] for r in some], np.uint64), np.array([r[1] for r in some], np.int64), np.array([r[3] for r in some], np.int64))
+    least = np.array([max(1, int(np.ceil(len(w) - 1 - (1 - share) * len(w) / 0.75 - 1e-9))) if len(w) >= n else 1 for w in words], np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((seeds, words, ids, least))
+
+    def hits(text_keys, text_at, seeds, least):
+        """Places of the pairs (or whole short items) in texts that have enough of an item's, by text and item."""
+        around: dict[tuple[int, int], list[int]] = {}
+        for kind, (mine, item, weight) in seeds.items():
+            found = [pairs(text_keys, text_at, 1), pairs(text_keys, text_at, 2)] if kind < 0 else [grams(text_keys, text_at, kind)]
+            every, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
+            low = np.searchsorted(mine, every)
+            hit = np.flatnonzero(mine[np.minimum(low, len(mine) - 1)] == every)
+            low, doc, place = low[hit], doc[hit], place[hit]
+            many = np.searchsorted(mine, mine[low], "right") - low
+            which = np.repeat(np.arange(len(hit)), many)
+            seed = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            pair = doc[which] * len(least) + item[seed]
+            order = np.lexsort((place[which], seed, pair))
+            pair, seed, place = pair[order], seed[order], place[which][order]
+            if not len(pair):
+                continue
+            new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (seed[1:] != seed[:-1])])
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            had = np.add.reduceat(np.where(new, weight[seed], 0), first)
+            for a, b in zip(first[had >= least[pair[first] % len(least)]].tolist(), np.append(first[1:], len(pair))[had >= least[pair[first] % len(least)]].tolist(), strict=True):
+                d, i = divmod(int(pair[a]), len(least))
+                by_place = np.argsort(place[a:b], kind="stable")
+                at, mass = place[a:b][by_place], np.concatenate([[0], np.cumsum(weight[seed[a:b]][by_place])])
+                until = np.searchsorted(at, at + span(len(words[i])), "right")
+                dense = mass[until] - mass[:-1] >= least[i]
+                # all places of each window that is dense enough
+                inside = np.zeros(len(at) + 1, np.int64)
+                np.add.at(inside, np.flatnonzero(dense), 1)
+                np.add.at(inside, until[dense], -1)
+                if (near := at[np.cumsum(inside[:-1]) > 0]).size:
+                    around[d, i] = near.tolist()
+        return around
+
+    def span(length: int) -> int:
+        """Words of text that an alignment with the share can cover."""
+        return max(2 * length, int(length + (1 - share) * length / 0.5) + 1)
 
     def align(batches):
-        seeds, words, ids = shared.value
+        seeds, words, ids, least = shared.value
         for batch in (b.slice(a, 1_000) for b in batches for a in range(0, b.num_rows, 1_000)):
             text_keys, text_at = keyed(batch.column("text"))
-            around: dict[tuple[int, int], list[int]] = {}
-            for k, (mine, item) in seeds.items():
-                every, doc, place = grams(text_keys, text_at, k)
-                low = np.searchsorted(mine, every)
-                hit = np.flatnonzero(mine[np.minimum(low, len(mine) - 1)] == every)
-                for j, a, b in zip(hit.tolist(), low[hit].tolist(), np.searchsorted(mine, every[hit], "right").tolist(), strict=True):
-                    for i in item[a:b].tolist():
-                        around.setdefault((int(doc[j]), i), []).append(int(place[j]))
+            around = hits(text_keys, text_at, seeds, least)
             found = []
             for (d, i), places in sorted(around.items()):
                 text, w = text_keys[text_at[d] : text_at[d + 1]], words[i]
                 best = (0.0, 0, 0)
-                reach, begin, end = 2 * len(w), None, 0
+                reach, begin, end = span(len(w)), None, 0
                 # seeds near each other share one stretch of text; far ones have their own
                 for p in [*places, None]:
                     if begin is not None and (p is None or p - reach > end):

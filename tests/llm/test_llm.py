@@ -208,6 +208,15 @@ def test_edited_copies(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.find(docs, items).collect()} == want
 
 
+def test_frequent_edited_copies(spark):
+    """Edited copies are found however many there are of them beside one exact copy."""
+    item = fresh(48)
+    copy = " ".join("edited" if j % 6 == 5 else w for j, w in enumerate(item))
+    docs = spark.createDataFrame([(0, " ".join(item)), *[(i, copy) for i in range(1, 101)], (101, " ".join(fresh(80)))], "doc_id long, text string")
+    got = {r["doc_id"] for r in decontam.find(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == set(range(101))
+
+
 def test_smith_waterman():
     import numpy as np
 
