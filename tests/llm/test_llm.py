@@ -217,6 +217,23 @@ def test_frequent_edited_copies(spark):
     assert got == set(range(101))
 
 
+def test_dense_edits(spark):
+    """What Smith-Waterman gives the share is found, as aligning every text with every item has it."""
+    import pyarrow as pa
+
+    items = [fresh(n) for n in (5, 12, 30, 48)]
+    texts = [fresh(20) + [w if j % every != every - 1 else "edited" for j, w in enumerate(t)] + fresh(20) for t in items for every in (2, 3, 4, 5)]
+    texts += [fresh(9) + [v for w in t for v in [w] + ["more"] * extra] + fresh(9) for t in items for extra in (1, 2)]
+    texts += [[w for j, w in enumerate(t) if j % every] + fresh(30) for t in items for every in (2, 3, 4)]
+    texts += [[w if random.random() > rate else random.choice(["x", "x y", ""]) for w in t] for t in items for rate in (0.2, 0.3, 0.4) for _ in range(5)]
+    texts, queries = [" ".join(t) for t in texts], [" ".join(t) for t in items]
+    (keys, at), (item_keys, item_at) = decontam.keyed(pa.array(texts)), decontam.keyed(pa.array(queries))
+    score = lambda i, d: decontam.smith_waterman(item_keys[item_at[i] : item_at[i + 1]], keys[at[d] : at[d + 1]])[0] / len(items[i])
+    want = {(d, i) for d in range(len(texts)) for i in range(len(items)) if score(i, d) >= 0.5}
+    found = decontam.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(queries)), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 def test_smith_waterman():
     import numpy as np
 
