@@ -32,8 +32,10 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    leaks = decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(stored(leaks), "doc_id", "left_anti").select(*docs.columns)
+    # what a text holds depends on it alone: its digest is a key where ids are null or twice there
+    keyed = docs.withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256))
+    leaks = decontam.find(keyed, table(spark, sf_dir, "benchmark"), id_col="text_key").select("text_key").distinct()
+    return keyed.join(stored(leaks), "text_key", "left_anti").select(*docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

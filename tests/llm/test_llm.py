@@ -234,6 +234,16 @@ def test_dense_edits(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
+def test_leak_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(fresh(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(None, "some " + item), (None, " ".join(fresh(40))), (None, None), (1, item), (1, " ".join(fresh(40))), (2, "")]
+    got = corpus_pipeline.decontaminated(spark, spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {texts[i] for i in (1, 2, 4, 5)}
+
+
 def test_smith_waterman():
     import numpy as np
 
