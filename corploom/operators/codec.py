@@ -55,6 +55,6 @@ def alignment(text: Column, views: list[bytes]) -> Column:
     return aligned(F.encode(text, "UTF-8"))
 
 
-def target_views(table: DataFrame, key: str, text: str, count: int = 40, width: int = 1024) -> list[bytes]:
+def target_views(table: DataFrame, key: str, text: str, count: int = 64, width: int = 1024) -> list[bytes]:
     """The first `count` texts by id, cut to `width` bytes."""
     return [r[0].encode()[:width] for r in table.where(F.col(text).isNotNull()).orderBy(key).limit(count).select(text).collect()]
