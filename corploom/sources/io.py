@@ -1,7 +1,10 @@
-"""Readers and writers; outputs refuse to replace what is there."""
+"""Readers and writers; outputs refuse to replace what is there.  `stored` cuts lineage in a shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where none is set, a temporary one of this machine if Spark runs on it alone, else one beside the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        alone = master.startswith("local") and not master.startswith("local-cluster")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corploom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corploom")
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+RUN = uuid.uuid4().hex
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes as the session ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/corploom-{RUN}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: it is computed once, and lineage ends here."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
