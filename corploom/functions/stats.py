@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import placed, ranked
+from ..sources.io import stored
+
 # Two-sided 95 % points of Student's t for 1 to 30 degrees of freedom.
 T_975 = [12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272]
 
@@ -44,25 +47,26 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, rho); null under three rows or two values.  Ranks come from counts of distinct values."""
     out = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     for c in (a, b):
-        counts = out.groupBy(c).agg(F.count(F.lit(1)).alias("m"))
-        before = F.sum("m").over(Window.partitionBy().orderBy(c))
-        out = out.join(counts.select(c, (before - (F.col("m") - 1) / 2.0).alias(f"r_{c}")), c)
+        out = ranked(out, [], c, f"r_{c}").drop("_m", "_upto")
     rho = F.when((F.count(F.lit(1)) >= 3) & (F.min(f"r_{a}") < F.max(f"r_{a}")) & (F.min(f"r_{b}") < F.max(f"r_{b}")), F.corr(f"r_{a}", f"r_{b}"))
     return out.agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
 
 
 def ks_pairs(df: DataFrame, group: str, x: str) -> DataFrame:
-    """For each two groups a < b: the two-sample Kolmogorov-Smirnov D, its asymptotic p and Cohen's d."""
-    counts = df.groupBy(group, x).agg(F.count(F.lit(1)).alias("m"))
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
-    a = sizes.select(F.col(group).alias("a"), F.col("n").alias("na"), F.col("mean").alias("ma"), F.col("var").alias("va"))
-    b = sizes.select(F.col(group).alias("b"), F.col("n").alias("nb"), F.col("mean").alias("mb"), F.col("var").alias("vb"))
-    pairs = a.join(b, F.col("a") < F.col("b"))  # groups are few: one row each
-    side = F.broadcast(pairs)
-    steps = counts.join(side, (F.col(group) == F.col("a")) | (F.col(group) == F.col("b"))).withColumn("fa", F.when(F.col(group) == F.col("a"), F.col("m")).otherwise(0) / F.col("na")).withColumn("fb", F.when(F.col(group) == F.col("b"), F.col("m")).otherwise(0) / F.col("nb"))
-    at = steps.groupBy("a", "b", "na", "nb", "ma", "mb", "va", "vb", x).agg(F.sum("fa").alias("fa"), F.sum("fb").alias("fb"))
-    run = Window.partitionBy("a", "b").orderBy(x)
-    d = at.withColumn("gap", F.abs(F.sum("fa").over(run) - F.sum("fb").over(run))).groupBy("a", "b", "na", "nb", "ma", "mb", "va", "vb").agg(F.max("gap").alias("ks_d"))
+    """For each two groups a < b: the two-sample Kolmogorov-Smirnov D, its asymptotic p and Cohen's d.
+
+    Counts of distinct values go to each pair of their group by an equi-join; the gap of the two
+    distributions is one running sum over all pairs, since each pair's own ends at nought.
+    """
+    counts = df.groupBy(F.col(group).alias("g"), x).agg(F.count(F.lit(1)).alias("m"))
+    sizes = stored(df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var")))
+    side = lambda s: sizes.select(*[F.col(c).alias(n) for c, n in (("g", s), ("n", f"n{s}"), ("mean", f"m{s}"), ("var", f"v{s}"))])
+    pairs = side("a").join(side("b"), F.col("a") < F.col("b"))  # a row a group, joined once
+    part = lambda s, sign: pairs.select(F.col(s).alias("g"), "a", "b", (sign / F.col(f"n{s}")).alias("step"))
+    steps = counts.join(part("a", F.lit(1.0)).unionAll(part("b", F.lit(-1.0))), "g").groupBy("a", "b", x).agg(F.sum(F.col("m") * F.col("step")).alias("step"))
+    run = placed(steps, [F.col(c) for c in ("a", "b", x)], "_i", F.col("step"), "_before")
+    gap = run.groupBy("a", "b").agg(F.max(F.abs(F.col("_before") + F.col("step"))).alias("ks_d"))
+    d = gap.join(pairs, ["a", "b"])
     lam = F.col("ks_d") * F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
     p = sum((F.lit(2.0 * (-1) ** (j - 1)) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 101)), F.lit(0.0))
     return d.select("a", "b", "ks_d", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), ((F.col("ma") - F.col("mb")) / F.sqrt((F.col("va") + F.col("vb")) / 2)).alias("cohens_d"))

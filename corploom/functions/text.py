@@ -38,6 +38,18 @@ def grams(w: Column, n: int = 13) -> Column:
     return F.get(F.transform(F.array(w), lambda v: F.when(F.size(v) >= n, made(v)).otherwise(F.array().cast("array<string>"))), F.lit(0))
 
 
+def gram_keys(w: Column, n: int = 13) -> Column:
+    """64-bit hashes of n words in a row, by place; none where there are fewer."""
+    made = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.xxhash64(F.slice(v, i, n)))
+    return F.get(F.transform(F.array(w), lambda v: F.when(F.size(v) >= n, made(v)).otherwise(F.array().cast("array<bigint>"))), F.lit(0))
+
+
+def grams_at(w: Column, places: Column, n: int = 13) -> Column:
+    """As grams, of the runs that begin at the given places, from 0."""
+    gram = lambda v, i: F.substring(F.sha2(F.array_join(F.slice(v, i + 1, n), " ").cast("binary"), 256), 1, 24)
+    return F.get(F.transform(F.array(w), lambda v: F.transform(places, lambda i: gram(v, i))), F.lit(0))
+
+
 def byte_prefix(text: Column, width: int) -> Column:
     """The first `width` bytes of UTF-8, without a character cut in two."""
     raw = F.substring(F.encode(text, "UTF-8"), 1, width)
@@ -53,3 +65,25 @@ def json_domain(meta: Column, key: str, default: str = "unknown") -> Column:
 def failure_kind(message: Column) -> Column:
     m = F.lower(message)
     return F.when(m.rlike("interrupt|signal|preempt"), "interrupted").when(m.rlike("nan|inf|finite|overflow"), "numerical").otherwise("runtime")
+
+
+def canonical_hash(record: Column) -> Column:
+    """SHA-256 of a struct as JSON: give its fields in the order of their names; no spaces, absent fields written as null."""
+    return F.sha2(F.to_json(record, {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def prompt(question: Column, options: Column, letters: str) -> Column:
+    """The question, its lettered options a line each, and the call for an answer."""
+    lines = F.transform(options, lambda x, i: F.concat(F.substring(F.lit(letters), i + 1, F.lit(1)), F.lit(". "), x))
+    return F.concat_ws("\n", question, F.array_join(lines, "\n"), F.lit("Answer:"))
+
+
+def receipt(raw: Column, schema: str, most: int = 256 << 10) -> Column:
+    """The JSON object in raw by its schema; null where it is none, is broken or has over `most` bytes."""
+    body = F.trim(raw)
+    return F.when((F.octet_length(raw) <= most) & body.startswith("{") & body.endswith("}"), F.from_json(raw, schema, {"mode": "PERMISSIVE"}))
+
+
+def interval_text(mean: Column, half: Column, form: str = "%.4f") -> Column:
+    """`x [low, high]`; `x` alone without a width, `n/a` without a mean."""
+    return F.when(mean.isNull(), "n/a").when(half.isNull(), F.format_string(form, mean)).otherwise(F.format_string(f"{form} [{form}, {form}]", mean, mean - half, mean + half))

@@ -1,7 +1,8 @@
 """Selectors: each takes a pool and returns it with a column p, non-negative, that sums to one.
 
-A pool has id, domain, bucket, score, mean_score, wrong, cr.  Sums over the pool are one row
-and sums over groups one row a group, joined back; no window spans the whole pool.
+A pool has id, domain, bucket, score, mean_score, wrong, cr; it should be stored, since selectors read it
+more than once.  Sums over the pool are one row and sums over groups one row a group, joined
+back; no window spans the whole pool, nor a group of unbounded size.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import placed, placed_within, ranked
+
 TAU = 1e-3
 BAND = (0.65, 0.80)
 FIXED_EDGES = (0.50, 0.60, 0.67, 0.73, 0.80, 0.90)  # fixed values: bucket boundaries
@@ -64,25 +67,31 @@ def direct_soft(df: DataFrame, tau: float = TAU) -> DataFrame:
 
 
 def direct_hard(df: DataFrame, share: float = 0.25, key: str = "doc_id") -> DataFrame:
-    """Uniform over the best ceil(share * n) by mean score, then id.
-
-    The cut is found on counts of distinct scores, so rows are ranked only where scores tie at it.
-    """
-    sized = with_total(df, _k=F.ceil(F.count(F.lit(1)) * share))
-    counts = df.groupBy("mean_score").agg(F.count(F.lit(1)).alias("_c"))
-    above = counts.withColumn("_above", F.sum("_c").over(Window.partitionBy().orderBy(F.desc("mean_score"))) - F.col("_c"))
-    tied = sized.join(above, "mean_score").withColumn("_r", F.row_number().over(Window.partitionBy("mean_score").orderBy(key)))
-    return normalize(tied, (F.col("_above") + F.col("_r") <= F.col("_k")).cast("double")).drop("_k", "_c", "_above", "_r")
+    """Uniform over the best ceil(share * n) by mean score, then id."""
+    sized = with_total(placed(df, [F.col("mean_score").desc(), F.col(key)], "_r"), _k=F.ceil(F.count(F.lit(1)) * share))
+    return normalize(sized, (F.col("_r") < F.col("_k")).cast("double")).drop("_k", "_r")
 
 
 def cells(df: DataFrame) -> DataFrame:
-    """One row a (domain, bucket): n, mean, and z of the mean over cells (0 where they do not vary)."""
-    table = with_total(df.groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n_cell"), F.avg("mean_score").alias("mu")), _a=F.avg("mu"), _s=F.stddev_pop("mu"))
+    """One row a (domain, bucket): n, mean of the clipped score, and z of the mean over cells (0 where they do not vary)."""
+    table = with_total(df.groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n_cell"), F.avg(clipped("score")).alias("mu")), _a=F.avg("mu"), _s=F.stddev_pop("mu"))
     return table.withColumn("z", F.when(F.col("_s") > 1e-12, (F.col("mu") - F.col("_a")) / F.col("_s")).otherwise(0.0)).drop("_a", "_s")
 
 
-def cell_tilt(df: DataFrame) -> DataFrame:
-    return normalize(df.join(cells(df), ["domain", "bucket"]), F.exp("z")).drop("n_cell", "mu", "z")
+def cell_tilt(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Cells weigh n * exp(z), rows of one alike."""
+    table = cells(df) if table is None else table
+    return normalize(df.join(table, ["domain", "bucket"]), F.exp("z")).drop("n_cell", "mu", "z")
+
+
+def shuffled_cell_tilt(df: DataFrame, seed: int = 1405) -> DataFrame:
+    """cell_tilt with z dealt anew over the cells, by hash order."""
+    table = cells(df)
+    by_name, by_hash = Window.partitionBy().orderBy("domain", "bucket"), Window.partitionBy().orderBy("_h", "domain", "bucket")  # a row a cell
+    hashed = table.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "domain", "bucket").cast("binary"), 256))
+    both = hashed.withColumns({"_i": F.row_number().over(by_name), "_j": F.row_number().over(by_hash)})
+    dealt = both.select("domain", "bucket", "n_cell", "mu", "_i").join(both.select(F.col("_j").alias("_i"), "z"), "_i").drop("_i")
+    return cell_tilt(df, dealt)
 
 
 def averaged(df: DataFrame, key: str) -> DataFrame:
@@ -92,18 +101,20 @@ def averaged(df: DataFrame, key: str) -> DataFrame:
 
 def centred_rank(df: DataFrame, keys: list[str], value: str, name: str = "z") -> DataFrame:
     """Average rank in the stratum, centred: (rank - 0.5) / m - 0.5, 0 in a constant stratum."""
-    w = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    m = F.count(F.lit(1)).over(w)
-    rank = F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0
-    return df.withColumn(name, F.when(ties == m, 0.0).otherwise((rank - 0.5) / m - 0.5))
+    sized = with_group(ranked(df, keys, value, "_rank"), keys, _n=F.count(F.lit(1)))
+    return sized.withColumn(name, F.when(F.col("_m") == F.col("_n"), 0.0).otherwise((F.col("_rank") - 0.5) / F.col("_n") - 0.5)).drop("_rank", "_m", "_upto", "_n")
+
+
+def tilted(df: DataFrame, value: Column, tilt: float) -> DataFrame:
+    """tilt^z inside each cell, z the centred rank of value; cells keep their population mass."""
+    z = centred_rank(df.withColumn("_c", value), ["domain", "bucket"], "_c", "_z").withColumn("_w", F.pow(F.lit(tilt), F.col("_z")))
+    inside = with_group(z, ["domain", "bucket"], _s=F.sum("_w"), _k=F.count(F.lit(1)))
+    return normalize(inside, F.col("_k") * F.col("_w") / F.col("_s")).drop("_c", "_z", "_s", "_k")
 
 
 def rank_tilt(df: DataFrame, score: str = "score", tilt: float = 4.0) -> DataFrame:
-    """Inside each cell 4^z of the clipped score's rank; cells keep their population mass."""
-    z = centred_rank(df.withColumn("_c", clipped(score)), ["domain", "bucket"], "_c", "_z").withColumn("_w", F.pow(F.lit(tilt), F.col("_z")))
-    inside = with_group(z, ["domain", "bucket"], _s=F.sum("_w"), _m=F.count(F.lit(1)))
-    return normalize(inside, F.col("_m") * F.col("_w") / F.col("_s")).drop("_c", "_z", "_s", "_m")
+    """Inside each cell 4^z of the clipped score's rank."""
+    return tilted(df, clipped(score), tilt)
 
 
 def contrastive(df: DataFrame) -> DataFrame:
@@ -112,9 +123,7 @@ def contrastive(df: DataFrame) -> DataFrame:
 
 def conditional_rank(df: DataFrame, tilt: float = 4.0) -> DataFrame:
     """As rank_tilt, over the signed contrast."""
-    z = centred_rank(df.withColumn("_c", F.col("score") - F.col("wrong")), ["domain", "bucket"], "_c", "_z").withColumn("_w", F.pow(F.lit(tilt), F.col("_z")))
-    inside = with_group(z, ["domain", "bucket"], _s=F.sum("_w"), _m=F.count(F.lit(1)))
-    return normalize(inside, F.col("_m") * F.col("_w") / F.col("_s")).drop("_c", "_z", "_s", "_m")
+    return tilted(df, F.col("score") - F.col("wrong"), tilt)
 
 
 def global_tilt(df: DataFrame, tilt: float = 4.0) -> DataFrame:
@@ -135,21 +144,67 @@ def by_weights(df: DataFrame, weights: DataFrame, key: str = "domain") -> DataFr
 
 
 def shuffled_scores(df: DataFrame, seed: int, keys: list[str] = (), key: str = "doc_id", score: str = "score") -> DataFrame:
-    """Scores dealt anew inside each stratum, by hash order; the multiset stays.
+    """Scores dealt anew inside each stratum (or the pool), by hash order; the multiset stays.
 
-    Without keys, strata are hash slices of the pool, so no task sorts all of it.
+    A row takes the score of the row whose place by hash is its own place by id.
     """
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
-    strata = list(keys)
-    if not strata:
-        df, strata = df.withColumn("_slice", F.substring(F.sha2(F.col(key).cast("string").cast("binary"), 256), 1, 1)), ["_slice"]
-    w = Window.partitionBy(*strata)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(key))).withColumn("_j", F.row_number().over(w.orderBy(h, key)))
-    values = placed.select(*strata, F.col("_j").alias("_i"), F.col(score).alias("_v"))
-    return placed.join(values, [*strata, "_i"]).withColumn(score, F.col("_v")).drop("_i", "_j", "_v", "_slice")
+    mine = placed_within(df, list(keys), [F.col(key)], "_i")
+    theirs = placed_within(df.select(*keys, key, F.col(score).alias("_v")).withColumn("_h", h), list(keys), [F.col("_h"), F.col(key)], "_i")
+    return mine.join(theirs.select(*keys, "_i", "_v"), [*keys, "_i"]).withColumn(score, F.col("_v")).drop("_i", "_v")
+
+
+def length_quartile(df: DataFrame, length: str = "n_words", name: str = "quartile") -> DataFrame:
+    """df with the quartile (0 to 3) of its length, edges exact and interpolated, bins closed on the left."""
+    cut = with_total(df, _e=F.percentile(length, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])))
+    return cut.withColumn(name, sum(((F.col(length) >= F.col("_e")[i]).cast("int") for i in range(3)), F.lit(0))).drop("_e")
 
 
 def mixed_prior(df: DataFrame, lam: float = 0.5) -> DataFrame:
     """(1 - lam) * population + lam * the clipped-score share."""
     out = with_total(df, _s=F.sum(clipped("score")), _n=F.count(F.lit(1)))
     return normalize(out, (1 - lam) / F.col("_n") + lam * clipped("score") / F.col("_s")).drop("_s", "_n")
+
+
+def token_prior(df: DataFrame, lam: float = 0.5, tokens: str = "n_words") -> DataFrame:
+    """Bucket masses (1 - lam) q + lam r, q the share of tokens and r as q times the mean clipped score; uniform inside."""
+    inside = with_group(df, ["bucket"], _q=F.sum(tokens), _u=F.avg(clipped("score")), _b=F.count(F.lit(1)))
+    both = with_total(inside, _tq=F.sum(F.col("_q") / F.col("_b")), _tr=F.sum(F.col("_q") * F.col("_u") / F.col("_b")))
+    mass = (1 - lam) * F.col("_q") / F.col("_tq") + lam * F.col("_q") * F.col("_u") / F.col("_tr")
+    return normalize(both, mass / F.col("_b")).drop("_q", "_u", "_b", "_tq", "_tr")
+
+
+# --- packs: rows of one pack share its scores ---------------------------------------------------
+
+
+def inherited(df: DataFrame, packs: DataFrame, columns: list[str], key: str = "pack") -> DataFrame:
+    """df with columns of its packs in place of its own."""
+    return df.drop(*columns).join(packs.select(key, *columns), key)
+
+
+def shuffled_packs(df: DataFrame, packs: DataFrame, seed: int, columns: list[str], keys: list[str] = (), key: str = "pack") -> DataFrame:
+    """df with the columns of another pack: packs are dealt anew inside each stratum, by hash order."""
+    one, rest = columns[0], columns[1:]
+    joined = F.struct(*columns) if rest else F.col(one)
+    dealt = shuffled_scores(packs.select(*keys, key, joined.alias("_x")), seed, list(keys), key, "_x")
+    unpacked = dealt.select(key, *([F.col("_x")[c].alias(c) for c in columns] if rest else [F.col("_x").alias(one)]))
+    return inherited(df, unpacked, columns, key)
+
+
+def pack_rank(df: DataFrame, packs: DataFrame, tilt: float = 4.0, key: str = "pack", seed: int | None = None) -> DataFrame:
+    """conditional_rank over packs: z of the signed contrast among the packs of a cell, inherited by rows; cells of rows keep their mass.
+
+    With a seed, z is dealt anew among the packs of a cell first.
+    """
+    z = centred_rank(packs.withColumn("_c", F.col("score") - F.col("wrong")), ["domain", "bucket"], "_c", "_z")
+    if seed is not None:
+        z = shuffled_scores(z, seed, ["domain", "bucket"], key, "_z")
+    out = df.join(z.select(key, "_z"), key).withColumn("_w", F.pow(F.lit(tilt), F.col("_z")))
+    inside = with_group(out, ["domain", "bucket"], _s=F.sum("_w"), _k=F.count(F.lit(1)))
+    return normalize(inside, F.col("_k") * F.col("_w") / F.col("_s")).drop("_z", "_s", "_k")
+
+
+def robust_refinement(groups: DataFrame, eta: float, steps: int) -> DataFrame:
+    """Group masses after steps of w <- w exp(eta loss) / sum, from (key..., w, loss): a row a group, and losses that stay."""
+    # equal losses at every step make the product one power
+    return normalize(groups, F.col("w") * F.exp(eta * steps * (F.col("loss")))).withColumnRenamed("p", "refined")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import codec, mixtures, packing
-from ..sources.io import table
+from ..operators.order import placed_within, ranked
+from ..sources.io import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,13 +63,17 @@ def edges_bucket(x, edges) -> F.Column:
 
 
 def pool(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("domain"), "lang", text.words(F.col("text")).alias("ws"))
+    """The pool, computed once and stored: one scan of documents, dealt by id so that counts of words stay where they are."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("domain"), "lang", "text")
     known = lambda name, c: table(spark, d, name).select(F.explode(text.words(F.col("text"))).alias("t")).distinct().withColumn(c, F.lit(1))
-    tok = w.select("doc_id", "domain", "lang", F.explode("ws").alias("t"))
-    hits = tok.join(known("benchmark", "b"), "t", "left").join(known("conversations", "c"), "t", "left").groupBy("doc_id", "domain", "lang").agg(
-        F.count(F.lit(1)).alias("n_words"), F.count_distinct("t").alias("nd"), F.count("b").alias("hb"), F.count("c").alias("hc"))
+    tok = docs.repartition("doc_id").select("doc_id", "domain", "lang", F.explode(text.words(F.col("text"))).alias("t"))
+    each = tok.groupBy("doc_id", "t").agg(F.first("domain").alias("domain"), F.first("lang").alias("lang"), F.count(F.lit(1)).alias("c"))
+    joined = each.join(known("benchmark", "b"), "t", "left").join(known("conversations", "w"), "t", "left")
+    sums = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("c"))), F.lit(0))
+    hits = joined.groupBy("doc_id").agg(F.first("domain").alias("domain"), F.first("lang").alias("lang"), F.sum("c").alias("n_words"), F.count(F.lit(1)).alias("nd"), sums("b").alias("hb"), sums("w").alias("hc"))
     n = F.col("n_words")
-    return hits.select("doc_id", "domain", "lang", "n_words", (F.col("nd") / n).alias("cr"), (F.col("hb") / n).alias("score"), (F.col("hc") / n / 2).alias("wrong"), ((2 * F.col("hb") - n) / n).alias("mean_score")).withColumn("bucket", edges_bucket(F.col("cr"), mixtures.FIXED_EDGES))
+    out = hits.select("doc_id", "domain", "lang", "n_words", (F.col("nd") / n).alias("cr"), (F.col("hb") / n).alias("score"), (F.col("hc") / n / 2).alias("wrong"), ((2 * F.col("hb") - n) / n).alias("mean_score"))
+    return stored(out.withColumn("bucket", edges_bucket(F.col("cr"), mixtures.FIXED_EDGES)))
 
 
 # --- scans, filters, text -------------------------------------------------------------
@@ -152,8 +157,10 @@ def hash_roles(spark, d):
 
 
 def roles(docs: DataFrame) -> DataFrame:
+    """The first 5 of a source by salted hash are dev, the next 10 test: only those are ranked, the rest is train."""
     w = Window.partitionBy("source").orderBy(text.salted_key("role", F.col("doc_id")))
-    return docs.withColumn("r", F.row_number().over(w)).withColumn("role", F.when(F.col("r") <= 5, "dev").when(F.col("r") <= 15, "test").otherwise("train"))
+    first = docs.select("doc_id", "source").withColumn("r", F.row_number().over(w)).where("r <= 15").select("doc_id", F.when(F.col("r") <= 5, "dev").otherwise("test").alias("role"))
+    return docs.join(first, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit("train")))
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('cap:' || doc_id::VARCHAR)) AS r FROM documents) WHERE r <= 20")
@@ -176,8 +183,16 @@ bad AS (SELECT DISTINCT doc_id FROM g SEMI JOIN h USING (g))
 
 
 def contaminated(spark, d) -> DataFrame:
-    made = lambda name, *c: table(spark, d, name).select(*c, F.explode(text.grams(text.words(F.col("text")))).alias("g"))
-    return made("documents", "doc_id").join(made("benchmark").distinct(), "g", "left_semi").select("doc_id").distinct()
+    """Ids of documents that share a 13-gram with the benchmark: 64-bit hashes of word runs sift, SHA-256 of the few that hit decides."""
+    return sharing_grams(table(spark, d, "documents"), table(spark, d, "benchmark").select("text"), "doc_id")
+
+
+def sharing_grams(docs: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    runs = lambda df, *c: df.select(*c, F.posexplode(text.gram_keys(text.words(F.col("text")))).alias("i", "h"))
+    keys = runs(held).select("h").distinct()
+    hits = runs(docs, key).join(keys, "h", "left_semi").groupBy(key).agg(F.collect_set("i").alias("at"))
+    sure = docs.join(hits, key).select(key, F.explode(text.grams_at(text.words(F.col("text")), F.col("at"))).alias("g"))
+    return sure.join(held.select(F.explode(text.grams(text.words(F.col("text")))).alias("g")).distinct(), "g", "left_semi").select(key).distinct()
 
 
 @query(f"WITH {GRAMS} SELECT doc_id, source FROM documents ANTI JOIN bad USING (doc_id)")
@@ -241,14 +256,14 @@ def summary_stats(spark, d):
 
 @query(f"""WITH {POOL}, s AS (SELECT lang, count(*) AS n, avg(cr) AS mu, var_samp(cr) AS v FROM pool GROUP BY 1), pr AS (SELECT a.lang AS a, b.lang AS b, a.n AS na, b.n AS nb, a.mu AS ma, b.mu AS mb, a.v AS va, b.v AS vb FROM s a JOIN s b ON a.lang < b.lang),
 x AS (SELECT a, b, cr, sum((lang = a)::INT) / any_value(na)::DOUBLE AS fa, sum((lang = b)::INT) / any_value(nb)::DOUBLE AS fb FROM pool JOIN pr ON lang = a OR lang = b GROUP BY 1, 2, 3), c AS (SELECT a, b, abs(sum(fa) OVER w - sum(fb) OVER w) AS g FROM x WINDOW w AS (PARTITION BY a, b ORDER BY cr))
-SELECT a, b, round(max(g), 6) AS ks_d, round(any_value((ma - mb) / sqrt((va + vb) / 2)), 6) AS cohens_d FROM c JOIN pr USING (a, b) GROUP BY 1, 2""")
+SELECT a, b, round(max(g), 6) AS ks_d, round(greatest(0, least(1, 2 * list_sum([(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * max(g) * max(g) * any_value(na * nb / (na + nb)::DOUBLE)) FOR j IN range(1, 101)]))), 6) AS p, round(any_value((ma - mb) / sqrt((va + vb) / 2)), 6) AS cohens_d FROM c JOIN pr USING (a, b) GROUP BY 1, 2""")
 def ks_pairs(spark, d):
-    return stats.ks_pairs(pool(spark, d), "lang", "cr").select("a", "b", r6("ks_d").alias("ks_d"), r6("cohens_d").alias("cohens_d"))
+    return stats.ks_pairs(pool(spark, d), "lang", "cr").select("a", "b", r6("ks_d").alias("ks_d"), r6("p").alias("p"), r6("cohens_d").alias("cohens_d"))
 
 
 @query(f"WITH {POOL} SELECT doc_id, lang, round(cume_dist() OVER (PARTITION BY lang ORDER BY cr), 6) AS cdf FROM pool")
 def cdf(spark, d):
-    return pool(spark, d).select("doc_id", "lang", r6(F.cume_dist().over(Window.partitionBy("lang").orderBy("cr"))).alias("cdf"))
+    return mixtures.with_group(ranked(pool(spark, d), ["lang"], "cr"), ["lang"], n=F.count(F.lit(1))).select("doc_id", "lang", r6(F.col("_upto") / F.col("n")).alias("cdf"))
 
 
 @query(f"WITH {POOL}, r AS (SELECT rank() OVER (ORDER BY cr) + (count(*) OVER (PARTITION BY cr) - 1) / 2.0 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS b FROM pool) SELECT count(*)::BIGINT AS n, round(corr(a, b), 6) AS rho FROM r")
@@ -262,9 +277,9 @@ def capacity_bound(spark, d):
     return p.agg(r6(F.max(F.col("h") / F.col("n"))).alias("bound"), r6(F.sum("h") / F.sum("n")).alias("share"))
 
 
-@query(f"WITH {POOL} SELECT domain, bucket, count(*)::BIGINT AS n, round(avg(mean_score), 6) AS mean, round(stddev_pop(mean_score), 6) AS sd, count(DISTINCT score)::BIGINT AS n_scores FROM pool GROUP BY 1, 2")
+@query(f"WITH {POOL} SELECT domain, bucket, count(*)::BIGINT AS n, round(avg(greatest(score, 0)), 6) AS mean, round(stddev_pop(greatest(score, 0)), 6) AS sd, count(DISTINCT score - wrong)::BIGINT AS n_raw, count(DISTINCT greatest(score - wrong, 0))::BIGINT AS n_clipped FROM pool GROUP BY 1, 2")
 def cell_stats(spark, d):
-    return pool(spark, d).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mean_score")).alias("mean"), r6(F.stddev_pop("mean_score")).alias("sd"), F.count_distinct("score").alias("n_scores"))
+    return pool(spark, d).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(mixtures.clipped("score"))).alias("mean"), r6(F.stddev_pop(mixtures.clipped("score"))).alias("sd"), F.count_distinct(F.col("score") - F.col("wrong")).alias("n_raw"), F.count_distinct(F.greatest(F.col("score") - F.col("wrong"), F.lit(0.0))).alias("n_clipped"))
 
 
 # --- mixtures ------------------------------------------------------------------------------
@@ -289,12 +304,17 @@ SELECTORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "global_tilt": (mixtures.global_tilt, "GLOBAL"),
     "oracle_domain": (lambda p: mixtures.only_domain(p, "src1"), "((domain = 'src1')::INT + 1e-12) / sum((domain = 'src1')::INT + 1e-12) OVER ()"),
     "anti_domain": (lambda p: mixtures.only_domain(p, "src1", True), "((domain <> 'src1')::INT + 1e-12) / sum((domain <> 'src1')::INT + 1e-12) OVER ()"),
+    "token_prior": (mixtures.token_prior, "TOKEN"),
+    "shuffled_cell_tilt": (lambda p: mixtures.shuffled_cell_tilt(p, 1405), "DEALT"),
+    "shuffled": (lambda p: mixtures.bucket_prior(mixtures.shuffled_scores(p, 1405)), "SHUFFLED"),
+    "shuffled_strata": (lambda p: mixtures.bucket_prior(mixtures.shuffled_scores(mixtures.length_quartile(p).withColumn("score", mixtures.clipped("score")), 1405, ["domain", "quartile"]), tau=0.0, on_empty="uniform"), "STRATA"),
+    "learned_weights": (lambda p: mixtures.by_weights(p, p.groupBy("domain").agg(F.avg("score").alias("w"))), "LEARNED"),
     "mixed_prior": (mixtures.mixed_prior, "0.5 / count(*) OVER () + 0.5 * greatest(score, 0) / sum(greatest(score, 0)) OVER ()"),
 }
 
 
 def selector_sql(form: str) -> str:
-    tilt = "cl AS (SELECT domain, bucket, avg(mean_score) AS mu FROM pool GROUP BY 1, 2), z AS (SELECT domain, bucket, exp(coalesce((mu - avg(mu) OVER ()) / nullif(stddev_pop(mu) OVER (), 0), 0)) AS e FROM cl), t AS (SELECT pool.*, e / sum(e) OVER () AS q FROM pool JOIN z USING (domain, bucket))"
+    tilt = "cl AS (SELECT domain, bucket, avg(greatest(score, 0)) AS mu FROM pool GROUP BY 1, 2), z AS (SELECT domain, bucket, exp(coalesce((mu - avg(mu) OVER ()) / nullif(stddev_pop(mu) OVER (), 0), 0)) AS e FROM cl), t AS (SELECT pool.*, e / sum(e) OVER () AS q FROM pool JOIN z USING (domain, bucket))"
     if form == "TILT":
         return f"{POOL}, {tilt}, out AS (SELECT doc_id, domain, bucket, q AS p FROM t)"
     if form == "MATCHED":
@@ -303,6 +323,18 @@ def selector_sql(form: str) -> str:
         return f"{POOL}, t AS (SELECT *, {SELECTORS['contrastive'][1]} AS q FROM pool), out AS (SELECT doc_id, domain, bucket, avg(q) OVER (PARTITION BY domain) AS p FROM t)"
     if form == "GLOBAL":
         return f"{POOL}, t AS (SELECT *, 4.0 ** ((score - wrong - avg(score - wrong) OVER ()) / stddev_pop(score - wrong) OVER ()) AS e FROM pool), out AS (SELECT doc_id, domain, bucket, e / sum(e) OVER () AS p FROM t)"
+    prior = "(sum(greatest(v, 0)) OVER (PARTITION BY bucket) + 0.001) / count(*) OVER (PARTITION BY bucket) / (sum(greatest(v, 0)) OVER () + 0.001 * (SELECT count(DISTINCT bucket) FROM pool))"
+    if form == "SHUFFLED":
+        return f"{POOL}, i AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i, row_number() OVER (ORDER BY sha256('1405:' || doc_id::VARCHAR), doc_id) AS j FROM pool), t AS (SELECT a.doc_id, a.domain, a.bucket, b.score AS v FROM i a JOIN i b ON a.i = b.j), out AS (SELECT doc_id, domain, bucket, {prior} AS p FROM t)"
+    if form == "STRATA":
+        return f"{POOL}, e AS (SELECT quantile_cont(n_words, [0.25, 0.5, 0.75]) AS e FROM pool), s AS (SELECT pool.*, (n_words >= e[1])::INT + (n_words >= e[2])::INT + (n_words >= e[3])::INT AS quartile FROM pool, e), i AS (SELECT *, row_number() OVER (PARTITION BY domain, quartile ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY domain, quartile ORDER BY sha256('1405:' || doc_id::VARCHAR), doc_id) AS j FROM s), t AS (SELECT a.doc_id, a.domain, a.bucket, greatest(b.score, 0) AS v FROM i a JOIN i b ON a.domain = b.domain AND a.quartile = b.quartile AND a.i = b.j), out AS (SELECT doc_id, domain, bucket, sum(v) OVER (PARTITION BY bucket) / count(*) OVER (PARTITION BY bucket) / sum(v) OVER () AS p FROM t)"
+    if form == "DEALT":
+        dealt = tilt.split(", t AS")[0].replace("exp(coalesce(", "(coalesce(").replace(" AS e FROM cl", " AS z FROM cl")
+        return f"{POOL}, {dealt}, o AS (SELECT *, row_number() OVER (ORDER BY domain, bucket) AS i, row_number() OVER (ORDER BY sha256('1405:' || domain || ':' || bucket::VARCHAR), domain, bucket) AS j FROM z), m AS (SELECT a.domain, a.bucket, exp(b.z) AS e FROM o a JOIN o b ON a.i = b.j), out AS (SELECT doc_id, domain, bucket, e / sum(e) OVER () AS p FROM pool JOIN m USING (domain, bucket))"
+    if form == "TOKEN":
+        return f"{POOL}, g AS (SELECT bucket, count(*) AS b, sum(n_words) AS q, avg(greatest(score, 0)) AS u FROM pool GROUP BY 1), m AS (SELECT bucket, (0.5 * q / sum(q) OVER () + 0.5 * q * u / sum(q * u) OVER ()) / b AS p FROM g), out AS (SELECT doc_id, domain, bucket, p FROM pool JOIN m USING (bucket))"
+    if form == "LEARNED":
+        return f"{POOL}, g AS (SELECT domain, count(*) AS m, avg(score) AS w FROM pool GROUP BY 1), out AS (SELECT doc_id, domain, bucket, w / m / (SELECT sum(w) FROM g) AS p FROM pool JOIN g USING (domain))"
     if form.startswith("RANK"):
         return f"""{POOL}, v AS (SELECT *, {form[5:]} AS x FROM pool), k AS (SELECT *, count(*) OVER (PARTITION BY domain, bucket) AS m, count(*) OVER (PARTITION BY domain, bucket, x) AS ties, rank() OVER (PARTITION BY domain, bucket ORDER BY x) AS r FROM v),
 e AS (SELECT *, CASE WHEN ties = m THEN 1.0 ELSE 4.0 ** ((r + (ties - 1) / 2.0 - 0.5) / m - 0.5) END AS e FROM k), out AS (SELECT doc_id, domain, bucket, m * e / sum(e) OVER (PARTITION BY domain, bucket) / count(*) OVER () AS p FROM e)"""
@@ -319,16 +351,6 @@ for _name, (_run, _form) in SELECTORS.items():
     _register(_name, _run, _form)
 
 
-@query()
-def mixture_shuffled(spark, d):
-    return mixtures.bucket_prior(mixtures.shuffled_scores(pool(spark, d), 1405)).select("doc_id", F.round("p", 9).alias("p"))
-
-
-@query()
-def mixture_shuffled_strata(spark, d):
-    return mixtures.bucket_prior(mixtures.shuffled_scores(pool(spark, d), 1405, ["domain"])).select("doc_id", F.round("p", 9).alias("p"))
-
-
 # --- diagnostics ----------------------------------------------------------------------------
 
 def _long(spark, d, names) -> DataFrame:
@@ -339,11 +361,14 @@ def _long(spark, d, names) -> DataFrame:
     return out
 
 
-@query(f"WITH {selector_sql('TILT')}, a AS (SELECT out.*, n_words FROM out JOIN pool USING (doc_id)) SELECT round(1 / sum(p * p), 4) AS ess, round(1 / sum(p * p) / count(*), 6) AS ess_share, count_if(p > 0)::BIGINT AS support, round(sum(p * n_words), 4) AS expected_words, round(sum(abs(p - 1.0 / (SELECT count(*) FROM pool))) / 2, 6) AS tv, round(-sum(p * ln(p)), 6) AS entropy FROM a")
+@query(f"WITH {selector_sql('TILT')}, a AS (SELECT out.*, n_words FROM out JOIN pool USING (doc_id)) SELECT round(1 / sum(p * p), 4) AS ess, round(1 / sum(p * p) / count(*), 6) AS ess_share, count_if(p > 0)::BIGINT AS support, round(sum(p * n_words), 4) AS expected_words, round(sum(abs(p - 1.0 / (SELECT count(*) FROM pool))) / 2, 6) AS tv, round(-sum(p * ln(p)), 6) AS entropy, round((SELECT -sum(w * ln(w)) FROM (SELECT (sum(greatest(score, 0)) + 0.001) / (SELECT sum(greatest(score, 0)) + 0.001 * count(DISTINCT bucket) FROM pool) AS w FROM pool GROUP BY bucket)), 6) AS prior_entropy FROM a")
 def mixture_diagnostics(spark, d):
-    p = mixtures.with_total(mixtures.cell_tilt(pool(spark, d)), t=F.count(F.lit(1)))
+    rows = pool(spark, d)
+    p = mixtures.with_total(mixtures.cell_tilt(rows), t=F.count(F.lit(1)))
     x = F.col("p")
-    return p.agg(F.round(1 / F.sum(x * x), 4).alias("ess"), r6(1 / F.sum(x * x) / F.count(F.lit(1))).alias("ess_share"), F.count_if(x > 0).alias("support"), F.round(F.sum(x * F.col("n_words")), 4).alias("expected_words"), r6(F.sum(F.abs(x - 1 / F.col("t"))) / 2).alias("tv"), r6(-F.sum(x * F.log(x))).alias("entropy"))
+    mass = mixtures.normalize(rows.groupBy("bucket").agg((F.sum(mixtures.clipped("score")) + mixtures.TAU).alias("w")), F.col("w"))
+    entropy = mass.agg(r6(-F.sum(F.col("p") * F.log("p"))).alias("prior_entropy"))
+    return F.broadcast(entropy).crossJoin(p.agg(F.round(1 / F.sum(x * x), 4).alias("ess"), r6(1 / F.sum(x * x) / F.count(F.lit(1))).alias("ess_share"), F.count_if(x > 0).alias("support"), F.round(F.sum(x * F.col("n_words")), 4).alias("expected_words"), r6(F.sum(F.abs(x - 1 / F.col("t"))) / 2).alias("tv"), r6(-F.sum(x * F.log(x))).alias("entropy")))
 
 
 @query(f"WITH {selector_sql(SELECTORS['bucket_prior'][1])} SELECT domain, bucket, round(sum(p), 6) AS mass, count(*)::BIGINT AS n FROM out GROUP BY GROUPING SETS ((domain), (bucket), (domain, bucket))")
@@ -369,4 +394,4 @@ def admission_gates(spark, d):
     return cells.agg((F.max("gap") <= 1e-12).alias("joint_ok"), (1 / F.sum("sq") / F.first("t") >= 0.8).alias("ess_ok"), (F.sum("dev") / 2 >= 0.05).alias("tv_ok"))
 
 
-from . import results  # noqa: E402, F401  adds its queries
+from . import packs, records, results  # noqa: E402, F401  add their queries

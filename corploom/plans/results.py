@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import codec, mixtures, packing
-from ..sources.io import table
+from ..operators.order import placed_within
+from ..sources.io import scratch, stored, table
 from ..streaming import events as stream
 from .catalog import CELLS, POOL, SELECTORS, edges_bucket, pool, query, r6, selector_sql
 
@@ -131,8 +130,8 @@ def hierarchical_draw(spark, d):
     bounds = mass.select("bucket", "n", (F.sum("w").over(w) / total).alias("hi"), ((F.sum("w").over(w) - F.col("w")) / total).alias("lo"))
     draws = spark.range(2000).select(text.uniform("bucket", F.col("id")).alias("u"), text.uniform("row", F.col("id")).alias("v"))
     hit = draws.join(F.broadcast(bounds), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("bucket", F.floor(F.col("v") * F.col("n")).alias("r"))
-    placed = p.select("doc_id", "bucket", (F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1).cast("long").alias("r"))
-    return hit.join(placed, ["bucket", "r"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("draws"))
+    rows = placed_within(p.select("doc_id", "bucket"), ["bucket"], [F.col("doc_id")], "r")
+    return hit.join(rows, ["bucket", "r"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("draws"))
 
 
 @query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {U.format('batch', 'doc_id')}, doc_id) AS r FROM documents) WHERE r <= 4")
@@ -171,7 +170,7 @@ def scored(spark, d):
     views = codec.target_views(table(spark, d, "benchmark"), "item_id", "text")
     cut = clean.select("doc_id", F.col("source").alias("domain"), text.byte_prefix(F.col("text"), 1024).alias("view"), text.byte_prefix(F.col("text"), 8192).alias("text"))
     both = cut.repartition(F.col("doc_id")).withColumn("cr", codec.compression_ratio(F.col("text"))).withColumn("a", codec.alignment(F.col("view"), views))
-    return both.select("doc_id", "domain", "cr", F.col("a.best").alias("score"), F.col("a.mean").alias("mean_score"), edges_bucket(F.col("cr"), mixtures.FIXED_EDGES).alias("bucket"))
+    return stored(both.select("doc_id", "domain", "cr", F.col("a.best").alias("score"), F.col("a.mean").alias("mean_score"), edges_bucket(F.col("cr"), mixtures.FIXED_EDGES).alias("bucket")))
 
 
 @query()
@@ -202,10 +201,13 @@ def record_packs(spark, d):
 @query()
 def streamed_counts(spark, d):
     """The windowed counts of the event log, run as a stream to its end."""
-    name = f"counts_{abs(hash(d)) % 10**8}"
-    run = stream.windowed_counts(stream.source(spark, d)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    path, checkpoint = scratch(spark), scratch(spark)
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/{n}")  # noqa: E731  each batch restates all counts
+    run = stream.windowed_counts(stream.source(spark, d)).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("start"), "event_type", "n", r6("total").alias("total"))
+    last = run.lastProgress.batchId
+    counts = spark.read.schema("window struct<start: timestamp, end: timestamp>, event_type string, n long, total double").parquet(f"{path}/{last}")
+    return counts.select(F.col("window.start").alias("start"), "event_type", "n", r6("total").alias("total"))
 
 
 ORACLE_STREAM = "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
