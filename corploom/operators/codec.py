@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +19,7 @@ def lz4_frame_size(raw: bytes) -> int:
 
 
 def gzip_size(raw: bytes) -> int:
-    return len(gzip.compress(raw, compresslevel=6, mtime=0))
+    return len(zlib.compress(raw, 6, 31))  # 31: in a gzip frame
 
 
 def similarity(raw: bytes, size: int, view: bytes, view_size: int) -> float:
@@ -36,6 +36,15 @@ def compression_ratio(text: Column) -> Column:
     return ratio(F.encode(text, "UTF-8"))
 
 
+def gzip_ratio(text: Column) -> Column:
+    @F.pandas_udf("double")
+    def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([gzip_size(b) / len(b) if b else None for b in batch])
+
+    return ratio(F.encode(text, "UTF-8"))
+
+
 def alignment(text: Column, views: list[bytes]) -> Column:
     """Struct(best, mean) of the similarity with each of a few views, whose bytes are bounded."""
     if sum(map(len, views)) > VIEWS_BYTES:

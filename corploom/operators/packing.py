@@ -1,31 +1,114 @@
-"""Records packed to a byte width, in id order; and token blocks."""
+"""Records packed to a byte width, in id order; and token blocks.
 
-from __future__ import annotations
+Where a pack ends hangs on where it began, and so on all packs before; yet only by the bytes that it
+brings along.  So each range of records first says, for every number of bytes that may come in, at
+which record the first pack closes and how many bytes go on: a short list, since a pack closes within a
+few records.  These lists, one a range, are composed in order; with what comes in known, each range
+numbers its packs by itself.
+"""
 
-import hashlib
+from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
 
-def pack_records(df: DataFrame, width: int, group: str = "domain", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (group, pack_id, member_ids, view, full_bytes): a pack closes when it reaches width; the tail is dropped.
 
-    The running sum restarts at each pack, so a group is one ordered task.
+def closings(sizes: np.ndarray, width: int) -> np.ndarray:
+    """For each record that a pack may begin with, the record that closes it; len(sizes) where none does.
+
+    Each record of a pack is followed by one byte, which counts.
+    """
+    ends = np.cumsum(sizes + 1)
+    return np.searchsorted(ends, ends - sizes - 1 + width, "left")
+
+
+def passed(sizes: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(least bytes that come in, closing record, bytes that go on), for all that may come in; 0 bytes: no pack is open.
+
+    Bytes include the one after each record, so that an open pack has at least one.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, ids, data = [], [], b""
-        for k, t in rows.sort_values(key)[[key, text]].itertuples(index=False):
-            data += (b"\n" if data else b"") + (t or "").encode()
-            ids.append(str(k))
-            if len(data) >= width:
-                out.append((rows[group].iloc[0], hashlib.sha256(",".join(ids).encode()).hexdigest(), ids, data[:width], len(data)))
-                ids, data = [], b""
-        return pd.DataFrame(out, columns=["grp", "pack_id", "member_ids", "view", "full_bytes"])
+    n, ends = len(sizes), np.cumsum(sizes + 1)
+    total = int(ends[-1]) if n else 0
+    close = closings(sizes, width)
+    left = np.zeros(n + 1, np.int64)  # bytes that go on if a pack begins with this record
+    for i in range(n - 1, -1, -1):
+        left[i] = left[close[i] + 1] if close[i] < n else total - int(ends[i] - sizes[i] - 1)
+    out = [(0, int(close[0]) if n else 0, int(left[0]) if n else 0)]
+    # a pack with c bytes closes at the first record where c + ends >= width
+    first = int(np.searchsorted(ends, width, "left")) + 1
+    for j in range(min(first, n) - 1, -1, -1):
+        out.append((max(1, width - int(ends[j])), j, int(left[j + 1])))
+    if n and ends[-1] < width - 1:
+        out.insert(1, (1, n, -1))  # stays open: all of it goes on with what came in
+    elif n == 0:
+        out.insert(1, (1, 0, -1))
+    return out
 
+
+def pack_records(df: DataFrame, width: int, group: str = "domain", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (group, pack_id, member_ids, view, full_bytes): a pack closes when it reaches width, each record with a line feed after it; the tail of a group is dropped.
+
+    Null texts are empty records.  Rows of one id and group should not repeat: their order would fall by chance.
+    """
+    keyed = df.select(F.col(group).alias("grp"), F.col(key).alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
+    rows = stored(keyed.repartitionByRange("grp", "k").sortWithinPartitions("grp", "k").withColumn("n", F.monotonically_increasing_id()).withColumn("part", F.shiftright("n", 33)))
     kind = df.schema[group].dataType.simpleString()
-    return df.select(group, key, text).groupBy(group).applyInPandas(run, f"grp {kind}, pack_id string, member_ids array<string>, view binary, full_bytes long").withColumnRenamed("grp", group)
+
+    def tell(part: pa.Table) -> pa.Table:
+        part = part.sort_by("n")
+        steps = passed(part["size"].to_numpy(), width)
+        total = int((part["size"].to_numpy() + 1).sum())
+        least, close, left = (list(c) for c in zip(*steps, strict=True))
+        return pa.table({"grp": part["grp"].slice(0, 1), "part": part["part"].slice(0, 1), "total": [total], "least": [least], "close": [close], "left": [left]})
+
+    told = rows.groupBy("grp", "part").applyInArrow(tell, f"grp {kind}, part long, total long, least array<long>, close array<long>, left array<long>")
+    # a few numbers for each range: what comes in follows from the ranges before
+    comes, state = [], {}
+    for r in sorted(told.collect(), key=lambda r: r["part"]):
+        mine, begun = state.get(r["grp"], (0, -1))
+        comes.append((r["grp"], r["part"], mine, begun))
+        i = max(i for i, least in enumerate(r["least"]) if least <= mine)
+        if r["left"][i] < 0:
+            state[r["grp"]] = (mine + r["total"], begun)
+        else:
+            state[r["grp"]] = (r["left"][i], r["part"] if r["left"][i] else -1)
+    spark = df.sparkSession
+    given = spark.createDataFrame(comes or [], f"grp {kind}, part long, mine long, begun long") if comes else rows.where("false").selectExpr("grp", "part", "0L as mine", "0L as begun")
+
+    def number(part: pa.Table) -> pa.Table:
+        """The pack of each record: the range that it began in, and how many began there before it."""
+        part = part.sort_by("n")
+        sizes, mine, begun = part["size"].to_numpy(), part["mine"][0].as_py(), part["begun"][0].as_py()
+        close, n, at, here = closings(sizes, width), len(sizes), 0, part["part"][0].as_py()
+        began, number, closed = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
+        if mine:
+            end = min(n, int(np.searchsorted(np.cumsum(sizes + 1), width - mine, "left")))
+            began[: end + 1], number[: end + 1], closed[end : end + 1], at = begun, -1, True, end + 1
+        k = 0
+        while at < n:
+            end = int(close[at])
+            began[at : end + 1], number[at : end + 1], closed[end : end + 1] = here, k, True
+            at, k = end + 1, k + 1
+        # the last pack of a range may go on in others, where it has no number
+        if n and not closed[-1]:
+            number[number == number[-1]] = -1
+        return pa.table({"grp": part["grp"], "k": part["k"], "began": began, "number": number, "closed": closed})
+
+    out = rows.join(F.broadcast(given), rows["grp"].eqNullSafe(given["grp"]) & (rows["part"] == given["part"])).select(rows["grp"], rows["part"], "k", "size", "n", "mine", "begun")
+    key_kind = df.schema[key].dataType.simpleString()
+    numbered = out.groupBy("grp", "part").applyInArrow(number, f"grp {kind}, k {key_kind}, began long, number long, closed boolean")
+    texts = df.select(F.col(group).alias("g"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    both = texts.join(numbered, texts["g"].eqNullSafe(numbered["grp"]) & (texts["id"] == numbered["k"]))
+    # a pack has few records: it closes as soon as it reaches the width
+    packs = both.groupBy("grp", "began", "number").agg(F.array_sort(F.collect_list(F.struct("k", "raw"))).alias("m"), F.bool_or("closed").alias("whole")).where("whole")
+    ids = F.transform("m", lambda x: x["k"].cast("string"))
+    joined = F.concat_ws("", F.transform("m", lambda x: F.concat(F.hex(x["raw"]), F.lit("0A"))))
+    packs = packs.select(F.col("grp").alias(group), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("pack_id"), ids.alias("member_ids"), F.unhex(joined).alias("raw"))
+    return packs.select(group, "pack_id", "member_ids", F.substring("raw", 1, width).alias("view"), F.octet_length("raw").cast("long").alias("full_bytes"))
 
 
 def token_blocks(df: DataFrame, tokens: Column, length: int, most: int = 2048) -> DataFrame:

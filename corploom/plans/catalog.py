@@ -394,4 +394,4 @@ def admission_gates(spark, d):
     return cells.agg((F.max("gap") <= 1e-12).alias("joint_ok"), (1 / F.sum("sq") / F.first("t") >= 0.8).alias("ess_ok"), (F.sum("dev") / 2 >= 0.05).alias("tv_ok"))
 
 
-from . import packs, records, results  # noqa: E402, F401  add their queries
+from . import designs, feeds, packs, records, results, studies  # noqa: E402, F401  add their queries

@@ -1,8 +1,27 @@
-"""Views that documents are scored against."""
+import gzip
 
 from corploom.operators import codec
 
 
-def test_target_views(spark):
-    items = spark.createDataFrame([(i, f"text {i}") for i in range(70)], "item_id long, text string")
-    assert codec.target_views(items, "item_id", "text") == [f"text {i}".encode() for i in range(64)]
+def test_first_64_views(spark):
+    rows = spark.createDataFrame([(i, f"view {i}") for i in reversed(range(70))] + [(-1, None)], "item_id long, text string")
+    views = codec.target_views(rows, "item_id", "text")
+    assert views == [f"view {i}".encode() for i in range(64)]
+
+
+def test_sizes():
+    """Sizes are those of whole gzip files and LZ4 frames that state their content's size."""
+    for raw in (b"", b"a", b"abc" * 500, bytes(range(256)) * 9):
+        assert codec.gzip_size(raw) == len(gzip.compress(raw, compresslevel=6, mtime=0))
+    # a frame: 4 magic, 2 flags, 8 content size, 1 checksum, 4 block size, the block, 4 end; an incompressible block is stored
+    import os
+
+    noise = os.urandom(1000)
+    assert codec.lz4_frame_size(noise) == 4 + 2 + 8 + 1 + 4 + 1000 + 4
+
+
+def test_similarity_is_one_less_distance():
+    x, y = b"the same words again " * 20, b"quite other ones here " * 20
+    near, far = (codec.similarity(x, codec.gzip_size(x), v, codec.gzip_size(v)) for v in (x, y))
+    size = lambda b: len(gzip.compress(b, compresslevel=6, mtime=0))
+    assert near == 1 - (size(x + x) - size(x)) / size(x) and near > 0.8 > far

@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from corploom.functions import stats
-from corploom.operators import codec, mixtures, packing
+from corploom.functions import stats, text
+from corploom.operators import codec, mixtures, order, packing, sampling
 
 ROWS = [(0, "0", 0, .1, .8, .0, .5), (1, "0", 0, .2, .7, .0, .6), (2, "0", 0, .3, .6, .0, .65), (3, "0", 4, .4, .5, .0, .7), (4, "0", 4, .5, .4, .0, .75), (5, "0", 4, .6, .3, .0, .8), (6, "2", 4, .7, .2, .0, .85), (7, "2", 4, .8, .1, .0, 1.2)]
 
@@ -68,7 +69,141 @@ def test_statistics(spark):
 def test_packing(spark):
     rows = spark.createDataFrame([(i, "d", chr(97 + i) * 20) for i in range(8)], "doc_id long, domain string, text string")
     packs = packing.pack_records(rows, 64).collect()
-    assert [(len(r["member_ids"]), len(r["view"])) for r in packs] == [(4, 64), (4, 64)]
+    assert sorted((len(r["member_ids"]), len(r["view"]), r["full_bytes"]) for r in packs) == [(4, 64, 84), (4, 64, 84)]
+    tail = packing.pack_records(spark.createDataFrame([(i, "d", "abcdefghij") for i in range(7)], "doc_id long, domain string, text string"), 64).collect()
+    assert [r["member_ids"] for r in tail] == [[str(i) for i in range(6)]]
+
+
+@pytest.mark.parametrize("width", [1, 5, 64, 500, 5000])
+def test_packs_over_many_ranges(spark, width):
+    """Packs are those of one ordered pass, wherever ranges part."""
+    draw = random.Random(width)
+    rows = [(i, draw.choice("ab"), None if draw.random() < 0.05 else "x" * draw.choice([0, 1, 3, 10, 40, 200])) for i in range(500)]
+    want = []
+    for g in "ab":
+        ids, data = [], b""
+        for i, domain, t in rows:
+            if domain == g:
+                data, ids = data + (t or "").encode() + b"\n", [*ids, str(i)]
+                if len(data) >= width:
+                    want.append((g, ids, data[:width], len(data)))
+                    ids, data = [], b""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = packing.pack_records(spark.createDataFrame(rows, "doc_id long, domain string, text string"), width).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r["domain"], r["member_ids"], bytes(r["view"]), r["full_bytes"]) for r in got) == sorted(want)
+
+
+CELLS = dict(domain=[0] * 6 + [1] * 3 + [2] * 3, bucket=[0, 0, 0, 4, 4, 4, 1, 1, 1, 4, 4, 4], score=[.1, .2, .3, .4, .5, -.6, .9, .95, 1., .7, .8, .85], mean_score=[.8, .7, .6, .5, .4, .3, .9, .9, .9, .2, .1, .05])
+
+
+@pytest.fixture(scope="module")
+def twelve(spark):
+    rows = list(zip(range(12), map(str, CELLS["domain"]), CELLS["bucket"], CELLS["score"], CELLS["mean_score"], strict=True))
+    return spark.createDataFrame(rows, "doc_id long, domain string, bucket int, score double, mean_score double").withColumn("wrong", F.lit(0.0)).cache()
+
+
+def test_cells_average_the_clipped_score(twelve):
+    """The target score, clipped at nought, makes a cell's mean; the mean score has no part in it."""
+    got = {(r["domain"], r["bucket"]): (r["mu"], r["z"]) for r in mixtures.cells(twelve).collect()}
+    mu = {("0", 0): .2, ("0", 4): .3, ("1", 1): .95, ("2", 4): 2.35 / 3}
+    mean = sum(mu.values()) / 4
+    sd = math.sqrt(sum((v - mean) ** 2 for v in mu.values()) / 4)
+    assert all(math.isclose(got[k][0], v) and math.isclose(got[k][1], (v - mean) / sd) for k, v in mu.items())
+    tilt, matched = mixtures.cell_tilt(twelve), mixtures.averaged(mixtures.cell_tilt(twelve), "domain")
+    mass = lambda df: {r["domain"]: r["m"] for r in df.groupBy("domain").agg(F.sum("p").alias("m")).collect()}
+    a, b = mass(tilt), mass(matched)
+    assert all(math.isclose(a[k], b[k], abs_tol=1e-12) for k in a)
+
+
+def test_rank_tilt_keeps_joint_mass(twelve):
+    got = mixtures.rank_tilt(twelve).collect()
+    for cell in {(r["domain"], r["bucket"]) for r in got}:
+        p = [r["p"] for r in got if (r["domain"], r["bucket"]) == cell]
+        assert math.isclose(sum(p), len(p) / 12, abs_tol=1e-12) and max(p) / min(p) <= 4 + 1e-9
+
+
+def test_packs_are_inherited(spark):
+    """Bucket prior and wrong target over two packs of two examples; a band that nothing is in is unavailable."""
+    rows = [("a", "0", 0, .7, 3., 1., 0), ("b", "0", 0, .7, 3., 1., 0), ("c", "1", 1, .75, 1., 3., 1), ("d", "1", 1, .75, 1., 3., 1)]
+    df = spark.createDataFrame(rows, "doc_id string, domain string, bucket int, cr double, score double, wrong double, pack int")
+    p = p_of(mixtures.bucket_prior(df, tau=0.0, on_empty="uniform"))
+    assert p == pytest.approx({"a": .375, "b": .375, "c": .125, "d": .125})
+    assert p_of(mixtures.bucket_prior(df, "wrong", 0.0, "uniform")) == pytest.approx({"a": .125, "b": .125, "c": .375, "d": .375})
+    assert set(p_of(mixtures.band(df.withColumn("cr", F.lit(.4)), on_empty="unavailable")).values()) == {0.0}
+    packs = df.groupBy("pack").agg(F.first("domain").alias("domain"), F.first("bucket").alias("bucket"), F.max("score").alias("score"), F.max("wrong").alias("wrong"))
+    dealt = {r["pack"]: r["score"] for r in mixtures.shuffled_packs(df, packs, 1405, ["score"]).select("pack", "score").distinct().collect()}
+    assert sorted(dealt.values()) == [1., 3.]
+
+
+def test_clip_before_the_sum(spark):
+    """Contrasts are clipped pack by pack, then added."""
+    df = spark.createDataFrame([(0, "x", 0, 0., 4.), (1, "x", 0, 3., 1.), (2, "x", 1, 2., 1.)], "doc_id long, domain string, bucket int, score double, wrong double")
+    assert p_of(mixtures.contrastive(df)) == pytest.approx({0: 1 / 3, 1: 1 / 3, 2: 1 / 3})
+    for bad in (float("nan"), -1.0):
+        with pytest.raises(Exception, match="finite"):
+            mixtures.strict_bucket_prior(df.withColumn("score", F.when(F.col("doc_id") == 1, F.lit(bad)).otherwise(F.col("score")))).collect()
+
+
+def test_constant_contrast_is_uniform(spark):
+    rows = [(i, str(i % 3), i % 4, i // 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, bucket int, pack int").withColumns({"domain": (F.col("pack") % 3).cast("string"), "bucket": F.col("pack") % 4})
+    packs = df.select("pack", "domain", "bucket").distinct().withColumns({"score": F.lit(.5), "wrong": F.lit(.2)})
+    assert all(math.isclose(p, 1 / 60) for p in p_of(mixtures.pack_rank(df, packs)).values())
+    tilted = packs.withColumn("score", F.rand(3))
+    for seed in (None, 1707):
+        got = mixtures.pack_rank(df, tilted, seed=seed).collect()
+        for cell in {(r["domain"], r["bucket"]) for r in got}:
+            mine = [r["p"] for r in got if (r["domain"], r["bucket"]) == cell]
+            assert math.isclose(sum(mine), len(mine) / 60, abs_tol=1e-12)
+
+
+def test_order(spark):
+    """Places, running sums and ranks are those of one sorted list."""
+    draw = random.Random(4)
+    rows = [(i, draw.choice("xyz"), draw.randint(0, 5) / 2, draw.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, w double")
+    want = sorted(rows, key=lambda r: (r[3], r[0]))
+    got = sorted(order.placed(df, [F.col("w"), F.col("id")], "place", F.col("v"), "before").collect(), key=lambda r: r["place"])
+    assert [r["id"] for r in got] == [r[0] for r in want] and [r["place"] for r in got] == list(range(300))
+    assert all(math.isclose(r["before"], sum(x[2] for x in want[:i]), abs_tol=1e-9) for i, r in enumerate(got))
+    inside = {r["id"]: r["place"] for r in order.placed_within(df, ["g"], [F.col("w"), F.col("id")]).collect()}
+    assert all(inside[r[0]] == sum(x[1] == r[1] for x in want[: want.index(r)]) for r in rows)
+    ranks = {r["id"]: r["rank"] for r in order.ranked(df, ["g"], "v").collect()}
+    for i, g, v, _ in rows:
+        mine = sorted(x[2] for x in rows if x[1] == g)
+        assert ranks[i] == mine.index(v) + (mine.count(v) + 1) / 2
+
+
+def test_draw(spark):
+    """Slots fall where the summed probabilities say."""
+    p = [0.0, 0.5, 0.1, 0.0, 0.4]
+    df = spark.createDataFrame(list(enumerate(p)), "doc_id long, p double")
+    slots = spark.createDataFrame([(u,) for u in (0.0, 0.49, 0.5, 0.59, 0.61, 0.999)], "u double")
+    assert sorted((r["u"], r["doc_id"]) for r in sampling.draw(df, slots, 4).collect()) == [(0.0, 1), (0.49, 1), (0.5, 2), (0.59, 2), (0.61, 4), (0.999, 4)]
+
+
+def test_intervals_and_text(spark):
+    rows = spark.createDataFrame([(2, .3, .0), (3, .3, .0), (3, None, None)], "n int, mean double, sd double")
+    half = stats.interval_half(F.col("n"), F.col("sd"))
+    assert [r[0] for r in rows.select(half).collect()] == [None, 0.0, None]
+    assert [r[0] for r in rows.select(text.interval_text(F.col("mean"), half, "%.1f")).collect()] == ["0.3", "0.3 [0.3, 0.3]", "n/a"]
+
+
+def test_capacity(spark):
+    """The best share of a target that a prior over buckets can reach."""
+    rows = spark.createDataFrame([(0, 6462, 27440), (1, 15292 - 6462, 103123 - 27440)], "bucket int, hits int, n int")
+    row = rows.agg(F.max(F.col("hits") / F.col("n")).alias("bound"), (F.sum("hits") / F.sum("n")).alias("share")).first()
+    assert math.isclose(row["bound"], .235496, abs_tol=1e-6) and math.isclose(row["share"], .148289, abs_tol=1e-6)
+
+
+def test_byte_prefix(spark):
+    """The first bytes without a character cut in two, at every width."""
+    t = "aé日\U0001f600b" * 3
+    row = spark.createDataFrame([(t,)], "t string").select(*[text.byte_prefix(F.col("t"), n).alias(f"w{n}") for n in range(1, 34)]).first()
+    assert all(row[f"w{n}"] == t.encode()[:n].decode("utf-8", "ignore") for n in range(1, 34))
 
 
 def test_codec(spark):
