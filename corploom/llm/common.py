@@ -8,40 +8,33 @@ occurrence, so that a key which fills a third of all rows costs one entry per bl
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import pickle
-import tempfile
-import uuid
+import resource
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-BLOCK_BYTES = 16 << 20
-WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # fixed values: ASCII white space
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..sources.io import stored, table  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corploom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+BLOCK_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
+LOWERED = np.array([c | 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64)
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # fixed values: ASCII white space
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/corploom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, or with as many underscores as make it a name that no column has."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
@@ -50,66 +43,72 @@ def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> i
     return max(1, math.ceil(((row["b"] or 0) + 64 * row["n"]) / block_bytes))
 
 
-def dealt(docs: DataFrame, n: int, key: list[Column]) -> DataFrame:
-    """Rows with a column `block` from 0 to n-1, those of a block in one partition."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).repartition(n, "block")
+def dealt(docs: DataFrame, n: int, key: Column) -> DataFrame:
+    """Rows (block, rows): blocks 0 to n-1 by a hash of key, those of a block in one partition.
 
+    Rows travel as compressed parcels, one for each block that a slice of the input has rows of; `opened`
+    gives them back.  Which rows a block has hangs on the key alone, not on how the input came.
+    """
+    names = docs.columns
 
-def pack(columns: dict[str, pa.Array]) -> bytes:
-    """Arrow columns as one compressed blob."""
-    batch = pa.record_batch(columns)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    def parcels(batches):
+        for batch in slices(batches, 16 * SLICE_BYTES):
+            to = batch.column(len(names)).to_numpy()
+            order = np.argsort(to, kind="stable")
+            ids, starts = np.unique(to[order], return_index=True)
+            columns = [batch.column(c).take(pa.array(order)).to_pylist() for c in range(len(names))]
+            blobs = [squeezed(pickle.dumps([c[a:b] for c in columns], 5)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["block", "rows"])
 
+    return docs.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).mapInArrow(parcels, "block int, rows binary").repartition(n, "block")
 
-def unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
 
+def opened(block: pa.Table, types: dict[str, pa.DataType]) -> pa.Table:
+    """The rows of a block's parcels, in any order."""
+    columns: list[list] = [[] for _ in types]
+    for blob in block["rows"]:
+        for c, more in zip(columns, pickle.loads(loose(blob.as_py())), strict=True):
+            c += more
+    return pa.table({name: pa.array(c, t) for (name, t), c in zip(types.items(), columns, strict=True)})
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Number arrays of several types as one compressed blob."""
-    return pickle.dumps([(a.dtype.str, len(a), pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)) for a in arrays])
 
+def arrow_type(kind: DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def unpack_arrays(blob: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True) if n else b"", kind) for kind, n, data in pickle.loads(blob)]
+    return to_arrow_type(kind)
 
 
-def pack_words(words: pa.Array, level: int = 9) -> bytes:
-    """Words as compressed bytes and lengths of as few bytes as hold them."""
-    words = words.cast(pa.large_binary())
-    data = b"".join(words.to_pylist())
-    sizes = np.fromiter((len(w) for w in words.to_pylist()), np.uint32, len(words))
-    codec = pa.Codec("zstd", compression_level=level)
-    if not len(sizes) or sizes.max() < 256:
-        sizes = sizes.astype(np.uint8)
-    squeeze = lambda b: codec.compress(b, asbytes=True)
-    return pickle.dumps((len(sizes), sizes.dtype.str, squeeze(sizes.tobytes()), len(data), squeeze(data)))
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def unpack_words(blob: bytes) -> pa.Array:
-    n, kind, sizes, length, data = pickle.loads(blob)
-    loose = lambda b, size: pa.decompress(b, decompressed_size=size, codec="zstd") if size else pa.py_buffer(b"")
-    at = spans(np.frombuffer(loose(sizes, n * np.dtype(kind).itemsize), kind))
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(at.tobytes()), loose(data, length)).cast(pa.string())
+def loose(blob: bytes) -> bytes:
+    n = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b""
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct uint64 keys as compressed differences, bytes of one weight together."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(keys).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+def slices(batches, most: int = SLICE_BYTES):
+    """Arrow batches cut so that each has about `most` bytes, one row at least."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+        a = 0
+        while a < batch.num_rows:
+            part = batch.slice(a, rows)
+            while part.num_rows > 1 and part.nbytes > 2 * most:  # long rows lie together
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            a += part.num_rows
 
 
-def unpack_keys(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    if n == 0:
-        return np.empty(0, np.uint64)
-    planes = pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    steps = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+def relaxed(table: pa.Table, most: int = 350 << 20) -> pa.Table:
+    """table; what a group of rows needed on the way goes back to the system where a worker holds much, since workers live on."""
+    with contextlib.suppress(OSError, AttributeError, ValueError):
+        with open("/proc/self/statm") as f:
+            resident = int(f.read().split()[1]) * resource.getpagesize()
+        if resident > most:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+    return table
 
 
 def spans(lengths: np.ndarray) -> np.ndarray:
@@ -188,15 +187,58 @@ def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     return words, spans(first)[at]
 
 
-def word_keys(words: pa.Array, memo: dict[str, int] | None = None) -> np.ndarray:
-    """A 64-bit key per word; each distinct word is hashed once."""
-    import pyarrow.compute as pc
-    import xxhash
+@lru_cache(1)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and those of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    out = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        every = np.full(1 << bits, factor, np.uint64)
+        every[0] = 1
+        out.append(np.cumprod(every, dtype=np.uint64))
+    return out[0], out[1]
 
-    coded = one(pc.dictionary_encode(words))
-    digest = xxhash.xxh3_64_intdigest
-    keys = np.fromiter((digest(w.encode()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return keys[coded.indices.to_numpy(zero_copy_only=False)]
+
+def word_edges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, where words between the six ASCII white-space characters begin and end, and offsets of words per text."""
+    texts = one(texts).cast(pa.large_string())
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)
+    at = at - at[0]
+    full = ~WHITE[raw]
+    begin, end = full.copy(), full.copy()
+    begin[1:] &= ~full[:-1]
+    end[:-1] &= ~full[1:]
+    inner = at[(at > 0) & (at < len(raw))]  # a word ends with its text
+    begin[inner] = full[inner]
+    end[inner - 1] = full[inner - 1]
+    begins, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return raw, begins, ends, np.searchsorted(begins, at)
+
+
+def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key for each word between the six ASCII white-space characters, A-Z lowered; and offsets per text.
+
+    A word's key is a polynomial of its bytes modulo 2**64, taken as the difference of two running
+    sums and shifted to the word's begin, and its length, mixed: no word is ever laid out.
+    """
+    raw, begins, ends, offsets = word_edges(texts)
+    step, keys = 1 << 20, [np.empty(0, np.uint64)]
+    a = 0
+    while a < len(begins):
+        # a stretch of about `step` bytes; one word, however long, is in one
+        b = max(a + 1, int(np.searchsorted(ends, begins[a] + step, "right")))
+        low, high = begins[a], ends[b - 1]
+        up, down = powers(max(20, int(high - low).bit_length()))
+        part = LOWERED[raw[low:high]]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], dtype=np.uint64, out=sums[1:])
+            x, y = begins[a:b] - low, ends[a:b] - low
+            keys.append(mixed((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        a = b
+    return np.concatenate(keys), offsets
 
 
 def shingles(keys: np.ndarray, k: int) -> np.ndarray:
