@@ -1,33 +1,33 @@
 """Byte-level BPE over a corpus by way of a distinct-word table.
 
-Texts are cut into words by a JVM regular expression.  Blocks of documents send each of
-their distinct words once to the word's bucket; a bucket encodes each of its distinct
-words once and answers every block; the block joins ids back by position.  Decoding joins
-the ids of a batch with the id-to-piece table, which the tokenizer file bounds.
-
-Null texts count as empty; empty texts have no ids; repeated rows are encoded each;
-columns other than id and text are ignored, whatever their names.
+Texts are cut into words where the tokenizer's own pre-tokenizer cuts them: its rule, over classes of
+characters (letter, number, white space, other) that are asked of the tokenizer itself, so
+that both know the same Unicode.  Blocks of documents send each of their distinct words once
+to the word's bucket; a bucket encodes each of its distinct words once and answers every
+block; the block joins ids back by position.  Decoding joins the ids of a batch with the
+id-to-piece table, which the tokenizer file bounds.
+
+Null texts count as empty; empty texts have no ids; an empty table gives an empty one; repeated rows are
+encoded each; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import zlib
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, dealt, flat, laid_out, one, pack_arrays, pack_words, spans, unpack_arrays, unpack_words
+from .common import BLOCK_BYTES, arrow_type, block_count, dealt, flat, laid_out, one, opened, relaxed, slices, spans
+from .shared import FAN, answers_of, exchange, merging_words, word_items
 
-# Fixed value: white space as Unicode has it, for a Java character class.
-SPACE = r"\t\n\x0B\f\r \x85   -     　"
-# Fixed value: the published pattern of the byte-level vocabulary, its \s spelt out.
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+LETTER, NUMBER, WHITE, OTHER, UNKNOWN = range(5)
 
 
 @lru_cache(4)
@@ -54,96 +54,129 @@ def piece_table(path: str) -> pa.Table:
     return pa.table({"id": pa.array([i for i, _ in pairs], pa.int32()), "piece": pa.array([p for _, p in pairs], pa.binary())})
 
 
-def split_words(text: Column, special: tuple[str, ...]) -> Column:
-    """Words of a text in order; special tokens, found first, are words of their own."""
-    text = F.coalesce(text, F.lit(""))
-    plain = lambda t: F.regexp_extract_all(t, F.lit(WORDS), F.lit(0))
-    if not special:
-        return plain(text)
-    either = "|".join(r"\Q" + s + r"\E" for s in special)
-    parts = F.flatten(F.transform(F.split(text, either, -1), lambda s: F.concat(plain(s), F.array(F.lit(None).cast("string")))))
-    marks = F.regexp_extract_all(text, F.lit(either), F.lit(0))
-    # the null after the k-th part stands for the k-th special token; the last stands for none
-    rank = F.aggregate(
-        parts,
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("k")),
-        lambda a, w: F.struct(F.concat(a["out"], F.array(F.coalesce(w, F.get(marks, a["k"])))).alias("out"), (a["k"] + w.isNull().cast("int")).alias("k")),
-        lambda a: F.filter(a["out"], lambda w: w.isNotNull()),
-    )
-    some = F.lit(False)
-    for s in special:
-        some = some | F.contains(text, F.lit(s))
-    return F.when(some, rank).otherwise(plain(text))
+@lru_cache(2)
+def class_table(path: str) -> np.ndarray:
+    return np.full(0x110000, UNKNOWN, np.uint8)
+
+
+def classes(points: np.ndarray, path: str) -> np.ndarray:
+    """The class of each code point; those not met before are asked of the tokenizer's pre-tokenizer."""
+    table = class_table(path)
+    found = table[points]
+    if (found == UNKNOWN).any():
+        new = np.unique(points[found == UNKNOWN]).tolist()
+        cut = loaded(path).pre_tokenizer.pre_tokenize_str
+        table[new] = WHITE
+        for kind, lead in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+            # the character goes on the word that its class has begun, or begins another
+            begins = {at for _, (at, _) in cut("".join(f"\n{lead}{chr(c)}" for c in new))}
+            table[[c for i, c in enumerate(new) if 3 * i + 2 not in begins]] = kind
+        found = table[points]
+    return found
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def split_words(texts: list[str], path: str) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in order, as bytes, and offsets per text; special tokens, found first, are words of their own.
+
+    Runs of one class are words.  One space goes with the run after it; of other white space before a run the
+    last character stands alone.  's, 't, 'm, 'd, 're, 've and 'll are words where an apostrophe starts one.
+    """
+    special = special_tokens(path)
+    parts, marks, pieces = texts, np.zeros(len(texts), bool), np.ones(len(texts), np.int64)
+    if special and any(s in t for t in texts for s in special):
+        either = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+        cut = [[(p, k % 2) for k, p in enumerate(either.split(t))] for t in texts]
+        parts, pieces = [p for c in cut for p, _ in c], np.array([len(c) for c in cut], np.int64)
+        marks = np.array([m for c in cut for _, m in c], bool)
+    text = "".join(parts)
+    raw = text.encode("utf-32-le")
+    points = np.frombuffer(raw, np.uint32)
+    n = len(points)
+    edges = spans(np.fromiter((len(p) for p in parts), np.int64, len(parts)))
+    if n:
+        kind = classes(points, path)
+        first = np.zeros(n + 1, bool)  # of a part
+        first[edges] = True
+        run = first[:n].copy()
+        run[1:] |= kind[1:] != kind[:-1]
+        start = run.copy()
+        # white space before another run of its part
+        end = np.flatnonzero(run[1:] & ~first[1:n] & (kind[:-1] == WHITE)) + 1
+        start[end - 1] = True
+        start[end[points[end - 1] == 32]] = False
+        mark = np.flatnonzero((points == 39) & run & start)
+        if len(mark):
+            padded = np.concatenate([points, np.zeros(3, np.uint32)])
+            inside = lambda k: (mark + k <= n) & ~np.add.reduce([first[np.minimum(mark + j, n)] for j in range(1, k)], dtype=bool)
+            a, b = padded[mark + 1], padded[mark + 2]
+            short = np.isin(a, [ord(c) for c in "stmd"]) & inside(2)
+            long = ((((a == ord("r")) | (a == ord("v"))) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))) & inside(3)
+            start[mark[short | long] + 1] = False
+            rest = np.concatenate([mark[short] + 2, mark[long] + 3])
+            start[rest[rest < n]] = True
+        for i in np.flatnonzero(marks).tolist():
+            start[edges[i] : edges[i + 1]] = False
+            start[edges[i]] = True
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        at = spans(width)
+        offsets = np.append(at[:-1][start], at[-1])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.encode())])
+        return words, spans(start)[edges][spans(pieces)]
+    return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, np.int64)
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """Rows (id, ids array<int>), one for each row of docs."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = block_count(docs, "text", block_bytes)
+    buckets = max(1, n // 3)
     id_type = docs.schema["id"].dataType.simpleString()
-    cut = dealt(docs, n, [F.col("id"), F.col("text")]).select("block", "id", split_words(F.col("text"), special_tokens(tokenizer)).alias("words"))
-
-    def by_bucket(known: pa.Array) -> tuple[pa.Array, list[tuple[int, int, int]]]:
-        """Distinct words in an order that block and bucket agree on, and each bucket's part."""
-        known = known.take(pc.array_sort_indices(known))
-        to = np.fromiter((zlib.crc32(w.encode()) % n for w in known.to_pylist()), np.int32, len(known))
-        order = np.argsort(to, kind="stable")
-        buckets, starts = np.unique(to[order], return_index=True)
-        return known.take(pa.array(order)), list(zip(buckets.tolist(), starts.tolist(), [*starts[1:].tolist(), len(to)], strict=True))
+    types = {"id": arrow_type(docs.schema["id"].dataType), "text": pa.large_string()}
+    blocks = dealt(docs, n, F.xxhash64("id", "text"))
+
+    def coded(block: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray, np.ndarray]:
+        """The rows, their distinct words, the word at each place, and offsets per row."""
+        rows = opened(block, types)
+        lists, counts = [pa.array([], pa.large_binary())], [np.zeros(1, np.int64)]
+        for part in slices(rows.select(["text"]).combine_chunks().to_batches()):
+            words, at = split_words([t or "" for t in part.column(0).to_pylist()], tokenizer)
+            lists.append(words)
+            counts.append(np.diff(at))
+        every = one(pa.chunked_array(lists).combine_chunks().dictionary_encode())
+        return rows, every.dictionary, every.indices.to_numpy(), spans(np.concatenate(counts)[1:])
 
     def tell(block: pa.Table) -> pa.Table:
-        words, _ = flat(block["words"])
-        known, parts = by_bucket(words.unique())
-        return pa.table({
-            "bucket": pa.array([k for k, _, _ in parts], pa.int32()),
-            "block": pa.array([block["block"][0].as_py()] * len(parts), pa.int32()),
-            "blob": pa.array([pack_words(known.slice(a, b - a)) for _, a, b in parts], pa.binary()),
-        })
-
-    def answer(asked: pa.Table) -> pa.Table:
+        return word_items(coded(block)[1], buckets)[0]
+
+    def solve(items: pa.Table) -> pa.Table:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        lists = [unpack_words(b.as_py()) for b in asked["blob"]]
-        coded = pa.concat_arrays(lists).dictionary_encode()
-        tok = loaded(tokenizer)
+        tok, words = loaded(tokenizer), one(items["word"])
         narrow = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.int32
-        ids, lengths = [np.empty(0, narrow)], np.zeros(len(coded.dictionary), np.int64)
-        for a in range(0, len(coded.dictionary), 10_000):
-            for i, e in enumerate(tok.encode_batch_fast(coded.dictionary.slice(a, 10_000).to_pylist(), add_special_tokens=False)):
+        ids, lengths = [np.empty(0, narrow)], np.zeros(len(words), np.int64)
+        for a in range(0, len(words), 10_000):
+            for i, e in enumerate(tok.encode_batch_fast([w.decode() for w in words.slice(a, 10_000).to_pylist()], add_special_tokens=False)):
                 ids.append(np.array(e.ids, narrow))
                 lengths[a + i] = len(ids[-1])
-        values, at = np.concatenate(ids), spans(lengths)
-        out, begin = [], 0
-        for words in lists:
-            which = coded.indices.slice(begin, len(words)).to_numpy()
-            begin += len(words)
-            # the block lays its words in the same order: only lengths and ids go back
-            out.append(pack_arrays(lengths[which].astype(np.uint32), laid_out(values, at, which)))
-        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "blob": pa.array(out, pa.binary())})
+        return pa.table({"ids": pa.ListArray.from_arrays(pa.array(spans(lengths), pa.int32()), pa.array(np.concatenate(ids)))})
 
     def join_back(block: pa.Table, told: pa.Table) -> pa.Table:
-        words, at = flat(block["words"])
-        coded = one(words.dictionary_encode())
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary
-        del words, coded
-        known, parts = by_bucket(distinct)
-        blob_of = dict(zip(told["bucket"].to_pylist(), told["blob"], strict=True))
-        if len(blob_of) != len(parts):
-            raise RuntimeError("a bucket has not answered")
-        answers = [unpack_arrays(blob_of[k].as_py()) for k, _, _ in parts]
-        lengths = np.concatenate([np.empty(0, np.int64), *(a for a, _ in answers)]).astype(np.int64)
-        values = np.concatenate([np.empty(0, np.int32), *(b for _, b in answers)]).astype(np.int32)
-        which = pc.index_in(distinct, value_set=known).to_numpy(zero_copy_only=False).astype(np.int32)[codes]
-        ids = laid_out(values, spans(lengths), which)
-        size = spans(lengths[which])
-        return pa.table({"id": block["id"], "ids": pa.ListArray.from_arrays(pa.array(size[at], pa.int32()), pa.array(ids))})
-
-    asked = cut.groupBy("block").applyInArrow(tell, "bucket int, block int, blob binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, blob binary")
-    both = cut.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join_back, f"id {id_type}, ids array<int>")
+        rows, known, codes, at = coded(block)
+        _, place = word_items(known, buckets)
+        answers = answers_of(told, len(known))
+        if not len(known):
+            return pa.table({"id": rows["id"], "ids": pa.array([[]] * rows.num_rows, pa.list_(pa.int32()))})
+        values, begins = flat(answers["ids"])
+        which = place[codes]
+        ids = laid_out(values.to_numpy().astype(np.int32), begins, which)
+        size = spans(np.diff(begins)[which])
+        return relaxed(pa.table({"id": rows["id"], "ids": pa.ListArray.from_arrays(pa.array(size[at], pa.int32()), pa.array(ids))}))
+
+    told = exchange(blocks, tell, merging_words(buckets), solve, n, buckets, fan=fan)
+    both = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join_back, f"id {id_type}, ids array<int>")
     return both.withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded", slice_docs: int = 500) -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with one more column, the text of its ids; bytes that are no UTF-8 become U+FFFD.
 
     Every batch joins its distinct ids with the id-to-piece table (as many rows as the
@@ -156,7 +189,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: st
 
     def texts(batches):
         pieces = piece_table(tokenizer)
-        for batch in (b.slice(a, slice_docs) for b in batches for a in range(0, b.num_rows, slice_docs)):
+        for batch in slices(batches):
             ids, at = flat(batch.column(ids_col))
             seen = pa.table({"id": ids.cast(pa.int32())}).group_by("id").aggregate([]).append_column("row", pa.nulls(0, pa.int32()) if not len(ids) else pa.array(range(len(pc.unique(ids))), pa.int32()))
             joined = seen.join(pieces, "id", join_type="left outer").sort_by("row")
