@@ -9,22 +9,23 @@ N training tokens and V kinds it weighs c / (N + V), the pieces' segmentations V
 Corpus counts of words give the base score beside it.
 
 Words are A-Z lowered runs between ASCII white space.  Null and empty texts have the end
-alone.  A character that no piece holds is spelt by its bytes.  Repeated rows count each.
+alone.  A character that no piece holds is spelt by its bytes.  Repeated rows count each.  An
+empty table gives an empty one; with nothing to learn from, pieces alone score.  Columns other
+than id and text matter only as far as learned_from reads them.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, ascii_words, block_count, dealt, one, pack, spans, stored, strings, unpack
+from .common import BLOCK_BYTES, arrow_type, ascii_words, block_count, dealt, one, opened, relaxed, stored, strings
+from .shared import FAN, answers_of, exchange, merging_words, word_items
 
 
 @lru_cache(2)
@@ -66,72 +67,59 @@ def word_log_probability(word: str, path: str) -> float:
     return most + log(sum([exp(t - most) for t in terms]))
 
 
-def score(docs: DataFrame, vocabulary: str, learned_from: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, learned_from: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score).
 
     learned_from marks the rows of docs whose words are counted.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learned_from, F.lit(False)).alias("learn"))
     n = block_count(docs, "text", block_bytes)
+    buckets = max(1, n // 3)
     id_type = docs.schema["id"].dataType.simpleString()
-    cut = dealt(docs, n, [F.col("id"), F.col("text")]).select("block", "id", "text", "learn")
+    types = {"id": arrow_type(docs.schema["id"].dataType), "text": pa.large_string(), "learn": pa.bool_()}
+    blocks = dealt(docs, n, F.xxhash64("id", "text"))
     ends = docs.where("learn").count()
 
+    def coded(block: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray, np.ndarray]:
+        """The rows, their distinct words, the word at each place, and offsets per row."""
+        rows = opened(block, types)
+        words, at = ascii_words(strings(rows["text"]))
+        every = one(words.cast(pa.large_binary()).dictionary_encode())
+        return rows, every.dictionary, every.indices.to_numpy(), at
+
     def tell(block: pa.Table) -> pa.Table:
-        words, at = ascii_words(strings(block["text"]))
-        coded = one(words.dictionary_encode())
-        learn = np.repeat(one(block["learn"]).to_numpy(zero_copy_only=False), np.diff(at))
-        counts = np.bincount(coded.indices.to_numpy()[learn], minlength=len(coded.dictionary))
-        to = np.fromiter((zlib.crc32(w.encode()) % n for w in coded.dictionary.to_pylist()), np.int32, len(counts))
-        order = np.argsort(to, kind="stable")
-        known, counts, to = coded.dictionary.take(pa.array(order)), counts[order], to[order]
-        buckets, starts = np.unique(to, return_index=True)
-        stops = [*starts[1:].tolist(), len(to)]
-        blobs = [pack({"word": known.slice(a, b - a), "n": pa.array(counts[a:b])}) for a, b in zip(starts.tolist(), stops, strict=True)]
-        return pa.table({"bucket": pa.array(buckets, pa.int32()), "block": pa.array([block["block"][0].as_py()] * len(buckets), pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    def answer(asked: pa.Table) -> pa.Table:
-        lists = [unpack(b.as_py()) for b in asked["blob"]]
-        coded = pa.concat_arrays([one(t["word"]) for t in lists]).dictionary_encode()
-        codes = coded.indices.to_numpy()
-        counts = np.bincount(codes, np.concatenate([t["n"].to_numpy() for t in lists]), len(coded.dictionary)).astype(np.int64)
-        logs = np.array([word_log_probability(w, vocabulary) for w in coded.dictionary.to_pylist()])
-        out, begin = [], 0
-        for t in lists:
-            which = codes[begin : begin + t.num_rows]
-            begin += t.num_rows
-            out.append(pack({"word": one(t["word"]), "n": pa.array(counts[which]), "log": pa.array(logs[which])}))
-        first = [1] + [0] * (len(out) - 1)
-        return pa.table({
-            "block": asked["block"], "blob": pa.array(out, pa.binary()),
-            "kinds": pa.array([int((counts > 0).sum()) * f for f in first], pa.int64()), "tokens": pa.array([int(counts.sum()) * f for f in first], pa.int64()),
-        })
+        rows, known, codes, at = coded(block)
+        learn = np.repeat(one(rows["learn"]).to_numpy(zero_copy_only=False), np.diff(at))
+        counts = np.bincount(codes[learn], minlength=len(known))
+        return word_items(known, buckets, counts)[0]
+
+    def solve(items: pa.Table) -> tuple[pa.Table, list[int]]:
+        """Counts and log probabilities; of the bucket, how many kinds and tokens were learned from."""
+        counts = items["n"].to_numpy()
+        logs = [word_log_probability(w.decode(), vocabulary) for w in items["word"].to_pylist()]
+        return pa.table({"n": pa.array(counts), "log": pa.array(logs, pa.float64())}), [int((counts > 0).sum()), int(counts.sum())]
 
     def join_back(block: pa.Table, told: pa.Table) -> pa.Table:
-        words, at = ascii_words(strings(block["text"]))
-        coded = one(words.dictionary_encode())
+        rows, known, codes, at = coded(block)
+        _, place = word_items(known, buckets)
+        answers = answers_of(told, len(known))
         size = len(at) - 1
         doc = np.repeat(np.arange(size), np.diff(at))
-        if len(words):
-            table = pa.concat_tables([unpack(b.as_py()) for b in told["blob"]])
-            found = pc.index_in(coded.dictionary, value_set=one(table["word"]))
-            if found.null_count:
-                raise RuntimeError("a word of the block has no count")
-            which = found.to_numpy()[coded.indices.to_numpy()]
-            counts = table["n"].to_numpy()[which]
-            logs = np.logaddexp(np.log(counts, where=counts > 0, out=np.full(len(counts), -np.inf)), math.log(max(kinds, 1)) + table["log"].to_numpy()[which])
+        if len(codes):
+            counts, logs = answers["n"].to_numpy(), answers["log"].to_numpy()
+            logs = np.logaddexp(np.log(counts, where=counts > 0, out=np.full(len(counts), -np.inf)), math.log(max(kinds, 1)) + logs)[place[codes]]
+            counts = counts[place[codes]]
         else:
             counts, logs = np.zeros(0), np.zeros(0)
-        return pa.table({
-            "id": block["id"], "n_words": pa.array(np.diff(at)), "known": pa.array(np.bincount(doc, counts > 0, size).astype(np.int64)),
+        return relaxed(pa.table({
+            "id": rows["id"], "n_words": pa.array(np.diff(at)), "known": pa.array(np.bincount(doc, counts > 0, size).astype(np.int64)),
             "logs": pa.array(np.bincount(doc, np.log10(counts + 1.0), size)), "model": pa.array(np.bincount(doc, logs, size)),
-        })
+        }))
 
-    asked = cut.groupBy("block").applyInArrow(tell, "bucket int, block int, blob binary")
-    told = stored(asked.groupBy("bucket").applyInArrow(answer, "block int, blob binary, kinds long, tokens long"))
-    sums = told.agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).first()
+    told = stored(exchange(blocks, tell, merging_words(buckets), solve, n, buckets, fan=fan))
+    sums = told.agg(*[F.sum(F.get("notes", F.lit(i))).alias(c) for i, c in enumerate(("kinds", "tokens"))]).first()
     tokens, kinds = (sums["tokens"] or 0) + ends, (sums["kinds"] or 0) + (ends > 0)
-    joined = cut.groupBy("block").cogroup(told.select("block", "blob").groupBy("block")).applyInArrow(join_back, f"id {id_type}, n_words long, known long, logs double, model double")
+    joined = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join_back, f"id {id_type}, n_words long, known long, logs double, model double")
     end = math.log(ends + max(kinds, 1) * math.exp(piece_weights(vocabulary)[3]))
     return joined.select(
         F.col("id").alias(id_col),
