@@ -8,12 +8,13 @@ whose pivot is at most 2 eps further than its nearest (the triangle inequality:
 end cannot lie elsewhere), and a region joins by itself, or splits again.  What a pivot settles
 (all within eps of it are linked through it) is not compared again.
 
-Blocks beyond max_region texts are split across the cluster, by the same rule, before any
-task holds them.  Copies of one set count once.
+Blocks beyond max_region texts are split across the cluster, by the same rule and until none
+is left that splitting makes smaller, before any task holds them.  Equal texts count once.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing.  Fewer
 than k words make one shingle.  Null ids and repeated ids: ids are taken as keys, rows of one
-id with equal text are one node, and null ids come back as their own group.
+id with equal text are one node, and null ids come back as their own group.  An empty table gives an
+empty one; ties in rank fall by hash; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, ascii_words, block_count, mixed, one, shingles, stored, strings, word_keys
+from .common import BLOCK_BYTES, block_count, dealt, mixed, one, opened, relaxed, shingles, slices, stored, strings, word_keys
 from .components import components
-from .shared import KEY_BITS, key_counts, shared_counts
+from .shared import FAN, KEY_BITS, counted, key_counts
 
 
 def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingle keys."""
-    words, at = ascii_words(strings(texts))
-    keys = word_keys(words)
+    keys, at = word_keys(strings(texts))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         out.append(np.unique(shingles(keys[a:b], min(k, b - a))) if b > a else np.empty(0, np.uint64))
@@ -137,33 +137,32 @@ class Region:
                         self.compare(p, close)
 
 
-def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_region: int = 20_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_region: int = 20_000, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """Rows (id, n_shingles, component_id), one for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = block_count(docs, "text", block_bytes)
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    blocks = docs.withColumn("block", F.when(F.col("id").isNull(), of("text")).otherwise(of("id"))).repartition(n, "block")
+    blocks = dealt(docs, n, F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")))
+    types = {"id": pa.int64(), "text": pa.large_string()}
 
     # equal texts are one text: all but the least id stand aside until the end
     hashed = docs.where("id is not null and text is not null").select("id", F.xxhash64(F.lit(1), "text").alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2"))
     same = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").select("h1", "h2", "rep")
     copies = stored(hashed.join(same, ["h1", "h2"]).where("id <> rep").select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep")))
-    aside = copies.select(of("id").alias("block"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "id")
+    aside = copies.select(F.pmod(F.xxhash64(F.xxhash64("id")), F.lit(n)).cast("int").alias("block"), F.lit(-1).cast("long").alias("node"), F.lit(None).cast("binary").alias("blob"), "id")
 
-    def own_sets(block: pa.Table, more: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        ids = one(block["id"])
+    def own_sets(block: pa.Table, more: pa.Table) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+        rows = opened(block, types)
+        ids = one(rows["id"])
         out = ~np.isin(ids.fill_null(0).to_numpy(), more["id"].drop_null().to_numpy())
-        own = out & ids.is_valid().to_numpy(zero_copy_only=False)
-        return ids.fill_null(0).to_numpy(), sets_of(block["text"], k), own
+        return ids, sets_of(rows["text"], k), out & ids.is_valid().to_numpy(zero_copy_only=False)
 
-    def keyed(ids: np.ndarray, sets: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keyed(ids: pa.Array, sets: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mine = [s if o else s[:0] for s, o in zip(sets, own.tolist(), strict=True)]
-        return np.concatenate([np.empty(0, np.uint64), *mine]) >> np.uint64(64 - KEY_BITS), np.repeat(ids, [len(s) for s in mine])
+        return np.concatenate([np.empty(0, np.uint64), *mine]) >> np.uint64(64 - KEY_BITS), np.repeat(ids.fill_null(0).to_numpy(), [len(s) for s in mine])
 
     def pivots(block: pa.Table, told: pa.Table) -> pa.Table:
-        bits = told.filter(pc.greater_equal(told["bucket"], 0))
         ids, sets, own = own_sets(block, told)
-        known, counts = key_counts(*keyed(ids, sets, own), dict(zip(bits["bucket"].to_pylist(), bits["blob"].to_pylist(), strict=True)), n)
+        known, counts = key_counts(*keyed(ids, sets, own), told.filter(pc.greater_equal(told["node"], 0)))
         prefixes = []
         for s, o in zip(sets, own.tolist(), strict=True):
             if not o or not len(s):
@@ -178,10 +177,10 @@ def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: s
             prefixes.append(s[order][rank[order] > 1].view(np.int64))
         at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
-        return pa.table({"id": block["id"], "n": pa.array([len(s) for s in sets], pa.int64()), "pivots": lists})
+        return relaxed(pa.table({"id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "pivots": lists}))
 
-    counted = shared_counts(blocks, lambda block, more: keyed(*own_sets(block, more)), n, aside)
-    both = counted.withColumn("id", F.lit(None).cast("long")).unionByName(aside)
+    known = counted(blocks, lambda block, more: keyed(*own_sets(block, more)), n, max(1, n // 3), aside, fan)
+    both = known.select("block", "node", "blob", F.lit(None).cast("long").alias("id")).unionByName(aside)
     seen = stored(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(pivots, "id long, n long, pivots array<long>"))
     entries = seen.select("id", F.explode("pivots").alias("pivot"))
     hubs = entries.groupBy("pivot").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
@@ -195,49 +194,82 @@ def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: s
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked_to.alias("component_id"))
 
 
-def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int, max_region: int, pivots_each: int = 16, levels: int = 3) -> DataFrame:
-    """Edges (u, v) that connect what links connect inside each block (node, component)."""
+def placing(shared, k: int, num: int, den: int):
+    """A function of batches that puts each text in the region of each pivot that may matter to it; without pivots it stays."""
+    eps = 1 - num / den
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
+
+    def place(batches):
+        for batch in slices(batches):
+            rows = []
+            for region, home, node, text, mine in zip(*(batch.column(c).to_pylist() for c in ("region", "home", "id", "text")), sets_of(batch.column("text"), k), strict=True):
+                ps = shared.value.get(region)
+                if ps is None:
+                    rows.append((region, None, home, node, text, None, False))
+                    continue
+                inter = np.array([len(np.intersect1d(mine, s, assume_unique=True)) for _, s in ps])
+                size = np.array([len(s) for _, s in ps])
+                d = 1 - inter / (size + len(mine) - inter)
+                ok = linked(inter, len(mine), size, num, den)
+                best = int(d.argmin())
+                for q in np.flatnonzero((d <= d[best] + 2 * eps + 1e-9) | ok).tolist():
+                    rows.append((region, ps[q][0], bool(home and q == best), node, text, float(d[q]), bool(ok[q])))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["region", "pivot", "home", "id", "text", "d", "ok"])
+
+    return place
+
+
+def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int, max_region: int, pivots_each: int = 16, pivot_bytes: int = 64 << 20) -> DataFrame:
+    """Edges (u, v) that connect what links connect inside each block (node, component).
+
+    A region of more than max_region texts splits by pivots, again and again, as long as that makes it
+    smaller; pivots go to the executors pivot_bytes at a time, so that more of them cost passes, not memory.
+    """
     members = stored(docs.join(block, docs["id"] == block["node"]).select(F.col("component").alias("region"), F.lit(True).alias("home"), "id", "text"))
-    eps, found = 1 - num / den, []
-    for level in range(levels):
-        large = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_region).orderBy(F.desc("n")).limit(256).collect()
-        if not large:
-            break
-        big = members.where(F.col("region").isin([r["region"] for r in large]))
+    eps, found, done, level = 1 - num / den, [], None, 0
+    pivot_type = "region long, id long, n long, keys binary"
+
+    def as_sets(batches):
+        for batch in batches:
+            sets = sets_of(batch.column("text"), k)
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["region", "id", "n", "keys"])
+
+    while True:
+        sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_region)
+        big = members.join(stored(sizes), "region")
         order = F.xxhash64(F.lit(level), "id")
-        # a third of the texts at most pass the threshold when a region has three times max_region
-        share = F.pmod(order, F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 40 * pivots_each / max_region)))
-        picked = big.where("home").where(share).withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy(order, "id"))).where(F.col("place") <= pivots_each).select("region", "id", "text").collect()
-        chosen: dict = {}
-        for r in picked:  # at most 256 regions of pivots_each texts
-            chosen.setdefault(r["region"], []).append((r["id"], sets_of(pa.array([r["text"]]), k)[0]))
-        if not chosen:
+        # some 40 times the wanted number pass the threshold, whatever the region's size
+        share = F.pmod(order, F.lit(1 << 30)) < (F.lit(40.0 * pivots_each * (1 << 30)) / F.col("n"))
+        place = F.row_number().over(Window.partitionBy("region").orderBy(order, "id"))
+        picked = stored(big.where("home").where(share).withColumn("place", place).where(F.col("place") <= pivots_each).select("region", "id", "text").mapInArrow(as_sets, pivot_type))
+        row = picked.agg(F.count(F.lit(1)), F.sum(F.octet_length("keys"))).first()
+        if not row[0]:
             break
-        big = members.where(F.col("region").isin(list(chosen)))  # one that has no pivot stays whole
-        shared = docs.sparkSession.sparkContext.broadcast(chosen)
-
-        def place(batches):
-            for batch in batches:
-                rows = []
-                for region, home, node, text, mine in zip(*(batch.column(c).to_pylist() for c in ("region", "home", "id", "text")), sets_of(batch.column("text"), k), strict=True):
-                    ps = shared.value[region]
-                    inter = np.array([len(np.intersect1d(mine, s, assume_unique=True)) for _, s in ps])
-                    size = np.array([len(s) for _, s in ps])
-                    d = 1 - inter / (size + len(mine) - inter)
-                    ok = linked(inter, len(mine), size, num, den)
-                    best = int(d.argmin())
-                    for q in np.flatnonzero((d <= d[best] + 2 * eps + 1e-9) | ok).tolist():
-                        rows.append((region, ps[q][0], bool(home and q == best), node, text, float(d[q]), bool(ok[q])))
-                cols = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.float64(), pa.bool_()), strict=True)], ["region", "pivot", "home", "id", "text", "d", "ok"])
-
-        placed = stored(big.mapInArrow(place, "region long, pivot long, home boolean, id long, text string, d double, ok boolean"))
+        parts, placed = max(1, -(-row[1] // pivot_bytes)), None
+        for part in range(parts):
+            mine = F.pmod(F.xxhash64("region"), F.lit(parts)) == part
+            chosen: dict = {}
+            for r in picked.where(mine).collect():  # pivot_bytes, about
+                chosen.setdefault(r["region"], []).append((r["id"], np.frombuffer(r["keys"], np.uint64)))
+            for ps in chosen.values():
+                ps.sort(key=lambda p: p[0])
+            more = members.where(mine).mapInArrow(placing(docs.sparkSession.sparkContext.broadcast(chosen), k, num, den), "region long, pivot long, home boolean, id long, text string, d double, ok boolean")
+            placed = more if placed is None else placed.unionAll(more)
+        placed = stored(placed)
         found.append(placed.where("ok").select(F.col("id").alias("u"), F.col("pivot").alias("v")))
-        outer = placed.where("not ok").groupBy("region", "pivot").agg(F.min("d").alias("least"))
+        outer = placed.where("pivot is not null and not ok").groupBy("region", "pivot").agg(F.min("d").alias("least"))
         # texts within eps of the pivot are one component; of them only those that an outer text can reach stay
         kept = placed.join(outer, ["region", "pivot"]).where((~F.col("ok")) | (F.col("d") >= F.col("least") - eps - 1e-9))
-        split = kept.select(F.xxhash64("region", "pivot").alias("region"), "home", "id", "text")
-        members = stored(members.where(~F.col("region").isin(list(chosen))).unionAll(split))
+        split = stored(kept.select(F.xxhash64("region", "pivot").alias("region"), "home", "id", "text", F.col("region").alias("of")))
+        # a part that is hardly smaller than what it is of would split for ever: it is joined as it is
+        whole = stored(split.groupBy("region", "of").agg(F.count(F.lit(1)).alias("m")).join(sizes, F.col("of") == sizes["region"]).where("m > 0.9 * n").select(F.col("of")).distinct())
+        rest = placed.where("pivot is null").select("region", "home", "id", "text")
+        stuck = members.join(whole, F.col("region") == whole["of"], "left_semi")
+        done = stuck if done is None else done.unionAll(stuck)
+        members = stored(rest.unionAll(split.join(whole, "of", "left_anti").select("region", "home", "id", "text")))
+        level += 1
+    members = members if done is None else members.unionAll(done)
 
     def join_region(rows: pa.Table) -> pa.Table:
         ids = rows["id"].to_numpy()
@@ -249,7 +281,7 @@ def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int,
         roots = np.array([region.find(i) for i in range(len(ids))], np.int64)
         moved = roots != np.arange(len(ids))
         ids = ids[order]
-        return pa.table({"u": pa.array(ids[moved]), "v": pa.array(ids[roots[moved]])})
+        return relaxed(pa.table({"u": pa.array(ids[moved]), "v": pa.array(ids[roots[moved]])}))
 
     links = members.groupBy("region").applyInArrow(join_region, "u long, v long")
     for more in found:
