@@ -1,21 +1,25 @@
 """Quality rules whose cutoffs carry a guarantee, in DataFrame functions alone.
 
-Each rule measures a text; a text is rejected where the measure lies above the rule's cutoff
-in the text's stratum.  Cutoffs come from labelled rows: of a grid, the lowest one whose exact
-(Clopper-Pearson) upper bound on the share of good texts rejected stays within `risk`, at a
-level that Bonferroni divides by strata x rules x grid, so all bounds hold at once with
-probability 1 - error.  A stratum without enough labelled good texts gets no cutoff, and
-rejects nothing.
-
-Null texts have no words, and fail the base rule as empty ones do.  A null stratum is one of
-its own.  Labels that are null are ignored.
+Each rule measures a text; a text is rejected where some measure lies above its rule's cutoff in the
+text's stratum.  Cutoffs of all rules tighten together along a path: step c would reject, by each rule, at
+most a share of PATH[c] of the stratum's texts without a label.  On the labelled good texts, which had no say in the path,
+each step is tested: its exact (Clopper-Pearson) upper bound on the share of good texts that any
+rule rejects must stay within `risk`.  Steps are tested from the loosest on and the first that fails
+ends the walk (fixed-sequence testing, which needs no further correction along the path); the level is divided by the number of
+strata (Bonferroni).  With probability 1 - error no stratum loses more than `risk` of its good texts.
+A stratum without enough labelled good texts, or without texts that have no label, rejects nothing.
+
+Equal texts of a stratum count once, on either side: copies are no independent witnesses.  Null texts have no words,
+and fail the base rule as empty ones do.  A null stratum is one of its own.  Labels that are null
+are ignored; a text labelled good and bad counts as good.  Null ids have no label.  Rows that repeat each come back.
+An empty table gives an empty one; columns other than the three that are named are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -23,6 +27,9 @@ from .common import stored
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"  # fixed value: the symbols that are counted
 WINDOW = 8
+BINS = 1000
+# Shares of unlabelled texts that a rule may reject, step by step.
+PATH = (0.0005, 0.001, 0.002, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2)
 
 
 def repeated_words(words: Column) -> Column:
@@ -50,12 +57,12 @@ def covered(keys: Column) -> Column:
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Rows (id, stratum) and the counts that rules are made of."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    stage = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), text.alias("text"))
+    stage = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"))
     stage = stage.withColumn("words", F.filter(F.split("text", SPACES), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stage = stage.withColumn("lines", lines)
     return stage.select(
-        "id", "stratum",
+        "id", "stratum", "h1", "h2",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -91,32 +98,55 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     )
 
 
-def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, grid: int = 50, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Rows (stratum, rule, cutoff, n_good, n_rejected): a few for each stratum."""
-    long = measures.select("id", "stratum", F.explode(F.create_map(*[F.lit(x) if isinstance(x, str) else x for pair in rules().items() for x in pair])).alias("rule", "x"))
-    good = long.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y = 1"), "id")
-    # texts by the first grid point that is at least their measure: a cutoff rejects those above
-    binned = good.groupBy("stratum", "rule", F.ceil(F.col("x") * grid).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    totals = binned.groupBy("stratum", "rule").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("bin", "n")).alias("bins"))
-    tried = totals.withColumn("cut", F.explode(F.sequence(F.lit(1), F.lit(grid - 1))))
-    tried = tried.withColumn("n_rejected", F.aggregate(F.filter("bins", lambda b: b["bin"] > F.col("cut")), F.lit(0).cast("long"), lambda a, b: a + b["n"]))
-    strata = max(1, totals.select("stratum").distinct().count())
-    level = math.log(error / (strata * len(rules()) * (grid - 1)))
+def binned(x: Column) -> Column:
+    """The least number of BINS-ths that is at least x."""
+    return F.ceil(x * BINS).cast("int")
+
+
+def paths(measures: DataFrame) -> DataFrame:
+    """Rows (stratum, path): for each rule an array of cutoffs in BINS-ths, one a step, from the texts given."""
+    long = measures.dropDuplicates(["stratum", "h1", "h2"]).select("stratum", F.explode(F.create_map(*[F.lit(x) if isinstance(x, str) else x for pair in rules().items() for x in pair])).alias("rule", "x"))
+    bins = long.groupBy("stratum", "rule", binned(F.col("x")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # BINS + 1 rows a rule at most
+    of = Window.partitionBy("stratum", "rule")
+    above = bins.withColumn("above", (F.coalesce(F.sum("n").over(of.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("n").over(of))
+    cuts = [F.min(F.when(F.col("above") <= share, F.col("bin"))) for share in PATH]
+    each = above.groupBy("stratum", "rule").agg(F.array(*cuts).alias("cuts"))
+    return each.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cuts"))).alias("path"))
+
+
+def first_step(path: Column) -> Column:
+    """The step that first rejects a text, len(PATH) if none does: cutoffs fall along the path."""
+    spared = lambda name, x: F.size(F.filter(path[name], lambda c: binned(x) <= c))
+    return F.least(*[spared(name, x) for name, x in rules().items()])
+
+
+def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """Rows (stratum, path, steps, n_good, n_rejected), one a stratum: the first `steps` steps of its path are safe."""
+    marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).alias("y"))
+    seen = measures.join(marked.select("id"), "id", "left_semi").select("stratum", "h1", "h2").distinct()
+    same = lambda a, b: a["stratum"].eqNullSafe(b["stratum"])
+    fresh = measures.join(seen, same(measures, seen) & (measures["h1"] == seen["h1"]) & (measures["h2"] == seen["h2"]), "left_anti")
+    path = stored(paths(fresh))
+    good = measures.join(marked.where("y = 1").select("id"), "id", "left_semi").dropDuplicates(["stratum", "h1", "h2"])
+    at = good.join(path.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s"))).select("stratum", "path", first_step(F.col("path")).alias("step"))
+    counts = at.groupBy("stratum").agg(F.first("path").alias("path"), F.count(F.lit(1)).alias("n_good"), *[F.count_if(F.col("step") <= c).alias(f"r{c}") for c in range(len(PATH))])
+    level = math.log(error / max(1, path.count()))
     # beyond the mean the tail is over a third: no bound can hold there
-    possible = F.col("n_rejected") <= F.col("n_good") * risk
-    safe = tried.where(possible).where(log_binomial_tail(F.col("n_good"), F.col("n_rejected"), risk) <= level)
-    return safe.groupBy("stratum", "rule").agg(F.min("cut").alias("cut"), F.first("n_good").alias("n_good"), F.min_by("n_rejected", "cut").alias("n_rejected")).withColumn("cutoff", F.col("cut") / float(grid))
+    rejected = F.array(*[F.col(f"r{c}") for c in range(len(PATH))])
+    safe = F.transform(rejected, lambda k: F.when(k <= F.col("n_good") * risk, log_binomial_tail(F.col("n_good"), k, risk) <= level).otherwise(F.lit(False)))
+    steps = F.coalesce(F.nullif(F.array_position(safe, False), F.lit(0)) - 1, F.lit(len(PATH))).cast("int")
+    return counts.select("stratum", "path", "n_good", rejected.alias("rejected"), steps.alias("steps")).select("stratum", "path", "steps", "n_good", F.coalesce(F.get("rejected", F.col("steps") - 1), F.lit(0)).alias("n_rejected"))
 
 
 def apply(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row for each of docs: counts, base_failed, rejected_by (rules), kept."""
+    """One row for each of docs: counts, base_failed, kept, rejected_by (rules, by name, between commas)."""
     measures = stored(measured(docs, id_col, text_col, stratum_col))
-    chosen = cutoffs(measures, labels, risk, error, id_col=id_col)
-    wide = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
-    joined = measures.join(wide, "stratum", "left")
-    over = F.filter(F.array(*[F.when(x > F.col("limits")[name], F.lit(name)) for name, x in rules().items()]), lambda r: r.isNotNull())
+    chosen = cutoffs(measures, labels, risk, error, id_col=id_col).select(F.col("stratum").alias("s"), "path", "steps")
+    joined = measures.join(F.broadcast(chosen), measures["stratum"].eqNullSafe(chosen["s"]), "left") if chosen.count() <= 10_000 else measures.join(chosen, measures["stratum"].eqNullSafe(chosen["s"]), "left")
+    cut = lambda name: F.get(F.col("path")[name], F.col("steps") - 1)
+    over = F.filter(F.array(*[F.when(binned(x) > cut(name), F.lit(name)) for name, x in sorted(rules().items())]), lambda r: r.isNotNull())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return joined.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (F.size(over) == 0)).alias("kept"), over.alias("rejected_by"),
+        failed.alias("base_failed"), (~failed & (F.size(over) == 0)).alias("kept"), F.array_join(over, ",").alias("rejected_by"),
     )
