@@ -6,19 +6,23 @@ aggregation; a range that is overfull is subdivided, by keys where it has severa
 where one key alone fills it.  Ranges, the largest first, go to the shard that has least.
 A group of equal texts stays in one shard unless it is larger than a shard's fair share.
 
-Null texts have size 1 and the key of the empty text.  Repeated rows, null ids and ties are
-each placed; the order inside a range is by key, then id, then place in the input's hash order.
+Null texts have size 1 and the key of the empty text.  Repeated rows and null ids are each placed: a
+number that each row is stored with breaks ties of key and id, so that rows equal in all can still be
+parted.  Slots follow range, key and that tie.  An empty table gives an empty one; columns other than id and
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import placed_within
 from .common import stored
 
 
@@ -54,14 +58,14 @@ def drawn(rows: DataFrame, total: int, wanted: int, seed: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 64, samples_per_range: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, size, text_crc32, shard, slot)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = stored(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.xxhash64(F.col(id_col)).alias("tie")))
+    rows = stored(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("tie")))
     parts = shards * ranges_per_shard
     total = rows.agg(F.sum("size")).first()[0] or 0
     pick = lambda df: [(r["key"], -(1 << 63)) for r in df.select("key").collect()]  # noqa: E731  at most a few times the wanted number
     cuts = quantiles(pick(drawn(rows, total, parts * samples_per_range, 1)), parts)
     placed = stored(ranged(rows, cuts))
     limit = 2 * total / max(parts, 1)
-    for seed in (2, 3, 4):  # each pass halves what is overfull many times over
+    for seed in itertools.count(2):  # each pass parts what is overfull many times over, until nothing parts it further
         sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("a"), F.max("key").alias("b")).where(F.col("bytes") > limit).collect()
         many, single = [r for r in sizes if r["a"] < r["b"]], [r for r in sizes if r["a"] == r["b"]]
         if not sizes:
@@ -92,13 +96,7 @@ def shard(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 64, samples_
         have, s = heapq.heappop(load)
         home |= {x["range"]: s for x in g}
         heapq.heappush(load, (have + sum(x["bytes"] for x in g), s))
-    start, begin = [0] * shards, []
-    for r in sizes:
-        begin.append((r["range"], home[r["range"]], start[home[r["range"]]]))
-        start[home[r["range"]]] += r["n"]
     spark = docs.sparkSession
-    where = spark.createDataFrame(begin, "range int, shard int, first long")  # as many rows as ranges, which a parameter bounds
-    inside = Window.partitionBy("range").orderBy("key", "tie", "size")
-    return placed.join(F.broadcast(where), "range").select(
-        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("first") + F.row_number().over(inside) - 1).alias("slot")
-    )
+    where = spark.createDataFrame([(r["range"], home[r["range"]]) for r in sizes], "range int, shard int")  # as many rows as ranges, which a parameter bounds
+    put = placed.join(F.broadcast(where), "range").select(F.col("id"), "size", "text_crc32", "shard", "range", "key", "tie")
+    return placed_within(put, ["shard"], [F.col("range"), F.col("key"), F.col("tie")], "slot").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
