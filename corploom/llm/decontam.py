@@ -9,7 +9,9 @@ unless too few of the item's words are there; the score over the item's length i
 Items are taken in groups of bounded size (items_bytes), each broadcast, so that a large
 benchmark costs more passes, not more memory.  Items with fewer than n words are searched as one n-gram of
 their own length; items without words, and null items, match nothing.  Null and empty texts
-have no passage.  Words are A-Z lowered, stripped of ASCII punctuation at their ends.
+have no passage; repeated rows are found each, with their own id; of equal scores in one text the first counts.
+An empty table, of texts or of items, gives an empty one; columns other than those that are named are
+ignored.  Words are A-Z lowered, stripped of ASCII punctuation at their ends.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, mixed, one, shingles, strings
+from .common import ascii_words, mixed, one, shingles, slices, strings
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # fixed value: ASCII punctuation
 
@@ -148,7 +150,7 @@ def search(rows: DataFrame, items: pa.Table, n: int, share: float, id_type: str)
 
     def align(batches):
         seeds, words, ids, least = shared.value
-        for batch in (b.slice(a, 1_000) for b in batches for a in range(0, b.num_rows, 1_000)):
+        for batch in slices(batches):
             text_keys, text_at = keyed(batch.column("text"))
             around = hits(text_keys, text_at, seeds, least)
             found = []

@@ -9,7 +9,8 @@ labelled rows (max_docs); scoring covers whole texts of all rows.
 
 Null and empty texts have one feature of their own, and a score.  A label that is null or a
 row whose id has no label teaches nothing; with none at all every score is 0.5.  An id that has
-several labels teaches each.
+several labels teaches each, and so does each of several rows of one id.  Ties in the order of training fall by
+label and text.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ascii_words, mixed, one, spans, strings
+from .common import ascii_words, free_name, mixed, one, slices, spans, strings
 
 BITS = 18
 FAMILIES = 6
@@ -107,23 +108,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return np.frombuffer(got[0]["w"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, slice_docs: int = 1_000) -> DataFrame:
-    """Rows (id, score): the likelihood of label 1.  With keep, all columns of docs and `score` after them."""
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Rows (id, score): the likelihood of label 1.
+
+    With keep, all columns of docs and the score after them, as `score` or with underscores where
+    that name is taken.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     docs = docs if keep else docs.select(F.col(id_col), F.col(text_col))
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    names = [*docs.columns, free_name(docs.columns, "score")]
+    schema = StructType([*docs.schema.fields, StructField(names[-1], DoubleType())])
     text_at = docs.columns.index(text_col)
 
     def run(batches):
         w = shared.value.astype(np.float64)
-        for whole in batches:
-            for a in range(0, whole.num_rows, slice_docs):
-                batch = whole.slice(a, slice_docs)
-                places, values, at = features(batch.column(text_at))
-                summed = np.concatenate([[0.0], np.cumsum(w[places] * values)])
-                dots = summed[at[1:]] - summed[at[:-1]] + w[-1]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-dots)))], names)
-
-    names = [*docs.columns, "score"]
+        for batch in slices(batches):
+            places, values, at = features(batch.column(text_at))
+            summed = np.concatenate([[0.0], np.cumsum(w[places] * values)])
+            dots = summed[at[1:]] - summed[at[:-1]] + w[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(dots, -500, 500))))], names)
+
     out = docs.mapInArrow(run, schema)
-    return out if keep else out.select(id_col, "score")
+    return out if keep else out.select(F.col(id_col), F.col(names[-1]).alias("score"))
