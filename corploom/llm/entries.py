@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, jaccard, langid, lmscore, quality, rules, sharding, substring, suffix
 from .common import held, table
+from .oracles import ORACLES  # noqa: F401
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,4 +73,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_language_id, op4_quality, op5_jaccard_join, op6_lm_score, op7_decontamination, op8_sharding, op9_suffix_dedup, op10_quality_rules, pipeline)}
-ORACLES: dict[str, str] = {}

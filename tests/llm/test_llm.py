@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -315,10 +316,8 @@ def test_rules(spark, docs, rows, empty):
     for i, t, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         win = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
-        hit = set()
-        for j, x in enumerate(win):
-            if win.count(x) > 1 if len(win) < 500 else False:
-                hit |= set(range(j, j + 8))
+        times = Counter(win)
+        hit = {p for j, x in enumerate(win) if times[x] > 1 for p in range(j, j + 8)}
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         want.append((str(i), len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)))
     assert got == sorted(want)
