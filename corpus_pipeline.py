@@ -1,64 +1,7 @@
-"""A pipeline over the documents table: each stage works on all that the one before it kept."""
+"""A pipeline over the documents table: five stages, in order, each on all that the one before it kept."""
 
-from __future__ import annotations
+from corploom.llm.stages import STAGES, classified, decontaminated, deduplicated, run, tokenized, unrepeated
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["ORACLE_SQL", "STAGES", "classified", "decontaminated", "deduplicated", "run", "tokenized", "unrepeated"]
 
-from corploom.llm import bpe, decontam, jaccard, quality, substring
-from corploom.llm.common import stored, table
-from corploom.llm.entries import tokenizer_file
-
-
-def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good (score of 0.7 or more)."""
-    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights, keep=True).where("score >= 0.7").select(*docs.columns)
-
-
-def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles link at a Jaccard similarity of 0.8; the least id stays."""
-    kept = jaccard.groups(docs, k=5, num=80, den=100).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-
-
-def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; what is left of none goes."""
-    found = substring.find(docs, keep=True)
-    left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))
-    changed = F.col("n_removed") > 0
-    return found.where(left).withColumns({"text": F.col("kept"), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    # what a text holds depends on it alone: its digest is a key where ids are null or twice there
-    keyed = docs.withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256))
-    leaks = decontam.find(keyed, table(spark, sf_dir, "benchmark"), id_col="text_key").select("text_key").distinct()
-    return keyed.join(stored(leaks), "text_key", "left_anti").select(*docs.columns)
-
-
-def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of ids and of the text that they decode to."""
-    path = tokenizer_file("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs, path), path)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
-STAGES = [
-    ("quality classifier", classified),
-    ("n-gram Jaccard join", deduplicated),
-    ("substring dedup", unrepeated),
-    ("benchmark decontamination", decontaminated),
-    ("BPE encoding and decoding", tokenized),
-]
 ORACLE_SQL = None  # learned weights, alignment and BPE have no SQL form
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
