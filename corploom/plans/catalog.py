@@ -88,7 +88,10 @@ def min_bytes(spark, d):
     return table(spark, d, "documents").groupBy((F.octet_length("text") >= 512).alias("long_enough")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
-@query()
+LONGEST = "CASE WHEN strlen(text) <= 8192 THEN text ELSE left(text, (SELECT max(n)::INT FROM range(2048, 8193) t(n) WHERE strlen(left(text, n::INT)) <= 8192)) END"
+
+
+@query(f"SELECT doc_id, strlen(t)::INT AS bytes, sha256(t) AS sha FROM (SELECT doc_id, {LONGEST} AS t FROM documents) WHERE strlen(t) >= 1024")
 def byte_prefixes(spark, d):
     cut = table(spark, d, "documents").select("doc_id", text.byte_prefix(F.col("text"), 8192).alias("text"))
     return cut.where(F.octet_length("text") >= 1024).select("doc_id", F.octet_length("text").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
@@ -387,11 +390,20 @@ def total_variation(spark, d):
     return sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"`{a}|{b}`")).alias("tv")) for a, b in pairs])).alias("x")).select("x.*")
 
 
-@query(f"WITH {selector_sql(SELECTORS['rank_tilt'][1])}, t AS (SELECT count(*)::DOUBLE AS n FROM out), c AS (SELECT domain, bucket, abs(sum(p) - count(*) / any_value(n)) AS gap FROM out, t GROUP BY 1, 2) SELECT (SELECT max(gap) FROM c) <= 1e-12 AS joint_ok, 1 / sum(p * p) / any_value(n) >= 0.8 AS ess_ok, sum(abs(p - 1 / n)) / 2 >= 0.05 AS tv_ok FROM out, t")
+GATED = ["rank_tilt", "conditional_rank"]
+GATES = "SELECT '{m}' AS method, (SELECT max(gap) FROM (SELECT abs(sum(p) - count(*) / (SELECT count(*)::DOUBLE FROM pool)) AS gap FROM out GROUP BY domain, bucket)) <= 1e-12 AS joint_ok, 1 / sum(p * p) / count(*) >= 0.8 AS ess_ok, sum(abs(p - 1 / (SELECT count(*)::DOUBLE FROM pool))) / 2 >= 0.05 AS tv_ok FROM out"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {selector_sql(SELECTORS[m][1])} {GATES.format(m=m)})" for m in GATED))
 def admission_gates(spark, d):
-    p = mixtures.with_total(mixtures.rank_tilt(pool(spark, d)), t=F.count(F.lit(1)))
-    cells = p.groupBy("domain", "bucket").agg(F.abs(F.sum("p") - F.count(F.lit(1)) / F.first("t")).alias("gap"), F.sum(F.col("p") * F.col("p")).alias("sq"), F.sum(F.abs(F.col("p") - 1 / F.col("t"))).alias("dev"), F.first("t").alias("t"))
-    return cells.agg((F.max("gap") <= 1e-12).alias("joint_ok"), (1 / F.sum("sq") / F.first("t") >= 0.8).alias("ess_ok"), (F.sum("dev") / 2 >= 0.05).alias("tv_ok"))
+    """May a selector that should keep the joint masses be trained on: it does, it does not waste the pool, and it differs from it."""
+    rows, out = mixtures.with_total(pool(spark, d), _all=F.count(F.lit(1))), None
+    for m in GATED:
+        p = SELECTORS[m][0](rows)
+        cells = p.groupBy("domain", "bucket").agg(F.abs(F.sum("p") - F.count(F.lit(1)) / F.first("_all")).alias("gap"), F.sum(F.col("p") * F.col("p")).alias("sq"), F.sum(F.abs(F.col("p") - 1 / F.col("_all"))).alias("dev"), F.first("_all").alias("t"))
+        one = cells.agg(F.lit(m).alias("method"), (F.max("gap") <= 1e-12).alias("joint_ok"), (1 / F.sum("sq") / F.first("t") >= 0.8).alias("ess_ok"), (F.sum("dev") / 2 >= 0.05).alias("tv_ok"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 from . import designs, feeds, packs, records, results, studies  # noqa: E402, F401  add their queries
