@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import placed, placed_within, ranked
+from .order import placed, placed_within, quantiles, ranked
 
 TAU = 1e-3
 BAND = (0.65, 0.80)
@@ -22,6 +22,11 @@ def with_total(df: DataFrame, **aggs: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[a.alias(n) for n, a in aggs.items()])))
 
 
+def with_quantiles(df: DataFrame, value: str, levels: list[float], name: str) -> DataFrame:
+    """df with the exact quantiles of value over all its rows, as an array."""
+    return df.crossJoin(F.broadcast(quantiles(df, value, levels, name=name)))
+
+
 def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
 
@@ -156,7 +161,7 @@ def shuffled_scores(df: DataFrame, seed: int, keys: list[str] = (), key: str = "
 
 def length_quartile(df: DataFrame, length: str = "n_words", name: str = "quartile") -> DataFrame:
     """df with the quartile (0 to 3) of its length, edges exact and interpolated, bins closed on the left."""
-    cut = with_total(df, _e=F.percentile(length, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])))
+    cut = with_quantiles(df, length, [0.25, 0.5, 0.75], "_e")
     return cut.withColumn(name, sum(((F.col(length) >= F.col("_e")[i]).cast("int") for i in range(3)), F.lit(0))).drop("_e")
 
 

@@ -67,3 +67,26 @@ def ranked(df: DataFrame, groups: list[str], value: str, name: str = "rank") ->
         run = run.withColumn("_first", F.lit(0.0))
     ranks = run.select(*groups, value, "_m", (F.col("_before") - F.col("_first") + (F.col("_m") + 1) / 2).alias(name), (F.col("_before") - F.col("_first") + F.col("_m")).alias("_upto"))
     return df.join(ranks, [*groups, value])
+
+
+def quantiles(df: DataFrame, value: str, levels: list[float], groups: list[str] = (), name: str = "q") -> DataFrame:
+    """(groups, name): exact quantiles of value, interpolated between neighbours, as an array; a row a group, or one.
+
+    They are read off the running counts of distinct values, so no task holds a group's values.
+    """
+    groups = list(groups)
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_m"))
+    run = placed(counts, [F.col(c) for c in (*groups, value)], "_i", F.col("_m"), "_before")
+    sizes = run.groupBy(*groups).agg(F.min("_before").alias("_first"), F.sum("_m").alias("_n"))
+    both = run.crossJoin(F.broadcast(sizes)) if not groups else run.join(sizes, groups)
+    at = F.col("_before") - F.col("_first")
+    wanted = [(k, q, f) for k, q in enumerate(levels) for f in (F.floor, F.ceil)]
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f is F.ceil).alias("up"), f(F.lit(q) * (F.col("_n") - 1)).alias("i")) for k, q, f in wanted])
+    hit = both.select(*groups, "_n", F.col(value).cast("double").alias("_x"), F.explode(F.filter(spots, lambda s: (s["i"] >= at) & (s["i"] < at + F.col("_m")))).alias("_s"))
+    side = lambda k, up: F.max(F.when((F.col("_s.k") == k) & (F.col("_s.up") == up), F.col("_x")))
+    made = []
+    for k, q in enumerate(levels):
+        part = F.lit(q) * (F.first("_n") - 1)
+        made.append(side(k, False) + (part - F.floor(part)) * (side(k, True) - side(k, False)))
+    return hit.groupBy(*groups).agg(F.array(*made).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import codec, mixtures, packing
-from ..operators.order import placed_within, ranked
+from ..operators.order import quantiles, ranked
 from ..sources.io import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,7 +239,7 @@ def bucket_uniform(spark, d):
 
 @query(f"WITH {POOL}, q AS (SELECT quantile_cont(cr, [0.2, 0.4, 0.6, 0.8]) AS e FROM pool) SELECT ((cr >= e[1])::INT + (cr >= e[2])::INT + (cr >= e[3])::INT + (cr >= e[4])::INT) AS bucket, count(*)::BIGINT AS n, round(min(cr), 6) AS low, round(count(*) / (SELECT count(*) FROM pool)::DOUBLE, 6) AS share FROM pool, q GROUP BY 1")
 def bucket_quantile(spark, d):
-    p = mixtures.with_total(pool(spark, d), e=F.percentile("cr", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])), t=F.count(F.lit(1)))
+    p = mixtures.with_total(mixtures.with_quantiles(pool(spark, d), "cr", [0.2, 0.4, 0.6, 0.8], "e"), t=F.count(F.lit(1)))
     return p.groupBy(edges_bucket(F.col("cr"), [F.col("e")[i] for i in range(4)]).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.min("cr")).alias("low"), r6(F.count(F.lit(1)) / F.first("t")).alias("share"))
 
 
@@ -253,8 +253,10 @@ def min_share(spark, d):
 @query(f"""WITH {POOL}, m AS (SELECT lang, avg(cr) AS mu FROM pool GROUP BY 1), k AS (SELECT lang, avg((cr - mu) ** 2) AS m2, avg((cr - mu) ** 3) AS m3 FROM pool JOIN m USING (lang) GROUP BY 1)
 SELECT lang, count(*)::BIGINT AS n, round(avg(cr), 6) AS mean, round(stddev_samp(cr), 6) AS std, round(quantile_cont(cr, 0.25), 6) AS q1, round(quantile_cont(cr, 0.5), 6) AS median, round(quantile_cont(cr, 0.75), 6) AS q3, round(quantile_cont(cr, 0.75) - quantile_cont(cr, 0.25), 6) AS iqr, round(any_value(m3) / any_value(m2) ** 1.5, 6) AS skew, round(avg((cr BETWEEN 0.65 AND 0.8)::INT), 6) AS in_band FROM pool JOIN k USING (lang) GROUP BY 1""")
 def summary_stats(spark, d):
-    q = lambda x: F.percentile("cr", F.lit(x))
-    return pool(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("cr")).alias("mean"), r6(F.stddev_samp("cr")).alias("std"), r6(q(0.25)).alias("q1"), r6(q(0.5)).alias("median"), r6(q(0.75)).alias("q3"), r6(q(0.75) - q(0.25)).alias("iqr"), r6(F.skewness("cr")).alias("skew"), r6(F.avg(F.col("cr").between(0.65, 0.8).cast("int"))).alias("in_band"))
+    rows = pool(spark, d)
+    sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("cr")).alias("mean"), r6(F.stddev_samp("cr")).alias("std"), r6(F.skewness("cr")).alias("skew"), r6(F.avg(F.col("cr").between(0.65, 0.8).cast("int"))).alias("in_band"))
+    q = lambda i: F.col("q")[i]
+    return sums.join(quantiles(rows, "cr", [0.25, 0.5, 0.75], ["lang"]), "lang").select("lang", "n", "mean", "std", r6(q(0)).alias("q1"), r6(q(1)).alias("median"), r6(q(2)).alias("q3"), r6(q(2) - q(0)).alias("iqr"), "skew", "in_band")
 
 
 @query(f"""WITH {POOL}, s AS (SELECT lang, count(*) AS n, avg(cr) AS mu, var_samp(cr) AS v FROM pool GROUP BY 1), pr AS (SELECT a.lang AS a, b.lang AS b, a.n AS na, b.n AS nb, a.mu AS ma, b.mu AS mb, a.v AS va, b.v AS vb FROM s a JOIN s b ON a.lang < b.lang),

@@ -18,7 +18,7 @@ UNIFORM, QUANTILE, TOP = (3, 5, 7, 10), (3, 5, 7, 10), 1.1
 def bucketings(rows: DataFrame) -> DataFrame:
     """rows once for each of nine bucketings: (config, m, bucket) beside their columns."""
     levels = sorted({i / m for m in QUANTILE for i in range(1, m)})
-    wide = mixtures.with_total(rows, _e=F.percentile("cr", F.array(*[F.lit(x) for x in levels])))
+    wide = mixtures.with_quantiles(rows, "cr", levels, "_e")
     at_least = lambda edges: sum([(F.col("cr") >= e).cast("int") for e in edges], F.lit(0))
     made = [F.struct(F.lit("F7").alias("config"), F.lit(7).alias("m"), at_least(mixtures.FIXED_EDGES).alias("bucket"))]
     made += [F.struct(F.lit(f"U{m}").alias("config"), F.lit(m).alias("m"), F.least(F.lit(m - 1), F.floor(F.col("cr") / (TOP / m))).cast("int").alias("bucket")) for m in UNIFORM]
@@ -65,7 +65,7 @@ def length_priors(spark, d):
 @query(f"WITH {POOL}, q AS (SELECT quantile_cont(cr, [0.2, 0.4, 0.6, 0.8]) AS e FROM pool), s AS (SELECT doc_id, (cr >= e[1])::INT + (cr >= e[2])::INT + (cr >= e[3])::INT + (cr >= e[4])::INT AS quintile FROM pool, q) SELECT doc_id, quintile FROM (SELECT *, row_number() OVER (PARTITION BY quintile ORDER BY sha256('sub:' || doc_id::VARCHAR), doc_id) AS r FROM s) WHERE r <= 15")
 def stratified_subsample(spark, d):
     """The first 15 of each quintile of the ratio by salted hash."""
-    wide = mixtures.with_total(pool(spark, d), e=F.percentile("cr", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])))
+    wide = mixtures.with_quantiles(pool(spark, d), "cr", [0.2, 0.4, 0.6, 0.8], "e")
     s = wide.select("doc_id", sum([(F.col("cr") >= F.col("e")[i]).cast("int") for i in range(4)], F.lit(0)).alias("quintile"), text.salted_key("sub", F.col("doc_id")).alias("k"))
     w = Window.partitionBy("quintile").orderBy("k", "doc_id")
     return s.withColumn("r", F.row_number().over(w)).where("r <= 15").select("doc_id", "quintile")

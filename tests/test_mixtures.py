@@ -177,6 +177,18 @@ def test_order(spark):
         assert ranks[i] == mine.index(v) + (mine.count(v) + 1) / 2
 
 
+def test_quantiles(spark):
+    import numpy as np
+
+    draw = random.Random(9)
+    rows = [(draw.choice("xy"), draw.randint(0, 20) / 4) for _ in range(101)] + [("z", 1.5)]
+    df = spark.createDataFrame([*rows, ("x", None)], "g string, v double")
+    levels = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    got = {r["g"]: r["q"] for r in order.quantiles(df, "v", levels, ["g"]).collect()}
+    assert all(got[g] == pytest.approx(np.quantile([v for h, v in rows if h == g], levels).tolist()) for g in "xyz")
+    assert order.quantiles(df, "v", levels).first()["q"] == pytest.approx(np.quantile([v for _, v in rows], levels).tolist())
+
+
 def test_draw(spark):
     """Slots fall where the summed probabilities say."""
     p = [0.0, 0.5, 0.1, 0.0, 0.4]
