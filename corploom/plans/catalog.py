@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import codec, mixtures, packing
+from ..operators import mixtures, packing
 from ..operators.order import quantiles, ranked
 from ..sources.io import stored, table
 
@@ -107,7 +107,7 @@ def sparse_domains(spark, d):
 @query("SELECT coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.page'), 'unknown') AS domain, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def json_domains(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy(F.coalesce(F.get_json_object("props", "$.k"), F.get_json_object("props", "$.page"), F.lit("unknown")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy(F.coalesce(F.get_json_object("props", "$.k"), text.json_domain(F.col("props"), "page")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
 NORM = r"trim(regexp_replace(lower(replace(coalesce(text, ''), 'ß', 'ss')), '\s+', ' ', 'g'))"
