@@ -52,7 +52,7 @@ def dealt(docs: DataFrame, n: int, key: Column) -> DataFrame:
     names = docs.columns
 
     def parcels(batches):
-        for batch in slices(batches, 16 * SLICE_BYTES):
+        for batch in slices(batches, 8 * SLICE_BYTES):
             to = batch.column(len(names)).to_numpy()
             order = np.argsort(to, kind="stable")
             ids, starts = np.unique(to[order], return_index=True)
@@ -88,7 +88,7 @@ def loose(blob: bytes) -> bytes:
 
 
 def slices(batches, most: int = SLICE_BYTES):
-    """Arrow batches cut so that each has about `most` bytes, one row at least."""
+    """Arrow batches cut so that each has about `most` bytes, one row at least; memory goes back after each batch."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
         a = 0
@@ -98,9 +98,10 @@ def slices(batches, most: int = SLICE_BYTES):
                 part = part.slice(0, part.num_rows // 2)
             yield part
             a += part.num_rows
+        relaxed()
 
 
-def relaxed(table: pa.Table, most: int = 350 << 20) -> pa.Table:
+def relaxed(table: pa.Table | None = None, most: int = 200 << 20) -> pa.Table | None:
     """table; what a group of rows needed on the way goes back to the system where a worker holds much, since workers live on."""
     with contextlib.suppress(OSError, AttributeError, ValueError):
         with open("/proc/self/statm") as f:

@@ -220,10 +220,10 @@ def placing(shared, k: int, num: int, den: int):
     return place
 
 
-def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int, max_region: int, pivots_each: int = 16, pivot_bytes: int = 64 << 20) -> DataFrame:
+def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int, max_region: int, pivots_each: int = 16, region_bytes: int = 64 << 20, pivot_bytes: int = 64 << 20) -> DataFrame:
     """Edges (u, v) that connect what links connect inside each block (node, component).
 
-    A region of more than max_region texts splits by pivots, again and again, as long as that makes it
+    A region of more than max_region texts or region_bytes of text splits by pivots, again and again, as long as that makes it
     smaller; pivots go to the executors pivot_bytes at a time, so that more of them cost passes, not memory.
     """
     members = stored(docs.join(block, docs["id"] == block["node"]).select(F.col("component").alias("region"), F.lit(True).alias("home"), "id", "text"))
@@ -236,7 +236,8 @@ def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int,
             yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["region", "id", "n", "keys"])
 
     while True:
-        sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_region)
+        sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        sizes = sizes.where((F.col("n") > max_region) | ((F.col("bytes") > region_bytes) & (F.col("n") > 2))).drop("bytes")
         big = members.join(stored(sizes), "region")
         order = F.xxhash64(F.lit(level), "id")
         # some 40 times the wanted number pass the threshold, whatever the region's size

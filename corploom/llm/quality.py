@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ascii_words, free_name, mixed, one, slices, spans, strings
+from .common import ascii_words, free_name, mixed, one, relaxed, slices, spans, strings
 
 BITS = 18
 FAMILIES = 6
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def train(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("o", "ascending"), ("y", "ascending"), ("text", "ascending")])
         w = learn(one(rows["text"]), rows["y"].to_numpy().astype(float))
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary())})
+        return relaxed(pa.table({"w": pa.array([w.tobytes()], pa.binary())}))
 
     got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(train, "w binary").collect()
     return np.frombuffer(got[0]["w"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
