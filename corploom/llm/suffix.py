@@ -8,21 +8,26 @@ each distinct one of a block once, go to the buckets.  A bucket sorts the spans'
 start at the minimizer: multikey quicksort over the first `seed` bytes, eight at a time, then
 blind tries for the groups that agree so far; their left sides, read backwards, go through
 blind tries likewise.  Neighbours' common prefixes to both sides give, for every window, the
-least document id that holds it.
+least document id that holds it.  Equal texts count once: all but the one of least id go as a whole.
 
 Null and short texts lose nothing.  Rows of equal id do not shorten each other; a row with a
-null id neither shortens nor is shortened.  Matches never cross documents.
+null id neither shortens nor is shortened.  Matches never cross documents.  An empty table gives an
+empty one; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, dealt, gather, mixed, one, pack_arrays, spans, unpack_arrays
-from .shared import KEY_BITS, among, candidates, shared_counts
+from .common import BLOCK_BYTES, block_count, dealt, gather, mixed, one, opened, relaxed, spans, stored
+from .shared import FAN, KEY_BITS, among, answers_of, counted, exchange, key_counts
 
 CHUNK = 1 << 17
 NEVER = np.iinfo(np.int64).max
@@ -81,18 +86,59 @@ def minimizers(raw: np.ndarray, whole: np.ndarray, length: int, seed: int) -> tu
     return first, count, mixed(least[first] >> np.uint64(17)) >> np.uint64(64 - KEY_BITS), (least[first] & low).astype(np.int64)
 
 
+def finer(start: np.ndarray, count: np.ndarray, place: np.ndarray, level: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Which span, first window, number of windows, and the bytes (from, to) that all of them hold, of spans parted `level` times.
+
+    A window of a span holds the minimizer and, of the bytes left in it, half at least on one side:
+    by that side the windows part, and what they hold in common grows.
+    """
+    which, low, high, rest = np.arange(len(start)), place.copy(), place + seed, level.copy()
+    while True:
+        free = length - (high - low)
+        split = (rest > 0) & (free > 0)
+        if not split.any():
+            return which, start, count, low, high
+        half = np.where(split, (free + 1) // 2, 0)
+        border = np.where(split, low - half + 1, start + count)  # windows from here on hold more to the right
+        left = np.clip(border - start, 0, count)
+        parts = [(which, start, left, low - half, high), (which, start + left, count - left, low, high + np.where(split, free - half + 1, 0))]
+        rest = np.concatenate([rest - 1, rest - 1])
+        which, start, count, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
+        some = count > 0
+        which, start, count, low, high, rest = (c[some] for c in (which, start, count, low, high, rest))
+
+
 def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Three-way radix quicksort over eight-byte symbols: order, and the group of each place."""
-    n = len(columns[0])
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for column in columns:  # each symbol splits the groups that are equal so far
-        inner = np.lexsort((column[order], group))
-        order, values = order[inner], column[order][inner]
-        group = group[inner]
-        new = np.ones(n, bool)
-        new[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new) - 1
-    return order, group
+    """Multikey quicksort over eight-byte symbols: order, and the group of each place (equal in all symbols).
+
+    Each step parts every open group at once in three by its pivot's symbol: less, equal, greater.
+    The equal part goes on with the next symbol; a group is closed when it is one item or has no
+    symbol left.
+    """
+    n, deep = len(columns[0]), len(columns)
+    order, starts, symbol = np.arange(n), np.zeros(min(n, 1), np.int64), np.zeros(min(n, 1), np.int64)
+    while True:
+        size = np.diff(np.append(starts, n))
+        wide = (size > 1) & (symbol < deep)
+        if not wide.any():
+            return order, np.repeat(np.arange(len(starts)), size)
+        which = np.repeat(np.arange(len(starts)), size)
+        places = np.flatnonzero(wide[which])
+        at = which[places]
+        values, pivot = np.empty(len(places), columns[0].dtype), np.empty(len(starts), columns[0].dtype)
+        middle = order[starts + size // 2]
+        for k in range(deep):
+            mine = symbol[at] == k
+            values[mine] = columns[k][order[places[mine]]]
+            pivot[symbol == k] = columns[k][middle[symbol == k]]
+        side = np.ones(n, np.int64)
+        side[places] = (values > pivot[at]).astype(np.int64) - (values < pivot[at]) + 1
+        part = which * 3 + side
+        inner = np.argsort(part, kind="stable")
+        order, part = order[inner], part[inner]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        old = part[starts] // 3
+        symbol = symbol[old] + (wide[old] & (part[starts] % 3 == 1))
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -206,109 +252,122 @@ def least_ids(items: list[bytes], place: np.ndarray, ids: np.ndarray, length: in
     return [out[back[i], place[i] - (sizes[i] - length) : place[i] + 1][::-1] for i in range(n)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: str = "doc_id", text_col: str = "text", hot: int = 256, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """Rows (id, n_bytes, spans array<struct<begin, end>>, kept binary), one for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    hashed = lambda k: F.xxhash64(F.lit(k), "text")
+    docs = docs.withColumn("h", hashed(1))
     n = block_count(docs, "text", block_bytes)
-    blocks = dealt(docs, n, [F.col("id"), F.col("text")])
-
-    def laid(block: pa.Table) -> pa.Table:
-        """The block's rows in one order: they come in any, and spans hang on who lies next to whom."""
-        return block.sort_by([("id", "ascending"), ("text", "ascending")])
-
-    def found_in(block: pa.Table) -> tuple[Spans, np.ndarray]:
+    place = F.pmod(F.xxhash64(F.xxhash64("id", "h")), F.lit(n)).cast("int")
+    blocks = dealt(docs, n, F.xxhash64("id", "h"))
+    # of equal texts all but the one of least id go as a whole, and shorten nothing that it does not
+    long = docs.where(f"id is not null and octet_length(text) >= {length}").withColumn("h2", hashed(2)).select("id", "h", "h2")
+    first = long.groupBy("h", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    copies = stored(long.join(first, ["h", "h2"]).where("id <> first").select(place.alias("block"), "id", "h").distinct())
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    aside = copies.select("block", F.lit(-1).alias("kind"), *nothing("long", "node"), *nothing("binary", "blob"), "id", "h")
+    said = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), "node", "blob", *nothing("long", "id", "h"))
+
+    def of_kind(told: pa.Table, kind: int) -> pa.Table:
+        return told.filter(pc.equal(told["kind"], kind))
+
+    def laid(block: pa.Table, told: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """The block's rows in one order (they come in any, and spans hang on who lies next to whom), copies without text; and the bytes that copies have."""
+        rows = opened(block, {"id": pa.int64(), "text": pa.large_binary(), "h": pa.int64()}).sort_by([("id", "ascending"), ("text", "ascending")])
+        gone = of_kind(told, -1)
+        away = set(zip(gone["id"].to_pylist(), gone["h"].to_pylist(), strict=True))
+        mask = np.array([key in away for key in zip(rows["id"].to_pylist(), rows["h"].to_pylist(), strict=True)], bool)
+        sizes = np.where(mask, pc.binary_length(rows["text"]).to_numpy(), 0) if rows.num_rows else np.empty(0, np.int64)
+        return pa.table({"id": rows["id"], "text": pc.if_else(pa.array(mask), pa.scalar(b"", pa.large_binary()), one(rows["text"]))}), sizes
+
+    def found_in(block: pa.Table) -> tuple[Spans, np.ndarray, np.ndarray]:
         every = Spans(block["text"], length, seed)
         ids = one(block["id"])
-        known = np.array(ids.is_valid())[every.doc] if len(every.doc) else np.zeros(0, bool)
-        return every, known
+        known = ids.is_valid().to_numpy(zero_copy_only=False)[every.doc] if len(every.doc) else np.zeros(0, bool)
+        return every, known, ids.fill_null(0).to_numpy()
 
-    def keys_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        block = laid(block)
-        every, known = found_in(block)
-        ids = one(block["id"]).fill_null(0).to_numpy()
+    def keys_of(block: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        every, known, ids = found_in(laid(block, told)[0])
         return every.key[known], ids[every.doc[known]]
 
-    def chosen(block: pa.Table, bits: dict[int, bytes]):
-        """Spans whose minimizer several documents have; the distinct ones among them by bucket."""
-        every, known = found_in(block)
-        ids = one(block["id"]).fill_null(0).to_numpy()
+    def chosen(block: pa.Table, told: pa.Table) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+        """First window and text of the spans whose minimizer several documents have, the distinct one that each is, and these: (key, raw, place, least).
+
+        The more documents have a minimizer, the finer its spans are parted and dealt: by more bytes than it has.
+        """
+        every, known, ids = found_in(block)
         picks = np.flatnonzero(known)
-        several = candidates(every.key[picks], ids[every.doc[picks]], bits, n)
-        picks = picks[among(every.key[picks], several)]
-        picks = picks[np.argsort(every.key[picks], kind="stable")]
-        number: dict[bytes, int] = {}
-        which, least, first = np.empty(len(picks), np.int64), [], []
-        for j, i in enumerate(picks.tolist()):
-            a = every.start[i]
-            s = every.bytes[a : a + every.count[i] + length - 1].tobytes()
-            k = number.setdefault(s, len(number))
+        keys, counts = key_counts(every.key[picks], ids[every.doc[picks]], told)
+        picks = picks[among(every.key[picks], keys[counts > 1])]
+        many = counts[np.searchsorted(keys, every.key[picks])] if len(picks) else np.empty(0, np.int64)
+        level = np.ceil(np.log(np.maximum(many / hot, 1.0)) / math.log(16)).astype(np.int64)
+        span, start, count, low, high = finer(every.start[picks], every.count[picks], every.place[picks], level, length, seed)
+        place, doc, dealt_by = every.place[picks][span], every.doc[picks][span], every.key[picks][span].copy()
+        for j in np.flatnonzero(level[span] > 0).tolist():
+            dealt_by[j] = xxhash.xxh3_64_intdigest(every.bytes[low[j] : high[j]].tobytes(), seed=int(place[j] - low[j])) >> (64 - KEY_BITS)
+        number: dict[tuple[bytes, int], int] = {}
+        which, least, first = np.empty(len(start), np.int64), [], []
+        for j, (a, b, p, d) in enumerate(zip(start.tolist(), (start + count).tolist(), place.tolist(), ids[doc].tolist(), strict=True)):
+            k = number.setdefault((every.bytes[a : b + length - 1].tobytes(), p - a), len(number))
             if k == len(least):
-                least.append(ids[every.doc[i]])
-                first.append(i)
-            elif ids[every.doc[i]] < least[k]:
-                least[k] = ids[every.doc[i]]
+                least.append(d)
+                first.append(j)
+            elif d < least[k]:
+                least[k] = d
             which[j] = k
-        first = np.array(first, np.int64)
-        step = -(-(1 << KEY_BITS) // (4 * n))  # small buckets: a span takes far more room than a key
-        bucket = (every.key[first] // np.uint64(step)).astype(np.int64) if len(first) else np.empty(0, np.int64)
-        # rows of a block come in any order: spans are laid by bucket and bytes
-        items, place = list(number), (every.place - every.start)[first] if len(first) else first
-        order = np.array(sorted(range(len(items)), key=lambda k: (bucket[k], items[k])), np.int64)
+        first, items = np.array(first, np.int64), list(number)
+        key = dealt_by[first]
+        order = np.array(sorted(range(len(items)), key=lambda k: (key[k], items[k])), np.int64)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return every, ids, picks, back[which], [items[k] for k in order.tolist()], np.array(least, np.int64)[order], place[order], bucket[order]
-
-    def runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
-        ids, starts = np.unique(bucket, return_index=True)  # buckets ascend
-        return list(zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
-
-    def tell(block: pa.Table, told: pa.Table) -> pa.Table:
-        block = laid(block)
-        bits = dict(zip(told["bucket"].to_pylist(), told["blob"].to_pylist(), strict=True))
-        rows = []
-        if block.num_rows:
-            *_, items, least, place, bucket = chosen(block, bits)
-            for k, a, b in runs(bucket):
-                part = items[a:b]
-                rows.append((k, block["block"][0].as_py(), pack_arrays(np.frombuffer(b"".join(part), np.uint8), np.array([len(s) for s in part], np.int32), place[a:b].astype(np.int32), least[a:b])))
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int32()), "blob": pa.array(cols[2], pa.binary())})
-
-    def answer(asked: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        place, least, lists = [], [], []
-        for blob in asked["blob"]:
-            raw, sizes, places, ids = unpack_arrays(blob.as_py())
-            raw, at, mine = raw.tobytes(), spans(sizes).tolist(), np.empty(len(sizes), np.int64)
-            for i, (p, d) in enumerate(zip(places.tolist(), ids.tolist(), strict=True)):
-                k = number.setdefault(raw[at[i] : at[i + 1]], len(number))
+        distinct = pa.table({
+            "key": pa.array(key[order], pa.uint64()), "raw": pa.array([items[k][0] for k in order.tolist()], pa.large_binary()),
+            "place": pa.array((place - start)[first][order], pa.int32()), "least": pa.array(np.array(least, np.int64)[order]),
+        })
+        return every, ids, start, doc, back[which], distinct
+
+    def merge(parts: list[pa.Table]) -> tuple[pa.Table, list[np.ndarray]]:
+        number: dict[tuple[bytes, int], int] = {}
+        key, place, least, lists = [], [], [], []
+        for part in parts:
+            mine = np.empty(part.num_rows, np.int64)
+            for i, (x, raw, p, d) in enumerate(zip(*(part[c].to_pylist() for c in ("key", "raw", "place", "least")), strict=True)):
+                k = number.setdefault((raw, p), len(number))
                 if k == len(least):
+                    key.append(x)
                     least.append(d)
                     place.append(p)
                 elif d < least[k]:
                     least[k] = d
                 mine[i] = k
             lists.append(mine)
-        windows = least_ids(list(number), np.array(place, np.int64), np.array(least, np.int64), length, seed)
+        keys, items = np.array(key, np.uint64), list(number)
+        order = np.array(sorted(range(len(items)), key=lambda k: (key[k], items[k])), np.int64)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        merged = pa.table({
+            "key": pa.array(keys[order], pa.uint64()), "raw": pa.array([items[k][0] for k in order.tolist()], pa.large_binary()),
+            "place": pa.array(np.array(place, np.int32)[order]), "least": pa.array(np.array(least, np.int64)[order]),
+        })
+        return merged, [back[mine] for mine in lists]
+
+    def solve(items: pa.Table) -> pa.Table:
+        windows = least_ids(items["raw"].to_pylist(), items["place"].to_numpy().astype(np.int64), items["least"].to_numpy(), length, seed)
         at = spans(np.array([len(w) for w in windows], np.int64))
-        every = np.concatenate(windows)
-        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "blob": pa.array([pack_arrays(every[gather(at, mine)]) for mine in lists], pa.binary())})
+        return pa.table({"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *windows])))})
 
     def cut(block: pa.Table, told: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        block = laid(block)
-        part = lambda kind: (lambda t: dict(zip(t["bucket"].to_pylist(), t["blob"].to_pylist(), strict=True)))(told.filter(pc.equal(told["kind"], kind)))
-        every, ids, picks, which, items, _, _, bucket = chosen(block, part(0))
-        answers = part(1)
-        sizes = np.array([len(s) - length + 1 for s in items], np.int64)
-        values = np.concatenate([np.empty(0, np.int64), *(unpack_arrays(answers[k])[0] for k, _, _ in runs(bucket))])
+        block, copied = laid(block, told)
+        every, ids, start_of, doc_of, which, items = chosen(block, of_kind(told, 0))
+        answers = answers_of(of_kind(told, 1), items.num_rows)
+        values = one(answers["ids"]).flatten().to_numpy() if items.num_rows else np.empty(0, np.int64)
+        sizes = pc.binary_length(items["raw"]).to_numpy() - length + 1
         at = spans(sizes)
         delta = np.zeros(len(every.bytes) + 1, np.int32)
-        for a in range(0, len(picks), 1 << 16):
-            some, mine = picks[a : a + (1 << 16)], which[a : a + (1 << 16)]
-            start = np.repeat(every.start[some], sizes[mine]) + (np.arange(sizes[mine].sum()) - np.repeat(spans(sizes[mine])[:-1], sizes[mine]))
-            hit = start[values[gather(at, mine)] < np.repeat(ids[every.doc[some]], sizes[mine])]
+        for a in range(0, len(which), 1 << 16):
+            some, mine = slice(a, a + (1 << 16)), which[a : a + (1 << 16)]
+            start = np.repeat(start_of[some], sizes[mine]) + (np.arange(sizes[mine].sum()) - np.repeat(spans(sizes[mine])[:-1], sizes[mine]))
+            hit = start[values[gather(at, mine)] < np.repeat(ids[doc_of[some]], sizes[mine])]
             np.add.at(delta, hit, 1)
             np.add.at(delta, hit + length, -1)
         gone = np.cumsum(delta[:-1]) > 0
@@ -322,17 +381,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
         last[edge] = gone[edge]
         begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         doc = np.searchsorted(every.at, begins, "right") - 1
-        count = spans(np.bincount(doc, minlength=len(every.at) - 1))
         base = every.at[doc]
+        whole = np.flatnonzero(copied)
+        order = np.argsort(np.concatenate([doc, whole]), kind="stable")
+        count = spans(np.bincount(np.concatenate([doc, whole]), minlength=len(every.at) - 1))
+        begins, ends = np.concatenate([begins - base, 0 * whole])[order], np.concatenate([ends - base, copied[whole]])[order]
         kept = spans(~gone)[every.at]
         data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(every.at) - 1, [None, pa.py_buffer(kept.tobytes()), pa.py_buffer(every.bytes[~gone].tobytes())])
-        pairs = pa.StructArray.from_arrays([pa.array(begins - base, pa.int64()), pa.array(ends - base, pa.int64())], ["begin", "end"])
-        return pa.table({"id": block["id"], "n_bytes": pa.array(np.diff(every.at)), "spans": pa.ListArray.from_arrays(pa.array(count, pa.int32()), pairs), "kept": data.cast(pa.binary())})
+        pairs = pa.StructArray.from_arrays([pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["begin", "end"])
+        return relaxed(pa.table({"id": block["id"], "n_bytes": pa.array(np.diff(every.at) + copied), "spans": pa.ListArray.from_arrays(pa.array(count, pa.int32()), pairs), "kept": data.cast(pa.binary())}))
 
-    bits = shared_counts(blocks, keys_of, n)
-    asked = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(tell, "bucket int, block int, blob binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, blob binary")
-    both = bits.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1)))
+    known = said(counted(blocks, keys_of, n, max(1, n // 3), aside, fan), 0).unionByName(aside)
+    told = exchange(blocks, lambda block, more: chosen(laid(block, more)[0], of_kind(more, 0))[-1], merge, solve, n, 2 * n, aside=known, fan=fan)
+    both = known.unionByName(said(told, 1))
     out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, "id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
