@@ -57,7 +57,7 @@ def dealt(docs: DataFrame, n: int, key: Column) -> DataFrame:
             order = np.argsort(to, kind="stable")
             ids, starts = np.unique(to[order], return_index=True)
             columns = [batch.column(c).take(pa.array(order)).to_pylist() for c in range(len(names))]
-            blobs = [squeezed(pickle.dumps([c[a:b] for c in columns], 5)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False)]
+            blobs = [squeezed(pickle.dumps([c[a:b] for c in columns], 5), 5) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["block", "rows"])
 
     return docs.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).mapInArrow(parcels, "block int, rows binary").repartition(n, "block")
@@ -78,8 +78,8 @@ def arrow_type(kind: DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+def squeezed(data: bytes, level: int = 3) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
 def loose(blob: bytes) -> bytes:
