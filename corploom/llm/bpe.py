@@ -125,8 +125,25 @@ def split_words(texts: list[str], path: str) -> tuple[pa.Array, np.ndarray]:
     return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, np.int64)
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
-    """Rows (id, ids array<int>), one for each row of docs."""
+def stretches(text: str, most: int = 1 << 20) -> list[str]:
+    """text in pieces of about `most` characters, cut before a space that ends no white space: a word begins there in any case."""
+    out, a = [], 0
+    while len(text) - a > most:
+        b = text.find(" ", a + most)
+        while b > 0 and text[b - 1].isspace():
+            b = text.find(" ", b + 1)
+        if b < 0:
+            break
+        out.append(text[a:b])
+        a = b
+    return [*out, text[a:]]
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", out_col: str | None = None, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
+    """Rows (id, ids array<int>), one for each row of docs; with out_col also what the ids decode to, as `decode` has it.
+
+    Decoding where the ids are joined spares a second Python worker beside each that joins.
+    """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = block_count(docs, "text", block_bytes)
     buckets = max(1, n // 3)
@@ -139,9 +156,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         rows = opened(block, types)
         lists, counts = [pa.array([], pa.large_binary())], [np.zeros(1, np.int64)]
         for part in slices(rows.select(["text"]).combine_chunks().to_batches()):
-            words, at = split_words([t or "" for t in part.column(0).to_pylist()], tokenizer)
-            lists.append(words)
-            counts.append(np.diff(at))
+            texts = [t or "" for t in part.column(0).to_pylist()]
+            # one text may be long, and goes a stretch at a time
+            groups = [[piece] for piece in stretches(texts[0])] if len(texts) == 1 else [texts]
+            cut = [split_words(group, tokenizer) for group in groups]
+            lists += [words for words, _ in cut]
+            counts.append(np.diff(cut[0][1]) if len(texts) > 1 else np.array([sum(int(at[-1]) for _, at in cut)]))
         every = one(pa.chunked_array(lists).combine_chunks().dictionary_encode())
         return rows, every.dictionary, every.indices.to_numpy(), spans(np.concatenate(counts)[1:])
 
@@ -164,43 +184,53 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         _, place = word_items(known, buckets)
         answers = answers_of(told, len(known))
         if not len(known):
-            return pa.table({"id": rows["id"], "ids": pa.array([[]] * rows.num_rows, pa.list_(pa.int32()))})
+            return finished(rows, pa.array([[]] * rows.num_rows, pa.list_(pa.int32())))
         values, begins = flat(answers["ids"])
         which = place[codes]
         ids = laid_out(values.to_numpy().astype(np.int32), begins, which)
         size = spans(np.diff(begins)[which])
-        return relaxed(pa.table({"id": rows["id"], "ids": pa.ListArray.from_arrays(pa.array(size[at], pa.int32()), pa.array(ids))}))
+        return relaxed(finished(rows, pa.ListArray.from_arrays(pa.array(size[at], pa.int32()), pa.array(ids))))
+
+    def finished(rows: pa.Table, ids: pa.Array) -> pa.Table:
+        out = pa.table({"id": rows["id"], "ids": ids})
+        if out_col is None:
+            return out
+        parts = [pa.array(decoded(b.column(1), tokenizer), pa.string()) for b in slices(out.to_batches())]
+        return out.append_column(out_col, pa.chunked_array(parts, pa.string()))
 
     told = exchange(blocks, tell, merging_words(buckets), solve, n, buckets, fan=fan)
-    both = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join_back, f"id {id_type}, ids array<int>")
+    both = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(join_back, f"id {id_type}, ids array<int>" + (f", {out_col} string" if out_col else ""))
     return both.withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """encoded with one more column, the text of its ids; bytes that are no UTF-8 become U+FFFD.
+def decoded(lists: pa.Array, tokenizer: str) -> list[str]:
+    """The text of each list of ids; bytes that are no UTF-8 become U+FFFD.
 
-    Every batch joins its distinct ids with the id-to-piece table (as many rows as the
-    vocabulary) and lays the pieces out by position; an id without a piece adds nothing.
+    The distinct ids are joined with the id-to-piece table (as many rows as the vocabulary) and
+    the pieces laid out by position; an id without a piece adds nothing.
     """
+    ids, at = flat(lists)
+    ids = ids.cast(pa.int32())
+    known = pc.unique(ids)
+    seen = pa.table({"id": known, "row": pa.array(range(len(known)), pa.int32())})
+    data = one(seen.join(piece_table(tokenizer), "id", join_type="left outer").sort_by("row")["piece"]).fill_null(b"")
+    row_of = pc.index_in(ids, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+    starts = spans(pc.binary_length(data).to_numpy(zero_copy_only=False))
+    ends = spans((starts[1:] - starts[:-1])[row_of])[at]
+    flat_bytes = laid_out(raw, starts, row_of).tobytes()
+    return [flat_bytes[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """encoded with one more column, the text of its ids; null lists give empty texts."""
     from pyspark.sql.types import StringType, StructType
 
-    schema = StructType([*encoded.schema.fields])
-    schema = schema.add(out_col, StringType())
+    schema = StructType([*encoded.schema.fields]).add(out_col, StringType())
 
     def texts(batches):
-        pieces = piece_table(tokenizer)
         for batch in slices(batches):
-            ids, at = flat(batch.column(ids_col))
-            seen = pa.table({"id": ids.cast(pa.int32())}).group_by("id").aggregate([]).append_column("row", pa.nulls(0, pa.int32()) if not len(ids) else pa.array(range(len(pc.unique(ids))), pa.int32()))
-            joined = seen.join(pieces, "id", join_type="left outer").sort_by("row")
-            data = one(joined["piece"]).fill_null(b"")
-            row_of = pc.index_in(ids.cast(pa.int32()), value_set=one(seen["id"])).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
-            starts = spans(pc.binary_length(data).to_numpy(zero_copy_only=False))
-            ends = spans((starts[1:] - starts[:-1])[row_of])[at]
-            flat_bytes = laid_out(raw, starts, row_of).tobytes()
-            decoded = [flat_bytes[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], [*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded(batch.column(ids_col), tokenizer), pa.string())], [*batch.schema.names, out_col])
 
     return encoded.mapInArrow(texts, schema)
 

@@ -24,7 +24,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, out_col="decoded"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

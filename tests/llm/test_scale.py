@@ -82,6 +82,17 @@ def test_long_text_with_special_tokens(spark):
     assert time.time() - began < 60 and row["ids"] == bpe.loaded(path).encode(text, add_special_tokens=False).ids
 
 
+def test_stretches():
+    """A long text cut into stretches has the words of the whole."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    for most in (1, 5, 40):
+        for _ in range(200):
+            text = "".join(rng.choice(["a", "'s", " ", "  ", "\n", " \n ", "<|endoftext|>", "1", "!", "\u2003", "é"]) for _ in range(rng.randint(0, 80)))
+            pieces = bpe.stretches(text, most)
+            assert "".join(pieces) == text
+            assert [w for p in pieces for w in bpe.split_words([p], path)[0].to_pylist()] == bpe.split_words([text], path)[0].to_pylist()
+
+
 def test_word_keys():
     texts = ["Ab aB  c", "", None, "\tx\n", "é É", "y" * 3_000_000 + " z", "ab"]
     keys, at = common.word_keys(common.strings(pa.array(texts)))
