@@ -113,7 +113,7 @@ def score(docs: DataFrame, vocabulary: str, learned_from: Column, id_col: str =
             counts, logs = np.zeros(0), np.zeros(0)
         return relaxed(pa.table({
             "id": rows["id"], "n_words": pa.array(np.diff(at)), "known": pa.array(np.bincount(doc, counts > 0, size).astype(np.int64)),
-            "logs": pa.array(np.bincount(doc, np.log10(counts + 1.0), size)), "model": pa.array(np.bincount(doc, logs, size)),
+            "logs": pa.array(np.bincount(doc, np.log10(counts + 1.0), size).astype(np.float64)), "model": pa.array(np.bincount(doc, logs, size).astype(np.float64)),
         }))
 
     told = stored(exchange(blocks, tell, merging_words(buckets), solve, n, buckets, fan=fan))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corploom.llm import bpe, common, rules, sharding, shared, substring, suffix
+from corploom.llm import bpe, common, jaccard, lmscore, rules, sharding, shared, substring, suffix
 from corploom.llm.entries import tokenizer_file
 
 rng = random.Random(7)
@@ -53,6 +53,8 @@ def test_operators_through_relays(spark, fan):
         lambda **o: bpe.encode(docs, path, **o),
         lambda **o: suffix.digests(suffix.remove_repeats(docs, **o)),
         lambda **o: substring.find(docs, **o).select("doc_id", "n_removed", "kept"),
+        lambda **o: jaccard.groups(docs, 3, 50, 100, **o),
+        lambda **o: lmscore.score(docs, tokenizer_file("piece_bpe_32k.model"), F.col("doc_id") % 2 == 0, **o).select("doc_id", "n_known", "train_tokens", F.round("base_score", 6), F.round("score", 6)),
     ):
         assert sorted(map(str, f(block_bytes=1 << 30).collect())) == sorted(map(str, f(block_bytes=900, fan=fan).collect()))
 
