@@ -25,6 +25,7 @@ from ..sources.io import stored, table  # noqa: F401
 
 BLOCK_BYTES = 6 << 20
 SLICE_BYTES = 1 << 20
+PARTITIONS = 50_000  # blocks are more, at some size, than partitions that a driver can keep: then tasks take several, one by one
 LOWERED = np.array([c | 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64)
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])  # fixed values: ASCII white space
 
@@ -44,7 +45,7 @@ def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> i
 
 
 def dealt(docs: DataFrame, n: int, key: Column) -> DataFrame:
-    """Rows (block, rows): blocks 0 to n-1 by a hash of key, those of a block in one partition.
+    """Rows (block, rows): blocks 0 to n-1 by a hash of key, those of a block in one partition, which may have several.
 
     Rows travel as compressed parcels, one for each block that a slice of the input has rows of; `opened`
     gives them back.  Which rows a block has hangs on the key alone, not on how the input came.
@@ -60,7 +61,7 @@ def dealt(docs: DataFrame, n: int, key: Column) -> DataFrame:
             blobs = [squeezed(pickle.dumps([c[a:b] for c in columns], 5), 5) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["block", "rows"])
 
-    return docs.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).mapInArrow(parcels, "block int, rows binary").repartition(n, "block")
+    return docs.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).mapInArrow(parcels, "block int, rows binary").repartition(min(n, PARTITIONS), "block")
 
 
 def opened(block: pa.Table, types: dict[str, pa.DataType]) -> pa.Table:

@@ -42,6 +42,16 @@ def test_messages_grow_with_the_root(spark):
     assert direct > 225 * 150 and relayed <= 225 * 16
 
 
+def test_more_blocks_than_partitions(spark, monkeypatch):
+    """Tasks that take several blocks give what tasks of one block give."""
+    docs = spark.createDataFrame([(i, " ".join(fresh(60))) for i in range(40)] + [(50, None)], "doc_id long, text string")
+    path = tokenizer_file("byte_bpe_50k.json")
+    want = sorted(map(str, bpe.encode(docs, path, block_bytes=900).collect()))
+    monkeypatch.setattr(common, "PARTITIONS", 3)
+    few = bpe.encode(docs, path, block_bytes=900)
+    assert sorted(map(str, few.collect())) == want
+
+
 @pytest.mark.parametrize("fan", [1024, 2])
 def test_operators_through_relays(spark, fan):
     """Tiny blocks and relays give what one block gives."""
