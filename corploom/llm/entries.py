@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, langid, lmscore, quality, rules, sharding, substring, suffix
+from . import bpe, decontam, gridjoin, infill, jaccard, langid, lmscore, periodic, quality, rules, sharding, substring, suffix
 from .common import held, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -66,10 +66,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.groups(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_language_id, op4_quality, op5_jaccard_join, op6_lm_score, op7_decontamination, op8_sharding, op9_suffix_dedup, op10_quality_rules, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_language_id, op4_quality, op5_jaccard_join, op6_lm_score, op7_decontamination, op8_sharding, op9_suffix_dedup, op10_quality_rules, op11_periodic_runs, op12_infill, op13_embedding_near_dedup, pipeline)}

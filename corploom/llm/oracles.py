@@ -65,4 +65,39 @@ v AS (SELECT b.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rejected_by, '') = '' AS kept, coalesce(rejected_by, '') AS rejected_by FROM v
 """
 
-ORACLES = {"op5_jaccard_join": JACCARD, "op9_suffix_dedup": REPEATS, "op10_quality_rules": RULES}
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384 + z))))"""
+
+# words as the query plants repeats in them; places that match q words on, found by runs of six words, which any run has
+PERIODIC = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WS}) AS ws, {CRC32} AS h FROM documents),
+s AS (SELECT *, len(ws)::BIGINT AS n, h // 10 AS g FROM w),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [ws[(CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END)::BIGINT + 1] FOR i IN range(n)] ELSE ws END AS ws FROM s),
+six AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 6), ' ') AS k FROM t, LATERAL (SELECT unnest(range(greatest(n - 5, 0))) AS i)),
+m AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM six a JOIN six b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i JOIN t ON t.doc_id = a.doc_id WHERE 2 * (b.i - a.i) <= n),
+isle AS (SELECT doc_id, q, min(i) AS a, max(i) + 6 + q AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m) GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, a, b - a AS l, min(q) AS q FROM isle WHERE b - a >= greatest(12, 2 * q) GROUP BY doc_id, a, b),
+lost AS (SELECT doc_id, list(DISTINCT i) AS gone FROM run, LATERAL (SELECT unnest(range((a + q)::BIGINT, (a + l)::BIGINT)) AS i) GROUP BY 1),
+told AS (SELECT doc_id, count(*)::BIGINT AS n_runs, string_agg(a || ',' || l || ',' || q || chr(10), '' ORDER BY a, q) AS lines, arg_min(struct_pack(a := a, l := l, q := q), struct_pack(l := -l, a := a, q := q)) AS best FROM run GROUP BY 1),
+kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(n)) AS i FROM t) t LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM lost) g USING (doc_id, i) WHERE g.doc_id IS NULL GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.a::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256 FROM t LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+INFILL = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+d AS (SELECT *, len(us)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, CASE WHEN b > a THEN array_to_string(us[a + 1:b], '') ELSE '' END AS mid, CASE WHEN n > b THEN array_to_string(us[b + 1:n], '') ELSE '' END AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars, sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+NEAR = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r, a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, CASE WHEN len(a.v) = len(b.v) THEN b.v ELSE a.v END) >= 0.93),
+n AS (SELECT r, count(*)::BIGINT AS n FROM link GROUP BY 1),
+reach AS (SELECT DISTINCT vec_id AS a, vec_id AS b FROM e UNION SELECT reach.a, link.y FROM reach JOIN link ON reach.b = link.x),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, coalesce(vec_id = c, false) AS kept FROM e LEFT JOIN n USING (r) LEFT JOIN least ON vec_id IS NOT DISTINCT FROM a
+"""
+
+ORACLES = {"op11_periodic_runs": PERIODIC, "op12_infill": INFILL, "op13_embedding_near_dedup": NEAR, "op5_jaccard_join": JACCARD, "op9_suffix_dedup": REPEATS, "op10_quality_rules": RULES}
