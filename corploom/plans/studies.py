@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import mixtures, sampling
+from ..operators import mixtures, resampling, sampling
 from ..sources.io import stored, table
 from .catalog import CELLS, POOL, SELECTORS, pool, query, r6, selector_sql
 from .results import EG, PAIRS, SIGN, T, U, cells, contrasts
@@ -173,18 +173,56 @@ def bootstrap_intervals(spark, d):
 
 
 BANDED = "cr BETWEEN 0.65 AND 0.8"
+RELABELLED = f"o AS (SELECT avg(CASE WHEN {BANDED} THEN score END) - avg(CASE WHEN NOT ({BANDED}) THEN score END) AS stat, count_if({BANDED}) AS m FROM pool), x AS (SELECT b, score, row_number() OVER (PARTITION BY b ORDER BY substr(sha256('band:' || (b // 4)::VARCHAR || ':' || doc_id::VARCHAR), 1 + 16 * (b % 4)::INT, 16), score) AS r FROM pool, range(100) r(b)), p AS (SELECT b, avg(CASE WHEN r <= m THEN score END) - avg(CASE WHEN r > m THEN score END) AS stat FROM x, o GROUP BY 1)"
 
 
-@query(f"WITH {POOL}, o AS (SELECT avg(CASE WHEN {BANDED} THEN score END) - avg(CASE WHEN NOT ({BANDED}) THEN score END) AS stat, avg(({BANDED})::INT) AS share FROM pool), x AS (SELECT b, score, {U.format('band', "b || ':' || doc_id")} < share AS inside FROM pool, o, range(100) r(b)), p AS (SELECT b, avg(CASE WHEN inside THEN score END) - avg(CASE WHEN NOT inside THEN score END) AS stat FROM x GROUP BY 1) SELECT round(any_value(o.stat), 6) AS observed, round((1 + count_if(abs(p.stat) >= abs(o.stat) - 1e-12)) / 101.0, 6) AS p FROM p, o")
+def banded(spark, d):
+    return pool(spark, d).select("doc_id", "score", F.col("cr").between(0.65, 0.80).alias("hit"))
+
+
+@query(f"WITH {POOL}, {RELABELLED} SELECT round(any_value(o.stat), 6) AS observed, count(*)::BIGINT AS replicates, round((1 + count_if(abs(p.stat) >= abs(o.stat) - 1e-12)) / 101.0, 6) AS p FROM p, o")
 def band_permutation(spark, d):
-    """Does the band's mean score differ by more than labels dealt by hash, with the band's share, would make it?"""
-    rows, hit = pool(spark, d).select("doc_id", "score", F.col("cr").between(0.65, 0.80).alias("hit")), F.col("hit")
-    gap = lambda c: F.avg(F.when(c, F.col("score"))) - F.avg(F.when(~c, F.col("score")))
-    o = stored(rows.agg(gap(hit).alias("observed"), F.avg(hit.cast("int")).alias("share")))  # one row
-    each = rows.crossJoin(F.broadcast(o)).select("score", "observed", "share", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("b"))
-    inside = text.uniform("band", F.concat_ws(":", "b", "doc_id")) < F.col("share")
-    p = each.withColumn("inside", inside).groupBy("b").agg(gap(F.col("inside")).alias("stat"), F.first("observed").alias("observed"))
-    return p.agg(r6(F.first("observed")).alias("observed"), r6((1 + F.count_if(F.abs("stat") >= F.abs("observed") - 1e-12)) / 101.0).alias("p"))
+    """Does the band's mean score differ by more than as many rows chosen by chance would?  100 choices that SQL can repeat."""
+    stats = resampling.relabelled(banded(spark, d), "doc_id", "score", F.col("hit"), 100, "band", "digest")
+    return resampling.p_value(stats).select(r6("observed").alias("observed"), "replicates", r6("p").alias("p"))
+
+
+@query(f"WITH {POOL}, {RELABELLED} SELECT b::INT AS b, round(stat, 6) AS stat FROM p")
+def band_replicates(spark, d):
+    """Each of those choices' own difference."""
+    return resampling.relabelled(banded(spark, d), "doc_id", "score", F.col("hit"), 100, "band", "digest").select("b", r6("stat").alias("stat"))
+
+
+@query()
+def band_permutation_full(spark, d):
+    """The same with 10,000 choices in one pass over the pool, and the spread that they have."""
+    stats = stored(resampling.relabelled(banded(spark, d), "doc_id", "score", F.col("hit"), 10_000, "band"))
+    spread = stats.agg(F.avg("stat").alias("mean"), F.stddev_samp("stat").alias("sd"))
+    return resampling.p_value(stats).crossJoin(F.broadcast(spread)).select(r6("observed").alias("observed"), "replicates", "p", "mean", "sd")
+
+
+@query(f"WITH {CELLS}, {PAIRS}, k AS (SELECT split, other, diff, row_number() OVER (PARTITION BY split, other ORDER BY seed) - 1 AS i, count(*) OVER (PARTITION BY split, other) AS n FROM pairs), f AS (SELECT split, other, mask, any_value(n) AS n, sum(diff) AS t, sum(CASE WHEN (mask >> i) & 1 = 1 THEN diff ELSE -diff END) AS f FROM k, LATERAL (SELECT unnest(range((1 << n)::BIGINT)) AS mask) GROUP BY 1, 2, 3) SELECT split, other, any_value(n)::BIGINT AS n, round(any_value(t / n), 6) AS mean, round(avg((abs(f) >= abs(t) - 1e-9 * (1 + abs(t)))::INT), 9) AS p FROM f GROUP BY 1, 2")
+def paired_permutation(spark, d):
+    """The paired differences of each contrast against all patterns of their signs."""
+    out = resampling.flipped(contrasts(spark, d), ["split", "other"], "diff")
+    return out.select("split", "other", "n", r6("mean").alias("mean"), F.round("p", 9).alias("p"))
+
+
+_drawn = "sha256('cluster:' || (b // 4)::VARCHAR || ':' || k)"
+_part = lambda i: f"('0x' || substr({_drawn}, 1 + 16 * (b % 4)::INT + {8 * i}, 8))::BIGINT"
+_poisson = " + ".join(f"(u >= {x!r})::INT" for x in resampling.POISSON_1.tolist())
+CLUSTERED = f"one AS (SELECT l_returnflag AS arm, l_suppkey % 10 AS domain, l_linenumber - 1 AS seed, sum(l_extendedprice / l_quantity) AS t, count(*) AS c FROM lineitem GROUP BY 1, 2, 3), pair AS (SELECT b.arm AS other, a.domain || '|' || a.seed AS k, a.t / a.c - b.t / b.c AS diff FROM one a JOIN one b ON a.domain = b.domain AND a.seed = b.seed AND a.arm = 'R' AND b.arm <> 'R'), u AS (SELECT other, b, diff, ({_part(0)} * 2097152 + ({_part(1)} // 2048)) * {2.0**-53!r}::DOUBLE AS u FROM pair, range(1000) r(b)), m AS (SELECT other, b, sum(diff * w) / nullif(sum(w), 0) AS mean FROM (SELECT *, {_poisson} AS w FROM u) GROUP BY 1, 2)"
+
+
+@query(f"WITH {CLUSTERED} SELECT other, count(mean)::BIGINT AS replicates, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY 1")
+def clustered_bootstrap(spark, d):
+    """1000 resamples of domain and seed together: their paired differences weigh by Poisson variables that hang on the cluster's name."""
+    lines = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("arm"), (F.col("l_suppkey") % 10).alias("domain"), (F.col("l_linenumber") - 1).alias("seed"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
+    each = lines.groupBy("arm", "domain", "seed").agg(F.avg("x").alias("m"))
+    mine = each.where("arm = 'R'").select("domain", "seed", F.col("m").alias("mine"))
+    pairs = each.where("arm <> 'R'").join(mine, ["domain", "seed"]).select(F.col("arm").alias("other"), "domain", "seed", (F.col("mine") - F.col("m")).alias("diff"), F.lit(1).alias("one"))
+    m = resampling.clustered(pairs, "other", ["domain", "seed"], "diff", "one", 1000, "cluster", "digest")
+    return m.groupBy("other").agg(F.count("mean").alias("replicates"), r6(F.percentile("mean", 0.025)).alias("low"), r6(F.percentile("mean", 0.975)).alias("high"))
 
 
 # --- draws and iterated weights ---------------------------------------------------------------
