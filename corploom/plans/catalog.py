@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..operators import mixtures, packing
 from ..operators.order import quantiles, ranked
-from ..sources.io import stored, table
+from ..sources.io import small, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,18 +62,30 @@ def edges_bucket(x, edges) -> F.Column:
     return out
 
 
-def pool(spark: SparkSession, d: str) -> DataFrame:
-    """The pool, computed once and stored: one scan of documents, dealt by id so that counts of words stay where they are."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("domain"), "lang", "text")
-    known = lambda name, c: table(spark, d, name).select(F.explode(text.words(F.col("text"))).alias("t")).distinct().withColumn(c, F.lit(1))
+def known_words(spark: SparkSession, d: str, name: str, mark: str) -> DataFrame:
+    """The distinct words of a table's texts, marked."""
+    return table(spark, d, name).select(F.explode(text.words(F.col("text"))).alias("t")).distinct().withColumn(mark, F.lit(1))
+
+
+def scored_pool(docs: DataFrame, target: DataFrame, wrong: DataFrame) -> DataFrame:
+    """Documents measured against the words of a target (t, b) and of a wrong one (t, w): rows (doc_id, domain, lang, counts and scores, bucket).
+
+    Documents are dealt by id, so that counts of words stay where they are.
+    """
+    docs = docs.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("domain"), "lang", "text")
     tok = docs.repartition("doc_id").select("doc_id", "domain", "lang", F.explode(text.words(F.col("text"))).alias("t"))
     each = tok.groupBy("doc_id", "t").agg(F.first("domain").alias("domain"), F.first("lang").alias("lang"), F.count(F.lit(1)).alias("c"))
-    joined = each.join(known("benchmark", "b"), "t", "left").join(known("conversations", "w"), "t", "left")
+    joined = each.join(target, "t", "left").join(wrong, "t", "left")
     sums = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("c"))), F.lit(0))
     hits = joined.groupBy("doc_id").agg(F.first("domain").alias("domain"), F.first("lang").alias("lang"), F.sum("c").alias("n_words"), F.count(F.lit(1)).alias("nd"), sums("b").alias("hb"), sums("w").alias("hc"))
     n = F.col("n_words")
     out = hits.select("doc_id", "domain", "lang", "n_words", (F.col("nd") / n).alias("cr"), (F.col("hb") / n).alias("score"), (F.col("hc") / n / 2).alias("wrong"), ((2 * F.col("hb") - n) / n).alias("mean_score"))
-    return stored(out.withColumn("bucket", edges_bucket(F.col("cr"), mixtures.FIXED_EDGES)))
+    return out.withColumn("bucket", edges_bucket(F.col("cr"), mixtures.FIXED_EDGES))
+
+
+def pool(spark: SparkSession, d: str) -> DataFrame:
+    """The pool, computed once and stored: one scan of documents."""
+    return stored(scored_pool(table(spark, d, "documents"), *[small(known_words(spark, d, *x)) for x in (("benchmark", "b"), ("conversations", "w"))]))
 
 
 # --- scans, filters, text -------------------------------------------------------------

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text
+from ..operators import mixtures
 from ..sources import io
 from ..streaming import events as stream
-from .catalog import query, r6
+from ..streaming import masses
+from .catalog import POOL, known_words, query, r6, scored_pool
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -55,29 +58,45 @@ def guarded_report(spark, d):
     return again.agg(F.lit("orders").alias("name"), F.count(F.lit(1)).alias("n"), F.lit(True).alias("verified"), F.lit(refused == 2).alias("refused"))
 
 
-def ended(run):
-    run.awaitTermination()
-    if run.exception():
-        raise run.exception()
-
-
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def appended_events(spark, d):
     """The log appended to a table as a stream, exactly once: a second run finds nothing new."""
     path, checkpoint = io.scratch(spark), io.scratch(spark)
     for _ in range(2):
-        ended(stream.append(stream.source(spark, d), path, checkpoint))
+        stream.ended(stream.append(stream.source(spark, d), path, checkpoint))
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, max(event_id) AS furthest, max(ts) AS latest FROM events GROUP BY 1")
+@query("SELECT user_id, event_id % 997 AS step, event_id, event_type, ts, count AS n_seen FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 997 DESC, ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS count FROM events) WHERE r = 1")
 def monotone_progress(spark, d):
-    """The furthest state of each user, kept by the stream; a stale record never takes it back."""
+    """The furthest record of each user, kept by the stream; a stale record never takes it back."""
     path, checkpoint = io.scratch(spark), io.scratch(spark)
-    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/{n}")  # noqa: E731  each batch restates all users
-    run = stream.newest_progress(stream.source(spark, d)).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    ended(run)
-    return spark.read.schema("user_id long, furthest long, latest timestamp").parquet(f"{path}/{run.lastProgress.batchId}")
+    found = stream.furthest(stream.source(spark, d), "user_id", F.col("event_id") % 997, late="1 day", keep="3650 days")
+    stream.ended(stream.updates(found, path, checkpoint))
+    return stream.current(spark, path, found.schema, ["user_id"]).select("user_id", "step", "event_id", "event_type", "ts", "n_seen")
+
+
+CELL_SUMS = {"n": F.count(F.lit(1)), "score": F.sum(mixtures.clipped("score")), "wrong": F.sum(mixtures.clipped("wrong")), "words": F.sum("n_words")}
+CELL_SCHEMA = StructType.fromDDL("domain string, bucket int, n bigint, score double, wrong double, words bigint")
+
+
+def followed(spark, d, files=4):
+    """Documents as a stream of several files, each a batch, added up by domain and bucket; where the deltas are."""
+    arrived, path, checkpoint = io.scratch(spark), io.scratch(spark), io.scratch(spark)
+    docs = io.table(spark, d, "documents")
+    docs.repartitionByRange(files, "doc_id").write.parquet(arrived)
+    words = [io.small(known_words(spark, d, *x)) for x in (("benchmark", "b"), ("conversations", "w"))]
+    add = masses.adder(path, lambda batch: scored_pool(batch, *words), ["domain", "bucket"], CELL_SUMS)
+    come = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    stream.ended(masses.follow(come, add, checkpoint))
+    return path, add
+
+
+@query(f"WITH {POOL} SELECT domain, bucket, count(*)::BIGINT AS n, round(sum(greatest(score, 0)), 6) AS score, round(sum(greatest(wrong, 0)), 6) AS wrong, sum(n_words)::BIGINT AS words FROM pool GROUP BY 1, 2")
+def followed_masses(spark, d):
+    """Masses of cells after four micro-batches: those of the whole pool."""
+    path, _ = followed(spark, d)
+    return masses.masses(spark, path, CELL_SCHEMA, ["domain", "bucket"]).select("domain", "bucket", "n", r6("score").alias("score"), r6("wrong").alias("wrong"), "words")
 
 
 @query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id) AS r FROM events) WHERE r = 1")
@@ -85,7 +104,7 @@ def deduplicated_events(spark, d):
     """Events that came twice (here: all of them) pass the stream once."""
     path, checkpoint = io.scratch(spark), io.scratch(spark)
     twice = stream.source(spark, d).unionByName(stream.source(spark, d))
-    ended(stream.append(stream.deduplicated(twice, "3650 days"), path, checkpoint))
+    stream.ended(stream.append(stream.deduplicated(twice, "3650 days"), path, checkpoint))
     return spark.read.schema(stream.SCHEMA).parquet(path).select("event_id", "event_type")
 
 

@@ -203,14 +203,12 @@ def record_packs(spark, d):
 
 @query()
 def streamed_counts(spark, d):
-    """The windowed counts of the event log, run as a stream to its end."""
+    """The windowed counts of the event log, run as a stream to its end; each batch tells what it changed."""
     path, checkpoint = scratch(spark), scratch(spark)
-    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/{n}")  # noqa: E731  each batch restates all counts
-    run = stream.windowed_counts(stream.source(spark, d)).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = run.lastProgress.batchId
-    counts = spark.read.schema("window struct<start: timestamp, end: timestamp>, event_type string, n long, total double").parquet(f"{path}/{last}")
-    return counts.select(F.col("window.start").alias("start"), "event_type", "n", r6("total").alias("total"))
+    counts = stream.windowed_counts(stream.source(spark, d), late="1 day")
+    stream.ended(stream.updates(counts, path, checkpoint))
+    last = stream.current(spark, path, counts.schema, ["window", "event_type"])
+    return last.select(F.col("window.start").alias("start"), "event_type", "n", r6("total").alias("total"))
 
 
 ORACLE_STREAM = "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
