@@ -32,6 +32,18 @@ def texts():
     return [(i * 3, t, lang, f"s{i % 3}", len(t or "")) for i, (t, lang) in enumerate(rows)]
 
 
+def vectors():
+    """Near and far ones, chains of near ones, copies, other lengths, and all kinds that link with nothing."""
+    near = lambda v, by: [x + by * rng.gauss(0, 1) for x in v]
+    base = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(30)]
+    rows = [(v, rng.choice([1, 2])) for v in base]
+    rows += [(near(v, rng.choice([0.05, 0.25, 0.4])), label) for v, label in rows for _ in range(4)]
+    rows += [rows[0], rows[0], (rows[0][0], 3), ([3 * x for x in rows[1][0]], rows[1][1])]
+    rows += [(None, 1), ([], 1), ([0.0] * 12, 1), (rows[0][0][:11] + [None], 1), (rows[0][0][:11] + [float("nan")], 1), (rows[0][0][:11] + [float("inf")], 1), (rows[0][0], None), (rows[0][0][:5], 1), (rows[0][0][:5], 1)]
+    rng.shuffle(rows)
+    return [(i * 2, v, label) for i, (v, label) in enumerate(rows)]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, texts, tmp_path_factory):
     """Tables whose further columns have the names of the operators' own."""
@@ -45,6 +57,7 @@ def folder(spark, texts, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     items = [(1, next(t for _, t, *_ in texts if t and len(t.split()) > 40)), (2, None), (3, ""), (4, "never said before at all by anyone here")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int").select("*", *[F.lit("clash").alias(c) for c in ("node", "key", "n", "class", "unit", "cells", "part", "code", "low0", "component_id")]).repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -65,7 +78,7 @@ def test_sql(spark, folder, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     want = c.execute(oracles.ORACLES[name])
     columns = [x[0] for x in want.description]
