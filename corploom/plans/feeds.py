@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import text
-from ..operators import mixtures
 from ..sources import io
 from ..streaming import events as stream
 from ..streaming import masses
@@ -76,8 +74,8 @@ def monotone_progress(spark, d):
     return stream.current(spark, path, found.schema, ["user_id"]).select("user_id", "step", "event_id", "event_type", "ts", "n_seen")
 
 
-CELL_SUMS = {"n": F.count(F.lit(1)), "score": F.sum(mixtures.clipped("score")), "wrong": F.sum(mixtures.clipped("wrong")), "words": F.sum("n_words")}
-CELL_SCHEMA = StructType.fromDDL("domain string, bucket int, n bigint, score double, wrong double, words bigint")
+CELL_SUMS = {"n": "count(1)", "score": "sum(greatest(score, 0))", "wrong": "sum(greatest(wrong, 0))", "words": "sum(n_words)"}
+CELL_SCHEMA = "domain string, bucket int, n bigint, score double, wrong double, words bigint"
 
 
 def followed(spark, d, files=4):

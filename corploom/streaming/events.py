@@ -34,17 +34,18 @@ def furthest(events: DataFrame, key: str, step: Column, time: str = "ts", late:
     record is counted and changes nothing.  A key whose furthest record is older than the
     watermark by `keep` gets a last row, marked as ended, and its state goes; if it speaks again, it begins anew.
     A batch brings a row at most for each of its keys.  Records without a key, a step or a time are
-    left out.  State is a record a key.
+    left out.  State is a record a key.  Where the events have a column of a new one's name, underscores are added to it.
     """
     fields = events.schema.fields
     names = [f.name for f in fields]
+    step_name, seen_name, ended_name = (n + "_" * next(i for i in range(len(names) + 1) if n + "_" * i not in names) for n in ("step", "n_seen", "ended"))
     at = names.index(time)
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-    rows = events.withColumn("step", step.cast("long")).where(F.col(key).isNotNull() & F.col("step").isNotNull() & F.col(time).isNotNull())
+    rows = events.withColumn(step_name, step.cast("long")).where(F.col(key).isNotNull() & F.col(step_name).isNotNull() & F.col(time).isNotNull())
     rows = rows.withWatermark(time, late)
-    kind = StructType([*fields, StructField("step", LongType()), StructField("n_seen", LongType())])
-    out = StructType([*kind.fields, StructField("ended", BooleanType())])
-    every = [*names, "step", "n_seen", "ended"]
+    kind = StructType([*fields, StructField(step_name, LongType()), StructField(seen_name, LongType())])
+    out = StructType([*kind.fields, StructField(ended_name, BooleanType())])
+    every = [*names, step_name, seen_name, ended_name]
 
     def plain(value):
         return None if value is None or value is pd.NaT else value.to_pydatetime() if isinstance(value, pd.Timestamp) else value.item() if hasattr(value, "item") else value
@@ -63,7 +64,7 @@ def furthest(events: DataFrame, key: str, step: Column, time: str = "ts", late:
         before = best
         for batch in batches:
             seen += len(batch)
-            for record in batch[[*names, "step"]].itertuples(index=False):
+            for record in batch[[*names, step_name]].itertuples(index=False):
                 record = tuple(plain(x) for x in record)
                 if best is None or order(record) > order(best):
                     best = record

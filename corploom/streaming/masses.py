@@ -11,9 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 
 def held(spark: SparkSession, path: str) -> int:
@@ -25,12 +24,12 @@ def held(spark: SparkSession, path: str) -> int:
     return -1 if row[0] is None else int(row[0])
 
 
-def adder(path: str, score: Callable[[DataFrame], DataFrame], keys: list[str], sums: dict[str, Column]) -> Callable[[DataFrame, int], None]:
-    """What foreachBatch calls: sums (of what score makes of a batch) by keys, in the batch's own folder."""
+def adder(path: str, score: Callable[[DataFrame], DataFrame], keys: list[str], sums: dict[str, str]) -> Callable[[DataFrame, int], None]:
+    """What foreachBatch calls: sums (SQL, over what score makes of a batch) by keys, in the batch's own folder."""
 
     def add(batch: DataFrame, number: int) -> None:
         if number > held(batch.sparkSession, path):
-            score(batch).groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()]).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
+            score(batch).groupBy(*keys).agg(*[F.expr(c).alias(n) for n, c in sums.items()]).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
 
     return add
 
@@ -40,25 +39,25 @@ def follow(documents: DataFrame, add: Callable[[DataFrame, int], None], checkpoi
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def parts(spark: SparkSession, path: str, schema: StructType, upto: int | None = None) -> DataFrame:
+def parts(spark: SparkSession, path: str, schema: str, upto: int | None = None) -> DataFrame:
     """The latest snapshot and the deltas after it, up to a batch if one is given."""
     last = held(spark, path)
-    names = [f.name for f in schema.fields]
-    later = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{path}/deltas").where(F.col("batch") > last)
+    later = spark.read.schema(f"{schema}, batch bigint").parquet(f"{path}/deltas").where(F.col("batch") > last)
     if upto is not None:
         later = later.where(F.col("batch") <= upto)
+    later = later.drop("batch")
     if last < 0:
-        return later.select(*names)
-    return spark.read.schema(StructType([*schema.fields, StructField("upto", LongType())])).parquet(f"{path}/snapshots").where(F.col("upto") == last).select(*names).unionByName(later.select(*names))
+        return later
+    return spark.read.schema(f"{schema}, upto bigint").parquet(f"{path}/snapshots").where(F.col("upto") == last).drop("upto").unionByName(later)
 
 
-def masses(spark: SparkSession, path: str, schema: StructType, keys: list[str], upto: int | None = None) -> DataFrame:
+def masses(spark: SparkSession, path: str, schema: str, keys: list[str], upto: int | None = None) -> DataFrame:
     """What all batches add up to, a row a cell; null keys are cells of their own."""
-    names = [f.name for f in schema.fields if f.name not in keys]
-    return parts(spark, path, schema, upto).groupBy(*keys).agg(*[F.sum(n).cast(schema[n].dataType).alias(n) for n in names])
+    rows = parts(spark, path, schema, upto)
+    return rows.groupBy(*keys).agg(*[F.sum(n).cast(t).alias(n) for n, t in rows.dtypes if n not in keys])
 
 
-def compact(spark: SparkSession, path: str, schema: StructType, keys: list[str], upto: int) -> None:
+def compact(spark: SparkSession, path: str, schema: str, keys: list[str], upto: int) -> None:
     """A snapshot of batches 0 to upto, which the stream must have finished; there already, it stays."""
     if upto > held(spark, path):
         masses(spark, path, schema, keys, upto).coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshots/upto={upto}")
