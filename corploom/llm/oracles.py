@@ -91,8 +91,8 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END A
 """
 
 NEAR = """
-WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS MATERIALIZED (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 link AS (SELECT a.r, a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, CASE WHEN len(a.v) = len(b.v) THEN b.v ELSE a.v END) >= 0.93),
 n AS (SELECT r, count(*)::BIGINT AS n FROM link GROUP BY 1),
 reach AS (SELECT DISTINCT vec_id AS a, vec_id AS b FROM e UNION SELECT reach.a, link.y FROM reach JOIN link ON reach.b = link.x),
