@@ -3,8 +3,10 @@
 Where a pack ends hangs on where it began, and so on all packs before; yet only by the bytes that it
 brings along.  So each range of records first says, for every number of bytes that may come in, at
 which record the first pack closes and how many bytes go on: a short list, since a pack closes within a
-few records.  These lists, one a range, are composed in order; with what comes in known, each range
-numbers its packs by itself.
+few records.  These lists, one a range, are functions that compose associatively: sixteen neighbours
+make one, sixteen of those another, up to one list a group; on the way back down each range learns what comes
+in.  A composed list has as many entries as there are byte counts below the width, at most, so no
+step grows with the corpus, and the driver sees none of them.  Then each range numbers its packs by itself.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import stored
+from ..sources.io import small, stored
 
 
 def closings(sizes: np.ndarray, width: int) -> np.ndarray:
@@ -49,6 +51,74 @@ def passed(sizes: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     return out
 
 
+STAY = -1  # as the bytes that go on: those that came in and all of the range's
+
+
+def composed(first: tuple, second: tuple) -> tuple:
+    """(total, least, left, begun) of two neighbouring ranges as one: least bytes that come in, bytes that go on, and the range that their pack began in.
+
+    Entries ascend by least; the one for 0 bytes comes first and is never STAY.
+    """
+    total, least, left, begun = first
+    total2, least2, left2, begun2 = second
+    out = []
+    for i, (at, on, since) in enumerate(zip(least, left, begun, strict=True)):
+        end = least[i + 1] if i + 1 < len(least) else None
+        if on != STAY:  # what goes on does not hang on what came in
+            j = int(np.searchsorted(least2, on, "right")) - 1
+            out.append((at, on + total2, since) if left2[j] == STAY else (at, left2[j], begun2[j]))
+            continue
+        # bytes from at to end (without) come to the second range, with all of the first
+        j = int(np.searchsorted(least2, at + total, "right")) - 1
+        while j < len(least2) and (end is None or least2[j] - total < end):
+            out.append((max(at, int(least2[j]) - total), left2[j], begun2[j]))
+            j += 1
+    kept = [x for k, x in enumerate(out) if k < 2 or x[1:] != out[k - 1][1:]]
+    return (total + total2, *(np.array(c, np.int64) for c in zip(*kept, strict=True)))
+
+
+def fed(step: tuple, mine: int, since: int) -> tuple[int, int]:
+    """Bytes that go on, and the range that their pack began in, where `mine` bytes come in of a pack begun in `since`."""
+    total, least, left, begun = step
+    j = int(np.searchsorted(least, mine, "right")) - 1
+    if left[j] == STAY:
+        return mine + total, since
+    return int(left[j]), int(begun[j]) if left[j] else -1
+
+
+def incoming(steps: DataFrame, fan_bits: int = 4) -> DataFrame:
+    """Rows (grp, part, mine, begun): what comes into each range, from rows (grp, part, total, least, left, begun) for all of them."""
+    kind = f"grp {steps.schema['grp'].dataType.simpleString()}"
+    step_of = lambda t, i: (t["total"][i].as_py(), *(np.array(t[c][i].as_py(), np.int64) for c in ("least", "left", "begun")))
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        out = step_of(rows, 0)
+        for i in range(1, rows.num_rows):
+            out = composed(out, step_of(rows, i))
+        return pa.table({"grp": rows["grp"].slice(0, 1), "part": rows["up"].slice(0, 1), "total": [int(out[0])], "least": [out[1]], "left": [out[2]], "begun": [out[3]]})
+
+    def unfold(rows: pa.Table, given: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        state, out = (given["mine"][0].as_py(), given["begun"][0].as_py()) if given.num_rows else (0, -1), []
+        for i in range(rows.num_rows):
+            out.append(state)
+            state = fed(step_of(rows, i), *state)
+        mine, since = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"grp": rows["grp"], "part": rows["part"], "mine": pa.array(mine, pa.int64()), "begun": pa.array(since, pa.int64())})
+
+    levels, most = [steps], steps.agg(F.max("part")).first()[0] or 0
+    parent = lambda df: df.withColumn("up", F.shiftright("part", fan_bits))
+    while most >> fan_bits:
+        levels.append(stored(parent(levels[-1]).groupBy("grp", "up").applyInArrow(fold, f"{kind}, part long, total long, least array<long>, left array<long>, begun array<long>")))
+        most >>= fan_bits
+    given = steps.select("grp", F.col("part").alias("up"), F.lit(0).cast("long").alias("mine"), F.lit(-1).cast("long").alias("begun")).where("false")
+    for level in levels[::-1]:
+        given = parent(level).groupBy("grp", "up").cogroup(given.groupBy("grp", "up")).applyInArrow(unfold, f"{kind}, part long, mine long, begun long")
+        found, given = given, given.withColumnRenamed("part", "up")
+    return found
+
+
 def pack_records(df: DataFrame, width: int, group: str = "domain", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (group, pack_id, member_ids, view, full_bytes): a pack closes when it reaches width, each record with a line feed after it; the tail of a group is dropped.
 
@@ -60,24 +130,12 @@ def pack_records(df: DataFrame, width: int, group: str = "domain", key: str = "d
 
     def tell(part: pa.Table) -> pa.Table:
         part = part.sort_by("n")
-        steps = passed(part["size"].to_numpy(), width)
-        total = int((part["size"].to_numpy() + 1).sum())
-        least, close, left = (list(c) for c in zip(*steps, strict=True))
-        return pa.table({"grp": part["grp"].slice(0, 1), "part": part["part"].slice(0, 1), "total": [total], "least": [least], "close": [close], "left": [left]})
-
-    told = rows.groupBy("grp", "part").applyInArrow(tell, f"grp {kind}, part long, total long, least array<long>, close array<long>, left array<long>")
-    # a few numbers for each range: what comes in follows from the ranges before
-    comes, state = [], {}
-    for r in sorted(told.collect(), key=lambda r: r["part"]):
-        mine, begun = state.get(r["grp"], (0, -1))
-        comes.append((r["grp"], r["part"], mine, begun))
-        i = max(i for i, least in enumerate(r["least"]) if least <= mine)
-        if r["left"][i] < 0:
-            state[r["grp"]] = (mine + r["total"], begun)
-        else:
-            state[r["grp"]] = (r["left"][i], r["part"] if r["left"][i] else -1)
-    spark = df.sparkSession
-    given = spark.createDataFrame(comes or [], f"grp {kind}, part long, mine long, begun long") if comes else rows.where("false").selectExpr("grp", "part", "0L as mine", "0L as begun")
+        sizes, here = part["size"].to_numpy(), part["part"][0].as_py()
+        least, _, left = zip(*passed(sizes, width), strict=True)
+        return pa.table({"grp": part["grp"].slice(0, 1), "part": part["part"].slice(0, 1), "total": [int((sizes + 1).sum())], "least": [least], "left": [left], "begun": [[here if x else -1 for x in left]]})
+
+    told = stored(rows.groupBy("grp", "part").applyInArrow(tell, f"grp {kind}, part long, total long, least array<long>, left array<long>, begun array<long>"))
+    given = small(incoming(told))  # a row a range
 
     def number(part: pa.Table) -> pa.Table:
         """The pack of each record: the range that it began in, and how many began there before it."""
@@ -98,7 +156,7 @@ def pack_records(df: DataFrame, width: int, group: str = "domain", key: str = "d
             number[number == number[-1]] = -1
         return pa.table({"grp": part["grp"], "k": part["k"], "began": began, "number": number, "closed": closed})
 
-    out = rows.join(F.broadcast(given), rows["grp"].eqNullSafe(given["grp"]) & (rows["part"] == given["part"])).select(rows["grp"], rows["part"], "k", "size", "n", "mine", "begun")
+    out = rows.join(given, rows["grp"].eqNullSafe(given["grp"]) & (rows["part"] == given["part"])).select(rows["grp"], rows["part"], "k", "size", "n", "mine", "begun")
     key_kind = df.schema[key].dataType.simpleString()
     numbered = out.groupBy("grp", "part").applyInArrow(number, f"grp {kind}, k {key_kind}, began long, number long, closed boolean")
     texts = df.select(F.col(group).alias("g"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
