@@ -11,9 +11,11 @@ step grows with the corpus, and the driver sees none of them.  Then each range n
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import small, stored
@@ -175,3 +177,30 @@ def token_blocks(df: DataFrame, tokens: Column, length: int, most: int = 2048) -
     count = F.floor((F.size(kept) - 1) / length).cast("int")
     made = F.when(count >= 1, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("block"), F.slice(kept, i * length + 1, length + 1).alias("tokens"))))
     return df.select("*", F.explode(made).alias("_b")).select(*df.columns, "_b.block", "_b.tokens")
+
+
+class Packs:
+    """A table function's rows: packs of a partition whose rows come in id order; it holds one open pack."""
+
+    def __init__(self) -> None:
+        self.ids: list[str] = []
+        self.parts: list[bytes] = []
+        self.size = 0
+
+    def eval(self, row, width: int):
+        raw = (row["text"] or "").encode() + b"\n"
+        self.ids.append(str(row["doc_id"]))
+        self.parts.append(raw)
+        self.size += len(raw)
+        if self.size >= width:
+            whole = b"".join(self.parts)
+            yield row["domain"], hashlib.sha256(",".join(self.ids).encode()).hexdigest(), self.ids, whole[:width], len(whole)
+            self.ids, self.parts, self.size = [], [], 0
+
+
+def register_packs(spark: SparkSession, name: str = "packs") -> None:
+    """SQL: `SELECT * FROM packs(TABLE(t) PARTITION BY (domain) ORDER BY (doc_id), 4096)`, t of (domain, doc_id, text).
+
+    Rows of a domain pass through one task, which holds one pack of them; `pack_records` parts large domains.
+    """
+    spark.udtf.register(name, F.udtf(Packs, returnType="domain string, pack_id string, member_ids array<string>, view binary, full_bytes long"))

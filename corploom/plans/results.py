@@ -192,15 +192,27 @@ def bucket_prior_report(spark, d):
     return g.withColumn("tv_part", F.abs(F.col("prior_mass") - F.col("population_mass")) / 2)
 
 
-@query("""WITH RECURSIVE n AS (SELECT lang AS domain, doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
-r AS (SELECT domain, i, size AS total, 1 AS pack FROM n WHERE i = 1 UNION ALL SELECT n.domain, n.i, CASE WHEN r.total >= 4096 THEN n.size ELSE r.total + n.size END, CASE WHEN r.total >= 4096 THEN r.pack + 1 ELSE r.pack END FROM r JOIN n ON n.domain = r.domain AND n.i = r.i + 1),
-g AS (SELECT domain, pack, string_agg(doc_id::VARCHAR, ',' ORDER BY r.i) AS ids, count(*)::INT AS members, max(total) AS full_bytes, string_agg(t || chr(10), '' ORDER BY r.i) AS whole FROM r JOIN n USING (domain, i) GROUP BY 1, 2)
-SELECT domain, sha256(ids) AS pack_id, members, full_bytes::BIGINT AS full_bytes, sha256(unhex(substr(hex(encode(whole)), 1, 8192))) AS view_sha FROM g WHERE full_bytes >= 4096""")
+RECORD_PACKS = """WITH RECURSIVE n AS (SELECT lang AS domain, doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT domain, i, size AS total, 1 AS pack FROM n WHERE i = 1 UNION ALL SELECT n.domain, n.i, CASE WHEN r.total >= 4096 THEN n.size ELSE r.total + n.size END, CASE WHEN r.total >= 4096 THEN r.pack + 1 ELSE r.pack END FROM r JOIN n ON n.domain IS NOT DISTINCT FROM r.domain AND n.i = r.i + 1),
+g AS (SELECT n.domain, pack, string_agg(doc_id::VARCHAR, ',' ORDER BY r.i) AS ids, count(*)::INT AS members, max(total) AS full_bytes, string_agg(t || chr(10), '' ORDER BY r.i) AS whole FROM r JOIN n ON n.domain IS NOT DISTINCT FROM r.domain AND n.i = r.i GROUP BY 1, 2)
+SELECT domain, sha256(ids) AS pack_id, members, full_bytes::BIGINT AS full_bytes, sha256(unhex(substr(hex(encode(whole)), 1, 8192))) AS view_sha FROM g WHERE full_bytes >= 4096"""
+
+
+@query(RECORD_PACKS)
 def record_packs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("domain"), "text")
     return packing.pack_records(docs, 4096).select("domain", "pack_id", F.size("member_ids").alias("members"), "full_bytes", F.sha2("view", 256).alias("view_sha"))
 
 
+@query(RECORD_PACKS)
+def table_function_packs(spark, d):
+    """The same packs by a table function over a partitioned table."""
+    packing.register_packs(spark)
+    docs = table(spark, d, "documents").select(F.col("lang").alias("domain"), "doc_id", "text")
+    found = spark.sql("SELECT * FROM packs(TABLE({docs}) PARTITION BY (domain) ORDER BY (doc_id), 4096)", docs=docs)
+    return found.select("domain", "pack_id", F.size("member_ids").alias("members"), "full_bytes", F.sha2("view", 256).alias("view_sha"))
+
+
 @query()
 def streamed_counts(spark, d):
     """The windowed counts of the event log, run as a stream to its end; each batch tells what it changed."""

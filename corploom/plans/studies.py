@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import mixtures, resampling, sampling
+from ..operators import decisions, mixtures, resampling, sampling
 from ..sources.io import stored, table
 from .catalog import CELLS, POOL, SELECTORS, pool, query, r6, selector_sql
 from .results import EG, PAIRS, SIGN, T, U, cells, contrasts
@@ -96,30 +96,45 @@ def completion_checks(spark, d):
 
 # --- decisions ------------------------------------------------------------------------------
 
-RATES = f"{CELLS}, base AS (SELECT seed, avg(metric) AS bm, avg(broad) AS bb FROM cells GROUP BY 1), g AS (SELECT arm, count(*) = 14 AS complete, avg(metric) AS m, avg(broad) AS b, avg(bb) AS base_b, count_if(split = 'O' AND metric >= bm)::BIGINT AS seeds_up, avg((abs(metric - bm) > 0.001 * bm)::INT) AS moved FROM cells JOIN base USING (seed) GROUP BY 1)"
+# A grid of three rates and seven seeds: targets of one split, retention of the other.  SITUATIONS bend it: a cell that is not
+# complete, a floor that none reaches, rates that are tied in all but themselves.
+GRID = f"{CELLS}, grid AS (SELECT CASE arm WHEN 'A' THEN 1e-5::DOUBLE WHEN 'N' THEN 2e-5::DOUBLE ELSE 5e-5::DOUBLE END AS rate, seed, any_value(CASE WHEN split = 'O' THEN metric END) / 3000 AS target, any_value(CASE WHEN split = 'F' THEN 1 - broad END) AS retention, any_value(CASE WHEN split = 'O' THEN broad END) AS nll FROM cells GROUP BY 1, 2), base AS (SELECT avg(target) AS bt, avg(retention) AS br FROM grid), situations AS (SELECT * FROM (VALUES ('whole', 1.0::DOUBLE, 0.02::DOUBLE), ('cell_missing', 1.0::DOUBLE, 0.02::DOUBLE), ('no_floor', 1.0::DOUBLE, -1.0::DOUBLE), ('tied', 0.0::DOUBLE, 0.02::DOUBLE)) t(situation, spread, tolerance)), bent AS (SELECT situation, tolerance, rate, seed, CASE WHEN situation = 'cell_missing' AND rate = 2e-5 AND seed = 3 THEN 'failed' ELSE 'complete' END AS status, bt + spread * (target - bt) AS target, br + spread * (retention - br) AS retention, spread * nll AS nll, abs(target - bt) * spread AS change FROM grid, base, situations), g AS (SELECT situation, any_value(tolerance) AS tolerance, rate, avg(target) AS t, avg(retention) AS r, avg(nll) AS nll, avg(change) AS change, count_if(target >= bt)::BIGINT AS up, count(*) AS done FROM bent, base WHERE status = 'complete' GROUP BY situation, rate), whole AS (SELECT situation, 21 - count_if(status = 'complete') AS n_missing FROM bent GROUP BY 1)"
+SITUATIONS = {"whole": (1.0, 0.02), "cell_missing": (1.0, 0.02), "no_floor": (1.0, -1.0), "tied": (0.0, 0.02)}
+RATE_OF = {"A": 1e-5, "N": 2e-5, "R": 5e-5}
 
 
-def rates(spark, d):
-    c = cells(spark, d)
-    base = c.groupBy("seed").agg(F.avg("metric").alias("bm"), F.avg("broad").alias("bb"))
-    return c.join(base, "seed").groupBy("arm").agg((F.count(F.lit(1)) == 14).alias("complete"), F.avg("metric").alias("m"), F.avg("broad").alias("b"), F.avg("bb").alias("base_b"), F.count_if((F.col("split") == "O") & (F.col("metric") >= F.col("bm"))).alias("seeds_up"), F.avg((F.abs(F.col("metric") - F.col("bm")) > 0.001 * F.col("bm")).cast("int")).alias("moved"))
+def grid(spark, d):
+    """The cells of each situation, the base's row, what is declared, and its tolerance."""
+    rate = F.coalesce(*[F.when(F.col("arm") == a, F.lit(r)) for a, r in RATE_OF.items()]).alias("rate")
+    side = lambda split, c: F.first(F.when(F.col("split") == split, c), ignorenulls=True)
+    g = stored(cells(spark, d).groupBy(rate, "seed").agg((side("O", F.col("metric")) / 3000).alias("target"), side("F", 1 - F.col("broad")).alias("retention"), side("O", F.col("broad")).alias("nll")))
+    base = stored(g.agg(F.avg("target").alias("base_target"), F.avg("retention").alias("base_retention")))
+    declared = spark.createDataFrame([(r, s) for r in RATE_OF.values() for s in range(7)], "rate double, seed int")
+    for name, (spread, tolerance) in SITUATIONS.items():
+        failed = (F.lit(name) == "cell_missing") & (F.col("rate") == 2e-5) & (F.col("seed") == 3)
+        pulled = lambda c: F.col(f"base_{c}") + spread * (F.col(c) - F.col(f"base_{c}"))  # noqa: B023, E731
+        bent = g.crossJoin(F.broadcast(base)).select("rate", "seed", F.when(failed, "failed").otherwise("complete").alias("status"), pulled("target").alias("target"), pulled("retention").alias("retention"), (spread * F.col("nll")).alias("nll"), (F.abs(F.col("target") - F.col("base_target")) * spread).alias("change"))
+        yield name, bent, base, declared, tolerance
 
 
-@query(f"WITH {RATES}, e AS (SELECT *, complete AND b <= base_b + 0.02 AS eligible FROM g), k AS (SELECT *, eligible AND m >= (SELECT max(m) FROM e WHERE eligible) - 2 AS in_band FROM e) SELECT arm, complete, eligible, in_band, seeds_up >= 3 AS beats_base, moved >= 0.02 AS moves, in_band AND arm = (SELECT max(arm) FROM k WHERE in_band) AND seeds_up >= 3 AND moved >= 0.02 AS selected FROM k")
+def each_situation(spark, d, decide):
+    out = None
+    for name, bent, base, declared, tolerance in grid(spark, d):
+        one = decide(bent, base, declared, tolerance).withColumn("situation", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {GRID}, e AS (SELECT *, r >= br - tolerance AS eligible FROM g, base), k AS (SELECT *, max(CASE WHEN eligible THEN t END) OVER (PARTITION BY situation) AS best FROM e), pick AS (SELECT DISTINCT ON (situation) * FROM k WHERE eligible AND t >= best - 0.002 ORDER BY situation, rate DESC), o AS (SELECT whole.situation, n_missing = 0 AS complete, n_missing::BIGINT AS n_missing, CASE WHEN n_missing = 0 THEN rate END AS selected, CASE WHEN n_missing = 0 THEN rate IS NOT NULL END AS retains, CASE WHEN n_missing = 0 THEN coalesce(t >= bt, false) END AS at_or_above_base, CASE WHEN n_missing = 0 THEN coalesce(up >= 3, false) END AS enough_seeds, CASE WHEN n_missing = 0 THEN coalesce(change >= 0.0005, false) END AS moves FROM whole LEFT JOIN pick USING (situation)) SELECT *, coalesce(retains AND at_or_above_base AND enough_seeds AND moves, false) AS passed FROM o")
 def stage_one(spark, d):
-    """Complete rates that retain; of those within the tie band of the best the largest; it must beat the base on three seeds and move predictions."""
-    e = rates(spark, d).withColumn("eligible", F.col("complete") & (F.col("b") <= F.col("base_b") + 0.02))
-    k = e.withColumn("in_band", F.col("eligible") & (F.col("m") >= F.max(F.when(F.col("eligible"), F.col("m"))).over(Window.partitionBy()) - 2))
-    k = k.withColumns({"beats_base": F.col("seeds_up") >= 3, "moves": F.col("moved") >= 0.02, "top": F.max(F.when(F.col("in_band"), F.col("arm"))).over(Window.partitionBy())})
-    return k.select("arm", "complete", "eligible", "in_band", "beats_base", "moves", (F.col("in_band") & (F.col("arm") == F.col("top")) & F.col("beats_base") & F.col("moves")).alias("selected"))
+    """Of the rates that retain and are tied for the best target the largest; its gate; and no decision where a cell is missing."""
+    return each_situation(spark, d, lambda c, base, declared, tolerance: decisions.stage_one(c, base, declared, tolerance, 0.002, 3, 0.0005))
 
 
-@query(f"WITH {RATES}, e AS (SELECT *, b <= 0.05 AS eligible, bool_or(b <= 0.05) OVER () AS reached FROM g) SELECT arm, CASE WHEN reached THEN 'floor' ELSE 'fallback' END AS rule FROM e ORDER BY (CASE WHEN reached THEN (NOT eligible)::INT ELSE 0 END), CASE WHEN reached THEN -m ELSE -(m - 100 * b) END, b, arm DESC LIMIT 1")
+@query(f"WITH {GRID}, e AS (SELECT *, r >= br - tolerance - 1e-12 AS eligible FROM g, base), k AS (SELECT *, bool_or(eligible) OVER (PARTITION BY situation) AS reached FROM e), pick AS (SELECT DISTINCT ON (situation) * FROM k WHERE eligible OR NOT reached ORDER BY situation, CASE WHEN reached THEN round(t, 12) ELSE round(t + r, 12) END DESC, CASE WHEN reached THEN round(nll, 12) ELSE 0 END, rate) SELECT situation, n_missing = 0 AS complete, CASE WHEN n_missing = 0 THEN rate END AS selected, CASE WHEN n_missing = 0 THEN CASE WHEN reached THEN 'floor' ELSE 'fallback' END END AS reason, CASE WHEN n_missing = 0 THEN t >= bt - 1e-12 END AS holds_base FROM whole JOIN pick USING (situation)")
 def alternative_rule(spark, d):
-    """Arms over a floor by target, then loss, then the larger rate; where none is, the best sum."""
-    e = rates(spark, d).withColumn("eligible", F.col("b") <= 0.05).withColumn("reached", F.bool_or("eligible").over(Window.partitionBy()))
-    first = F.when(F.col("reached"), (~F.col("eligible")).cast("int")).otherwise(0)
-    return e.orderBy(first, F.when(F.col("reached"), -F.col("m")).otherwise(-(F.col("m") - 100 * F.col("b"))), "b", F.desc("arm")).limit(1).select("arm", F.when(F.col("reached"), "floor").otherwise("fallback").alias("rule"))
+    """Over the floor by target, then loss, then the smaller rate; where none is over it, the best sum, then the smaller rate."""
+    return each_situation(spark, d, decisions.calibrated_rate)
 
 
 @query(f"WITH {CELLS}, {PAIRS}, s AS (SELECT other, avg(CASE WHEN split = 'O' THEN diff END) AS gain, count_if(split = 'O' AND diff > 0) AS up, avg(CASE WHEN split = 'O' THEN broad END) AS kept, avg(CASE WHEN split = 'F' THEN diff END) AS transfer FROM pairs GROUP BY 1) SELECT bool_and(gain >= 0.02 AND up >= 4 AND kept >= -0.01) AS advance, bool_and(transfer >= 0) AS transfers, count(*)::BIGINT AS controls FROM s")
