@@ -207,9 +207,3 @@ def pack_rank(df: DataFrame, packs: DataFrame, tilt: float = 4.0, key: str = "pa
     out = df.join(z.select(key, "_z"), key).withColumn("_w", F.pow(F.lit(tilt), F.col("_z")))
     inside = with_group(out, ["domain", "bucket"], _s=F.sum("_w"), _k=F.count(F.lit(1)))
     return normalize(inside, F.col("_k") * F.col("_w") / F.col("_s")).drop("_z", "_s", "_k")
-
-
-def robust_refinement(groups: DataFrame, eta: float, steps: int) -> DataFrame:
-    """Group masses after steps of w <- w exp(eta loss) / sum, from (key..., w, loss): a row a group, and losses that stay."""
-    # equal losses at every step make the product one power
-    return normalize(groups, F.col("w") * F.exp(eta * steps * (F.col("loss")))).withColumnRenamed("p", "refined")

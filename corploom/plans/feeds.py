@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources import io
+from ..operators import audit
+from ..sources import io, snapshots
 from ..streaming import events as stream
 from ..streaming import masses
 from .catalog import POOL, known_words, query, r6, scored_pool
@@ -131,3 +134,68 @@ def progress_receipts(spark, d):
     spoilt = F.when(F.col("event_id") % 4 == 2, F.concat(F.lit("["), F.col("props"), F.lit("]"))).when(F.col("event_id") % 4 == 3, F.concat(F.col("props"), F.repeat(F.lit(" "), 1 << 19))).otherwise(F.col("props"))
     got = text.receipt(spoilt, "k string, page string")
     return e.select(F.when(got.isNull(), "refused").otherwise("read").alias("receipt")).groupBy("receipt").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- pinned tables -----------------------------------------------------------------------------
+
+ROWS = "d AS (SELECT o_orderkey // 1024 AS range, sha256('{{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}}') AS d FROM orders), c AS (SELECT range, d, count(*) AS c FROM d GROUP BY 1, 2), s AS (SELECT range, greatest(0, ceil(ln(count(*) / 256.0) / ln(16.0)))::INT AS digits FROM c GROUP BY 1), p AS (SELECT range, d[1:digits] AS part, sum(c) AS n, sha256(string_agg(d || ':' || c, chr(10) ORDER BY d || ':' || c)) AS d FROM c JOIN s USING (range) GROUP BY 1, 2)".replace("{{", "{").replace("}}", "}")
+
+
+def pinned_orders(spark, d):
+    return io.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query(f"WITH {ROWS} SELECT range::BIGINT AS range, sum(n)::BIGINT AS n, sha256(string_agg(part || ':' || d, chr(10) ORDER BY part || ':' || d)) AS digest FROM p GROUP BY 1")
+def snapshot_ranges(spark, d):
+    """The leaves of a table's digest tree."""
+    return snapshots.ranges(pinned_orders(spark, d), "o_orderkey")
+
+
+@query(f"WITH b AS (SELECT o_orderkey // 1024 AS range, count(*) AS n, count_if(o_orderkey % 5000 = 77) AS bent, count_if(o_orderkey % 7000 = 8) AS lost FROM orders GROUP BY 1), m AS (SELECT max(o_orderkey) AS top FROM orders), x AS (SELECT (top + 5000) // 1024 AS range FROM m), j AS (SELECT coalesce(b.range, x.range) AS range, coalesce(n, 0) AS old_n, coalesce(n - lost, 0) + (x.range IS NOT NULL)::INT AS new_n, coalesce(bent + lost, 0) + (x.range IS NOT NULL)::INT AS touched FROM b FULL JOIN x USING (range)) SELECT range::BIGINT AS range, CASE WHEN old_n = 0 THEN 'added' WHEN new_n = 0 THEN 'gone' ELSE 'changed' END AS change, nullif(old_n, 0)::BIGINT AS old_n, nullif(new_n, 0)::BIGINT AS new_n FROM j WHERE touched > 0")
+def snapshot_changes(spark, d):
+    """Which ranges of keys a bent copy (cells changed, rows lost, one far row more) differs in; a copy in other files differs in none."""
+    orders = pinned_orders(spark, d)
+    old, path = snapshots.tree(orders, "o_orderkey"), io.scratch(spark)
+    orders.repartition(7, "o_custkey").write.parquet(path)
+    copy = snapshots.pinned(spark.read.parquet(path), "o_orderkey", old)  # refuses, were it not the same
+    bent = copy.where("o_orderkey % 7000 <> 8").withColumn("o_custkey", F.when(F.expr("o_orderkey % 5000 = 77"), F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    bent = bent.unionByName(copy.agg((F.max("o_orderkey") + 5000).alias("o_orderkey"), F.max("o_custkey").alias("o_custkey"), F.max("o_orderstatus").alias("o_orderstatus")))
+    return snapshots.changed(old, snapshots.tree(bent, "o_orderkey"))
+
+
+# --- receipts in files ---------------------------------------------------------------------------
+
+
+def receipt_tree(spark, d, path):
+    """Result files of a study, a cell each; by seed some are missing, stale, broken, false or not declared.  Gives the time the run began."""
+    lines = io.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("arm"), (F.col("l_linenumber") - 1).cast("int").alias("seed"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
+    cells = io.stored(lines.groupBy("arm", "seed").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("metric")))
+    told = F.when(F.col("seed") == 4, F.col("metric") * 1.001).otherwise(F.col("metric"))
+    whole = F.to_json(F.struct("n", told.alias("metric")))
+    body = F.when((F.col("seed") == 3) & (F.col("arm") == "A"), F.expr("left(body, 9)")).when((F.col("seed") == 3) & (F.col("arm") == "N"), F.lit('{"n": 3}')).otherwise(F.col("body"))
+    files = cells.withColumn("body", whole).withColumn("value", body).where("not (arm = 'R' and seed = 1)")
+    files = files.unionByName(files.where("arm = 'N' and seed = 2").withColumn("arm", F.lit("X")))
+    write = lambda df: df.select("arm", "seed", "value").repartition("arm", "seed").write.partitionBy("arm", "seed").mode("append").text(path)
+    write(files.where("arm = 'A' and seed in (0, 3)"))
+    time.sleep(1.5)  # files have times in whole seconds, perhaps
+    began = spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
+    time.sleep(1.1)
+    write(files.where("not (arm = 'A' and seed in (0, 3))"))
+    write(files.where("arm = 'R' and seed = 2"))
+    return began, cells
+
+
+@query("""WITH c AS (SELECT l_returnflag AS arm, (l_linenumber - 1)::INT AS seed, count(*) AS n, avg(l_extendedprice / l_quantity) AS metric FROM lineitem GROUP BY 1, 2),
+p AS (SELECT arm, seed, 'missing' AS problem, NULL AS field, NULL::DOUBLE AS told, NULL::DOUBLE AS again FROM c WHERE arm = 'R' AND seed = 1
+UNION ALL SELECT 'X', 2, 'unexpected', NULL, NULL, NULL UNION ALL SELECT 'R', 2, 'twice', NULL, NULL, NULL
+UNION ALL SELECT arm, seed, 'broken', NULL, NULL, NULL FROM c WHERE arm IN ('A', 'N') AND seed = 3
+UNION ALL SELECT arm, seed, 'stale', NULL, NULL, NULL FROM c WHERE arm = 'A' AND seed IN (0, 3)
+UNION ALL SELECT arm, seed, 'false', 'metric', metric * 1.001, metric FROM c WHERE seed = 4)
+SELECT arm, seed::INT AS seed, problem, field, round(told, 6) AS told, round(again, 6) AS again FROM p""")
+def receipt_violations(spark, d):
+    """What a tree of result files says that it should not, or does not say."""
+    path = io.scratch(spark)
+    began, cells = receipt_tree(spark, d, path)
+    found = audit.receipts(spark, path, "arm string, seed int", "n long, metric double")
+    out = audit.violations(found, cells, cells, ["arm", "seed"], ["n", "metric"], F.lit(began))
+    return out.select("arm", "seed", "problem", "field", r6("told").alias("told"), r6("again").alias("again"))

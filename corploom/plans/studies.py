@@ -10,10 +10,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import decisions, mixtures, resampling, sampling
+from ..operators import comparable, decisions, mixtures, refinement, resampling, sampling
+from ..sources import snapshots
 from ..sources.io import stored, table
 from .catalog import CELLS, POOL, SELECTORS, pool, query, r6, selector_sql
-from .results import EG, PAIRS, SIGN, T, U, cells, contrasts
+from .results import PAIRS, SIGN, T, U, cells, contrasts
 
 
 
@@ -157,19 +158,68 @@ def versus_table(spark, d):
     return v.select("split", "other", text.interval_text(F.col("mean"), F.col("half")).alias("shown"), verdict.alias("verdict"))
 
 
-OTHER = "study AS (SELECT 'm' || (l_partkey % 7)::VARCHAR AS other, (l_linenumber - 1)::INT AS seed, avg(l_extendedprice / l_quantity) AS metric, count(DISTINCT l_linestatus) AS splits FROM lineitem GROUP BY 1, 2), main AS (SELECT (l_linenumber - 1)::INT AS seed, avg(l_extendedprice / l_quantity) AS metric, count(DISTINCT l_linestatus) AS splits FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), s AS (SELECT other, count(*) AS n, avg(main.metric - study.metric) AS mean, stddev_samp(main.metric - study.metric) AS sd, count_if(main.metric > study.metric)::BIGINT AS w, count_if(main.metric < study.metric)::BIGINT AS l, bool_and(main.splits <= study.splits) AS inputs_match FROM main JOIN study USING (seed) GROUP BY 1)"
+# --- studies against each other -----------------------------------------------------------------
+
+SETTINGS = "sa AS (SELECT n_name AS name, n_regionkey::VARCHAR AS value FROM nation), sb AS (SELECT n_name AS name, (n_regionkey + (n_nationkey = 3)::INT)::VARCHAR AS value FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 'checkpoint_every', '64'), sd AS (SELECT coalesce(sa.name, sb.name) AS name, sa.value AS old, sb.value AS new FROM sa FULL JOIN sb USING (name) WHERE sa.value IS DISTINCT FROM sb.value)"
+
+
+def two_settings(spark, d):
+    """Settings of two studies: one differs, one is gone, one is new."""
+    nation = table(spark, d, "nation")
+    old = nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("value"))
+    new = nation.where("n_nationkey <> 7").select(F.col("n_name").alias("name"), (F.col("n_regionkey") + (F.col("n_nationkey") == 3).cast("int")).cast("string").alias("value"))
+    return old, new.unionByName(spark.createDataFrame([("checkpoint_every", "64")], "name string, value string"))
+
+
+def digest_of(tables, name, key):
+    """(name, digest) of a study's input."""
+    return snapshots.root(snapshots.tree(tables, key)).select(F.lit(name).alias("name"), "digest")
+
+
+@query(f"WITH {SETTINGS} SELECT name, old, new FROM sd")
+def study_differences(spark, d):
+    """Settings that two studies do not share, from either side."""
+    return comparable.differing(*two_settings(spark, d), ["name"], "value").select("name", "old", "new")
+
+
+@query(f"WITH {SETTINGS}, got AS (SELECT name, coalesce(old, 'none') || ' -> ' || coalesce(new, 'none') AS change FROM sd), want AS (SELECT name, change FROM got WHERE name IN (SELECT n_name FROM nation WHERE n_nationkey = 3) UNION ALL SELECT 'checkpoint_every', '16 -> 64' UNION ALL SELECT 'selector_seed', 'none -> 1606') SELECT kind, name, old, new FROM (SELECT CASE WHEN want.change IS NULL THEN 'setting' WHEN got.change IS NULL THEN 'declared_only' ELSE 'other_change' END AS kind, coalesce(want.name, got.name) AS name, want.change AS old, got.change AS new FROM want FULL JOIN got USING (name) WHERE want.change IS DISTINCT FROM got.change UNION ALL SELECT 'input', 'customer', 'old', 'new')")
+def study_bars(spark, d):
+    """What stands against comparing two studies: settings that were not declared to change, or not so, and inputs whose content differs."""
+    settings = stored(comparable.differing(*two_settings(spark, d), ["name"], "value"))
+    third = settings.join(table(spark, d, "nation").where("n_nationkey = 3").select(F.col("n_name").alias("name")), "name", "left_semi")
+    declared = third.unionByName(spark.createDataFrame([("checkpoint_every", "16", "64"), ("selector_seed", None, "1606")], "name string, old string, new string"))
+    customer, supplier = table(spark, d, "customer"), table(spark, d, "supplier")
+    old = digest_of(customer, "customer", "c_custkey").unionByName(digest_of(supplier, "supplier", "s_suppkey"))
+    new = digest_of(customer.where("c_custkey <> 5"), "customer", "c_custkey").unionByName(digest_of(supplier.repartition(3), "supplier", "s_suppkey"))
+    inputs = comparable.differing(old, new, ["name"], "digest").select("name", F.lit("old").alias("old"), F.lit("new").alias("new"))
+    return comparable.bars(settings, declared, inputs).select("kind", "name", "old", "new")
+
+
+_given = "sha256(string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus))"
+OTHER = f"study AS (SELECT 'm' || (l_partkey % 7)::VARCHAR AS other, (l_linenumber - 1)::INT AS seed, avg(l_extendedprice / l_quantity) AS metric, {_given} AS given FROM lineitem GROUP BY 1, 2), main AS (SELECT (l_linenumber - 1)::INT AS seed, avg(l_extendedprice / l_quantity) AS metric, {_given} AS given FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), s AS (SELECT other, count(*) AS n, avg(main.metric - study.metric) AS mean, stddev_samp(main.metric - study.metric) AS sd, count_if(main.metric > study.metric)::BIGINT AS w, count_if(main.metric < study.metric)::BIGINT AS l, bool_and(main.given = study.given) AS inputs_match FROM main JOIN study USING (seed) GROUP BY 1)"
 
 
 @query(f"WITH {OTHER}, t AS (SELECT *, {SIGN} AS p FROM s), q AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, other) + 1) * p AS q FROM t) SELECT other, round(mean, 6) AS mean, round({T} * sd / sqrt(n), 6) AS half, round(p::DOUBLE, 9) AS p, round(least(1.0, max(q) OVER (ORDER BY p, other ROWS UNBOUNDED PRECEDING))::DOUBLE, 9) AS p_holm, inputs_match FROM q")
 def cross_study(spark, d):
-    """One method of a study against the seven of another, joined by seed where their inputs match; Holm over the seven."""
+    """One method of a study against the seven of another, joined by seed, once nothing stands against it; Holm over the seven.
+
+    Settings may differ as declared and no more, and inputs must have the same content; whether each method was
+    given the same splits as the one is told beside its contrast.
+    """
+    old, new = two_settings(spark, d)
+    settings = stored(comparable.differing(old, new, ["name"], "value"))
+    supplier = table(spark, d, "supplier")
+    inputs = comparable.differing(digest_of(supplier, "supplier", "s_suppkey"), digest_of(supplier.repartition(3), "supplier", "s_suppkey"), ["name"], "digest")
+    bars = comparable.bars(settings, settings, inputs)
     lines = table(spark, d, "lineitem").withColumn("seed", (F.col("l_linenumber") - 1).cast("int")).withColumn("x", F.col("l_extendedprice") / F.col("l_quantity"))
-    each = lambda df, *by: df.groupBy(*by, "seed").agg(F.avg("x").alias("metric"), F.count_distinct("l_linestatus").alias("splits"))
-    main = each(lines.where("l_returnflag = 'R'")).select("seed", F.col("metric").alias("mine"), F.col("splits").alias("my_splits"))
+    given = F.sha2(F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").cast("binary"), 256)
+    each = lambda df, *by: df.groupBy(*by, "seed").agg(F.avg("x").alias("metric"), given.alias("given"))
+    main = each(lines.where("l_returnflag = 'R'")).select("seed", F.col("metric").alias("mine"), F.col("given").alias("mine_given"))
     j = main.join(each(lines.withColumn("other", F.concat(F.lit("m"), F.col("l_partkey") % 7)), "other"), "seed").withColumn("diff", F.col("mine") - F.col("metric"))
-    s = j.groupBy("other").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"), F.stddev_samp("diff").alias("sd"), F.count_if(F.col("diff") > 0).alias("w"), F.count_if(F.col("diff") < 0).alias("l"), F.bool_and(F.col("my_splits") <= F.col("splits")).alias("inputs_match"))
+    s = j.groupBy("other").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"), F.stddev_samp("diff").alias("sd"), F.count_if(F.col("diff") > 0).alias("w"), F.count_if(F.col("diff") < 0).alias("l"), F.bool_and(F.col("mine_given") == F.col("given")).alias("inputs_match"))
     tests = s.withColumn("p", stats.sign_test(F.col("w"), F.col("l"))).withColumn("name", F.col("other"))
-    return stats.holm(tests).select("other", r6("mean").alias("mean"), r6(stats.interval_half(F.col("n"), F.col("sd"))).alias("half"), F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"), "inputs_match")
+    out = stats.holm(tests).select("other", r6("mean").alias("mean"), r6(stats.interval_half(F.col("n"), F.col("sd"))).alias("half"), F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"), "inputs_match")
+    return comparable.gated(out, bars)
 
 
 # --- resampling -----------------------------------------------------------------------------
@@ -274,10 +324,37 @@ def weight_path(spark, d):
     return sampling.weight_path(loss, "k", "step", "loss", 5.0, 0.1).select(F.col("k").alias("domain"), F.round("last_weight", 9).alias("last_weight"), F.round("mean_weight", 9).alias("mean_weight"))
 
 
-@query(f"{EG}, r AS (SELECT domain, (SELECT 1.0::DOUBLE / count(*) FROM g) * exp(0.5 * 4 * loss) AS e FROM g) SELECT domain, round(e / sum(e) OVER (), 9) AS refined FROM r")
+STEPS, BATCH, ETA, RATE, REFERENCE = 4, 256, 40.0, 0.5, 0.3
+
+
+def _refined() -> str:
+    """The steps one after the other, each as a few named tables."""
+    made = ["sized AS (SELECT bucket, count(*) AS m, avg(score) AS a, avg(score * score) AS q, sum(greatest(score, 0)) + 0.001 AS w FROM pool GROUP BY 1)", "places AS (SELECT bucket, score, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS r FROM pool)", "w0 AS (SELECT bucket, w / sum(w) OVER () AS w FROM sized)", "th0 AS (SELECT 0.0::DOUBLE AS th)"]
+    for t in range(1, STEPS + 1):
+        b = t - 1
+        made += [
+            f"b{t} AS (SELECT bucket, m, sum(w{b}.w) OVER (ORDER BY bucket) / sum(w{b}.w) OVER () AS hi, (sum(w{b}.w) OVER (ORDER BY bucket) - w{b}.w) / sum(w{b}.w) OVER () AS lo FROM w{b} JOIN sized USING (bucket))",
+            f"u{t} AS (SELECT {U.format('group', f"{t} || ':' || i")} AS u, {U.format('place', f"{t} || ':' || i")} AS v FROM range({BATCH}) x(i))",
+            f"th{t} AS (SELECT any_value(th) + {RATE}::DOUBLE * (avg(score) - any_value(th)) AS th FROM u{t} JOIN b{t} ON u >= lo AND u < hi JOIN places p ON p.bucket = b{t}.bucket AND p.r = floor(v * m), th{b})",
+            f"l{t} AS (SELECT bucket, greatest(0, (q - 2 * th * a + th * th) - (q - 2 * {REFERENCE}::DOUBLE * a + {REFERENCE}::DOUBLE * {REFERENCE}::DOUBLE)) AS loss FROM sized, th{t})",
+            f"w{t} AS (SELECT bucket, e / sum(e) OVER () AS w, loss FROM (SELECT bucket, w * exp({ETA}::DOUBLE * l{t}.loss) AS e, l{t}.loss AS loss FROM w{b} JOIN l{t} USING (bucket)))",
+        ]
+    return ", ".join(made)
+
+
+_path = " UNION ALL ".join(["SELECT 0 AS step, bucket, w, NULL::DOUBLE AS loss FROM w0", *[f"SELECT {t}, bucket, w, loss FROM w{t}" for t in range(1, STEPS + 1)]])
+
+
+@query(f"WITH {POOL}, {_refined()} SELECT step::INT AS step, bucket, round(w, 6) AS w, round(loss, 6) AS loss FROM ({_path}) z")
 def robust_refinement(spark, d):
-    g = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("domain")).agg(F.avg(F.greatest(F.col("l_tax") - 0.03, F.lit(0))).alias("loss")).withColumn("w", F.lit(1.0))
-    return mixtures.robust_refinement(g, 0.5, 4).select("domain", F.round("refined", 9).alias("refined"))
+    """Bucket weights over four steps: draws through them, a proxy that learns from these, losses taken anew."""
+    rows = pool(spark, d)
+    weights = rows.groupBy("bucket").agg((F.sum(mixtures.clipped("score")) + 0.001).alias("w"))
+    proxy = refinement.MeanProxy(rows, "bucket", F.col("score"), RATE, REFERENCE)
+    name = lambda t: F.concat_ws(":", F.lit(t), F.col("id"))
+    draws = lambda t: spark.range(BATCH).select(text.uniform("group", name(t)).alias("u"), text.uniform("place", name(t)).alias("v"))
+    _, path = refinement.refine(rows.select("doc_id", "bucket", "score"), weights, "bucket", "doc_id", draws, 0.0, proxy.learn, proxy.losses, ETA, STEPS)
+    return path.select("step", "bucket", r6("w").alias("w"), r6("loss").alias("loss"))
 
 
 VECTORS = "e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), g AS (SELECT label, i, avg(x) AS x FROM e GROUP BY 1, 2), t AS (SELECT i, avg(x) AS x FROM e GROUP BY 1), n AS (SELECT avg(norm) AS mu FROM (SELECT sqrt(sum(x * x)) AS norm FROM g GROUP BY label)), s AS (SELECT label, greatest(-5, least(5, sum(g.x * t.x) / any_value(mu))) AS score FROM g JOIN t USING (i), n GROUP BY 1)"
