@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import placed, placed_within, quantiles, ranked
+from .numpy_order import permuted
+from .order import joined, placed, placed_within, quantiles, ranked
 
 TAU = 1e-3
 BAND = (0.65, 0.80)
@@ -28,7 +29,8 @@ def with_quantiles(df: DataFrame, value: str, levels: list[float], name: str) ->
 
 
 def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
-    return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
+    """df with sums over its rows of the same keys; null keys are a group too."""
+    return joined(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
 
 
 def clipped(column: str) -> Column:
@@ -99,6 +101,11 @@ def shuffled_cell_tilt(df: DataFrame, seed: int = 1405) -> DataFrame:
     return cell_tilt(df, dealt)
 
 
+def numpy_cell_tilt(df: DataFrame, seed: int) -> DataFrame:
+    """cell_tilt with z dealt anew over the sorted cells by NumPy's generator; its seed is `seed` + 10,197."""
+    return cell_tilt(df, permuted(cells(df), [F.col("domain"), F.col("bucket")], "z", seed + 10_197))
+
+
 def averaged(df: DataFrame, key: str) -> DataFrame:
     """p averaged inside groups: the same marginals, nothing else of the selector."""
     return with_group(df, [key], _p=F.avg("p")).withColumn("p", F.col("_p")).drop("_p")
@@ -156,7 +163,7 @@ def shuffled_scores(df: DataFrame, seed: int, keys: list[str] = (), key: str = "
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
     mine = placed_within(df, list(keys), [F.col(key)], "_i")
     theirs = placed_within(df.select(*keys, key, F.col(score).alias("_v")).withColumn("_h", h), list(keys), [F.col("_h"), F.col(key)], "_i")
-    return mine.join(theirs.select(*keys, "_i", "_v"), [*keys, "_i"]).withColumn(score, F.col("_v")).drop("_i", "_v")
+    return joined(mine, theirs.select(*keys, "_i", "_v"), [*keys, "_i"]).withColumn(score, F.col("_v")).drop("_i", "_v")
 
 
 def length_quartile(df: DataFrame, length: str = "n_words", name: str = "quartile") -> DataFrame:

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from ..sources.io import stored
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that takes null for a key like others; keys come once."""
+    theirs = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [left[k].eqNullSafe(theirs[f"_key_{k}"]) for k in keys]
+    return left.join(theirs, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def placed(df: DataFrame, order: list[Column], name: str = "place", value: Column | None = None, total: str = "before") -> DataFrame:
     """df (stored) with the place of each row in this order, from 0; with a value, also the sum of it over all rows before.
 
@@ -58,15 +65,15 @@ def ranked(df: DataFrame, groups: list[str], value: str, name: str = "rank") ->
     Ranks come from counts of distinct values, so a value that many rows share is one row.  Rows
     without a value have no rank, and go.
     """
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_m"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_m"))
     run = placed(counts, [F.col(c) for c in (*groups, value)], "_i", F.col("_m"), "_before")
     if groups:
         first = run.groupBy(*groups).agg(F.min("_before").alias("_first"))
-        run = run.join(first, groups)
+        run = joined(run, first, groups)
     else:
         run = run.withColumn("_first", F.lit(0.0))
     ranks = run.select(*groups, value, "_m", (F.col("_before") - F.col("_first") + (F.col("_m") + 1) / 2).alias(name), (F.col("_before") - F.col("_first") + F.col("_m")).alias("_upto"))
-    return df.join(ranks, [*groups, value])
+    return joined(df, ranks, [*groups, value])
 
 
 def quantiles(df: DataFrame, value: str, levels: list[float], groups: list[str] = (), name: str = "q") -> DataFrame:
@@ -79,7 +86,7 @@ def quantiles(df: DataFrame, value: str, levels: list[float], groups: list[str]
     counts = known.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_m"))
     run = placed(counts, [F.col(c) for c in (*groups, value)], "_i", F.col("_m"), "_before")
     sizes = run.groupBy(*groups).agg(F.min("_before").alias("_first"), F.sum("_m").alias("_n"))
-    both = run.crossJoin(F.broadcast(sizes)) if not groups else run.join(sizes, groups)
+    both = run.crossJoin(F.broadcast(sizes)) if not groups else joined(run, sizes, groups)
     at = F.col("_before") - F.col("_first")
     wanted = [(k, q, f) for k, q in enumerate(levels) for f in (F.floor, F.ceil)]
     spots = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f is F.ceil).alias("up"), f(F.lit(q) * (F.col("_n") - 1)).alias("i")) for k, q, f in wanted])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import mixtures, packing
-from ..operators.order import quantiles, ranked
+from ..operators.numpy_order import permutation
+from ..operators.order import joined, quantiles, ranked
 from ..sources.io import small, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,7 +114,7 @@ def byte_prefixes(spark, d):
 def sparse_domains(spark, d):
     docs = table(spark, d, "documents")
     kept = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
-    return docs.join(kept, ["source", "lang"], "left_semi").select("doc_id", "source")
+    return joined(docs, kept.select("source", "lang"), ["source", "lang"], "left_semi").select("doc_id", "source")
 
 
 @query("SELECT coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.page'), 'unknown') AS domain, count(*)::BIGINT AS n FROM events GROUP BY 1")
@@ -255,20 +256,23 @@ def bucket_quantile(spark, d):
     return p.groupBy(edges_bucket(F.col("cr"), [F.col("e")[i] for i in range(4)]).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.min("cr")).alias("low"), r6(F.count(F.lit(1)) / F.first("t")).alias("share"))
 
 
-@query(f"WITH {POOL}, c AS (SELECT lang, b::INT AS b, count(doc_id) AS n FROM (SELECT DISTINCT lang FROM pool) CROSS JOIN range(7) t(b) LEFT JOIN pool p USING (lang) WHERE p.bucket = b OR p.bucket IS NULL GROUP BY 1, 2), d AS (SELECT l.lang, t.b::INT AS b, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang FROM pool) l CROSS JOIN range(7) t(b) LEFT JOIN c ON c.lang = l.lang AND c.b = t.b) SELECT lang, round(min(n) / sum(n), 6) AS min_share FROM d GROUP BY 1")
+_sevenths = ", ".join(f"count_if(bucket = {b})" for b in range(7))
+
+
+@query(f"WITH {POOL} SELECT lang, round(least({_sevenths}) / count(*), 6) AS min_share FROM pool GROUP BY 1")
 def min_share(spark, d):
     counts = pool(spark, d).groupBy("lang").agg(*[F.sum((F.col("bucket") == b).cast("long")).alias(f"b{b}") for b in range(7)])
     each = [F.col(f"b{b}") for b in range(7)]
     return counts.select("lang", r6(F.least(*each) / sum(each, F.lit(0))).alias("min_share"))
 
 
-@query(f"""WITH {POOL}, m AS (SELECT lang, avg(cr) AS mu FROM pool GROUP BY 1), k AS (SELECT lang, avg((cr - mu) ** 2) AS m2, avg((cr - mu) ** 3) AS m3 FROM pool JOIN m USING (lang) GROUP BY 1)
-SELECT lang, count(*)::BIGINT AS n, round(avg(cr), 6) AS mean, round(stddev_samp(cr), 6) AS std, round(quantile_cont(cr, 0.25), 6) AS q1, round(quantile_cont(cr, 0.5), 6) AS median, round(quantile_cont(cr, 0.75), 6) AS q3, round(quantile_cont(cr, 0.75) - quantile_cont(cr, 0.25), 6) AS iqr, round(any_value(m3) / any_value(m2) ** 1.5, 6) AS skew, round(avg((cr BETWEEN 0.65 AND 0.8)::INT), 6) AS in_band FROM pool JOIN k USING (lang) GROUP BY 1""")
+@query(f"""WITH {POOL}, m AS (SELECT lang, avg(cr) AS mu FROM pool GROUP BY 1), k AS (SELECT pool.lang AS lang, avg((cr - mu) ** 2) AS m2, avg((cr - mu) ** 3) AS m3 FROM pool JOIN m ON pool.lang IS NOT DISTINCT FROM m.lang GROUP BY pool.lang)
+SELECT pool.lang AS lang, count(*)::BIGINT AS n, round(avg(cr), 6) AS mean, round(stddev_samp(cr), 6) AS std, round(quantile_cont(cr, 0.25), 6) AS q1, round(quantile_cont(cr, 0.5), 6) AS median, round(quantile_cont(cr, 0.75), 6) AS q3, round(quantile_cont(cr, 0.75) - quantile_cont(cr, 0.25), 6) AS iqr, round(any_value(m3) / any_value(m2) ** 1.5, 6) AS skew, round(avg((cr BETWEEN 0.65 AND 0.8)::INT), 6) AS in_band FROM pool JOIN k ON pool.lang IS NOT DISTINCT FROM k.lang GROUP BY pool.lang""")
 def summary_stats(spark, d):
     rows = pool(spark, d)
     sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("cr")).alias("mean"), r6(F.stddev_samp("cr")).alias("std"), r6(F.skewness("cr")).alias("skew"), r6(F.avg(F.col("cr").between(0.65, 0.8).cast("int"))).alias("in_band"))
     q = lambda i: F.col("q")[i]
-    return sums.join(quantiles(rows, "cr", [0.25, 0.5, 0.75], ["lang"]), "lang").select("lang", "n", "mean", "std", r6(q(0)).alias("q1"), r6(q(1)).alias("median"), r6(q(2)).alias("q3"), r6(q(2) - q(0)).alias("iqr"), "skew", "in_band")
+    return joined(sums, quantiles(rows, "cr", [0.25, 0.5, 0.75], ["lang"]), ["lang"]).select("lang", "n", "mean", "std", r6(q(0)).alias("q1"), r6(q(1)).alias("median"), r6(q(2)).alias("q3"), r6(q(2) - q(0)).alias("iqr"), "skew", "in_band")
 
 
 @query(f"""WITH {POOL}, s AS (SELECT lang, count(*) AS n, avg(cr) AS mu, var_samp(cr) AS v FROM pool GROUP BY 1), pr AS (SELECT a.lang AS a, b.lang AS b, a.n AS na, b.n AS nb, a.mu AS ma, b.mu AS mb, a.v AS va, b.v AS vb FROM s a JOIN s b ON a.lang < b.lang),
@@ -323,6 +327,7 @@ SELECTORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "anti_domain": (lambda p: mixtures.only_domain(p, "src1", True), "((domain <> 'src1')::INT + 1e-12) / sum((domain <> 'src1')::INT + 1e-12) OVER ()"),
     "token_prior": (mixtures.token_prior, "TOKEN"),
     "shuffled_cell_tilt": (lambda p: mixtures.shuffled_cell_tilt(p, 1405), "DEALT"),
+    "numpy_cell_tilt": (lambda p: mixtures.numpy_cell_tilt(p, 0), "NUMPY"),
     "shuffled": (lambda p: mixtures.bucket_prior(mixtures.shuffled_scores(p, 1405)), "SHUFFLED"),
     "shuffled_strata": (lambda p: mixtures.bucket_prior(mixtures.shuffled_scores(mixtures.length_quartile(p).withColumn("score", mixtures.clipped("score")), 1405, ["domain", "quartile"]), tau=0.0, on_empty="uniform"), "STRATA"),
     "learned_weights": (lambda p: mixtures.by_weights(p, p.groupBy("domain").agg(F.avg("score").alias("w"))), "LEARNED"),
@@ -348,6 +353,11 @@ def selector_sql(form: str) -> str:
     if form == "DEALT":
         dealt = tilt.split(", t AS")[0].replace("exp(coalesce(", "(coalesce(").replace(" AS e FROM cl", " AS z FROM cl")
         return f"{POOL}, {dealt}, o AS (SELECT *, row_number() OVER (ORDER BY domain, bucket) AS i, row_number() OVER (ORDER BY sha256('1405:' || domain || ':' || bucket::VARCHAR), domain, bucket) AS j FROM z), m AS (SELECT a.domain, a.bucket, exp(b.z) AS e FROM o a JOIN o b ON a.i = b.j), out AS (SELECT doc_id, domain, bucket, e / sum(e) OVER () AS p FROM pool JOIN m USING (domain, bucket))"
+    if form == "NUMPY":
+        dealt = tilt.split(", t AS")[0].replace("exp(coalesce(", "(coalesce(").replace(" AS e FROM cl", " AS z FROM cl")
+        # the order that the generator gives for every number of cells that there may be
+        orders = [permutation(n, 10_197) for n in range(1, 201)]
+        return f"{POOL}, {dealt}, o AS (SELECT *, row_number() OVER (ORDER BY domain, bucket) AS i, count(*) OVER () AS n FROM z), m AS (SELECT a.domain, a.bucket, exp(b.z) AS e FROM o a JOIN o b ON b.i = ({orders})[a.n][a.i] + 1), out AS (SELECT doc_id, domain, bucket, e / sum(e) OVER () AS p FROM pool JOIN m USING (domain, bucket))"
     if form == "TOKEN":
         return f"{POOL}, g AS (SELECT bucket, count(*) AS b, sum(n_words) AS q, avg(greatest(score, 0)) AS u FROM pool GROUP BY 1), m AS (SELECT bucket, (0.5 * q / sum(q) OVER () + 0.5 * q * u / sum(q * u) OVER ()) / b AS p FROM g), out AS (SELECT doc_id, domain, bucket, p FROM pool JOIN m USING (bucket))"
     if form == "LEARNED":
@@ -359,7 +369,7 @@ e AS (SELECT *, CASE WHEN ties = m THEN 1.0 ELSE 4.0 ** ((r + (ties - 1) / 2.0 -
 
 
 def _register(name: str, run, form: str) -> None:
-    # millionths of the mean probability: sizes that rounding treats alike at any scale
+    # nine places: pools of some millions of rows at most have probabilities to show; at any scale compare p times the number of rows
     QUERIES[f"mixture_{name}"] = lambda spark, d: run(pool(spark, d)).select("doc_id", F.round("p", 9).alias("p"))
     ORACLES[f"mixture_{name}"] = f"WITH {selector_sql(form)} SELECT doc_id, round(p::DOUBLE, 9) AS p FROM out"
 
