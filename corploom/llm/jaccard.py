@@ -86,6 +86,8 @@ class Region:
 
     def join(self, home: np.ndarray, guest: np.ndarray, depth: int = 0) -> None:
         """Find what connects home texts with each other and with guests."""
+        if not len(home):
+            return
         every = np.concatenate([home, guest])
         if len({self.find(i) for i in every.tolist()}) <= 1:
             return
@@ -127,14 +129,33 @@ class Region:
             a, b = every[mine[open_[: len(mine)]]], every[near[open_[len(mine) :]]]
             if len(a) and len(a) + len(b) < 0.9 * len(every):
                 self.join(a, b, depth + 1)
-            elif len(a):  # no smaller: compare along the distance to the pivot
-                at = dict(zip(every[inside].tolist(), d[q][inside].tolist(), strict=True))
-                rest = np.concatenate([a, b])
-                far = np.array([at[i] for i in rest.tolist()])
-                for i, p in enumerate(a.tolist()):
-                    close = rest[i + 1 :][np.abs(far[i + 1 :] - far[i]) <= self.eps + 1e-9]
-                    if len(close):
-                        self.compare(p, close)
+            elif len(a):  # no smaller: texts that are alike to no pivot
+                self.meet(a, b)
+
+    def meet(self, home: np.ndarray, guest: np.ndarray) -> None:
+        """Compare home texts with each other and with guests where they share one of the shingles that are rarest here: two that link share one among the first |x| - ceil(t |x|) + 1 of each."""
+        every = np.concatenate([home, guest])
+        sets = [self.sets[i] for i in every.tolist()]
+        known, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, counts))] = np.arange(len(known))
+        order, at, of, what = rank[code], 0, [], []
+        for i, n in enumerate(len(x) for x in sets):
+            mine = order[at : at + n]
+            first = n - -(-n * self.num // self.den) + 1
+            of.append(np.full(first, i))
+            what.append(np.partition(mine, first - 1)[:first] if first < n else mine)
+            at += n
+        of, what = np.concatenate(of), np.concatenate(what)
+        by = np.lexsort((of, what))
+        of, what = of[by], what[by]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], what[1:] != what[:-1]])), len(what))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 1:
+                group = of[a:b]  # home texts come first
+                for k, i in enumerate(group[group < len(home)].tolist()):
+                    if k + 1 < len(group):
+                        self.compare(int(every[i]), every[group[k + 1 :]])
 
 
 def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_region: int = 20_000, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
@@ -187,7 +208,8 @@ def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: s
     near = entries.join(hubs.select("pivot", "hub"), "pivot").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
     block = components(near)
     block = stored(block.unionAll(block.select(F.col("component").alias("node"), "component")).distinct())
-    joined = components(metric_links(docs.where('id is not null'), block, k, num, den, max_region))
+    prefixes = seen.select("id", "n", F.explode("pivots").alias("pivot"))
+    joined = components(metric_links(docs.where('id is not null'), block, prefixes, k, num, den, max_region))
     named = seen.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = named.join(joined, named["rep"] == joined["node"], "left")
     linked_to = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
@@ -195,9 +217,12 @@ def groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: s
 
 
 def placing(shared, k: int, num: int, den: int):
-    """A function of batches that puts each text in the region of each pivot that may matter to it; without pivots it stays."""
+    """A function of batches that puts each text in the region of each pivot that may matter to it; without pivots it stays.
+
+    Texts farther than 1 - eps from every pivot make a region of their own, the far one, to which those farther than 1 - 2 eps are copied.
+    """
     eps = 1 - num / den
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.bool_())
 
     def place(batches):
         for batch in slices(batches):
@@ -205,26 +230,57 @@ def placing(shared, k: int, num: int, den: int):
             for region, home, node, text, mine in zip(*(batch.column(c).to_pylist() for c in ("region", "home", "id", "text")), sets_of(batch.column("text"), k), strict=True):
                 ps = shared.value.get(region)
                 if ps is None:
-                    rows.append((region, None, home, node, text, None, False))
+                    rows.append((region, None, home, node, text, None, False, False))
                     continue
                 inter = np.array([len(np.intersect1d(mine, s, assume_unique=True)) for _, s in ps])
                 size = np.array([len(s) for _, s in ps])
                 d = 1 - inter / (size + len(mine) - inter)
                 ok = linked(inter, len(mine), size, num, den)
                 best = int(d.argmin())
-                for q in np.flatnonzero((d <= d[best] + 2 * eps + 1e-9) | ok).tolist():
-                    rows.append((region, ps[q][0], bool(home and q == best), node, text, float(d[q]), bool(ok[q])))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["region", "pivot", "home", "id", "text", "d", "ok"])
+                far = d[best] > 1 - eps
+                if d[best] > 1 - 2 * eps - 1e-9:
+                    rows.append((region, 0, bool(home and far), node, text, 2.0, False, True))
+                if not far:
+                    for q in np.flatnonzero((d <= d[best] + 2 * eps + 1e-9) | ok).tolist():
+                        rows.append((region, ps[q][0], bool(home and q == best), node, text, float(d[q]), bool(ok[q]), False))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["region", "pivot", "home", "id", "text", "d", "ok", "far"])
 
     return place
 
 
-def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int, max_region: int, pivots_each: int = 16, region_bytes: int = 64 << 20, pivot_bytes: int = 64 << 20) -> DataFrame:
+def by_shingles(stuck: DataFrame, prefixes: DataFrame, num: int, den: int, max_region: int, region_bytes: int) -> DataFrame:
+    """Rows (region, home, id, text) of regions that pivots do not part, by the shingles of their texts' prefixes (id, n, pivot).
+
+    Texts that link share one of them, and shingles that the same texts of a region have are one.  What a shingle brings together
+    beyond max_region texts or region_bytes is cut by size and hash: texts that link have sizes of the same or of
+    neighbouring powers of den / num, so each piece meets the pieces of its own power and of the next.
+    """
+    held = stored(stuck.select("region", "id").distinct().join(prefixes, "id"))
+    lists = held.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x")).where("m > 1")
+    chosen = lists.groupBy("region", "m", "s", "x").agg(F.min("pivot").alias("pivot")).select("region", "pivot")
+    texts = stuck.select("region", "id", "text").distinct()
+    power = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    met = held.join(chosen, ["region", "pivot"]).select("region", "id", F.xxhash64("region", "pivot").alias("part"), power.alias("power"))
+    sizes = stored(met.join(texts.select("region", "id", F.octet_length("text").alias("b")), ["region", "id"]).groupBy("part").agg(F.count(F.lit(1)).alias("m"), F.sum("b").alias("b")))
+    pieces = sizes.select("part", F.when((F.col("m") <= max_region) & (F.col("b") <= region_bytes), 0).otherwise(F.ceil(F.greatest(2 * F.col("m") / max_region, 2 * F.col("b") / region_bytes))).cast("int").alias("pieces"))
+    dealt = met.join(pieces, "part").withColumn("piece", F.when(F.col("pieces") > 0, F.pmod(F.xxhash64(F.lit(2), "id"), F.col("pieces"))).otherwise(0).cast("int"))
+    whole = F.array(F.col("part"))
+    others = F.sequence(F.lit(0), F.col("pieces") - 1)
+    same = F.transform(others, lambda j: F.xxhash64("part", "power", F.least("piece", j), F.lit(0), F.greatest("piece", j)))
+    above = F.transform(others, lambda j: F.xxhash64("part", "power", "piece", F.lit(1), j))
+    below = F.transform(others, lambda j: F.xxhash64("part", F.col("power") - 1, j, F.lit(1), "piece"))
+    to = F.when(F.col("pieces") == 0, whole).otherwise(F.concat(same, above, below))
+    spread = dealt.select("region", "id", F.explode(to).alias("to")).distinct()
+    return spread.join(texts, ["region", "id"]).select(F.col("to").alias("region"), F.lit(True).alias("home"), "id", "text")
+
+
+def metric_links(docs: DataFrame, block: DataFrame, prefixes: DataFrame, k: int, num: int, den: int, max_region: int, pivots_each: int = 16, region_bytes: int = 64 << 20, pivot_bytes: int = 64 << 20) -> DataFrame:
     """Edges (u, v) that connect what links connect inside each block (node, component).
 
-    A region of more than max_region texts or region_bytes of text splits by pivots, again and again, as long as that makes it
-    smaller; pivots go to the executors pivot_bytes at a time, so that more of them cost passes, not memory.
+    A region of more than max_region texts or region_bytes of text splits by pivots, again and again, as long as that makes its parts
+    smaller; a part that is hardly smaller splits by the shingles of its texts' prefixes.  No task gets a larger region than
+    that, but for single texts.  Pivots go to the executors pivot_bytes at a time, so that more of them cost passes, not memory.
     """
     members = stored(docs.join(block, docs["id"] == block["node"]).select(F.col("component").alias("region"), F.lit(True).alias("home"), "id", "text"))
     eps, found, done, level = 1 - num / den, [], None, 0
@@ -255,22 +311,23 @@ def metric_links(docs: DataFrame, block: DataFrame, k: int, num: int, den: int,
                 chosen.setdefault(r["region"], []).append((r["id"], np.frombuffer(r["keys"], np.uint64)))
             for ps in chosen.values():
                 ps.sort(key=lambda p: p[0])
-            more = members.where(mine).mapInArrow(placing(docs.sparkSession.sparkContext.broadcast(chosen), k, num, den), "region long, pivot long, home boolean, id long, text string, d double, ok boolean")
+            more = members.where(mine).mapInArrow(placing(docs.sparkSession.sparkContext.broadcast(chosen), k, num, den), "region long, pivot long, home boolean, id long, text string, d double, ok boolean, far boolean")
             placed = more if placed is None else placed.unionAll(more)
         placed = stored(placed)
         found.append(placed.where("ok").select(F.col("id").alias("u"), F.col("pivot").alias("v")))
-        outer = placed.where("pivot is not null and not ok").groupBy("region", "pivot").agg(F.min("d").alias("least"))
+        outer = placed.where("pivot is not null and not ok").groupBy("region", "pivot", "far").agg(F.min("d").alias("least"))
         # texts within eps of the pivot are one component; of them only those that an outer text can reach stay
-        kept = placed.join(outer, ["region", "pivot"]).where((~F.col("ok")) | (F.col("d") >= F.col("least") - eps - 1e-9))
-        split = stored(kept.select(F.xxhash64("region", "pivot").alias("region"), "home", "id", "text", F.col("region").alias("of")))
-        # a part that is hardly smaller than what it is of would split for ever: it is joined as it is
-        whole = stored(split.groupBy("region", "of").agg(F.count(F.lit(1)).alias("m")).join(sizes, F.col("of") == sizes["region"]).where("m > 0.9 * n").select(F.col("of")).distinct())
+        kept = placed.join(outer, ["region", "pivot", "far"]).where((~F.col("ok")) | (F.col("d") >= F.col("least") - eps - 1e-9))
+        split = stored(kept.select(F.xxhash64("region", "pivot", "far").alias("region"), "home", "id", "text", F.col("region").alias("of")))
+        # a part that is hardly smaller than what it is of would split for ever: it goes by shingles
+        whole = stored(split.groupBy("region", "of").agg(F.count(F.lit(1)).alias("m")).join(sizes.withColumnRenamed("region", "_of"), F.col("of") == F.col("_of")).where("m > 0.9 * n").select("region"))
         rest = placed.where("pivot is null").select("region", "home", "id", "text")
-        stuck = members.join(whole, F.col("region") == whole["of"], "left_semi")
+        stuck = split.join(whole, "region", "left_semi").select("region", "home", "id", "text")
         done = stuck if done is None else done.unionAll(stuck)
-        members = stored(rest.unionAll(split.join(whole, "of", "left_anti").select("region", "home", "id", "text")))
+        members = stored(rest.unionAll(split.join(whole, "region", "left_anti").select("region", "home", "id", "text")))
         level += 1
-    members = members if done is None else members.unionAll(done)
+    if done is not None:
+        members = members.unionAll(by_shingles(stored(done), prefixes, num, den, max_region, region_bytes))
 
     def join_region(rows: pa.Table) -> pa.Table:
         ids = rows["id"].to_numpy()
