@@ -53,3 +53,37 @@ def test_rows(spark, duck, name):
     columns = [c[0] for c in want.description]
     rows = [[x.asDict(recursive=True) if hasattr(x, "asDict") else x for x in r] for r in got.collect()]
     assert rows_of(got.columns, rows) == rows_of(columns, want.fetchall())
+
+
+GROUPED = ["cdf", "min_share", "summary_stats", "sparse_domains", "sparse_domains_twice", "record_packs", "table_function_packs", "ks_pairs", "capacity_bound", "cell_stats", "followed_masses", "mixture_bucket_prior", "mixture_cell_tilt", "mixture_rank_tilt", "mixture_shuffled_strata", "band_permutation", "robust_refinement", "marginal_masses"]
+
+
+@pytest.fixture(scope="module")
+def with_nulls(spark, tmp_path_factory):
+    """The test tables, with nulls for languages and sources of some documents."""
+    from pyspark.sql import functions as F
+
+    folder = tmp_path_factory.mktemp("nulls")
+    for t in TABLES.split():
+        if t != "documents":
+            (folder / f"{t}.parquet").symlink_to(FOLDER / f"{t}.parquet")
+    docs = spark.read.parquet(str(FOLDER / "documents.parquet"))
+    bent = docs.withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang"))).withColumn("source", F.when(F.col("doc_id") % 5 < 3, F.col("source")))
+    bent.coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    return folder
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="the test tables are not here")
+@pytest.mark.parametrize("name", GROUPED)
+def test_null_groups(spark, with_nulls, name):
+    """Null groups are groups: none of their rows is lost."""
+    import duckdb
+
+    c = duckdb.connect()
+    for t in TABLES.split():
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{with_nulls}/{t}.parquet{'/*.parquet' if t == 'documents' else ''}'")
+    want = c.execute(plans().oracle_sql()[name])
+    columns = [x[0] for x in want.description]
+    df = plans().queries()[name](spark, str(with_nulls))
+    rows = [[x.asDict(recursive=True) if hasattr(x, "asDict") else x for x in r] for r in df.collect()]
+    assert rows_of(df.columns, rows) == rows_of(columns, want.fetchall())
