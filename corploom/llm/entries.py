@@ -30,13 +30,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held("doc_id", 3, 1)))
-    return langid.predict(docs, model).select("doc_id", held("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held("doc_id", 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    weights = quality.fit(docs, table(spark, sf_dir, "labels").where(~held("doc_id", 4, 2)))
-    return quality.score(docs, weights).select("doc_id", held("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held("doc_id", 4, 2)))
+    return quality.score(docs, model).select("doc_id", F.coalesce(held("doc_id", 4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = lmscore.score(docs, tokenizer_file("piece_bpe_32k.model"), ~held("doc_id", 7, 2))
-    return out.select("doc_id", held("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", F.coalesce(held("doc_id", 7, 2), F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
