@@ -107,9 +107,11 @@ def latest_checkpoint(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(best.alias("x")).select("user_id", "x.event_id", "x.event_type")
 
 
-@query("SELECT s::BIGINT AS step, round(CASE WHEN s < 10 THEN 0.001 * (s + 1) / 10.0 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * (s - 10) / 90.0))) END, 9) AS rate FROM range(100) t(s)")
+@query("SELECT s::BIGINT AS step, count(*)::BIGINT AS orders, round(CASE WHEN s < 10 THEN 0.001 * (s + 1) / 10.0 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * (s - 10) / 90.0))) END, 9) AS rate FROM (SELECT o_orderkey % 100 AS s FROM orders) GROUP BY s")
 def learning_rates(spark, d):
-    return spark.range(100).select(F.col("id").alias("step"), F.round(stats.cosine_rate(F.col("id"), 100, 10, 0.001), 9).alias("rate"))
+    """The rate at each step that a log has (here: of orders), and how many entries it has of it."""
+    steps = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 100).alias("step")).agg(F.count(F.lit(1)).alias("orders"))
+    return steps.select("step", "orders", F.round(stats.cosine_rate(F.col("step"), 100, 10, 0.001), 9).alias("rate"))
 
 
 # --- sampling and updates -------------------------------------------------------------------

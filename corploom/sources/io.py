@@ -14,14 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set, a temporary one of this machine if Spark runs on it alone, else one beside the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where none is set, a temporary one if Spark runs on this machine alone; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
         master = spark.sparkContext.master
         alone = master.startswith("local") and not master.startswith("local-cluster")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corploom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corploom")
+        if not alone:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corploom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
