@@ -41,3 +41,29 @@ def violations(found: DataFrame, declared: DataFrame, again: DataFrame, keys: li
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"f.{c}").cast("double").alias("told"), F.col(f"a.{c}").cast("double").alias("again")) for c in numbers]))
     told = read.select(*own("f"), each.alias("x")).where(~(F.abs(F.col("x.told") - F.col("x.again")) <= tolerance * F.abs("x.again")))
     return out.unionByName(told.select(*keys, F.lit("false").alias("problem"), "x.field", "x.told", "x.again"))
+
+
+def completion(runs: DataFrame, progress: DataFrame) -> DataFrame:
+    """Rows (run_id, problem, verified, clean): whether each run is complete, from what it was to do and its progress file.
+
+    runs has (run_id, expected, exit_code, began); progress a row a file: (run_id of its folder, bound_to, completed_cells, failed_cells,
+    baseline_status, recovery_count, full_clean_matrix, written, broken), all but the first may be null.  A run is verified if it exited with 0, its file is there, whole,
+    no older than the run and (if it says so) the run's own, and has as many completed cells as expected, none failed, and a
+    baseline that is complete (or not spoken of).  Counts must be whole numbers from 0 on.  It is clean if besides nothing was recovered and the matrix is not said
+    to be unclean.  The problem is the first of these that bars it; of several files the newest counts.
+    """
+    newest = progress.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in progress.columns if c != "run_id"]), F.struct("written", F.coalesce("completed_cells", F.lit(-1)))).alias("p"))
+    j = runs.join(newest, "run_id", "left")
+    p = lambda c: F.col(f"p.{c}")
+    odd = lambda c: p(c).isNull() | (p(c) < 0)
+    problem = (
+        F.when(F.col("exit_code").isNull() | (F.col("exit_code") != 0), "exit")
+        .when(F.col("p").isNull(), "missing").when(p("broken"), "broken").when(p("written") < F.col("began"), "stale")
+        .when(p("bound_to").isNotNull() & (p("bound_to") != F.col("run_id")), "other_run")
+        .when(odd("completed_cells") | odd("failed_cells"), "counts")
+        .when(F.col("expected").isNull() | (p("completed_cells") != F.col("expected")), "incomplete").when(p("failed_cells") > 0, "failed")
+        .when(F.coalesce(p("baseline_status"), F.lit("complete")) != "complete", "baseline")
+    )
+    out = j.withColumn("problem", problem).withColumn("verified", F.col("problem").isNull())
+    clean = F.col("verified") & (F.coalesce(p("recovery_count"), F.lit(0)) == 0) & F.coalesce(p("full_clean_matrix"), F.lit(True))
+    return out.select("run_id", "problem", "verified", F.coalesce(clean, F.lit(False)).alias("clean"))

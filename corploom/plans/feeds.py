@@ -199,3 +199,27 @@ def receipt_violations(spark, d):
     found = audit.receipts(spark, path, "arm string, seed int", "n long, metric double")
     out = audit.violations(found, cells, cells, ["arm", "seed"], ["n", "metric"], F.lit(began))
     return out.select("arm", "seed", "problem", "field", r6("told").alias("told"), r6("again").alias("again"))
+
+
+PROGRESS = "bound_to string, completed_cells long, failed_cells long, baseline_status string, recovery_count long, full_clean_matrix boolean"
+PROBLEMS = "CASE n_nationkey % 10 WHEN 1 THEN 'exit' WHEN 2 THEN 'missing' WHEN 3 THEN 'broken' WHEN 4 THEN 'stale' WHEN 5 THEN 'other_run' WHEN 6 THEN 'incomplete' WHEN 7 THEN 'failed' WHEN 8 THEN 'baseline' END"
+
+
+@query(f"SELECT 'run' || n_nationkey::VARCHAR AS run_id, {PROBLEMS} AS problem, ({PROBLEMS}) IS NULL AS verified, ({PROBLEMS}) IS NULL AND n_nationkey % 10 <> 9 AS clean FROM nation")
+def run_completion(spark, d):
+    """Runs (a nation each) held against their progress files; by number a run has one of the problems that bar it, or was recovered."""
+    path, k = io.scratch(spark), F.col("n_nationkey") % 10
+    runs = io.stored(io.table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("run"), F.col("n_nationkey")).alias("run_id"), (F.col("n_regionkey") + 3).alias("expected"), (k == 1).cast("int").alias("exit_code")))
+    told = F.to_json(F.struct(
+        F.when(k == 5, "another").when(F.col("n_nationkey") < 10, F.col("run_id")).alias("bound_to"), (F.col("expected") - (k == 6).cast("int")).alias("completed_cells"),
+        (k == 7).cast("int").alias("failed_cells"), F.when(k == 8, "running").alias("baseline_status"), F.when(k == 9, F.lit(2)).alias("recovery_count"),
+    ))
+    files = runs.where(k != 2).withColumn("value", F.when(k == 3, F.lit('{"completed_cells": 3,')).otherwise(told))
+    write = lambda df: df.select("run_id", "value").repartition("run_id").write.partitionBy("run_id").mode("append").text(path)
+    write(files.where(k == 4))
+    time.sleep(1.5)  # files have times in whole seconds, perhaps
+    began = spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
+    time.sleep(1.1)
+    write(files.where(k != 4))
+    found = audit.receipts(spark, path, "run_id string", PROGRESS)
+    return audit.completion(runs.withColumn("began", F.lit(began)), found)

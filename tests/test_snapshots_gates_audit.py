@@ -150,3 +150,22 @@ def test_refinement_as_a_plain_loop(spark):
     assert {r["g"]: round(r["w"], 9) for r in last.collect()} == {g: round(x, 9) for g, x in w.items()}
     _, short = refinement.refine(pool, weights, "g", "id", lambda t: spark.createDataFrame(slots[t], "u double, v double"), 0.0, proxy.learn, proxy.losses, 1.5, 5, settled=0.9)
     assert short.agg(F.max("step")).first()[0] == 1
+
+
+def test_runs_that_are_complete(spark):
+    """Each condition bars a run by itself, the first is told, and the newest of several files counts."""
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    fine = {"bound_to": None, "completed_cells": 5, "failed_cells": 0, "baseline_status": None, "recovery_count": None, "full_clean_matrix": None, "written": at(9), "broken": False}
+    cases = {
+        "ok": ({}, 5, 0, None, True), "own": ({"bound_to": "own", "baseline_status": "complete", "recovery_count": 0, "full_clean_matrix": True}, 5, 0, None, True),
+        "recovered": ({"recovery_count": 1}, 5, 0, None, False), "unclean": ({"full_clean_matrix": False}, 5, 0, None, False),
+        "exit": ({}, 5, 1, "exit", False), "killed": ({}, 5, None, "exit", False), "gone": (None, 5, 0, "missing", False), "broken": ({"broken": True}, 5, 0, "broken", False),
+        "stale": ({"written": at(1)}, 5, 0, "stale", False), "other": ({"bound_to": "ok"}, 5, 0, "other_run", False), "null": ({"failed_cells": None}, 5, 0, "counts", False),
+        "negative": ({"completed_cells": -1}, 5, 0, "counts", False), "short": ({"completed_cells": 4}, 5, 0, "incomplete", False), "more": ({"completed_cells": 6}, 5, 0, "incomplete", False),
+        "unknown": ({}, None, 0, "incomplete", False), "failed": ({"failed_cells": 1}, 5, 0, "failed", False), "baseline": ({"baseline_status": "running"}, 5, 0, "baseline", False),
+    }
+    runs = spark.createDataFrame([(r, c[1], c[2], at(3)) for r, c in cases.items()], "run_id string, expected long, exit_code int, began timestamp")
+    files = [(r, *(fine | c[0]).values()) for r, c in cases.items() if c[0] is not None] + [("ok", *(fine | {"completed_cells": 2, "written": at(5)}).values())]
+    progress = spark.createDataFrame(files, "run_id string, bound_to string, completed_cells long, failed_cells long, baseline_status string, recovery_count long, full_clean_matrix boolean, written timestamp, broken boolean")
+    got = {r["run_id"]: (r["problem"], r["verified"], r["clean"]) for r in audit.completion(runs, progress).collect()}
+    assert got == {r: (c[3], c[3] is None, c[4]) for r, c in cases.items()}
