@@ -10,6 +10,7 @@ Items are taken in groups of bounded size (items_bytes), each broadcast, so that
 benchmark costs more passes, not more memory.  Items with fewer than n words are searched as one n-gram of
 their own length; items without words, and null items, match nothing.  Null and empty texts
 have no passage; repeated rows are found each, with their own id; of equal scores in one text the first counts.
+A very long text takes memory of some tens of times its size in one task, and is aligned only where its pairs lie close.
 An empty table, of texts or of items, gives an empty one; columns other than those that are named are
 ignored.  Words are A-Z lowered, stripped of ASCII punctuation at their ends.
 """

@@ -8,8 +8,11 @@ whose pivot is at most 2 eps further than its nearest (the triangle inequality:
 end cannot lie elsewhere), and a region joins by itself, or splits again.  What a pivot settles
 (all within eps of it are linked through it) is not compared again.
 
-Blocks beyond max_region texts are split across the cluster, by the same rule and until none
-is left that splitting makes smaller, before any task holds them.  Equal texts count once.
+Blocks beyond max_region texts are split across the cluster by the same rule before any task holds them.  Equal texts count once.
+
+Parts that pivots do not make smaller (texts that are alike to none of them) lie in one region, the far one, and go by the shingles of
+their prefixes; what one shingle brings together is cut by size and hash into pieces that meet in pairs, so
+that no task gets more than max_region texts, but for a single very long one, which takes memory of some tens of times its size.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing.  Fewer
 than k words make one shingle.  Null ids and repeated ids: ids are taken as keys, rows of one

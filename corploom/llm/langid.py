@@ -7,6 +7,7 @@ The model is fitted on a bounded, hash-chosen sample of labelled rows (max_docs
 language) and keeps every word and n-gram of it; its size hangs on that bound and the number of languages
 alone, so it may be broadcast.  Counting runs in Spark; scoring covers whole texts.
 
+Very long texts are cut by Spark and scored as one row of words each, in memory of some tens of times their size.
 Null texts and texts without a letter are `und` with score 0; ties go to the language first in
 the alphabet; an empty table gives an empty result; without labelled rows all is `und`.  Repeated rows and
 ids teach, and are scored, each.  Columns other than those that are named are ignored.

@@ -8,6 +8,7 @@ one recursion.  A word that the corpus taught is one more edge over the whole wo
 N training tokens and V kinds it weighs c / (N + V), the pieces' segmentations V / (N + V).
 Corpus counts of words give the base score beside it.
 
+Very long texts lie in one block each, in memory of some tens of times their size; a very long word takes time of its length times that of the longest piece.
 Words are A-Z lowered runs between ASCII white space.  Null and empty texts have the end
 alone.  A character that no piece holds is spelt by its bytes.  Repeated rows count each.  An
 empty table gives an empty one; with nothing to learn from, pieces alone score.  Columns other

@@ -12,6 +12,7 @@ A stratum without enough labelled good texts, or without texts that have no labe
 Equal texts of a stratum count once, on either side: copies are no independent witnesses.  Null texts have no words,
 and fail the base rule as empty ones do.  A null stratum is one of its own.  Labels that are null
 are ignored; a text labelled good and bad counts as good.  Null ids have no label.  Rows that repeat each come back.
+A very long text is an array of words in one row, in memory of some tens of times its size.
 An empty table gives an empty one; columns other than the three that are named are ignored.
 """
 

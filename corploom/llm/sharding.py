@@ -8,7 +8,8 @@ A group of equal texts stays in one shard unless it is larger than a shard's fai
 
 Null texts have size 1 and the key of the empty text.  Repeated rows and null ids are each placed: a
 number that each row is stored with breaks ties of key and id, so that rows equal in all can still be
-parted.  Slots follow range, key and that tie.  An empty table gives an empty one; columns other than id and
+parted.  Slots follow range, key and that tie, so which of the rows that are equal in all gets which slot hangs on how the input's files were read.
+Texts, however long, are read for their size and hash alone.  An empty table gives an empty one; columns other than id and
 text are ignored, whatever their names.
 """
 

@@ -10,6 +10,7 @@ blind tries for the groups that agree so far; their left sides, read backwards,
 blind tries likewise.  Neighbours' common prefixes to both sides give, for every window, the
 least document id that holds it.  Equal texts count once: all but the one of least id go as a whole.
 
+A very long text lies in one block, in memory of some tens of times its size; its spans go to the buckets like others.
 Null and short texts lose nothing.  Rows of equal id do not shorten each other; a row with a
 null id neither shortens nor is shortened.  Matches never cross documents.  An empty table gives an
 empty one; columns other than id and text are ignored, whatever their names.
