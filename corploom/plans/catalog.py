@@ -204,9 +204,13 @@ def contaminated(spark, d) -> DataFrame:
 
 
 def sharing_grams(docs: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Keys of docs that share a 13-gram with held: by 64-bit hashes first, then by the grams that these point to.
+
+    The hashes of held, and the rows that they hit, are sent around where they are small, so that no gram of docs is shuffled.
+    """
     runs = lambda df, *c: df.select(*c, F.posexplode(text.gram_keys(text.words(F.col("text")))).alias("i", "h"))
-    keys = runs(held).select("h").distinct()
-    hits = runs(docs, key).join(keys, "h", "left_semi").groupBy(key).agg(F.collect_set("i").alias("at"))
+    keys = small(runs(held).select("h").distinct())
+    hits = small(runs(docs, key).join(keys, "h", "left_semi").groupBy(key).agg(F.collect_set("i").alias("at")))
     sure = docs.join(hits, key).select(key, F.explode(text.grams_at(text.words(F.col("text")), F.col("at"))).alias("g"))
     return sure.join(held.select(F.explode(text.grams(text.words(F.col("text")))).alias("g")).distinct(), "g", "left_semi").select(key).distinct()
 
