@@ -99,8 +99,8 @@ def completion_checks(spark, d):
 
 # A grid of three rates and seven seeds: targets of one split, retention of the other.  SITUATIONS bend it: a cell that is not
 # complete, a floor that none reaches, rates that are tied in all but themselves.
-GRID = f"{CELLS}, grid AS (SELECT CASE arm WHEN 'A' THEN 1e-5::DOUBLE WHEN 'N' THEN 2e-5::DOUBLE ELSE 5e-5::DOUBLE END AS rate, seed, any_value(CASE WHEN split = 'O' THEN metric END) / 3000 AS target, any_value(CASE WHEN split = 'F' THEN 1 - broad END) AS retention, any_value(CASE WHEN split = 'O' THEN broad END) AS nll FROM cells GROUP BY 1, 2), base AS (SELECT avg(target) AS bt, avg(retention) AS br FROM grid), situations AS (SELECT * FROM (VALUES ('whole', 1.0::DOUBLE, 0.02::DOUBLE), ('cell_missing', 1.0::DOUBLE, 0.02::DOUBLE), ('no_floor', 1.0::DOUBLE, -1.0::DOUBLE), ('tied', 0.0::DOUBLE, 0.02::DOUBLE)) t(situation, spread, tolerance)), bent AS (SELECT situation, tolerance, rate, seed, CASE WHEN situation = 'cell_missing' AND rate = 2e-5 AND seed = 3 THEN 'failed' ELSE 'complete' END AS status, bt + spread * (target - bt) AS target, br + spread * (retention - br) AS retention, spread * nll AS nll, abs(target - bt) * spread AS change FROM grid, base, situations), g AS (SELECT situation, any_value(tolerance) AS tolerance, rate, avg(target) AS t, avg(retention) AS r, avg(nll) AS nll, avg(change) AS change, count_if(target >= bt)::BIGINT AS up, count(*) AS done FROM bent, base WHERE status = 'complete' GROUP BY situation, rate), whole AS (SELECT situation, 21 - count_if(status = 'complete') AS n_missing FROM bent GROUP BY 1)"
-SITUATIONS = {"whole": (1.0, 0.02), "cell_missing": (1.0, 0.02), "no_floor": (1.0, -1.0), "tied": (0.0, 0.02)}
+GRID = f"{CELLS}, grid AS (SELECT CASE arm WHEN 'A' THEN 1e-5::DOUBLE WHEN 'N' THEN 2e-5::DOUBLE ELSE 5e-5::DOUBLE END AS rate, seed, any_value(CASE WHEN split = 'O' THEN metric END) / 3000 AS target, any_value(CASE WHEN split = 'F' THEN 1 - broad END) AS retention, any_value(CASE WHEN split = 'O' THEN broad END) AS nll FROM cells GROUP BY 1, 2), base AS (SELECT avg(target) AS bt, avg(retention) AS br FROM grid), situations AS (SELECT * FROM (VALUES ('whole', 1.0::DOUBLE, 0.02::DOUBLE, 0.0::DOUBLE), ('cell_missing', 1.0::DOUBLE, 0.02::DOUBLE, 0.0::DOUBLE), ('no_floor', 1.0::DOUBLE, -1.0::DOUBLE, 0.0::DOUBLE), ('tied', 0.0::DOUBLE, 0.02::DOUBLE, 0.0001::DOUBLE)) t(situation, spread, tolerance, lift)), bent AS (SELECT situation, tolerance, rate, seed, CASE WHEN situation = 'cell_missing' AND rate = 2e-5 AND seed = 3 THEN 'failed' ELSE 'complete' END AS status, bt + spread * (target - bt) + lift AS target, br + spread * (retention - br) AS retention, spread * nll AS nll, abs(target - bt) * spread AS change FROM grid, base, situations), g AS (SELECT situation, any_value(tolerance) AS tolerance, rate, avg(target) AS t, avg(retention) AS r, avg(nll) AS nll, avg(change) AS change, count_if(target >= bt)::BIGINT AS up, count(*) AS done FROM bent, base WHERE status = 'complete' GROUP BY situation, rate), whole AS (SELECT situation, 21 - count_if(status = 'complete') AS n_missing FROM bent GROUP BY 1)"
+SITUATIONS = {"whole": (1.0, 0.02, 0.0), "cell_missing": (1.0, 0.02, 0.0), "no_floor": (1.0, -1.0, 0.0), "tied": (0.0, 0.02, 0.0001)}
 RATE_OF = {"A": 1e-5, "N": 2e-5, "R": 5e-5}
 
 
@@ -111,10 +111,10 @@ def grid(spark, d):
     g = stored(cells(spark, d).groupBy(rate, "seed").agg((side("O", F.col("metric")) / 3000).alias("target"), side("F", 1 - F.col("broad")).alias("retention"), side("O", F.col("broad")).alias("nll")))
     base = stored(g.agg(F.avg("target").alias("base_target"), F.avg("retention").alias("base_retention")))
     declared = spark.createDataFrame([(r, s) for r in RATE_OF.values() for s in range(7)], "rate double, seed int")
-    for name, (spread, tolerance) in SITUATIONS.items():
+    for name, (spread, tolerance, lift) in SITUATIONS.items():
         failed = (F.lit(name) == "cell_missing") & (F.col("rate") == 2e-5) & (F.col("seed") == 3)
         pulled = lambda c: F.col(f"base_{c}") + spread * (F.col(c) - F.col(f"base_{c}"))  # noqa: B023, E731
-        bent = g.crossJoin(F.broadcast(base)).select("rate", "seed", F.when(failed, "failed").otherwise("complete").alias("status"), pulled("target").alias("target"), pulled("retention").alias("retention"), (spread * F.col("nll")).alias("nll"), (F.abs(F.col("target") - F.col("base_target")) * spread).alias("change"))
+        bent = g.crossJoin(F.broadcast(base)).select("rate", "seed", F.when(failed, "failed").otherwise("complete").alias("status"), (pulled("target") + lift).alias("target"), pulled("retention").alias("retention"), (spread * F.col("nll")).alias("nll"), (F.abs(F.col("target") - F.col("base_target")) * spread).alias("change"))
         yield name, bent, base, declared, tolerance
 
 
