@@ -54,16 +54,19 @@ def word_key(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower())
 
 
-def common_words(texts: pa.Array, least_share: float) -> np.ndarray:
-    """Sorted keys of words that at least this share of texts have, and two of them."""
-    words, at = ascii_words(strings(texts), lower=False)
-    coded = one(words.dictionary_encode())
-    keys = np.fromiter(map(word_key, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    keys, code = np.unique(keys, return_inverse=True)
-    code = code[coded.indices.to_numpy()]
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    each = np.unique(doc * np.int64(len(keys) + 1) + code) % (len(keys) + 1)
-    return keys[np.bincount(each, minlength=len(keys)) >= max(2, least_share * (len(at) - 1))]
+def common_words(texts: pa.Array, least_share: float, slice_docs: int = 200) -> np.ndarray:
+    """Sorted keys of words that at least this share of texts have, and two of them; a slice of texts at a time."""
+    each = [np.empty(0, np.uint64)]
+    for a in range(0, len(texts), slice_docs):
+        words, at = ascii_words(strings(texts.slice(a, slice_docs)), lower=False)
+        coded = one(words.dictionary_encode())
+        keys = np.fromiter(map(word_key, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        keys, code = np.unique(keys, return_inverse=True)
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        once = np.unique(doc * np.int64(len(keys) + 1) + code[coded.indices.to_numpy()])
+        each.append(keys[once % (len(keys) + 1)])
+    keys, counts = np.unique(np.concatenate(each), return_counts=True)
+    return keys[counts >= max(2, least_share * len(texts))]
 
 
 def features(texts: pa.Array, common: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
