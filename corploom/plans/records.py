@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, tokens
 from ..sources.io import stored, table
 from .catalog import query
 
@@ -146,3 +146,38 @@ def role_leaks(spark, d):
     roles = ("dev", "test", "train")
     grid = spark.createDataFrame([(k, a, b) for k in ("exact", "gram") for a in roles for b in roles if a < b], "kind string, a string, b string")
     return grid.join(found, ["kind", "a", "b"], "left").select("kind", "a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# --- tokens ------------------------------------------------------------------------------------
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def prompts(spark, d):
+    r = records(spark, d).where("question <> '' and size(options) between 2 and 5")
+    return r.select("conv_id", text.prompt(F.col("question"), F.col("options"), LETTERS).alias("prompt"))
+
+
+@query()
+def record_tokens(spark, d):
+    """How many tokens each record's prompt has, and whether a label would be one too many."""
+    ids = prompts(spark, d).select("conv_id", tokens.token_ids(F.col("prompt"), tokenizer_file()).alias("ids"))
+    return ids.select("conv_id", F.size("ids").alias("n_tokens"), tokens.overlength(F.col("ids")).alias("overlength"))
+
+
+@query()
+def token_boundaries(spark, d):
+    """For each label, a distinct single token, how many prompts keep their own tokens before it, and how many do not."""
+    path = tokenizer_file()
+    labels = list(tokens.single_labels([f" {x}" for x in LETTERS], path))
+    asked = prompts(spark, d)
+    out = None
+    for label in labels:
+        told = asked.select(tokens.boundary_kept(F.col("prompt"), label, path).alias("ok"))
+        one = told.agg(F.lit(label.strip()).alias("label"), F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("broken"))
+        out = one if out is None else out.unionByName(one)
+    return out
