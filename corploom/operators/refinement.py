@@ -26,12 +26,13 @@ def drawn(places: DataFrame, sizes: DataFrame, weights: DataFrame, slots: DataFr
     return hit.join(places, [group, "r"])
 
 
-def refine(pool: DataFrame, weights: DataFrame, group: str, key: str, draws: Callable[[int], DataFrame], start, learn: Callable, losses: Callable, eta: float, steps: int, settled: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def refine(pool: DataFrame, weights: DataFrame, group: str, key: str, draws: Callable[[int], DataFrame], start, learn: Callable, losses: Callable, eta: float, steps: int, settled: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Weights (group, w) after at most `steps` steps, and their path (step, group, w, loss, distance).
 
     draws(t) gives the slots of step t; learn(state, batch) the proxy's next state from rows of the pool that
-    were drawn; losses(state) rows (group, loss) for all groups.  It ends before if the total variation between
-    weights of two steps is `settled` or less.  Groups of no weight or no rows are never drawn; weights need not sum to one at first.
+    were drawn; losses(state) rows (group, loss) for all groups.  With `settled` it ends before if the total variation between
+    weights of two steps is that or less; without, all steps are made, for weights that rest at a step, as where no group has a loss,
+    move again as soon as later draws teach the proxy otherwise.  Groups of no weight or no rows are never drawn; weights need not sum to one at first.
     """
     rows = placed_within(pool, [group], [F.col(key)], "r")
     sizes = small(rows.groupBy(group).agg(F.count(F.lit(1)).alias("m")))
@@ -45,9 +46,10 @@ def refine(pool: DataFrame, weights: DataFrame, group: str, key: str, draws: Cal
         after = stored(moved.select(group, F.col("new").alias("w"), "loss", (F.sum(F.abs(F.col("new") - F.col("w"))).over(whole) / 2).alias("distance")))
         path = path.unionByName(after.select(F.lit(t).alias("step"), group, "w", "loss", "distance"))
         now = after.select(group, "w")
-        far = after.agg(F.max("distance")).first()[0]
-        if far is None or far <= settled:
-            break
+        if settled is not None:
+            far = after.agg(F.max("distance")).first()[0]
+            if far is None or far <= settled:
+                break
     return now, path
 
 

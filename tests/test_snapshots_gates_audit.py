@@ -152,6 +152,18 @@ def test_refinement_as_a_plain_loop(spark):
     assert short.agg(F.max("step")).first()[0] == 1
 
 
+def test_refinement_goes_on_where_weights_rest(spark):
+    """No group has a loss at the second step, so no weight moves; the third has losses again."""
+    pool = spark.createDataFrame([(i, "ab"[i % 2], float(i % 2)) for i in range(8)], "id long, g string, x double")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "g string, w double")
+    slots = spark.createDataFrame([(0.1, 0.1)], "u double, v double")
+    losses = lambda state: spark.createDataFrame([("a", 0.0 if state == 2 else 1.0), ("b", 0.0)], "g string, loss double")
+    _, path = refinement.refine(pool, weights, "g", "id", lambda t: slots, 0, lambda state, batch: state + 1, losses, 1.0, 4)
+    got = {(r["step"], r["g"]): r["w"] for r in path.collect()}
+    assert {t for t, _ in got} == {0, 1, 2, 3, 4}
+    assert got[1, "a"] == got[2, "a"] < got[3, "a"] < got[4, "a"]
+
+
 def test_runs_that_are_complete(spark):
     """Each condition bars a run by itself, the first is told, and the newest of several files counts."""
     at = lambda h: datetime.datetime(2024, 1, 1, h)
