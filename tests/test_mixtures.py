@@ -228,3 +228,24 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert len(e.queries()) > 55 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pool_counts_words_where_texts_are_read(spark):
+    """Counts as Python has them; neither texts nor words are dealt or sorted across tasks, one row of sums a document is."""
+    import re
+    from collections import Counter
+
+    from corploom.plans.catalog import scored_pool
+
+    texts = ["a b a c a", "", None, "B b\u00e9 b_1, b", "...", "c " * 500 + "d"]
+    docs = spark.createDataFrame([(i, "s", "en", t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, text string")
+    known = lambda words, mark: F.broadcast(spark.createDataFrame([(w, 1) for w in words], f"t string, {mark} int"))
+    out = scored_pool(docs, known("ab", "b"), known("cd", "w"))
+    want = {}
+    for i, t in enumerate(texts):
+        c = Counter(re.findall(r"\w+", (t or "").lower()))
+        if n := sum(c.values()):
+            want[i] = (n, len(c) / n, (c["a"] + c["b"]) / n, (c["c"] + c["d"]) / n / 2)
+    assert {r["doc_id"]: (r["n_words"], r["cr"], r["score"], r["wrong"]) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "Repartition" not in plan and "SortMergeJoin" not in plan
