@@ -208,10 +208,10 @@ def record_packs(spark, d):
 
 @query(RECORD_PACKS)
 def table_function_packs(spark, d):
-    """The same packs by a table function over a partitioned table."""
+    """The same packs by a table function over a table parted where packs begin."""
     packing.register_packs(spark)
-    docs = table(spark, d, "documents").select(F.col("lang").alias("domain"), "doc_id", "text")
-    found = spark.sql("SELECT * FROM packs(TABLE({docs}) PARTITION BY (domain) ORDER BY (doc_id), 4096)", docs=docs)
+    docs = packing.parted(table(spark, d, "documents").select(F.col("lang").alias("domain"), "doc_id", "text"), 4096)
+    found = spark.sql("SELECT * FROM packs(TABLE({docs}) PARTITION BY (domain, began, part) ORDER BY (doc_id), 4096)", docs=docs)
     return found.select("domain", "pack_id", F.size("member_ids").alias("members"), "full_bytes", F.sha2("view", 256).alias("view_sha"))
 
 
