@@ -42,6 +42,12 @@ def test_messages_grow_with_the_root(spark):
     assert direct > 225 * 150 and relayed <= 225 * 16
 
 
+def test_messages_of_some_hundred_blocks(spark):
+    """As many blocks as a few gigabytes have: relays are in use by then, and messages are no longer a product."""
+    relayed, _ = messages(spark, 300, shared.FAN)
+    assert relayed <= 300 * 18
+
+
 def test_more_blocks_than_partitions(spark, monkeypatch):
     """Tasks that take several blocks give what tasks of one block give."""
     docs = spark.createDataFrame([(i, " ".join(fresh(60))) for i in range(40)] + [(50, None)], "doc_id long, text string")
