@@ -3,8 +3,10 @@
 A byte goes if a `length`-byte string that covers it also starts in a document with a smaller
 id.  Windows of that length are dealt by their minimizer (the least hash of the `seed`-byte
 strings in them), so equal windows meet, as runs of windows ("spans") around one
-minimizer.  A first exchange finds minimizers that several documents have; only their spans,
-each distinct one of a block once, go to the buckets.  A bucket sorts the spans' suffixes that
+minimizer.  A first exchange finds minimizers that several documents have.  A window holds, of
+its bytes beside the minimizer, half at least on one side; a second exchange finds what windows
+of a side have in common that several documents have.  Only windows of such sides, each distinct
+run of a block once, go to the buckets.  A bucket sorts the spans' suffixes that
 start at the minimizer: multikey quicksort over the first `seed` bytes, eight at a time, then
 blind tries for the groups that agree so far; their left sides, read backwards, go through
 blind tries likewise.  Neighbours' common prefixes to both sides give, for every window, the
@@ -54,6 +56,21 @@ class Spans:
         self.start, self.count, self.key, self.place = (np.concatenate(x) for x in zip(*found, strict=True))
         self.doc = np.searchsorted(self.at, self.start, "right") - 1
 
+    def sides(self, picks: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of spans `picks`: how many windows hold more to the left of the minimizer (the others: to its right), which sides have windows, and their keys in a row: a hash of the bytes that all windows of the side hold."""
+        start, count, place, half = self.start[picks], self.count[picks], self.place[picks], (length - seed + 1) // 2
+        left = np.clip(place - half + 1 - start, 0, count)
+        has, keys = np.stack([left > 0, left < count], 1), np.zeros((len(picks), 2), np.uint64)
+        words = np.ndarray((max(len(self.bytes) - 7, 0),), "<u8", self.bytes, strides=(1,))
+        for side, (at, size) in enumerate(((place - half, seed + half), (place, length - half + 1))):
+            at = at[has[:, side]]
+            h = np.full(len(at), side, np.uint64)
+            with np.errstate(over="ignore"):
+                for k in [*range(0, size - 7, 8), size - 8]:
+                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[at + k])
+            keys[has[:, side], side] = h >> np.uint64(64 - KEY_BITS)
+        return left, has, keys[has]
+
     def pieces(self, length: int):
         """Stretches of at most CHUNK bytes; each window lies in one of them."""
         total = len(self.bytes)
@@ -109,6 +126,19 @@ def finer(start: np.ndarray, count: np.ndarray, place: np.ndarray, level: np.nda
         which, start, count, low, high, rest = (c[some] for c in (which, start, count, low, high, rest))
 
 
+def distinct_runs(key: np.ndarray, raw: pa.Array, place: np.ndarray, least: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """Each run of windows once, by key, with the least of its ids; and where each came to lie."""
+    pair = (raw.dictionary_encode().indices.to_numpy().astype(np.int64) << 32) | place
+    _, first, which = np.unique(pair, return_index=True, return_inverse=True)
+    low = np.full(len(first), NEVER)
+    np.minimum.at(low, which, least)
+    order = np.argsort(key[first], kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    first = first[order]
+    return pa.table({"key": pa.array(key[first], pa.uint64()), "raw": raw.take(pa.array(first)), "place": pa.array(place[first], pa.int32()), "least": pa.array(low[order])}), back[which]
+
+
 def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort over eight-byte symbols: order, and the group of each place (equal in all symbols).
 
@@ -287,70 +317,61 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
         known = ids.is_valid().to_numpy(zero_copy_only=False)[every.doc] if len(every.doc) else np.zeros(0, bool)
         return every, known, ids.fill_null(0).to_numpy()
 
+    def counting(keys: np.ndarray) -> np.ndarray:
+        """Keys as they are counted: in a corpus of less than 100 GB 39 bits are enough, and travel shorter; two keys that are then one cost a span sent for nothing."""
+        return keys >> np.uint64(8) << np.uint64(8) if n <= 1 << 14 else keys
+
     def keys_of(block: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         every, known, ids = found_in(laid(block, told)[0])
-        return every.key[known], ids[every.doc[known]]
+        return counting(every.key[known]), ids[every.doc[known]]
+
+    def crowded(block: pa.Table, told: pa.Table) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
+        """Spans, ids, and those whose minimizer several documents have: which, and how many documents."""
+        every, known, ids = found_in(block)
+        picks = np.flatnonzero(known)
+        mine = counting(every.key[picks])
+        keys, counts = key_counts(mine, ids[every.doc[picks]], of_kind(told, 0))
+        some = among(mine, keys[counts > 1])
+        return every, ids, picks[some], counts[np.searchsorted(keys, mine[some])]
+
+    def side_keys_of(block: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        every, ids, picks, _ = crowded(laid(block, told)[0], told)
+        _, has, keys = every.sides(picks, length, seed)
+        return counting(keys), np.repeat(ids[every.doc[picks]], has.sum(1))
 
     def chosen(block: pa.Table, told: pa.Table) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-        """First window and text of the spans whose minimizer several documents have, the distinct one that each is, and these: (key, raw, place, least).
+        """First window and text of the runs of windows that several documents may have, the distinct one that each is, and these: (key, raw, place, least).
 
         The more documents have a minimizer, the finer its spans are parted and dealt: by more bytes than it has.
         """
-        every, known, ids = found_in(block)
-        picks = np.flatnonzero(known)
-        keys, counts = key_counts(every.key[picks], ids[every.doc[picks]], told)
-        picks = picks[among(every.key[picks], keys[counts > 1])]
-        many = counts[np.searchsorted(keys, every.key[picks])] if len(picks) else np.empty(0, np.int64)
+        every, ids, picks, many = crowded(block, told)
+        left, has, mine = every.sides(picks, length, seed)
+        mine = counting(mine)
+        keys, counts = key_counts(mine, np.repeat(ids[every.doc[picks]], has.sum(1)), of_kind(told, 2))
+        shared = np.zeros(has.shape, bool)
+        shared[has] = among(mine, keys[counts > 1])
+        begin, end = np.where(shared[:, 0], 0, left), np.where(shared[:, 1], every.count[picks], left)
+        some = begin < end
+        picks, many, begin, end = picks[some], many[some], begin[some], end[some]
         level = np.ceil(np.log(np.maximum(many / hot, 1.0)) / math.log(16)).astype(np.int64)
-        span, start, count, low, high = finer(every.start[picks], every.count[picks], every.place[picks], level, length, seed)
+        span, start, count, low, high = finer(every.start[picks] + begin, end - begin, every.place[picks], level, length, seed)
         place, doc, dealt_by = every.place[picks][span], every.doc[picks][span], every.key[picks][span].copy()
         for j in np.flatnonzero(level[span] > 0).tolist():
             dealt_by[j] = xxhash.xxh3_64_intdigest(every.bytes[low[j] : high[j]].tobytes(), seed=int(place[j] - low[j])) >> (64 - KEY_BITS)
-        number: dict[tuple[bytes, int], int] = {}
-        which, least, first = np.empty(len(start), np.int64), [], []
-        for j, (a, b, p, d) in enumerate(zip(start.tolist(), (start + count).tolist(), place.tolist(), ids[doc].tolist(), strict=True)):
-            k = number.setdefault((every.bytes[a : b + length - 1].tobytes(), p - a), len(number))
-            if k == len(least):
-                least.append(d)
-                first.append(j)
-            elif d < least[k]:
-                least[k] = d
-            which[j] = k
-        first, items = np.array(first, np.int64), list(number)
-        key = dealt_by[first]
-        order = np.array(sorted(range(len(items)), key=lambda k: (key[k], items[k])), np.int64)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        distinct = pa.table({
-            "key": pa.array(key[order], pa.uint64()), "raw": pa.array([items[k][0] for k in order.tolist()], pa.large_binary()),
-            "place": pa.array((place - start)[first][order], pa.int32()), "least": pa.array(np.array(least, np.int64)[order]),
-        })
-        return every, ids, start, doc, back[which], distinct
+        at, raw = spans(count + length - 1), np.empty(0, np.uint8)
+        if len(start):
+            raw = np.empty(at[-1], np.uint8)
+            for a in range(0, len(start), 1 << 14):
+                b = min(a + (1 << 14), len(start))
+                raw[at[a] : at[b]] = every.bytes[np.arange(at[a], at[b]) + np.repeat(start[a:b] - at[a:b], at[a + 1 : b + 1] - at[a:b])]
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())])
+        distinct, which = distinct_runs(dealt_by, pieces, place - start, ids[doc])
+        return every, ids, start, doc, which, distinct
 
     def merge(parts: list[pa.Table]) -> tuple[pa.Table, list[np.ndarray]]:
-        number: dict[tuple[bytes, int], int] = {}
-        key, place, least, lists = [], [], [], []
-        for part in parts:
-            mine = np.empty(part.num_rows, np.int64)
-            for i, (x, raw, p, d) in enumerate(zip(*(part[c].to_pylist() for c in ("key", "raw", "place", "least")), strict=True)):
-                k = number.setdefault((raw, p), len(number))
-                if k == len(least):
-                    key.append(x)
-                    least.append(d)
-                    place.append(p)
-                elif d < least[k]:
-                    least[k] = d
-                mine[i] = k
-            lists.append(mine)
-        keys, items = np.array(key, np.uint64), list(number)
-        order = np.array(sorted(range(len(items)), key=lambda k: (key[k], items[k])), np.int64)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        merged = pa.table({
-            "key": pa.array(keys[order], pa.uint64()), "raw": pa.array([items[k][0] for k in order.tolist()], pa.large_binary()),
-            "place": pa.array(np.array(place, np.int32)[order]), "least": pa.array(np.array(least, np.int64)[order]),
-        })
-        return merged, [back[mine] for mine in lists]
+        every = pa.concat_tables(parts)
+        merged, where = distinct_runs(one(every["key"]).to_numpy(), one(every["raw"]), one(every["place"]).to_numpy(), one(every["least"]).to_numpy())
+        return merged, np.split(where, np.cumsum([t.num_rows for t in parts])[:-1])
 
     def solve(items: pa.Table) -> pa.Table:
         windows = least_ids(items["raw"].to_pylist(), items["place"].to_numpy().astype(np.int64), items["least"].to_numpy(), length, seed)
@@ -359,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
 
     def cut(block: pa.Table, told: pa.Table) -> pa.Table:
         block, copied = laid(block, told)
-        every, ids, start_of, doc_of, which, items = chosen(block, of_kind(told, 0))
+        every, ids, start_of, doc_of, which, items = chosen(block, told)
         answers = answers_of(of_kind(told, 1), items.num_rows)
         values = one(answers["ids"]).flatten().to_numpy() if items.num_rows else np.empty(0, np.int64)
         sizes = pc.binary_length(items["raw"]).to_numpy() - length + 1
@@ -393,7 +414,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
         return relaxed(pa.table({"id": block["id"], "n_bytes": pa.array(np.diff(every.at) + copied), "spans": pa.ListArray.from_arrays(pa.array(count, pa.int32()), pairs), "kept": data.cast(pa.binary())}))
 
     known = said(counted(blocks, keys_of, n, max(1, n // 3), aside, fan), 0).unionByName(aside)
-    told = exchange(blocks, lambda block, more: chosen(laid(block, more)[0], of_kind(more, 0))[-1], merge, solve, n, 2 * n, aside=known, fan=fan)
+    known = said(counted(blocks, side_keys_of, n, max(1, n // 3), known, fan), 2).unionByName(known)
+    told = exchange(blocks, lambda block, more: chosen(laid(block, more)[0], more)[-1], merge, solve, n, n, aside=known, fan=fan)
     both = known.unionByName(said(told, 1))
     out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, "id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
     return out.withColumnRenamed("id", id_col)

@@ -264,3 +264,26 @@ def test_digest_is_of_the_whole_text(spark):
     text = " ".join(fresh(50_000))
     row = suffix.digests(suffix.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
     assert row["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_spans_go_only_where_a_side_is_shared(spark, monkeypatch):
+    """A text that shares a minimizer with others, and no more bytes than that, sends none of its spans; what is repeated is found as before."""
+    rng, phrase = np.random.default_rng(5), "sixteen common bytes"
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 40))
+    unlike = [(i, " ".join(x for _ in range(20) for x in (word(), phrase))) for i in range(12)]
+    passage = " ".join(word() for _ in range(3))
+    alike = [(100 + i, f"{word()} {passage} {word()}") for i in range(3)]
+    sent, exchange = [], suffix.exchange
+
+    def spy(blocks, tell, *rest, aside=None, **more):
+        count = lambda block, told: pa.table({"n": [tell(block, told).num_rows]})
+        sent.append(blocks.groupBy("block").cogroup(aside.groupBy("block")).applyInArrow(count, "n long").agg({"n": "sum"}).first()[0])
+        return exchange(blocks, tell, *rest, aside=aside, **more)
+
+    monkeypatch.setattr(suffix, "exchange", spy)
+    found = {}
+    for name, rows in (("unlike", unlike), ("alike", alike)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found[name] = sum(r["n_removed"] for r in suffix.digests(suffix.remove_repeats(docs, block_bytes=1000)).collect())
+    assert found == {"unlike": 0, "alike": 2 * (len(passage) + 2)}
+    assert sent[0] == 0 and sent[1] > 0
