@@ -1,5 +1,6 @@
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +250,31 @@ def test_pool_counts_words_where_texts_are_read(spark):
     assert {r["doc_id"]: (r["n_words"], r["cr"], r["score"], r["wrong"]) for r in out.collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().sparkPlan().toString()
     assert "SortAggregate" not in plan and "Repartition" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the test tables are not here")
+def test_pool_with_large_vocabularies(spark, monkeypatch):
+    """Vocabularies too large to go around are hashed in parts and counted words stream by: the same pool, and no sort of words."""
+    from corploom.plans import catalog
+    from corploom.sources import io
+
+    plans, stored = [], io.stored
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stored(df)
+
+    folder = "/root/testdata/sf0.001"
+    want = catalog.pool(spark, folder).collect()
+    for f in {io.small, getattr(io, "shares", io.small)}:
+        monkeypatch.setattr(f, "__defaults__", (100, 16 << 20))
+    monkeypatch.setattr(catalog, "PART_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(catalog, "stored", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalog.pool(spark, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == 200
+    assert "SortMergeJoin" not in plans[-1] and plans[-1].count("ShuffledHashJoin") == 2
