@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -278,3 +279,34 @@ def test_pool_with_large_vocabularies(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == 200
     assert "SortMergeJoin" not in plans[-1] and plans[-1].count("ShuffledHashJoin") == 2
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the test tables are not here")
+def test_pool_deals_words_to_parts_that_are_written_straight_to_files(spark, monkeypatch):
+    """Beyond 200 parts Spark's writer keeps all counted words of a task in memory: as many parts as text asks for are not made, and the pool is the same."""
+    from corploom.plans import catalog
+    from corploom.sources import io
+
+    plans, stored = [], io.stored
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stored(df)
+
+    folder = "/root/testdata/sf0.001"
+    want = catalog.pool(spark, folder).collect()
+    monkeypatch.setattr(io.shares, "__defaults__", (100, 16 << 20))
+    monkeypatch.setattr(catalog, "PART_BYTES", 1 << 10)  # some 700 parts
+    monkeypatch.setattr(catalog, "stored", spy)
+    got = catalog.pool(spark, folder).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == 200
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(t#\d+, (\d+)\)|RepartitionByExpression \[t#\d+\], (\d+)", plans[-1]) for n in n if n]
+    assert dealt and max(dealt) <= 200
+
+
+def test_parts_of_words_grow_with_the_text():
+    from corploom.plans import catalog
+
+    mb = 1 << 20
+    assert [catalog.word_parts(x * mb) for x in (0, 16, 17, 3200, 10_000, 25_600)] == [1, 1, 2, 200, 200, 200]
+    assert catalog.word_parts(10 * mb, 7) == 7 and catalog.word_parts(51_200 * mb) == 400
